@@ -10,12 +10,14 @@ from panelforge.llm.digest import op8_document_digest
 from panelforge.llm.media import op10_media_columns
 from panelforge.llm.mixing import op4_mix_sources
 from panelforge.llm.quality import op7_quality
+from panelforge.llm.sentencepiece_sampling import op1_sentencepiece
 from panelforge.llm.simhash import op3_simhash_dedup
 from panelforge.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sentencepiece,
         op3_simhash_dedup,
         op4_mix_sources,
         op6_toxicity,
