@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.digest import op8_document_digest
+from panelforge.llm.html_extract import op5_html_extraction
 from panelforge.llm.media import op10_media_columns
 from panelforge.llm.mixing import op4_mix_sources
 from panelforge.llm.quality import op7_quality
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_sentencepiece,
         op3_simhash_dedup,
         op4_mix_sources,
+        op5_html_extraction,
         op6_toxicity,
         op7_quality,
         op8_document_digest,
