@@ -10,6 +10,7 @@ from panelforge.llm.digest import op8_document_digest
 from panelforge.llm.html_extract import op5_html_extraction
 from panelforge.llm.media import op10_media_columns
 from panelforge.llm.mixing import op4_mix_sources
+from panelforge.llm.pii import op2_pii_surrogates
 from panelforge.llm.quality import op7_quality
 from panelforge.llm.sentencepiece_sampling import op1_sentencepiece
 from panelforge.llm.simhash import op3_simhash_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece,
+        op2_pii_surrogates,
         op3_simhash_dedup,
         op4_mix_sources,
         op5_html_extraction,
