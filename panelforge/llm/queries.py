@@ -14,6 +14,7 @@ from panelforge.llm.pii import op2_pii_surrogates
 from panelforge.llm.quality import op7_quality
 from panelforge.llm.sentencepiece_sampling import op1_sentencepiece
 from panelforge.llm.simhash import op3_simhash_dedup
+from panelforge.llm.substring_dedup import op9_suffix_dedup
 from panelforge.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_toxicity,
         op7_quality,
         op8_document_digest,
+        op9_suffix_dedup,
         op10_media_columns,
     )
 }
