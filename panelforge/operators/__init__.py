@@ -1 +1 @@
-
+"""Operators on panels, matrix series and scalar series."""

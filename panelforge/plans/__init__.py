@@ -1 +1 @@
-
+"""End-to-end analyses and the registered queries."""

@@ -1 +1 @@
-
+"""Where panels come from and where tables go."""

@@ -1 +1 @@
-
+"""Streaming extensions; the batch semantics stay the ones to match."""
