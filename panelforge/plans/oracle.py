@@ -44,7 +44,7 @@ def _product(i: int, j: int) -> str:
     return " + ".join(terms)
 
 
-RAW = """raw AS (SELECT l_shipdate AS ts, l_returnflag AS asset, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem
+RAW = """raw AS (SELECT l_shipdate AS ts, l_returnflag AS asset, round(sum(l_extendedprice), 2) / sum(l_quantity) AS price FROM lineitem
   WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY ALL),
 wide AS (SELECT ts, max(price) FILTER (asset = 'A') AS pa, max(price) FILTER (asset = 'N') AS pn, max(price) FILTER (asset = 'R') AS pr
   FROM raw GROUP BY ts HAVING count(*) = 3),
@@ -175,7 +175,7 @@ _FIVE = "('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
 _EVENTS = """ev AS (SELECT make_timestamp((epoch_us(ts) // 900000000) * 900000000) AS ts, event_type AS asset, avg(value) AS price FROM events WHERE value > 0 GROUP BY ALL)"""
 
 ORACLES: dict[str, str] = {
-    "price_panel": f"WITH {RAW} SELECT ts, asset, round(price, 10) + 0.0 AS price FROM raw WHERE ts IN (SELECT ts FROM wide)",
+    "price_panel": f"WITH {RAW} SELECT ts, asset, price FROM raw WHERE ts IN (SELECT ts FROM wide)",
     "log_returns": f"WITH {RAW} SELECT pos, ts, asset, {r('v', 'r')} FROM ret, LATERAL (VALUES ('A', r0), ('N', r1), ('R', r2)) AS x(asset, v)",
     "validate_panel": f"""WITH {RAW}, g AS (SELECT asset, epoch(ts)::BIGINT AS t, price, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY asset ORDER BY ts) AS gap FROM raw)
 SELECT asset, count(*) AS n_rows, min(t) AS first, max(t) AS last, CAST(count(*) FILTER (gap <> 86400) AS BIGINT) AS n_gaps, bool_and(price > 0) AS prices_ok FROM g GROUP BY asset""",

@@ -26,7 +26,6 @@ EFFECTS = [
     ("perfect_correction", "naive+oracle", "naive+zero"),
     ("perfect_indicator", "oracle+zero", "naive+zero"),
 ]
-EVENT_TYPES_BY = "asset"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,8 +36,7 @@ def rounded(rows: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = function(spark, sf_dir)
-        return made if function.__name__ == "price_panel" else rounded(made)
+        return rounded(function(spark, sf_dir))
 
     QUERIES[function.__name__] = run
     return function
@@ -55,11 +53,13 @@ def on_design(function: Callable[[Design], DataFrame]) -> Callable[[Design], Dat
 # --- panels --------------------------------------------------------------------------------------------------------
 
 
-@query
 def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices are of order a thousand and often exact binary fractions, so they are given to ten decimals."""
+    """Sums of money are exact to the cent, so prices agree to the last bit and need no rounding."""
     d = lineitem_design(spark, sf_dir)
-    return rounded(panel.by_asset(d.panel.wide, "price", d.panel.assets, "price"), 10)
+    return panel.by_asset(d.panel.wide, "price", d.panel.assets, "price")
+
+
+QUERIES["price_panel"] = price_panel
 
 
 @on_design

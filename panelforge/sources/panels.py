@@ -44,7 +44,7 @@ def bind(table: DataFrame, ts: Column, asset: Column, price: Column, assets: tup
 def lineitem_panel(spark: SparkSession, sf_dir: str) -> Panel:
     """Three assets: the average unit price by return flag and ship date."""
     table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_returnflag", "l_extendedprice", "l_quantity")
-    price = F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity"))
+    price = F.try_divide(F.round(F.sum("l_extendedprice"), 2), F.sum("l_quantity"))
     return bind(table, F.col("l_shipdate"), F.col("l_returnflag"), price, ("A", "N", "R"))
 
 
