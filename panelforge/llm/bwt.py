@@ -1,10 +1,12 @@
 """Merging Burrows-Wheeler transforms of string shards by interleave refinement.
 
 Each shard's suffixes (cyclic in their string, ended by an END byte that no UTF-8 text holds) are sorted to a fixed
-depth on their own. The merge never compares suffixes of different shards: it keeps, for the merged order, only which
-shard each slot belongs to, and refines it from depth k to k + 2 by a stable counting sort on the two bytes before each
-suffix. Slots whose block (equal prefix of k bytes) or preceding bytes differ fall into different blocks, which gives
-the common prefixes; at the final depth every block with two members is a repeated interval.
+depth on their own; what is kept of a shard is its transform: the two bytes before each suffix, and the step to the
+slot of the suffix two bytes earlier. The merge never compares suffixes of
+different shards: it interleaves the shards' slots and refines the interleave from depth k to k + 2 by a stable
+counting sort on the transforms. Neighbours whose block (equal prefix of k bytes) or bytes differ fall into different
+blocks, which gives the common prefixes. Settled slots, alone in their block, take no further part, and a slot starts
+only if its string reaches back far enough; at the final depth every block is a repeated interval.
 """
 
 from __future__ import annotations
@@ -49,9 +51,10 @@ def shard_order(octets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, dep
     return order
 
 
-def merged_blocks(octets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int, shards: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(places in octets in merged order, block number of each): blocks are sets of suffixes equal in depth bytes.
-    depth must be even. Strings are dealt to shards in runs."""
+def repeated_blocks(octets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int, shards: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(places in octets in merged order, block number of each) of all suffixes whose first depth bytes occur again:
+    blocks are sets of two or more suffixes equal in depth bytes within their strings. depth must be even. Strings are
+    dealt to shards in runs."""
     if depth % 2:
         raise ValueError("depth must be even")
     cuts = np.linspace(0, len(starts), min(shards, len(starts)) + 1).astype(int)
@@ -65,20 +68,19 @@ def merged_blocks(octets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, d
     one = octets[first[place] + (offset[place] - 1) % length[place]].astype(np.uint16)
     two = octets[first[place] + (offset[place] - 2) % length[place]].astype(np.uint16)
     before = two << 8 | one
-    sizes = [len(o) for o in orders]
-    shard = np.repeat(np.arange(len(orders), dtype=np.uint8), sizes)
-    slot = np.arange(len(place))
-    block = np.zeros(len(place), np.int32)
-    bases = np.cumsum(sizes) - sizes
+    slot_of = np.empty(len(place), np.int32)
+    slot_of[place] = np.arange(len(place), dtype=np.int32)
+    step = slot_of[first[place] + (offset[place] - 2) % length[place]]
+    slot = np.flatnonzero(offset[place] >= depth).astype(np.int32)
+    block = np.zeros(len(slot), np.int32)
     for _ in range(depth // 2):
+        if not len(slot):
+            break
         symbol = before[slot]
         order = np.argsort(symbol, kind="stable")
-        symbol, shard, block = symbol[order], shard[order], block[order]
-        fresh = np.empty(len(place), bool)
-        fresh[0] = False
-        np.logical_or(symbol[1:] != symbol[:-1], block[1:] != block[:-1], out=fresh[1:])
-        block = np.cumsum(fresh, dtype=np.int32)
-        for s, base in enumerate(bases):  # a shard's slots stand in the shard's own order
-            mine = np.flatnonzero(shard == s)
-            slot[mine] = np.arange(base, base + len(mine))
+        slot, symbol, block = step[slot[order]], symbol[order], block[order]
+        fresh = np.ones(len(slot) + 1, bool)
+        fresh[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        shared = ~(fresh[:-1] & fresh[1:])
+        slot, block = slot[shared], np.cumsum(fresh[:-1], dtype=np.int32)[shared]
     return place[slot], block

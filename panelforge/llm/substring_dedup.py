@@ -35,10 +35,12 @@ from panelforge.llm.common import slices, stored, table, utf8
 
 HOT_CONTEXTS = 4000
 LOCAL_CONTEXTS = 4
-MERGE_BYTES = 2_000_000
+MERGE_BYTES = 500_000
+BATCH_BYTES = 4_000_000
 _LAST_ID = (1 << 63) - 1
 
-_CONTEXT = "anchor long, context long, doc long, tie int, low int, high int, left int, later boolean"
+#: place packs what is told of a context in its document: low, high - low - WINDOW, left, later (see _pack).
+_CONTEXT = "anchor long, context long, doc long, tie int, place long"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -65,10 +67,10 @@ def hot_anchors(keyed: DataFrame, most: int = HOT_CONTEXTS) -> list[int]:
     """Anchors that gather more than so many contexts, counted where a batch holds several different ones."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=BATCH_BYTES):
             *_, anchor, context = _batch_contexts(batch)
-            pairs = np.unique(np.stack([anchor, context], axis=1), axis=0)[:, 0] if len(anchor) else anchor
-            found, count = np.unique(pairs, return_counts=True)
+            _, first = np.unique(mixed(anchor) ^ context, return_index=True)
+            found, count = np.unique(anchor[first], return_counts=True)
             many = count >= LOCAL_CONTEXTS
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(count[many])], ["anchor", "n"])
 
@@ -82,7 +84,7 @@ def contexts(keyed: DataFrame, hot: list[int]) -> DataFrame:
     shared = keyed.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=BATCH_BYTES):
             octets, owner, starts, low, high, place, anchor, context = _batch_contexts(batch)
             if not len(low):
                 continue
@@ -101,17 +103,27 @@ def contexts(keyed: DataFrame, hot: list[int]) -> DataFrame:
             left = (place - low).astype(np.int32)
             low, high = (low - starts[owner]).astype(np.int32), (high - starts[owner]).astype(np.int32)
             order = np.lexsort((low, tie, doc, context, anchor))
-            anchor, context, doc, tie, low, high, left = (x[order] for x in (anchor, context, doc, tie, low, high, left))
-            later = _later(anchor, context, doc, tie, low)
+            later = np.empty(len(order), bool)
+            later[order] = _later(*(x[order] for x in (anchor, context, doc, tie, low)))
             anchor = np.where(later, mixed(anchor + low.astype(np.uint64) + doc.astype(np.uint64)), anchor)  # these meet no one
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(low), pa.array(high), pa.array(left), pa.array(later)],
-                ["anchor", "context", "doc", "tie", "low", "high", "left", "later"],
+                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(_pack(low, high, left, later))],
+                ["anchor", "context", "doc", "tie", "place"],
             )
 
     return keyed.mapInArrow(rows, _CONTEXT)
 
 
+def _pack(low: np.ndarray, high: np.ndarray, left: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """One long that sorts by low. A context is at most WINDOW + REACH long."""
+    return low.astype(np.int64) << 17 | (high - low - WINDOW).astype(np.int64) << 9 | left.astype(np.int64) << 1 | later
+
+
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    low = (place >> 17).astype(np.int32)
+    return low, low + WINDOW + (place >> 9 & 255).astype(np.int32), (place >> 1 & 255).astype(np.int32), (place & 1).astype(bool)
+
+
 def _later(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, tie: np.ndarray, low: np.ndarray) -> np.ndarray:
     """For sorted contexts, those that follow a different place with the same content."""
     fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
@@ -122,11 +134,12 @@ def _later(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, tie: np.nda
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From contexts sorted by anchor, context and place: spans of whole repeats (wanted false) and the earliest
     contexts of anchors that have several (wanted true)."""
-    names = ["anchor", "context", "doc", "tie", "low", "high", "left", "later"]
+    names = ["anchor", "context", "doc", "tie", "place"]
     rest: list[np.ndarray] | None = None
 
     def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, context, doc, tie, low, high, left, later = columns
+        anchor, context, doc, tie, place = columns
+        low, high, left, later = _unpack(place)
         repeat = later | _later(anchor, context, doc, tie, low)
         fresh = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new = np.concatenate([[True], fresh[1:] | (context[1:] != context[:-1])])
@@ -179,11 +192,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first byte, end) of the runs of windows that start earlier in another place, by the merged transforms."""
     octets, starts, lengths = bwt.collection(strings)
-    place, block = bwt.merged_blocks(octets, starts, lengths, WINDOW)
+    place, block = bwt.repeated_blocks(octets, starts, lengths, WINDOW)
     owner = np.searchsorted(starts, place, side="right") - 1
     offset = place - starts[owner]
-    whole = offset + WINDOW < lengths[owner]
-    place, block, owner, offset = place[whole], block[whole], owner[whole], offset[whole]
     _, text = np.unique(np.stack([doc, tie.astype(np.int64)], axis=1), axis=0, return_inverse=True)
     key = text.reshape(-1)[owner].astype(np.int64) << 33 | (low[owner].astype(np.int64) + offset)
     head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
@@ -251,7 +262,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(doc, tie, low, high): spans whose union is what must go."""
     cut = contexts(keyed, hot_anchors(keyed))
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "low")
+    dealt = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place")
     met = stored(dealt.mapInArrow(_meet, "anchor long, doc long, tie int, low int, high int, left int, wanted boolean"))
     whole = met.where(~F.col("wanted")).select("doc", "tie", "low", "high")
     wanted = met.where("wanted").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "low", "high", "left")).alias("wanted"))
