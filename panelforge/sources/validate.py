@@ -16,7 +16,7 @@ def checksums(spark: SparkSession, directory: str) -> DataFrame:
     SHA-256."""
     files = source.archives(spark, directory).select("name", F.sha2("content", 256).alias("actual"))
     sidecars = spark.read.format("binaryFile").option("pathGlobFilter", "*.CHECKSUM").option("recursiveFileLookup", "true").load(directory)
-    parts = F.split(F.trim(F.decode("content", "UTF-8")), r"\s+")
+    parts = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\s+$", ""), r"\s+")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.CHECKSUM$", "")
     said = sidecars.select(name.alias("name"), parts.alias("parts"))
     ok = (F.size("parts") == 2) & (F.regexp_replace(F.get("parts", F.lit(1)), r"^\*", "") == F.col("name")) & (F.lower(F.get("parts", F.lit(0))) == F.col("actual"))
@@ -51,7 +51,7 @@ def archive_report(spark: SparkSession, directory: str, config: ExperimentConfig
     shape = contiguity(rows, ["symbol", "month"], "line", "open_time", MINUTE_MS)
     sums = rows.groupBy("symbol", "month").agg(F.max("n_columns").alias("n_columns"), F.bool_and(fine).alias("prices"))
     table = shape.join(sums, ["symbol", "month"])
-    last = start + (days * 1440 - 1) * MINUTE_MS
+    last = start + (days * 1440 - 1).cast("long") * MINUTE_MS
     checks = {
         "columns": F.col("n_columns") == 12, "rows": F.col("n_rows") == days * 1440, "first_timestamp": F.col("first") == start,
         "last_timestamp": F.col("last") == last, "continuity": F.col("n_gaps") == 0, "prices": F.col("prices"),
