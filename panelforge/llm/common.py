@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,7 +59,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: int = 8_000_000):
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: int = 4_000_000):
     """The batches again, cut so that their texts stay near most_bytes; a single longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -75,3 +76,25 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: in
                 yield batch.slice(start, i - start)
                 start = i
         yield batch.slice(start)
+
+
+def release() -> None:
+    """Gives memory that is free inside this Python worker back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function on record batches, with its worker's memory released on the way and at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, made in enumerate(rows(batches)):
+            yield made
+            if n % 4 == 3:
+                release()
+        release()
+
+    return run

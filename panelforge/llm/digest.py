@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import slices, table
+from panelforge.llm.common import slices, table, tidy
 
 BUCKETS = 256
 OFFSETS = (0, 4, 8)
@@ -116,10 +116,10 @@ def digest_documents(documents: DataFrame) -> DataFrame:
             if len(guests):
                 yield _tagged(batch.take(pa.array(guests)), np.array([above[int(k)] for k in known[guests]]), True)
 
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, place int, guest boolean")
+    dealt = rows.mapInArrow(tidy(deal), "doc_id long, text string, place int, guest boolean")
     dealt = dealt.withColumn("tie", F.xxhash64("text")).repartition(max(parts, 1), "place")
     ordered = dealt.sortWithinPartitions("place", "guest", F.col("doc_id").desc_nulls_last(), "tie")
-    return ordered.mapInArrow(_walk, SCHEMA)
+    return ordered.mapInArrow(tidy(_walk), SCHEMA)
 
 
 def _tagged(batch: pa.RecordBatch, place: np.ndarray, guest: bool) -> pa.RecordBatch:

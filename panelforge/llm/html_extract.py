@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm.common import only, slices, table
+from panelforge.llm.common import only, slices, table, tidy
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long"
 
@@ -290,7 +290,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars", "n_blocks"],
             )
 
-    return only(pages, "page_id", "url", "html").mapInArrow(rows, SCHEMA)
+    return only(pages, "page_id", "url", "html").mapInArrow(tidy(rows), SCHEMA)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

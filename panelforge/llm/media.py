@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm.common import only, slices, table, utf8
+from panelforge.llm.common import only, slices, table, tidy, utf8
 
 UNIT = 64
 FRAME_ROWS = 1024
@@ -314,7 +314,7 @@ def decode_media(media: DataFrame, key: str = "media_id", column: str = "media")
             columns = list(zip(*found, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return only(media, key, column).mapInArrow(rows, schema)
+    return only(media, key, column).mapInArrow(tidy(rows), schema)
 
 
 def text_media(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,7 +340,7 @@ def text_media(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
             columns = [batch.column(doc_id).cast(pa.int64())] + [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return only(documents, doc_id, text).withColumnRenamed(doc_id, "doc_id").mapInArrow(rows, SCHEMA)
+    return only(documents, doc_id, text).withColumnRenamed(doc_id, "doc_id").mapInArrow(tidy(rows), SCHEMA)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

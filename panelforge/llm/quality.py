@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import crf
-from panelforge.llm.common import held_out, only, slices, table, utf8
+from panelforge.llm.common import held_out, only, slices, table, tidy, utf8
 from panelforge.llm.labelled import training_rows
 
 ROUNDS = 150
@@ -145,7 +145,7 @@ def score_documents(documents: DataFrame, model: QualityModel) -> DataFrame:
                 ["doc_id", "score", "n_lines", "bad_share", "lines"],
             )
 
-    return only(documents, "doc_id", "text").mapInArrow(rows, SCHEMA)
+    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), SCHEMA)
 
 
 def good_documents(documents: DataFrame, model: QualityModel, least: float = THRESHOLD) -> DataFrame:
@@ -157,7 +157,7 @@ def good_documents(documents: DataFrame, model: QualityModel, least: float = THR
             score = _score(utf8(batch.column("text")), shared.value)[0]
             yield batch.filter(pa.array(score >= least))
 
-    return documents.mapInArrow(rows, documents.schema)
+    return documents.mapInArrow(tidy(rows), documents.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

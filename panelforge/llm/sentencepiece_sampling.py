@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import only, slices, table
+from panelforge.llm.common import only, slices, table, tidy
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 0.7
 SEED = 20240311
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 
 _MARK = 0x2581
 _LITERAL_MARK = 0x110001
@@ -329,7 +329,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL_PATH, theta: float
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
-        for batch in slices(batches, most_bytes=4_000_000):
+        for batch in slices(batches, most_bytes=2_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = encode(texts, batch.column("doc_id").to_pylist(), pieces, seed)
             same = [decode(ids, pieces) == t.encode() for ids, t in zip(found, texts, strict=True)]
@@ -340,7 +340,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL_PATH, theta: float
                 ["doc_id", "n_pieces", "pieces", "lossless"],
             )
 
-    return only(documents, "doc_id", "text").mapInArrow(rows, SCHEMA)
+    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), SCHEMA)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL_PATH) -> DataFrame:
@@ -352,7 +352,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL_PATH) -> DataFrame:
             texts = [decode(np.array(p or [], np.int32), shared.value).decode() for p in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return only(encoded, "doc_id", "pieces").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(rows, "doc_id long, text string")
+    return only(encoded, "doc_id", "pieces").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(rows), "doc_id long, text string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

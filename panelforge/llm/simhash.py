@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelforge.llm.common import only, slices, stored, table, utf8
+from panelforge.llm.common import only, slices, stored, table, tidy, utf8
 from panelforge.llm.components import components
 
 SHINGLE = 3
@@ -78,7 +78,7 @@ def with_fingerprints(documents: DataFrame, text: str = "text", name: str = "fp"
             prints = pa.array([_signed(fingerprint(t)) for t in utf8(batch.column(text))], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], prints], [*kept, name])
 
-    return documents.mapInArrow(rows, schema)
+    return documents.mapInArrow(tidy(rows), schema)
 
 
 # --- the index inside one group ------------------------------------------------------------------------------------
@@ -182,7 +182,7 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, most: int = G
             hot = None if crowded.isEmpty() else crowded
         here = dealt if hot is None else dealt.join(hot, ["mask", "part"], "left_anti")
         groups = here.groupBy("mask", "part").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        edges = groups.select("fps").mapInArrow(_group_links(distance), "a long, b long")
+        edges = groups.select("fps").mapInArrow(tidy(_group_links(distance)), "a long, b long")
         found = edges if found is None else found.unionByName(edges)
         if hot is None:
             break

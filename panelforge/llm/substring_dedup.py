@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import bwt
 from panelforge.llm.anchors import K, WINDOW, Rolling, choose, mixed
-from panelforge.llm.common import slices, stored, table, utf8
+from panelforge.llm.common import slices, stored, table, tidy, utf8
 
 HOT_CONTEXTS = 4000
 LOCAL_CONTEXTS = 4
@@ -74,7 +74,7 @@ def hot_anchors(keyed: DataFrame, most: int = HOT_CONTEXTS) -> list[int]:
             many = count >= LOCAL_CONTEXTS
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(count[many])], ["anchor", "n"])
 
-    counted = keyed.select("text").mapInArrow(rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = keyed.select("text").mapInArrow(tidy(rows), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     # at most (number of contexts / most) values
     return [r["anchor"] for r in counted.where(F.col("n") > most).select("anchor").toLocalIterator()]
 
@@ -111,7 +111,7 @@ def contexts(keyed: DataFrame, hot: list[int]) -> DataFrame:
                 ["anchor", "context", "doc", "tie", "place"],
             )
 
-    return keyed.mapInArrow(rows, _CONTEXT)
+    return keyed.mapInArrow(tidy(rows), _CONTEXT)
 
 
 def _pack(low: np.ndarray, high: np.ndarray, left: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
             packed = [squeeze.compress(t) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array(packed, pa.binary())], ["doc", "tie", "packed"])
 
-    return keyed.mapInArrow(rows, "doc long, tie int, packed binary")
+    return keyed.mapInArrow(tidy(rows), "doc long, tie int, packed binary")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +263,11 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     cut = contexts(keyed, hot_anchors(keyed))
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place")
-    met = stored(dealt.mapInArrow(_meet, "anchor long, doc long, tie int, low int, high int, left int, wanted boolean"))
+    met = stored(dealt.mapInArrow(tidy(_meet), "anchor long, doc long, tie int, low int, high int, left int, wanted boolean"))
     whole = met.where(~F.col("wanted")).select("doc", "tie", "low", "high")
     wanted = met.where("wanted").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "low", "high", "left")).alias("wanted"))
-    fetched = _packed(keyed).join(wanted, ["doc", "tie"]).mapInArrow(_fetch, "anchor long, doc long, tie int, low int, left int, octets binary")
-    merged = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_merge, "doc long, tie int, low int, high int")
+    fetched = _packed(keyed).join(wanted, ["doc", "tie"]).mapInArrow(tidy(_fetch), "anchor long, doc long, tie int, low int, left int, octets binary")
+    merged = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_merge), "doc long, tie int, low int, high int")
     return whole.unionByName(merged)
 
 
@@ -311,7 +311,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     spans = repeated_spans(keyed).groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     rows = _packed(keyed).join(spans, ["doc", "tie"], "left")
     schema = "doc long, n_bytes long, n_removed long, kept binary, spans array<struct<low:int,high:int>>"
-    return rows.mapInArrow(_cut, schema).select(
+    return rows.mapInArrow(tidy(_cut), schema).select(
         F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "kept", "spans"
     )
 

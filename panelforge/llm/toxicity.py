@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import crf
-from panelforge.llm.common import held_out, only, slices, table
+from panelforge.llm.common import held_out, only, slices, table, tidy
 from panelforge.llm.labelled import training_rows
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -190,7 +190,7 @@ def score_documents(documents: DataFrame, model: ToxicModel) -> DataFrame:
                 ["doc_id", "score", "n_words", "spans"],
             )
 
-    return only(documents, "doc_id", "text").mapInArrow(rows, SCHEMA)
+    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), SCHEMA)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
