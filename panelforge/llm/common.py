@@ -54,6 +54,17 @@ def only(frame: DataFrame, *names: str) -> DataFrame:
     return frame.select(*[F.col(f"`{n}`") for n in names])
 
 
+def nested(frame: DataFrame, *names: str) -> DataFrame:
+    """The named columns and, as one struct __row, all columns: whatever names an operator adds beside them cannot
+    clash with the frame's own."""
+    return frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("__row"), *[F.col(f"`{n}`") for n in names])
+
+
+def restored(frame: DataFrame, columns: list[str], **changed: str) -> DataFrame:
+    """The frame's own columns back from __row, some of them replaced by expressions."""
+    return frame.select(*[F.col(changed[c]).alias(c) if c in changed else F.col(f"__row.`{c}`") for c in columns])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WORD_PATTERN, table
+from panelforge.llm.common import WORD_PATTERN, nested, restored, table
 
 WEIGHT_CYCLE = (1.0, 2.0, 3.0)
 MAX_COPIES = 3
@@ -75,19 +75,20 @@ def systematic_copies(rows: DataFrame, seed: int = SEED, buckets: int = BUCKETS,
         "__key", "__cell", "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
     )
     inside = Window.partitionBy("__key", "__cell").orderBy("__size", F.col("doc_id").asc_nulls_last(), "__tie")
-    rows = rows.withColumn("__row", F.row_number().over(inside)).join(places, ["__key", "__cell"], "left")
+    rows = rows.withColumn("__rank", F.row_number().over(inside)).join(places, ["__key", "__cell"], "left")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.col("__key"), F.lit(seed)), F.lit(_OFFSET_STEPS)) / F.lit(float(_OFFSET_STEPS))
-    rank = F.col("__before") + F.col("__row")
+    rank = F.col("__before") + F.col("__rank")
     copies = F.floor(rate * rank + offset) - F.floor(rate * (rank - 1) + offset)
     return rows.withColumn("__copies", copies.cast("long"))
 
 
 def mix_documents(documents: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """The mixed corpus: every document as many times as it is taken, with its own columns."""
-    taken = systematic_copies(sized(documents), seed, buckets).where(F.col("__copies") > 0)
+    rows = sized(nested(documents, "doc_id", "source", "text")).drop("text")
+    taken = systematic_copies(rows, seed, buckets).where(F.col("__copies") > 0)
     taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in documents.columns])
+    return restored(taken, documents.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import only, stored, table
+from panelforge.llm.common import nested, only, restored, stored, table
 
 KEY = "panelforge surrogate key"
 MOST_ATTEMPTS = 40
@@ -44,7 +44,7 @@ SYLLABLES = {
 
 _EDGE = r"(?<![\p{L}\p{N}_.+%@-])"
 _CAPITALISED = r"\p{Lu}(?:\p{Ll}+|\p{Lu}+)"
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}\.[A-Za-z]{2,24}"
 SECRET = r"[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
 IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -301,10 +301,10 @@ def attempts(entities: DataFrame, key: str = KEY, most: int = MOST_ATTEMPTS) ->
     raise RuntimeError("some entities found no free surrogate; the format has too few values")
 
 
-def with_surrogates(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with every entity of the text replaced, and __entities, the number replaced."""
+def _replaced(documents: DataFrame, key: str) -> DataFrame:
+    """Rows (__row, text, __found, __text): the new text beside all old columns."""
     retried = attempts(_entities(detected(only(documents, "text"))), key)
-    rows = detected(documents)
+    rows = detected(nested(documents, "text"))
     if retried is None:
         rows = rows.withColumn("__attempts", F.lit(None).cast("map<string,int>"))
     else:
@@ -315,7 +315,6 @@ def with_surrogates(documents: DataFrame, key: str = KEY) -> DataFrame:
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "attempt"))).alias("__attempts")
         )
         rows = rows.withColumn("__hash", F.xxhash64("text")).join(lookup, "__hash", "left").drop("__hash")
-    count = F.coalesce(F.size("__found"), F.lit(0))
 
     def replacement(e: Column) -> Column:
         attempt = F.coalesce(F.col("__attempts")[F.concat_ws("\u0001", e["kind"], e["canon"])], F.lit(0))
@@ -323,15 +322,20 @@ def with_surrogates(documents: DataFrame, key: str = KEY) -> DataFrame:
 
     between = F.split(F.col("text"), PATTERN, -1)
     woven = F.zip_with(between, F.transform("__found", replacement), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    text = F.when(F.size("__found") > 0, F.array_join(woven, "")).otherwise(F.col("text"))
-    changes = {"text": text, "__entities": count}
-    if "n_chars" in documents.columns:
-        changes["n_chars"] = F.when(F.size("__found") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns(changes).drop("__found", "__attempts")
+    return rows.withColumn("__text", F.when(F.size("__found") > 0, F.array_join(woven, "")).otherwise(F.col("text")))
 
 
-def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "text", F.col("__entities").cast("long").alias("n_entities"))
+def with_surrogates(documents: DataFrame, key: str = KEY) -> DataFrame:
+    """The documents with every entity of the text replaced."""
+    rows = _replaced(documents, key)
+    changed = {"text": "__text"}
+    if "n_chars" in documents.columns:
+        length = F.when(F.size("__found") > 0, F.length("__text").cast("long")).otherwise(F.col("__row.n_chars"))
+        rows = rows.withColumn("__n_chars", length)
+        changed["n_chars"] = "__n_chars"
+    return restored(rows, documents.columns, **changed)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return rows.select("__row.doc_id", F.col("__text").alias("text"), F.coalesce(F.size("__found"), F.lit(0)).cast("long").alias("n_entities"))

@@ -226,7 +226,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each class: the one that names it, once. Documents with a null id are kept as they are."""
     members = near_duplicate_classes(documents)
     chosen = members.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    named = documents.join(chosen, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    named = documents.join(chosen, documents["doc_id"] == chosen["__keep"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(documents.where(F.col("doc_id").isNull()))
 
 

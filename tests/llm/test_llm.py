@@ -1,0 +1,577 @@
+"""Operators against brute force, exact round trips and edge cases: nulls, empty and long texts, ties, repeated rows,
+empty tables, extra columns with clashing names."""
+
+import hashlib
+import io
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from panelforge.llm import bwt, components, crf, digest, html_extract, media, mixing, pii, quality, sentencepiece_sampling, simhash, substring_dedup, toxicity
+from panelforge.llm.anchors import WINDOW, choose
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+EXTRA = ", __row string, __size string, __found string, fp string, tie string, score string, component_id string"
+
+
+def documents(spark, texts, sources=None, ids=None, extra=False):
+    rows = []
+    for i, t in enumerate(texts):
+        row = (i if ids is None else ids[i], t, "en", sources[i] if sources else "s", None if t is None else len(t))
+        rows.append(row + (("x",) * 7 if extra else ()))
+    return spark.createDataFrame(rows, DOCS + (EXTRA if extra else ""))
+
+
+WORDS = "the of and to in that was for with as his they at be this from have or by one had not but what all were when we there can an".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "ing", "er", "", "."]) for _ in range(n))
+
+
+def odd_texts():
+    rng = np.random.default_rng(5)
+    return [None, "", " \n\t ", "a", "One two", prose(rng, 30), prose(rng, 30) + " x", "x" * 5000, "▁ 日本 🎉\r\n\x00 <0x41>", prose(rng, 4000), "a", "a"]
+
+
+# --- SimHash -------------------------------------------------------------------------------------------------------
+
+
+def brute_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    parts = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << k for k in range(64) if sum(h >> k & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_classes(prints, ids, distance=2):
+    codes, label = np.array(prints, np.uint64), np.array(ids)
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= distance
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(label))])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+@pytest.mark.parametrize("text", ["", "A", "A b", "A b C", "É Ü a\x0bB\xa0c d", "x y " * 50])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode()) == brute_print(text)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(2, 120))
+def test_index_finds_every_link(seed, n):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 4, np.uint64)
+    codes = np.unique(base[rng.integers(0, 4, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 12, n).astype(np.uint64)))
+    pairs = {tuple(sorted((int(a), int(b)))) for q, m in simhash.index_links(codes) for a, b in zip(q, m, strict=True)}
+    want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= 2}
+    assert pairs == want
+
+
+@pytest.mark.parametrize("most", [2048, 3])
+def test_links_with_hot_groups(spark, most):
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(0, 2**62))
+    codes = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 30, (150, 3))} | {int(x) for x in rng.integers(0, 2**62, 50)})
+    frame = spark.createDataFrame([(c,) for c in codes], "fp long")
+    roots = {r["node"]: r["root"] for r in components.components(simhash.link_fingerprints(frame, most=most)).collect()}
+    want = brute_classes(codes, codes)
+    assert [roots.get(c, c) for c in codes] == want
+
+
+def test_near_duplicates_edge_cases(spark):
+    texts = odd_texts()
+    ids = [*range(10), 9, None]
+    got = simhash.near_duplicate_classes(documents(spark, texts, ids=ids)).collect()
+    prints = [brute_print(t) for t in texts]
+    label = brute_classes(prints, [i if i is not None else 10**9 for i in ids])
+    want = sorted((str(i), p, c) for i, p, c in zip(ids, prints, label, strict=True))
+    assert sorted((str(r["doc_id"]), r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
+    kept = simhash.deduplicated(documents(spark, texts, ids=ids, extra=True))
+    assert len(kept.columns) == 12
+    rows = kept.collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted({c for c in label if c in ids}) and sum(r["doc_id"] is None for r in rows) == 1
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["root"] for r in components.components(edges).where("node > 0").collect()} == {0}
+    assert components.components(edges.where("a < 0")).count() == 0
+
+
+# --- mixing --------------------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes, weights):
+    """Resharing in rounds."""
+    names, target, total = list(sizes), {}, float(sum(sizes.values()))
+    free = set(names)
+    while free:
+        left = total - sum(target.values())
+        share = {n: left * weights[n] / sum(weights[m] for m in free) for n in free}
+        over = [n for n in free if share[n] > 3 * sizes[n]]
+        if not over:
+            return target | share
+        for n in over:
+            target[n] = 3.0 * sizes[n]
+            free.discard(n)
+    return target
+
+
+def test_targets(spark):
+    sizes = {"a": 10, "b": 1000, "c": 4, "d": 0, "e": 300, "f": 90, None: 50}
+    weights = {n: [1, 2, 3][k % 3] for k, n in enumerate(["a", "b", "c", "d", "e", "f", None])}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    want = brute_targets(sizes, weights)
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], abs=1e-9) for n in want)
+
+
+def test_systematic_sampling(spark):
+    rng = np.random.default_rng(0)
+    texts = [prose(rng, int(rng.integers(1, 60))) for _ in range(900)] + odd_texts()
+    sources = [["a", "b", "c", None][int(rng.integers(0, 4)) if k % 3 else 0] for k in range(len(texts))]
+    docs = documents(spark, texts, sources)
+    rows = mixing.systematic_copies(mixing.sized(docs)).collect()
+    for r in rows:
+        assert r["__size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) and 0 <= r["__copies"] <= 3
+    for s in ("a", "b", "c", None):
+        own = [r for r in rows if r["source"] == s]
+        taken, target = sum(r["__copies"] * r["__size"] for r in own), own[0]["__target"]
+        assert abs(taken - target) < max(0.1 * target, 2.0 * max(r["__size"] for r in own))
+        rate, n = target / own[0]["__source_size"], len(own)
+        assert abs(sum(r["__copies"] for r in own) - rate * n) <= 1  # one per boundary crossed
+    again = mixing.systematic_copies(mixing.sized(docs.repartition(7))).collect()
+    key = lambda r: (r["doc_id"], r["__copies"])
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    mixed = mixing.mix_documents(documents(spark, texts, sources, extra=True))
+    assert mixed.count() == sum(r["__copies"] for r in rows) and len(mixed.columns) == 12
+
+
+# --- PII -----------------------------------------------------------------------------------------------------------
+
+PERSONAL = "Call +1 (213) 555-5069 or +1-213-555-5069; a.b@mail7.example.com, A.B@MAIL7.EXAMPLE.COM, 10.0.0.1, 8.8.4.4, 4111 1111 1111 1111, 123-45-6789."
+
+
+def test_surrogates_keep_type_and_coreference(spark):
+    texts = [PERSONAL, "Mr. John Smith met Frau Jennifer Müller and Jennifer SMITH. Г-н Иванов.", "4111-1111-1111-1111 and a.b@mail7.example.com", None, "", "Version 3.1 of CC BY-NC 4.0, 2024-01-02"]
+    docs = documents(spark, texts, extra=True)
+    out = {r["doc_id"]: r for r in pii.with_surrogates(docs).collect()}
+    one, two, three = (out[k]["text"] for k in (0, 1, 2))
+    phones = re.findall(r"\+1[ -]\(?\d{3}\)?[ -]\d{3}-\d{4}", one)
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1 and "2135555069" not in re.sub(r"\D", "", one)
+    mails = re.findall(r"\S+@[A-Za-z0-9.]+", one)
+    assert mails[0].rstrip(",") == mails[1].rstrip(",").lower() and mails[1].upper() == mails[1] and mails[0].rstrip(",") in three
+    private, public = re.findall(r"\d+(?:\.\d+){3}", one)
+    assert private.startswith("10.") and private != "10.0.0.1" and not public.startswith("8.8.")
+    card = re.search(r"(\d{4}) (\d{4}) (\d{4}) (\d{4})", one)
+    assert card[0][0] == "4" and "-".join(card.groups()) in three
+    digits = [int(c) for c in card[0].replace(" ", "")][::-1]
+    assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    surnames = re.match(r"Mr\. (\w+) (\w+) met Frau (\w+) (\w+) and (\w+) (\w+)\. Г-н (\w+)\.", two).groups()
+    assert surnames[1].upper() == surnames[5] and surnames[2] == surnames[4] and surnames[0] in pii.GIVEN["latin", "m"] and surnames[2] in pii.GIVEN["latin", "f"]
+    assert re.fullmatch("[А-я]+", surnames[6]) and not {"Smith", "Müller", "John"} & set(surnames)
+    assert out[3]["text"] is None and out[4]["text"] == "" and out[5]["text"] == texts[5]
+    assert out[0]["n_chars"] == len(one) and len(out[0]) == 12
+    assert pii.with_surrogates(docs.where("doc_id > 99")).count() == 0
+
+
+def test_collisions_are_resolved(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_stream", lambda key, *parts: F.sha2(F.concat_ws("|", F.lit(key), *[F.substring(p, -1, 1) for p in parts]), 512))
+    ssns = [f"{i:03d}-{i % 90 + 10}-{1000 + i:04d}" for i in range(60)]
+    docs = documents(spark, [f"id {s} and {ssns[0]}" for s in ssns])
+    out = [r["text"] for r in pii.with_surrogates(docs).orderBy("doc_id").collect()]
+    made = [re.findall(r"\d{3}-\d{2}-\d{4}", t) for t in out]
+    assert len({m[0] for m in made}) == 60 and len({m[1] for m in made}) == 1 and not {m[0] for m in made} & set(ssns)
+
+
+# --- SentencePiece -------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return sentencepiece_sampling.Pieces.load(sentencepiece_sampling.MODEL_PATH)
+
+
+def test_round_trip(spark, pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_sampling.MODEL_PATH)
+    docs = documents(spark, odd_texts(), ids=[*range(10), 9, None], extra=True)
+    rows = sentencepiece_sampling.encode_documents(docs).collect()
+    assert all(r["lossless"] for r in rows) and len(rows) == 12
+    assert [r["pieces"] for r in rows if r["doc_id"] == 9][1] == [r["pieces"] for r in sentencepiece_sampling.encode_documents(docs.repartition(3)).where("doc_id = 9 and n_pieces < 9").collect()][0]
+    back = {(r["doc_id"], r["text"]) for r in sentencepiece_sampling.decode_documents(spark.createDataFrame(rows)).collect()}
+    assert back == {(i, t or "") for i, t in zip([*range(10), 9, None], odd_texts(), strict=True)}
+    assert all(model.decode(r["pieces"]) == t for r, t in zip(sorted(rows, key=lambda r: r["doc_id"] if r["doc_id"] is not None else 99)[3:9], odd_texts()[3:9], strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=80), st.integers(1, 12))
+def test_any_text_and_any_chunk(pieces, text, chunk):
+    text = text.encode("utf-8", "ignore").decode()
+    whole = sentencepiece_sampling.encode([text], [7], pieces)[0]
+    assert sentencepiece_sampling.decode(whole, pieces) == text.encode()
+    assert np.array_equal(whole, sentencepiece_sampling.encode([text], [7], pieces, chunk=chunk)[0])
+
+
+def test_draws_follow_the_posterior(pieces):
+    ids = {p: i for i, p in enumerate(pieces.text) if p}
+
+    def paths(rest):
+        if not rest:
+            yield (), 0.0
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in ids:
+                for tail, weight in paths(rest[k:]):
+                    yield (ids[rest[:k]], *tail), weight + pieces.weights[ids[rest[:k]]]
+
+    n = 20_000
+    seen = {}
+    for e in sentencepiece_sampling.encode(["there"] * n, list(range(n)), pieces):
+        seen[tuple(e.tolist())] = seen.get(tuple(e.tolist()), 0) + 1
+    known = dict(paths("▁there"))
+    total = sum(np.exp(w) for w in known.values())
+    assert set(seen) <= set(known) and max(abs(seen.get(s, 0) / n - np.exp(w) / total) for s, w in known.items()) < 0.01
+
+
+# --- HTML ----------------------------------------------------------------------------------------------------------
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head>
+<body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
+<div id="cookie-notice"><p>We use cookies, really, a lot, of them.</p></div>
+<main><article><h1>Head&amp;line</h1><p>First, with&nbsp;commas,   and <b>bold<br>text.<p>Second <a href=x>link</a> one, &#233;&copy;.
+<div class="ad">Buy, now, now</div><ul><li>item one<li>item two</ul><table><tr><td>cell a<td>cell b</table><form><p>Sign, up</p></form>
+<div class=comments><p>First!, nice, post, indeed, thanks, a lot.</p></div><footer>by me</footer></article></main>
+<aside><p>Side, bar, text, with, many, commas, inside, it.</p></aside><footer>foot</footer>"""
+
+
+def test_page():
+    assert html_extract.main_blocks(PAGE) == ["Head&line", "First, with commas, and bold text.", "Second link one, é©.", "item one", "item two", "cell a", "cell b"]
+
+
+def test_page_without_article():
+    page = "<div id=top-menu><a href=1>a</a></div><div class=wrap><div class=body><p>" + "Some words, here, to count. " * 5 + "</p><p>Short.</p></div></div><div class=side-bar><a href=2>other, things</a></div>"
+    assert html_extract.main_blocks(page) == [("Some words, here, to count. " * 5).strip(), "Short."]
+
+
+@pytest.mark.parametrize("page", ["", None, "<div", "<p></p>", "<!-- x", "<script>never closed <p>text</p>"])
+def test_empty_pages(page):
+    assert html_extract.main_text(page) == ""
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="<>/ap div=\"'&;-!table", max_size=120))
+def test_any_markup_is_read(page):
+    html_extract.main_blocks(page)
+
+
+def test_pages_table(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
+    rows = html_extract.extract_pages(pages).orderBy("page_id").collect()
+    assert rows[0] == rows[1] and rows[0]["n_chars"] == len(rows[0]["text"]) and (rows[2]["text"], rows[2]["n_chars"]) == ("", 0)
+    assert html_extract.extract_pages(pages.where("page_id > 5")).count() == 0
+
+
+# --- random fields -------------------------------------------------------------------------------------------------
+
+
+def brute_marginals(scores, move):
+    n = len(scores)
+    weight = np.zeros(n)
+    total = 0.0
+    for y in range(1 << n):
+        bits = [y >> t & 1 for t in range(n)]
+        w = np.exp(sum(s for s, b in zip(scores, bits, strict=True) if b) + move[0, bits[0]] + sum(move[a, b] for a, b in zip(bits, bits[1:], strict=False)))
+        total += w
+        weight += w * np.array(bits)
+    return weight / total
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**31))
+def test_marginals(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(0, 7, 5)
+    scores, move = rng.normal(size=int(lengths.sum())) * 2, rng.normal(size=(2, 2))
+    got, at = crf.marginals(scores, lengths, move), 0
+    for n in lengths.tolist():
+        if n:
+            assert np.allclose(got[at : at + n], brute_marginals(scores[at : at + n], move))
+        at += n
+
+
+def labelled(rng, n, bad):
+    texts, labels = [], []
+    for k in range(n):
+        flag = k % 3 == 0
+        texts.append(bad(prose(rng, int(rng.integers(20, 60)))) if flag else prose(rng, int(rng.integers(20, 60))))
+        labels.append(int(flag))
+    return texts, labels
+
+
+def swear(rng):
+    def insert(text):
+        words = text.split()
+        for _ in range(4):
+            words.insert(int(rng.integers(0, len(words))), ["scumbag", "vilefoo", "vilebar", "vilequx"][int(rng.integers(0, 4))])
+        return " ".join(words)
+
+    return insert
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(4)
+    texts, toxic = labelled(rng, 240, swear(rng))
+    docs = documents(spark, texts + odd_texts(), extra=True)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(3, 1, None)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.score_documents(docs, toxicity.learn(docs, labels)).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert held and all((rows[i]["score"] >= 0.7) == bool(toxic[i]) for i in held)
+    hit = next(i for i in held if toxic[i])
+    assert all(texts[hit][s["start"] : s["stop"]].startswith(("scum", "vile")) for s in rows[hit]["spans"])
+    assert all(0 <= rows[240 + k]["score"] < 0.7 for k in range(12))
+    none = toxicity.learn(docs, labels.where("doc_id < 0"))
+    assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.0}
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(6)
+    noisy = lambda t: "\n".join([t.split(".")[0], " ".join(w + rng.choice(["%%%", "&&&", "***"]) for w in t.split()), t.upper().replace(" ", "!! ")])
+    texts, bad = labelled(rng, 240, noisy)
+    docs = documents(spark, texts + odd_texts(), extra=True)
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    model = quality.learn(docs, labels)
+    rows = {r["doc_id"]: r for r in quality.score_documents(docs, model).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all((rows[i]["score"] >= 0.5) == (not bad[i]) for i in held)
+    kept = quality.good_documents(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["score"] >= 0.5}
+    everything = quality.learn(docs, labels.where("doc_id < 0"))
+    assert quality.good_documents(docs, everything).count() == len(texts) + 12
+
+
+# --- digests -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ids", [None, [*range(10), 9, None], [None] * 12, [5] * 12])
+def test_digests(spark, ids):
+    texts = odd_texts()
+    docs = documents(spark, texts, ids=ids, extra=True)
+    ids = list(range(12)) if ids is None else ids
+    hashes = [r["h"] for r in docs.select("n_chars", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    order = sorted(range(12), key=lambda k: (ids[k] is None, -(ids[k] or 0), hashes[k]))
+    rows = digest.digest_documents(docs).collect()
+    want = []
+    for place, k in enumerate(order):
+        own, following = texts[k] or "", texts[order[(place + 1) % 12]] or ""
+        changed = digest.edited(own, following)
+        want.append((str(ids[k]), len(own), hashlib.sha256(changed.encode()).hexdigest(), digest.digest(own.encode()), digest.likeness(digest.digest(own.encode()), digest.digest(following.encode()))))
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_next"]) for r in rows]
+    assert sorted(got) == sorted(want)
+    assert digest.digest_documents(docs.where("lang = 'none'")).count() == 0
+
+
+def test_likeness_is_bounded_and_tells_edits():
+    rng = np.random.default_rng(0)
+    a, b = prose(rng, 400), prose(rng, 400)
+    one = digest.digest(a.encode())
+    assert digest.likeness(one, one) == 1 and 0 <= digest.likeness(one, digest.digest(b"")) <= 1
+    assert digest.likeness(one, digest.digest(digest.edited(a, b).encode())) > digest.likeness(one, digest.digest(b.encode()))
+
+
+# --- repeated passages ---------------------------------------------------------------------------------------------
+
+
+def brute_removed(texts):
+    """Per text (bytes, in order) the removed flags."""
+    seen, out = set(), []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - WINDOW + 1):
+            w = t[i : i + WINDOW]
+            if w in seen:
+                gone[i : i + WINDOW] = True
+            else:
+                seen.add(w)
+        out.append(gone)
+    return out
+
+
+def passages():
+    rng = np.random.default_rng(9)
+    common = prose(rng, 60)
+    texts = [prose(rng, 40) + " " + common + " " + prose(rng, 30) for _ in range(25)]
+    texts += [texts[3], texts[3][:150], texts[4].replace("the", "a", 1), "ab" * 400, "é" * 300, common * 2, prose(rng, 5), "", None]
+    return texts
+
+
+@pytest.mark.parametrize("hot", [4000, 3])
+def test_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup.hot_anchors, "__defaults__", (hot,))
+    texts = passages()
+    rows = {r["doc_id"]: r for r in substring_dedup.without_repeats(documents(spark, texts, extra=True)).collect()}
+    content = [(t or "").encode() for t in texts]
+    for k, gone in enumerate(brute_removed(content)):
+        kept = bytes(c for c, g in zip(content[k], gone, strict=True) if not g)
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (rows[k]["n_removed"], bytes(rows[k]["kept"]), len(rows[k]["spans"])) == (int(gone.sum()), kept, runs), k
+
+
+def test_repeats_with_odd_ids(spark):
+    text = passages()[0]
+    docs = documents(spark, [text, text, text, text], ids=[4, 4, None, 2])
+    rows = sorted(substring_dedup.without_repeats(docs).collect(), key=lambda r: str(r["doc_id"]))
+    assert [(r["doc_id"], r["n_removed"] > 0) for r in rows] == [(2, False), (4, True), (4, True), (None, True)]
+    assert substring_dedup.without_repeats(docs.where("doc_id > 9")).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 2**31), st.sampled_from([1, 2, 3]), st.sampled_from([2, 8, 20]))
+def test_merged_transforms(seed, shards, depth):
+    rng = np.random.default_rng(seed)
+    strings = [bytes(rng.choice(list(b"ab"), int(rng.integers(0, 60))).astype(np.uint8)) for _ in range(int(rng.integers(1, 12)))]
+    octets, starts, lengths = bwt.collection(strings)
+    place, block = bwt.repeated_blocks(octets, starts, lengths, depth, shards)
+    got = {}
+    for p, b in zip(place.tolist(), block.tolist(), strict=True):
+        got.setdefault(b, set()).add(p)
+    want = {}
+    for k, s in enumerate(strings):
+        for i in range(len(s) - depth + 1):
+            want.setdefault(s[i : i + depth], set()).add(int(starts[k]) + i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_equal_windows_choose_equal_anchors():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 123, 130, np.uint8).tobytes()
+    texts = [rng.integers(97, 123, int(n), np.uint8).tobytes() + passage + b"!" * int(n) for n in (5, 50, 0)]
+    lengths = np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths) - lengths
+    low, high, at, anchor, _ = choose(np.frombuffer(b"".join(texts), np.uint8), starts, lengths)
+    for s in range(31):
+        found = set()
+        for k, n in enumerate((5, 50, 0)):
+            place = starts[k] + n + s
+            inside = np.flatnonzero((low <= place) & (high >= place + WINDOW))
+            assert len(inside) == 1
+            found.add((int(anchor[inside[0]]), int(at[inside[0]] - place)))
+        assert len(found) == 1
+
+
+# --- GIF -----------------------------------------------------------------------------------------------------------
+
+
+def compressing_stream(samples, size):
+    """A growing-code LZW coder, for the decoder's general way."""
+    clear, end = 1 << size, (1 << size) + 1
+    known, width = {bytes([i]): i for i in range(clear)}, size + 1
+    following, word = end + 1, b""
+    bits, n = 0, 0
+    data = bytearray()
+
+    def put(code):
+        nonlocal bits, n
+        bits |= code << n
+        n += width
+        while n >= 8:
+            data.append(bits & 255)
+            bits >>= 8
+            n -= 8
+
+    put(clear)
+    for s in samples:
+        longer = word + bytes([s])
+        if longer in known:
+            word = longer
+            continue
+        put(known[word])
+        if following < 4096:
+            known[longer] = following
+            following += 1
+            if following - 1 == 1 << width and width < 12:
+                width += 1
+        else:
+            put(clear)
+            known, width, following = {bytes([i]): i for i in range(clear)}, size + 1, end + 1
+        word = bytes([s])
+    if word:
+        put(known[word])
+    put(end)
+    if n:
+        data.append(bits & 255)
+    return bytes(data)
+
+
+@pytest.mark.parametrize(("size", "n"), [(2, 1), (2, 500), (4, 3000), (8, 20_000), (8, 300)])
+def test_lzw(size, n):
+    rng = np.random.default_rng(n)
+    samples = rng.integers(0, 1 << size, n).astype(np.uint8)
+    samples[n // 2 :] = samples[n // 2 : n // 2 + 1]
+    assert np.array_equal(media.lzw_decode(compressing_stream(samples.tolist(), size), size, n), samples)
+
+
+def block(left, top, w, h, samples, disposal=0, hidden=None, delay=3, interlaced=False):
+    control = b"\x21\xf9\x04" + bytes([disposal << 2 | (hidden is not None), delay, 0, hidden or 0, 0])
+    data = compressing_stream(samples, 2)
+    return control + b"\x2c" + np.array([left, top, w, h], "<u2").tobytes() + bytes([64 if interlaced else 0]) + b"\x02" + bytes([len(data)]) + data + b"\0"
+
+
+def test_disposal_and_transparency():
+    palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    head = b"GIF89a" + np.array([2, 2], "<u2").tobytes() + bytes([0x91, 0, 0]) + palette
+    body = block(0, 0, 2, 2, [1, 1, 1, 1]) + block(0, 0, 2, 1, [2, 3], 3, hidden=3) + block(1, 1, 1, 1, [2], 2) + block(0, 0, 1, 1, [3])
+    frames = media.decode(head + body + b";")
+    red, green, blue, black = [255, 0, 0], [0, 255, 0], [0, 0, 255], [0, 0, 0]
+    assert [f.canvas.tolist() for f in frames] == [
+        [[red, red], [red, red]], [[green, red], [red, red]], [[red, red], [red, green]], [[blue, red], [red, black]],
+    ]
+    assert [(f.start_ms, f.delay_ms) for f in frames] == [(0, 30), (30, 30), (60, 30), (90, 30)]
+    assert media.histogram(frames[1].canvas).sum() == 4
+    rows = media.decode(head[:6] + np.array([1, 5], "<u2").tobytes() + head[10:] + block(0, 0, 1, 5, [0, 2, 1, 3, 0], interlaced=True) + b";")
+    assert rows[0].samples.ravel().tolist() == [0, 3, 1, 0, 2]
+
+
+@pytest.mark.parametrize("bad", [None, b"", b"GIF89a", b"nothing", b"GIF89a" + bytes(20)])
+def test_no_gif(bad):
+    assert media.decode(bad) == []
+
+
+def test_truncated_gif():
+    whole = media.encode_samples(bytes(range(256)) * 8)
+    for cut in range(13, len(whole), 97):
+        media.decode(whole[:cut])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=700))
+def test_store_and_read(content):
+    payload, stored = media.store_payload(content)
+    assert len(payload) % 64 == 0 and payload and payload[: len(content)] == content
+    assert b"".join(f.samples.tobytes() for f in media.decode(stored)) == payload
+
+
+def test_text_media(spark):
+    texts = [*odd_texts(), "q" * 200_000]
+    rows = media.text_media(documents(spark, texts, ids=[*range(12), None], extra=True)).collect()
+    for r, t in zip(sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"])), texts, strict=True):
+        content = (t or "").encode()
+        payload = content + b"\0" * (-len(content) % 64 or (0 if content else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(content), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert rows[3]["feature"] == rows[10]["feature"] and max(r["n_frames"] for r in rows) == 4
+
+
+def test_decode_media_table(spark):
+    blob = media.encode_samples(bytes(64) * 1500)
+    frames = media.decode_media(spark.createDataFrame([(1, bytearray(blob)), (2, None)], "media_id long, media binary")).orderBy("frame").collect()
+    assert [(r["media_id"], r["frame"], r["height"], r["start_ms"]) for r in frames] == [(1, 0, 1024, 0), (1, 1, 476, 100)]
+    assert io.BytesIO(bytes(frames[1]["samples"])).read() == bytes(64 * 476)
