@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,31 @@ def hac_tests(rows: DataFrame, lags: list[int] | None = None, value: str = "diff
     return [_hac(row, lag) for lag in wanted]
 
 
+def hac_table(rows: DataFrame, by: list[str], lag: int, value: str = "diff", pos: str = "pos") -> DataFrame:
+    """(by, n, lag, mean, long_run_variance, standard_error, t_statistic, p_value) for many series of one length in
+    one plan; only the tail probability of the few result rows leaves the JVM."""
+    mean = rows.groupBy(*by).agg(F.avg(value).alias("__mean"))
+    centred = rows.join(F.broadcast(mean), by).withColumn("__x", F.col(value) - F.col("__mean"))
+    if lag:
+        centred = with_lags(centred, {f"__x{k}": ("__x", k) for k in range(1, lag + 1)}, by, pos)
+    n = F.count(F.lit(1))
+    gamma = [F.sum(F.col("__x") * F.col(f"__x{k}" if k else "__x")) / n for k in range(lag + 1)]
+    variance = gamma[0]
+    for k in range(1, lag + 1):
+        variance = variance + 2 * (1 - k / (lag + 1)) * F.coalesce(gamma[k], F.lit(0.0))
+    sums = centred.groupBy(*by).agg(n.alias("n"), F.first("__mean").alias("mean"), gamma[0].alias("__gamma"), variance.alias("__variance"))
+    refused = F.raise_error(F.lit("the long-run variance is negative")).cast("double")
+    clamped = F.when(F.col("__variance") >= 0, F.col("__variance")).when(F.col("__variance") >= -CLAMP * F.col("__gamma"), F.lit(0.0)).otherwise(refused)
+    table = sums.withColumn("long_run_variance", clamped).withColumn("standard_error", F.sqrt(F.col("long_run_variance") / F.col("n")))
+    table = table.withColumn("t_statistic", F.try_divide("mean", "standard_error"))
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
+
+    return table.select(*by, "n", F.lit(lag).alias("lag"), "mean", "long_run_variance", "standard_error", "t_statistic", tail("t_statistic").alias("p_value"))
+
+
 def hac_sensitivity(rows: DataFrame, extra: tuple[int, ...] = (0, 5, 10, 20, 50)) -> list[HacTest]:
     n = rows.count()
     lags = list(dict.fromkeys([automatic_hac_lag(n), *extra]))
@@ -126,8 +152,6 @@ def bootstrap_means(rows: DataFrame, length: int, replications: int = REPLICATIO
     if not 1 <= length <= n:
         raise ValueError("the block length must lie between one and n")
     whole, partial = block_starts(n, length, replications, seed, truncate)
-    import pandas as pd
-
     starts = pd.DataFrame({"rep": np.repeat(np.arange(replications), whole.shape[1]), "start": whole.ravel(), "part": False})
     if len(partial):
         starts = pd.concat([starts, pd.DataFrame({"rep": np.arange(replications), "start": partial, "part": True})])

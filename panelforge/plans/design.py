@@ -91,6 +91,30 @@ class Design:
     def rmse(self, forecasts: DataFrame) -> DataFrame:
         return evaluate.change_to(mt.rmse_table(forecasts, self.p, ["method"]), forecast.DIRECT)
 
+    def pair_differences(self, pairs: list[tuple[str, str, str]]) -> DataFrame:
+        """(effect, component, pos, diff): benchmark loss minus candidate loss for literal (effect, candidate,
+        benchmark) pairs of the completed forecasts, all in one join."""
+        rows = mt.losses(self.completed, self.p)
+        long = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("loss")) for c in evaluate.COMPONENTS]))
+        losses = rows.select("method", "k", long.alias("x")).select("method", "k", "x.component", "x.loss")
+        wanted = F.broadcast(self.spark.createDataFrame(pairs, "effect string, candidate string, benchmark string"))
+        a = losses.select(F.col("method").alias("candidate"), "k", "component", F.col("loss").alias("a"))
+        b = losses.select(F.col("method").alias("benchmark"), "k", "component", F.col("loss").alias("b"))
+        joined = wanted.join(a, "candidate").join(b, ["benchmark", "k", "component"])
+        return joined.select("effect", "component", (F.col("k") - self.training).alias("pos"), (F.col("b") - F.col("a")).alias("diff"))
+
+    def prefix_coefficients(self, percents: tuple[int, ...]) -> DataFrame:
+        """(series asset@percent, pos, value): residual coefficients where the reference too is refitted on each share
+        of the training part."""
+        parts = None
+        for percent in percents:
+            size = percent * self.training // 100
+            fitted = reference.fit_reference(self.series, size)
+            rows = residual.coefficients(reference.approximation_errors(self.series, fitted, size), self.panel.assets).where(F.col("pos") < size)
+            rows = rows.select(F.concat_ws("@", "series", F.lit(str(percent))).alias("series"), "pos", "value")
+            parts = rows if parts is None else parts.unionByName(rows)
+        return parts
+
     @cached_property
     def completed(self) -> DataFrame:
         """The factorial of indicator forecasts (naive, oracle) and diagonal corrections (zero, naive, oracle)."""

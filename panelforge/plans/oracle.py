@@ -262,6 +262,21 @@ SELECT series, k, {r('value', 'value')}, {r('z_hat', 'z_hat')} FROM l WHERE k >=
 g AS (SELECT v.l, sum((a.diff - mean) * (b.diff - mean)) / max(n) AS gamma FROM n, (SELECT unnest(range(0, 1000)) AS l) v JOIN diff a ON true JOIN diff b ON b.pos = a.pos - v.l WHERE v.l <= lag GROUP BY v.l),
 v AS (SELECT sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM g, n)
 SELECT n, lag, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')} FROM n, v""",
+    "indicator_comparison": f"""WITH {ARFIMA}, lg AS (SELECT k, z, lag(z) OVER (ORDER BY k) AS zb, l1, ntrain FROM ind),
+al AS (SELECT 'naive' AS method, z, zb AS zf FROM lg WHERE k >= ntrain UNION ALL SELECT 'training_mean', z, l1 FROM lg WHERE k >= ntrain UNION ALL SELECT 'oracle', z, z FROM lg WHERE k >= ntrain
+UNION ALL SELECT 'arfima', z, z_hat FROM zh JOIN ind USING (k))
+SELECT method, {r('sqrt(avg((zf - z) ** 2))', 'rmse')}, {r('avg(abs(zf - z))', 'mae')}, {r('avg(zf - z)', 'bias')}, {r('sum((zf - z) ** 2)', 'squared_error')}, {r('min(zf)', 'min_forecast')} FROM al GROUP BY method""",
+    "innovation_lag_correlations": f"""WITH {WEIGHTS}, inn AS (SELECT a.k, sum(weight * (b.z - mean)) AS v FROM ind a JOIN ind b ON b.k <= a.k JOIN w ON w.q = a.k - b.k, zn
+WHERE a.k < a.ntrain GROUP BY a.k, a.ntrain HAVING a.k >= greatest(50, floor(sqrt(a.ntrain))))
+SELECT lag, {r('corr(a.v, b.v)', 'correlation')} FROM inn a JOIN (VALUES (1), (2), (5), (10)) AS t(lag) ON true JOIN inn b ON b.k = a.k - lag GROUP BY lag""",
+    "loss_tests": f"""WITH {COMPLETE}, lg AS (UNPIVOT (SELECT method, k, overall, diagonal, off_diagonal FROM cl) ON overall, diagonal, off_diagonal INTO NAME component VALUE loss),
+d AS (SELECT effect, a.component, a.k, b.loss - a.loss AS diff FROM {EFFECTS_SQL} JOIN lg a ON a.method = candidate JOIN lg b ON b.method = reference AND b.component = a.component AND b.k = a.k
+  WHERE a.component <> 'off_diagonal' OR effect = 'perfect_indicator'),
+n AS (SELECT effect, component, count(*) AS n, avg(diff) AS mean, CAST(least(floor(4 * (count(*) / 100.0) ** (2.0 / 9)), count(*) - 1) AS INTEGER) AS lag FROM d GROUP BY ALL),
+g AS (SELECT x.effect, x.component, l, sum((x.diff - mean) * (y.diff - mean)) / max(n) AS gamma FROM d x JOIN n USING (effect, component) JOIN (SELECT unnest(range(0, 1000)) AS l) v ON l <= lag
+  JOIN d y ON y.effect = x.effect AND y.component = x.component AND y.k = x.k - l GROUP BY ALL),
+v AS (SELECT effect, component, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM g JOIN n USING (effect, component) GROUP BY ALL)
+SELECT effect, component, n, lag, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')} FROM n JOIN v USING (effect, component)""",
     "circular_block_sums": f"""WITH {DIFFERENCES}, n AS (SELECT count(*) AS n FROM diff) SELECT a.pos AS start, {r('sum(b.diff)', 'total')} FROM n, diff a JOIN diff b ON (b.pos - a.pos + (SELECT n FROM n)) % (SELECT n FROM n) < 5 GROUP BY a.pos""",
     "residual_coefficients": f"WITH {COEFFICIENTS} SELECT series, k, ts, {r('value', 'value')} FROM coef",
     "complete_forecasts": f"WITH {COMPLETE} SELECT method, component, {r('rmse', 'rmse')} FROM cr",

@@ -370,6 +370,48 @@ def naive_coefficient_forecast(d: Design) -> DataFrame:
     return timeseries.naive_forecasts(d.coefficients, d.training).withColumnRenamed("pos", "k")
 
 
+@on_design
+def indicator_comparison(d: Design) -> DataFrame:
+    """Persistence, the training mean, the fractional model at the grid's d, and the truth."""
+    naive = d.naive.select(F.lit("naive").alias("method"), "k", F.col("z").alias("value"), "z_hat")
+    mean = float(d.reference.eigenvalues[0])  # the training mean of the indicator
+    fractional = timeseries.forecast_series(d.indicator_series.drop("ts"), d.training, refine=False)
+    parts = [
+        naive, naive.withColumns({"method": F.lit("training_mean"), "z_hat": F.lit(mean)}), naive.withColumns({"method": F.lit("oracle"), "z_hat": F.col("value")}),
+        fractional.select(F.lit("arfima").alias("method"), F.col("pos").alias("k"), "value", "z_hat"),
+    ]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return evaluate.scalar_metrics(table, ["method"]).select("method", "rmse", "mae", "bias", "squared_error", "min_forecast")
+
+
+@on_design
+def innovation_lag_correlations(d: Design) -> DataFrame:
+    """Of the training innovations, without the first max(50, sqrt N), which the missing past still colours."""
+    burn = max(50, int(d.training**0.5))
+    made = timeseries.difference_series(d.indicator_series.drop("ts"), d.training, refine=False)
+    kept = made.where((F.col("pos") >= burn) & (F.col("pos") < d.training)).select("series", (F.col("pos") - burn).alias("pos"), F.col("innovation").alias("value"))
+    return timeseries.lag_correlations(kept, [lag for lag in LAGS if lag < 20]).drop("series")
+
+
+@on_design
+def prefix_refit_stability(d: Design) -> DataFrame:
+    shares = tuple(s for s in (50, 75, 100) if s * d.training // 100 >= 20)
+    fits = timeseries.fit_series(d.prefix_coefficients(shares), None, refine=False)
+    name, share = F.substring_index("series", "@", 1), F.substring_index("series", "@", -1).cast("int")
+    return fits.select(name.alias("series"), share.alias("percent"), "d", "boundary_warning")
+
+
+@on_design
+def validation_selection(d: Design) -> DataFrame:
+    """Order selection with the reference estimated before the validation part only."""
+    start = timeseries.validation_start(d.training)
+    early = Design(d.spark, d.panel, d.block_size, start)
+    orders = tuple(o for o in timeseries.AR_ORDERS if 3 * o < start)
+    return timeseries.order_comparison(early.coefficients.drop("ts"), d.training, orders)
+
+
 # --- inference -----------------------------------------------------------------------------------------------------
 
 
@@ -399,6 +441,21 @@ def circular_block_sums(d: Design) -> DataFrame:
     return inference.circular_sums(d.differences, d.matrices - d.training, 5)
 
 
+@on_design
+def loss_tests(d: Design) -> DataFrame:
+    """Equal-accuracy tests of every pair and component; pairs whose losses never differ have no statistic."""
+    rows = d.pair_differences(EFFECTS)
+    table = inference.hac_table(rows, ["effect", "component"], inference.automatic_hac_lag(d.matrices - d.training))
+    return table.where("component <> 'off_diagonal' OR effect = 'perfect_indicator'").drop("p_value")
+
+
+@on_design
+def loss_test_probabilities(d: Design) -> DataFrame:
+    rows = d.pair_differences(EFFECTS)
+    table = inference.hac_table(rows, ["effect", "component"], inference.automatic_hac_lag(d.matrices - d.training))
+    return table.select("effect", "component", "t_statistic", "p_value")
+
+
 @on_design
 def loss_difference_comparison(d: Design) -> DataFrame:
     """Every pair and component: means of the losses and how often the candidate wins."""

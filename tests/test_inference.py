@@ -39,3 +39,14 @@ def test_bootstrap_truncated(spark):
 def test_circular_sums(spark):
     got = {r["start"]: r["total"] for r in inference.circular_sums(rows(spark, range(10)), 10, 4).collect()}
     assert got == {s: float(sum((s + i) % 10 for i in range(4))) for s in range(10)}
+
+
+def test_hac_table_equals_single_tests(spark):
+    rng = np.random.default_rng(3)
+    series = {"a": rng.standard_normal(50), "b": rng.standard_normal(50).cumsum(), "c": np.zeros(50)}
+    table = spark.createDataFrame([(name, i, float(v)) for name, values in series.items() for i, v in enumerate(values)], "g string, pos long, diff double")
+    got = {r["g"]: r for r in inference.hac_table(table, ["g"], 4).collect()}
+    for name in ("a", "b"):
+        want = inference.hac_tests(rows(spark, series[name]), [4])[0]
+        assert got[name]["t_statistic"] == pytest.approx(want.t_statistic) and got[name]["p_value"] == pytest.approx(want.p_value)
+    assert got["c"]["t_statistic"] is None and got["c"]["standard_error"] == 0
