@@ -29,7 +29,14 @@ class Design:
 
     @cached_property
     def series(self) -> mt.MatrixSeries:
-        return mt.block_covariances(self.returns, self.panel.assets, self.block_size)
+        """Kept in memory and on disk: it is a block size smaller than the prices, and every later step reads it."""
+        made = mt.block_covariances(self.returns, self.panel.assets, self.block_size)
+        return mt.MatrixSeries(made.rows.persist(), made.assets)
+
+    def close(self) -> None:
+        """Frees the kept series; later use builds it again."""
+        if series := self.__dict__.pop("series", None):
+            series.rows.unpersist()
 
     @cached_property
     def matrices(self) -> int:
