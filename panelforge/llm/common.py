@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import itertools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
         made = tempfile.mkdtemp(prefix="panelforge-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(made)
     return made
 

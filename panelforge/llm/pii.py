@@ -1,7 +1,7 @@
 """PII surrogates with SQL functions only.
 
-Entities (e-mail addresses, phone, card and social security numbers, IBANs, IPv4 addresses, hexadecimal secrets, and
-person names after a title or a known given name) are cut out of the text by one pattern and replaced by keyed
+Entities (e-mail addresses, phone, card and social security numbers, IBANs, IPv4 addresses, long hexadecimal secrets,
+access keys, values given to a password, token or key, and person names after a title or a known given name) are cut out of the text by one pattern and replaced by keyed
 surrogates of the same type: the same shape, letter case, country prefix, card issuer digit and Luhn remainder,
 private or public address range, script and gender. A surrogate is a function of (key, type, canonical form, attempt),
 so one entity gets one surrogate in every document and every spelling. A first pass gathers the distinct canonical
@@ -46,6 +46,11 @@ _EDGE = r"(?<![\p{L}\p{N}_.+%@-])"
 _CAPITALISED = r"\p{Lu}(?:\p{Ll}+|\p{Lu}+)"
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}\.[A-Za-z]{2,24}"
 SECRET = r"[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
+# Prefixes of common access keys.
+_KEY_PREFIX = r"(?:A[KS]IA|gh[pos]_|sk-)"
+ACCESS_KEY = rf"{_KEY_PREFIX}[A-Za-z0-9]{{16,64}}(?![A-Za-z0-9])"
+#: The one-character look behind fails at nearly every word before the longer one is tried.
+CREDENTIAL = r"(?<=[=:\"']|[=:] )(?<=(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,128}"
 IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
@@ -64,12 +69,13 @@ _KNOWN = rf"(?:{_alternatives(_GIVEN_ALL)})"
 _WORD = rf"{_CAPITALISED}(?:-{_CAPITALISED})?(?!\p{{L}})"
 NAME = rf"(?=\p{{Lu}})(?:{_TITLE}\.?(?: {_WORD}){{1,2}}|{_KNOWN} {_WORD})"
 #: E-mail first: its local part may look like anything else. Digits before names, as they fail fastest.
-PATTERN = rf"{_EDGE}(?:{EMAIL}|{SECRET}|{IPV4}|{SSN}|{CARD}|{PHONE}|{IBAN}|{NAME})"
+PATTERN = rf"{_EDGE}(?:{EMAIL}|{CREDENTIAL}|{ACCESS_KEY}|{SECRET}|{IPV4}|{SSN}|{CARD}|{PHONE}|{IBAN}|{NAME})"
 #: What any entity must contain; most texts stop here.
-HINT = rf"@|[0-9][0-9. ()-]{{7}}|(?<![0-9A-Za-z])[0-9A-Fa-f]{{32}}|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE}|{_KNOWN})\.? \p{{Lu}}"
+HINT = rf"@|[=:] ?[\"']?[A-Za-z0-9+/_-]{{8}}|{_KEY_PREFIX}[A-Za-z0-9]{{16}}|[0-9][0-9. ()-]{{7}}|(?<![0-9A-Za-z])[0-9A-Fa-f]{{32}}|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE}|{_KNOWN})\.? \p{{Lu}}"
 
 _KINDS = [
-    ("email", EMAIL), ("ipv4", IPV4), ("ssn", SSN), ("card", CARD), ("secret", SECRET), ("phone", PHONE), ("iban", IBAN),
+    ("email", EMAIL), ("ipv4", IPV4), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("key", ACCESS_KEY),
+    ("secret", "[0-9A-Fa-f]{8,128}"), ("iban", IBAN), ("credential", "[A-Za-z0-9+/_-]{8,128}"),
 ]
 
 
@@ -106,6 +112,7 @@ def canonical(match: Column, kind: Column) -> Column:
         F.when(kind.isin("card", "ssn"), _digits(match))
         .when(kind == "phone", _national(match))
         .when(kind.startswith("name"), F.lower(_surname(match)))
+        .when(kind.isin("key", "credential"), match)
         .when(kind == "iban", F.upper(F.replace(match, F.lit(" "), F.lit(""))))
         .otherwise(F.lower(match))
     )
@@ -142,6 +149,18 @@ def _shaped(text: Column, stream: Column) -> Column:
     return _chars(text, lambda c, i: F.when(c.rlike("[a-z]"), _at(letters, i)).when(c.rlike("[0-9]"), _at(digits, i)).otherwise(c))
 
 
+def _shaped_cases(text: Column, stream: Column) -> Column:
+    """As _shaped, with capitals for capitals."""
+    letters, digits = _as_letters(stream), _as_digits(stream)
+    capital = lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(_at(letters, i)))
+    return _chars(text, lambda c, i: capital(c, i).when(c.rlike("[a-z]"), _at(letters, i)).when(c.rlike("[0-9]"), _at(digits, i)).otherwise(c))
+
+
+def _key(canon: Column, stream: Column) -> Column:
+    prefix = F.regexp_extract(canon, "^" + _KEY_PREFIX, 0)
+    return F.concat(prefix, _shaped_cases(F.substr(canon, F.length(prefix) + 1, F.length(canon)), stream))
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a digit string, its last digit counted plainly."""
     n = F.length(digits)
@@ -204,6 +223,8 @@ def core(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column
         .when(kind == "card", _card(canon, stream))
         .when(kind.isin("ssn", "phone"), F.substr(_as_digits(stream), F.lit(1), n))
         .when(kind == "secret", F.substr(stream, F.lit(1), n))
+        .when(kind == "key", _key(canon, stream))
+        .when(kind == "credential", _shaped_cases(canon, stream))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.upper(_shaped(F.lower(F.substr(canon, F.lit(3), n)), stream))))
         .otherwise(_name(stream, kind, attempt))
     )
@@ -261,6 +282,7 @@ def surrogate(match: Column, kind: Column, canon: Column, attempt: Column, key:
         .when(kind == "phone", _filled(match, F.concat(prefix, value)))
         .when(kind == "iban", _spaced(match, value))
         .when(kind.startswith("name"), _person(match, kind, value, key))
+        .when(kind.isin("key", "credential"), value)
         .otherwise(_cased(match, value))
     )
 
