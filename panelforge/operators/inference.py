@@ -85,7 +85,7 @@ def hac_table(rows: DataFrame, by: list[str], lag: int, value: str = "diff", pos
     """(by, n, lag, mean, long_run_variance, standard_error, t_statistic, p_value) for many series of one length in
     one plan; only the tail probability of the few result rows leaves the JVM."""
     mean = rows.groupBy(*by).agg(F.avg(value).alias("__mean"))
-    centred = rows.join(F.broadcast(mean), by).withColumn("__x", F.col(value) - F.col("__mean"))
+    centred = rows.join(mean, by).withColumn("__x", F.col(value) - F.col("__mean"))
     if lag:
         centred = with_lags(centred, {f"__x{k}": ("__x", k) for k in range(1, lag + 1)}, by, pos)
     n = F.count(F.lit(1))
