@@ -66,13 +66,17 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.n
     return sigmoid(forward + backward)
 
 
-def _pairs(scores: np.ndarray, forward: np.ndarray, backward: np.ndarray, inner: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Expected counts of the four moves over all neighbours; inner: places that have a successor."""
-    f, e = forward[inner], scores[inner + 1] + backward[inner + 1]
-    logs = np.stack([np.full(len(f), move[0, 0]), move[0, 1] + e, move[1, 0] + f, move[1, 1] + f + e])
-    logs -= logs.max(axis=0)
-    shares = np.exp(logs)
-    return (shares / shares.sum(axis=0)).sum(axis=1).reshape(2, 2)
+def _pairs(scores: np.ndarray, forward: np.ndarray, backward: np.ndarray, inner: np.ndarray, move: np.ndarray, part: int = 200_000) -> np.ndarray:
+    """Expected counts of the four moves over all neighbours, part by part; inner: places that have a successor."""
+    total = np.zeros(4)
+    for low in range(0, len(inner), part):
+        here = inner[low : low + part]
+        f, e = forward[here], scores[here + 1] + backward[here + 1]
+        logs = np.stack([np.full(len(f), move[0, 0]), move[0, 1] + e, move[1, 0] + f, move[1, 1] + f + e])
+        logs -= logs.max(axis=0)
+        np.exp(logs, out=logs)
+        total += (logs / logs.sum(axis=0)).sum(axis=1)
+    return total.reshape(2, 2)
 
 
 def fit(

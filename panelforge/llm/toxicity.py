@@ -80,29 +80,29 @@ def aggregate(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log(highest / (1 - highest)), np.minimum(np.log1p(hits[ends] - hits[ends - lengths]), 3.0)])
 
 
-def _token_labels(docs: list[list[str]], toxic: list[int]) -> set[str]:
-    """The features (words and prefixes) that mark toxic words."""
-    around: dict[int, defaultdict[str, set[int]]] = {0: defaultdict(set), 1: defaultdict(set)}
-    most = 40
-    cache: dict[str, list[str]] = {}
-    for words, label in zip(docs, toxic, strict=True):
-        marks = around[label]
-        for i, word in enumerate(words):
-            found = cache.get(word) or cache.setdefault(word, features(word))
-            place = None
-            for f in found:
-                seen = marks[f]
+def _neighbourhoods(docs: list[np.ndarray], found: list[list[int]], wanted: set[int] | None, most: int = 40) -> dict[int, int]:
+    """For each (wanted) feature, in how many different neighbourhoods it occurs, counted up to a bound that is far
+    over what decides."""
+    around: defaultdict[int, set[int]] = defaultdict(set)
+    kept = found if wanted is None else [[f for f in fs if f in wanted] for fs in found]
+    for words in docs:
+        ring = [-1, *words.tolist(), -1]
+        for before, word, after in zip(ring, ring[1:], ring[2:], strict=False):
+            for f in kept[word]:
+                seen = around[f]
                 if len(seen) < most:
-                    if place is None:
-                        place = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-                    seen.add(place)
-    scale = math.log((sum(toxic) + 1) / (len(toxic) - sum(toxic) + 1))
-    chosen = set()
-    for f, places in around[1].items():
-        n, m = len(places), len(around[0].get(f, ()))
-        if n >= LEAST_SUPPORT and math.log((n + 0.5) / (m + 0.5)) - min(scale, 0) >= LEAST_ODDS and m * 20 <= n:
-            chosen.add(f)
-    return chosen
+                    seen.add(before << 32 | after & 0xFFFFFFFF)
+    return {f: len(seen) for f, seen in around.items()}
+
+
+def _marks(docs: list[np.ndarray], toxic: list[int], found: list[list[int]]) -> set[int]:
+    """The features that mark toxic words. docs: word numbers; found: the feature numbers of each word."""
+    there = _neighbourhoods([d for d, t in zip(docs, toxic, strict=True) if t], found, None)
+    there = {f: n for f, n in there.items() if n >= LEAST_SUPPORT}
+    here = _neighbourhoods([d for d, t in zip(docs, toxic, strict=True) if not t], found, set(there))
+    scale = min(math.log((sum(toxic) + 1) / (len(toxic) - sum(toxic) + 1)), 0)
+    odds = {f: math.log((n + 0.5) / (here.get(f, 0) + 0.5)) - scale for f, n in there.items()}
+    return {f for f, n in there.items() if odds[f] >= LEAST_ODDS and here.get(f, 0) * 20 <= n}
 
 
 def fit(texts: list[str], toxic: list[int], share: dict[int, float]) -> ToxicModel:
@@ -110,21 +110,16 @@ def fit(texts: list[str], toxic: list[int], share: dict[int, float]) -> ToxicMod
     if len(set(toxic)) < 2:
         rate = share.get(1, 0) * toxic.count(1) / total if total else 0.0
         return ToxicModel({}, 0.0, np.zeros((2, 2)), np.zeros(3), rate)
-    docs = [words_of(t) for t in texts]
-    marks = _token_labels(docs, toxic)
     ids: dict[str, int] = {}
-    tokens = np.concatenate([np.fromiter((ids.setdefault(w, len(ids)) for w in d), np.int64, len(d)) for d in docs])
-    lengths = np.array([len(d) for d in docs])
+    docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
     names: dict[str, int] = {}
-    word_at, feature_at = [], []
-    marked = np.zeros(len(ids), np.int64)
-    for word, i in ids.items():
-        for f in features(word):
-            if f in marks:
-                marked[i] = 1
-            word_at.append(i)
-            feature_at.append(names.setdefault(f, len(names)))
-    word_at, feature_at = np.array(word_at), np.array(feature_at)
+    found = [[names.setdefault(f, len(names)) for f in features(w)] for w in ids]
+    marks = _marks(docs, toxic, found)
+    marked = np.array([any(f in marks for f in fs) for fs in found], np.int64)
+    word_at = np.repeat(np.arange(len(found)), [len(fs) for fs in found])
+    feature_at = np.fromiter((f for fs in found for f in fs), np.int64, len(word_at))
+    lengths = np.array([len(d) for d in docs])
+    tokens = np.concatenate(docs)
     labels = marked[tokens] * np.repeat(np.array(toxic), lengths)
     size = len(names) + 1
 
