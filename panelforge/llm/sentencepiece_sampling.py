@@ -143,7 +143,7 @@ def _lattice(codes: np.ndarray, left: np.ndarray, pieces: Pieces) -> tuple[np.nd
     """Edges (start, length, piece id or -1 for bytes) over stretches laid end to end; left: characters that remain
     in the stretch from each place on."""
     keys, follow, ends = pieces.trie
-    at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    at, node = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int64)
     starts, lengths, ids = [], [], []
     single = np.zeros(len(codes), bool)
     size = 0
@@ -156,14 +156,15 @@ def _lattice(codes: np.ndarray, left: np.ndarray, pieces: Pieces) -> tuple[np.nd
         piece = ends[node]
         full = piece >= 0
         starts.append(at[full])
-        lengths.append(np.full(int(full.sum()), size))
-        ids.append(piece[full])
+        lengths.append(np.full(int(full.sum()), size, np.int32))
+        ids.append(piece[full].astype(np.int32))
         if size == 1:
             single[at[full]] = True
         longer = left[at] > size
         at, node = at[longer], node[longer]
-    bare = np.flatnonzero(~single)
-    return np.concatenate([*starts, bare]), np.concatenate([*lengths, np.ones(len(bare), np.int64)]), np.concatenate([*ids, np.full(len(bare), -1)])
+    bare = np.flatnonzero(~single).astype(np.int32)
+    one, none = np.ones(len(bare), np.int32), np.full(len(bare), -1, np.int32)
+    return np.concatenate([*starts, bare]), np.concatenate([*lengths, one]), np.concatenate([*ids, none])
 
 
 def _octet_count(codes: np.ndarray) -> np.ndarray:
@@ -180,10 +181,10 @@ def _sample(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.n
     own = codes[np.repeat(starts[first], own_sizes) + inside]
     edge_at, edge_len, edge_id = _lattice(own, np.repeat(own_sizes, own_sizes) - inside, pieces)
     weight = np.where(edge_id >= 0, pieces.weights[edge_id], pieces.byte_weight * _octet_count(own[edge_at]))
-    stretch = np.repeat(np.arange(len(first)), own_sizes)[edge_at]
-    head = edge_at + stretch  # nodes: one more than characters in each stretch
+    head = edge_at + np.repeat(np.arange(len(first), dtype=np.int32), own_sizes)[edge_at]  # nodes: one more than characters in each stretch
     tail = head + edge_len
-    offset = inside[edge_at] + edge_len
+    offset = inside.astype(np.int32)[edge_at] + edge_len
+    del edge_at, edge_len
     order = np.lexsort((-weight, tail, offset))
     head, tail, offset, weight, edge_id = head[order], tail[order], offset[order], weight[order], edge_id[order]
     total = np.zeros(len(own) + len(first))
@@ -191,6 +192,7 @@ def _sample(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.n
     group_step = offset[group]
     bounds = np.searchsorted(group_step, np.arange(1, int(own_sizes.max()) + 2))
     edge_bounds = np.append(group, len(tail))
+    ends_at = tail[group]
     path = np.empty(len(tail))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         low, high = int(edge_bounds[a]), int(edge_bounds[b])
@@ -198,13 +200,14 @@ def _sample(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.n
             continue
         path[low:high] = total[head[low:high]] + weight[low:high]
         total[tail[group[a:b]]] = np.logaddexp.reduceat(path[low:high], group[a:b] - low)
-    share = np.exp(path - total[tail])
-    run = np.cumsum(share)
+    path -= total[tail]
+    run = np.cumsum(np.exp(path, out=path))
+    del path, weight, tail, offset, order
     base = np.concatenate([[0.0], run])[group]
     run -= np.repeat(base, np.diff(edge_bounds))
     run[edge_bounds[1:] - 1] = 2.0  # the last edge of a node takes what rounding leaves
     opens = np.zeros(len(total), np.int64)
-    opens[tail[group]] = group
+    opens[ends_at] = group
 
     node0 = own_starts + np.arange(len(first))
     base_node = node0[which]
