@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import mixing, pii, quality, sentencepiece_sampling, simhash
+from panelforge.llm import mixing, near_copies, pii, quality, sentencepiece_sampling, simhash
 from panelforge.llm.common import stored, table
 
 
@@ -18,10 +18,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each class of op3: fingerprints within two bits."""
     return simhash.deduplicated(docs)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the classes of op3, then similarity 0.8 over five-word shingles."""
+    return near_copies.without_near_copies(near_duplicates(spark, docs, sf_dir))
+
+
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced."""
     return pii.with_surrogates(docs).select(*docs.columns)
@@ -39,7 +44,7 @@ def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("simhash near-dedup", near_duplicates),
+    ("simhash near-dedup", one_of_near_copies),
     ("pii surrogates", pii_surrogates),
     ("source mixing", source_mix),
     ("sentencepiece", sampled_pieces),
