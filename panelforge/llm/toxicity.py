@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,29 +79,30 @@ def aggregate(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log(highest / (1 - highest)), np.minimum(np.log1p(hits[ends] - hits[ends - lengths]), 3.0)])
 
 
-def _neighbourhoods(docs: list[np.ndarray], found: list[list[int]], wanted: set[int] | None, most: int = 40) -> dict[int, int]:
-    """For each (wanted) feature, in how many different neighbourhoods it occurs, counted up to a bound that is far
-    over what decides."""
-    around: defaultdict[int, set[int]] = defaultdict(set)
-    kept = found if wanted is None else [[f for f in fs if f in wanted] for fs in found]
-    for words in docs:
-        ring = [-1, *words.tolist(), -1]
-        for before, word, after in zip(ring, ring[1:], ring[2:], strict=False):
-            for f in kept[word]:
-                seen = around[f]
-                if len(seen) < most:
-                    seen.add(before << 32 | after & 0xFFFFFFFF)
-    return {f: len(seen) for f, seen in around.items()}
-
-
-def _marks(docs: list[np.ndarray], toxic: list[int], found: list[list[int]]) -> set[int]:
-    """The features that mark toxic words. docs: word numbers; found: the feature numbers of each word."""
-    there = _neighbourhoods([d for d, t in zip(docs, toxic, strict=True) if t], found, None)
-    there = {f: n for f, n in there.items() if n >= LEAST_SUPPORT}
-    here = _neighbourhoods([d for d, t in zip(docs, toxic, strict=True) if not t], found, set(there))
-    scale = min(math.log((sum(toxic) + 1) / (len(toxic) - sum(toxic) + 1)), 0)
-    odds = {f: math.log((n + 0.5) / (here.get(f, 0) + 0.5)) - scale for f, n in there.items()}
-    return {f for f, n in there.items() if odds[f] >= LEAST_ODDS and here.get(f, 0) * 20 <= n}
+def _neighbourhoods(docs: list[np.ndarray], found: list[list[int]]) -> np.ndarray:
+    """For each feature, in how many different neighbourhoods (word before, word after) it occurs."""
+    size = 1 + max((f for fs in found for f in fs), default=-1)
+    total = np.zeros(size, np.int64)
+    docs = [d.astype(np.int64) for d in docs if len(d)]
+    if not docs:
+        return total
+    words = np.concatenate(docs)
+    around = np.concatenate([np.append(-1, d[:-1]) << 32 | np.append(d[1:], -1) & 0xFFFFFFFF for d in docs])
+    around = np.unique(around, return_inverse=True)[1]
+    for place in range(1 + len(PREFIXES)):  # a feature stands at one place of features() only
+        own = np.array([fs[place] if place < len(fs) else -1 for fs in found], np.int64)[words]
+        total += np.bincount(np.unique(own[own >= 0] << 32 | around[own >= 0]) >> 32, minlength=size)
+    return total
+
+
+def _marks(docs: list[np.ndarray], toxic: list[int], found: list[list[int]], clean_weight: float = 1.0) -> set[int]:
+    """The features that mark toxic words. docs: word numbers; found: the feature numbers of each word; clean_weight:
+    how many times the rows a sampled clean document stands for exceed those of a toxic one."""
+    there = _neighbourhoods([d for d, t in zip(docs, toxic, strict=True) if t], found)
+    here = _neighbourhoods([d for d, t in zip(docs, toxic, strict=True) if not t], found) * clean_weight
+    scale = min(math.log((sum(toxic) + 1) / ((len(toxic) - sum(toxic)) * clean_weight + 1)), 0)
+    odds = np.log((there + 0.5) / (here + 0.5)) - scale
+    return set(np.flatnonzero((there >= LEAST_SUPPORT) & (odds >= LEAST_ODDS) & (here * 20 <= there)).tolist())
 
 
 def fit(texts: list[str], toxic: list[int], share: dict[int, float]) -> ToxicModel:
@@ -114,7 +114,7 @@ def fit(texts: list[str], toxic: list[int], share: dict[int, float]) -> ToxicMod
     docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
     names: dict[str, int] = {}
     found = [[names.setdefault(f, len(names)) for f in features(w)] for w in ids]
-    marks = _marks(docs, toxic, found)
+    marks = _marks(docs, toxic, found, share[0] / share[1])
     marked = np.array([any(f in marks for f in fs) for fs in found], np.int64)
     word_at = np.repeat(np.arange(len(found)), [len(fs) for fs in found])
     feature_at = np.fromiter((f for fs in found for f in fs), np.int64, len(word_at))
