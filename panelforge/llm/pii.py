@@ -71,7 +71,7 @@ NAME = rf"(?=\p{{Lu}})(?:{_TITLE}\.?(?: {_WORD}){{1,2}}|{_KNOWN} {_WORD})"
 #: E-mail first: its local part may look like anything else. Digits before names, as they fail fastest.
 PATTERN = rf"{_EDGE}(?:{EMAIL}|{CREDENTIAL}|{ACCESS_KEY}|{SECRET}|{IPV4}|{SSN}|{CARD}|{PHONE}|{IBAN}|{NAME})"
 #: What any entity must contain; most texts stop here.
-HINT = rf"@|[=:] ?[\"']?[A-Za-z0-9+/_-]{{8}}|{_KEY_PREFIX}[A-Za-z0-9]{{16}}|[0-9][0-9. ()-]{{7}}|(?<![0-9A-Za-z])[0-9A-Fa-f]{{32}}|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE}|{_KNOWN})\.? \p{{Lu}}"
+HINT = rf"@|[=:]\s{{0,2}}[\"']?[A-Za-z0-9+/_-]{{8}}|{_KEY_PREFIX}[A-Za-z0-9]{{16}}|[0-9][0-9. ()-]{{6}}|\+[0-9]|(?<![0-9A-Za-z])[0-9A-Fa-f]{{32}}|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE}|{_KNOWN})\.? \p{{Lu}}"
 
 _KINDS = [
     ("email", EMAIL), ("ipv4", IPV4), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("key", ACCESS_KEY),
