@@ -29,8 +29,8 @@ TITLES = {
     "n": "Dr Prof Professor Doctor Doktor".split(),
 }
 GIVEN = {
-    ("latin", "m"): "Michael Robert William Richard Thomas Charles Daniel Matthew Anthony Steven Andrew Joshua Kenneth Kevin Brian George Edward Ronald Wolfgang Jürgen Stefan Heinrich Pierre Philippe François Laurent Carlos Fernando Alejandro Javier".split(),
-    ("latin", "f"): "Jennifer Patricia Elizabeth Barbara Susan Jessica Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Ursula Monika Sabine Brigitte Isabelle Catherine Françoise Nathalie Carmen Guadalupe Beatriz Lucía".split(),
+    ("latin", "m"): "Michael Robert William Richard Thomas Charles Daniel Matthew Anthony Steven Andrew Joshua Kenneth Kevin Brian George Edward Ronald Wolfgang Jürgen Stefan Heinrich Pierre Philippe François Laurent Carlos Fernando Alejandro Javier James John David Joseph Christopher Paul Donald Timothy Jason Jeffrey Jacob Nicholas Jonathan Stephen Benjamin Samuel Patrick Alexander Peter Henry Martin Hans Klaus Jürg Friedrich Johannes Andreas Michel Jacques Antoine Nicolas José Juan Luis Miguel Antonio Manuel Pedro Pablo Diego Giovanni Marco Giuseppe Luca Ahmed Mohammed Omar".split(),
+    ("latin", "f"): "Jennifer Patricia Elizabeth Barbara Susan Jessica Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Ursula Monika Sabine Brigitte Isabelle Catherine Françoise Nathalie Carmen Guadalupe Beatriz Lucía Mary Maria María Linda Sarah Karen Lisa Nancy Betty Kimberly Laura Cynthia Dorothy Amy Angela Sharon Anna Helen Nicole Samantha Katherine Christine Rachel Carolyn Janet Julia Hannah Sophia Olivia Emma Petra Claudia Gisela Heike Katharina Marie Sophie Camille Claire Élise Ana Isabel Pilar Rosa Elena Giulia Francesca Fatima Aisha".split(),
     ("cyrillic", "m"): "Александр Дмитрий Сергей Николай Владимир Михаил Андрей Алексей Виктор Павел".split(),
     ("cyrillic", "f"): "Екатерина Татьяна Наталья Светлана Людмила Марина Галина Ирина Ольга Елена".split(),
     ("greek", "m"): "Γεώργιος Δημήτριος Κωνσταντίνος Ιωάννης Νικόλαος Παναγιώτης Βασίλειος Αθανάσιος".split(),
@@ -67,7 +67,8 @@ _TITLES_ALL = [t for ts in TITLES.values() for t in ts]
 _TITLE = rf"(?:{_alternatives(_TITLES_ALL)})"
 _KNOWN = rf"(?:{_alternatives(_GIVEN_ALL)})"
 _WORD = rf"{_CAPITALISED}(?:-{_CAPITALISED})?(?!\p{{L}})"
-NAME = rf"(?=\p{{Lu}})(?:{_TITLE}\.?(?: {_WORD}){{1,2}}|{_KNOWN} {_WORD})"
+_MIDDLE = rf"(?: (?:{_KNOWN}(?!\p{{L}})|\p{{Lu}}\.))"
+NAME = rf"(?=\p{{Lu}})(?:{_TITLE}\.?{_MIDDLE}{{0,3}}(?: {_WORD}){{1,3}}|{_KNOWN}{_MIDDLE}{{0,3}} {_WORD})"
 #: E-mail first: its local part may look like anything else. Digits before names, as they fail fastest.
 PATTERN = rf"{_EDGE}(?:{EMAIL}|{CREDENTIAL}|{ACCESS_KEY}|{SECRET}|{IPV4}|{SSN}|{CARD}|{PHONE}|{IBAN}|{NAME})"
 #: What any entity must contain; most texts stop here.

@@ -15,3 +15,9 @@ def test_every_match_has_the_hint(spark):
     assert not [r["text"] for r in rows if r["match"] and not r["hint"]] and sum(r["match"] for r in rows) >= 20
     changed = [r["text"] for r in pii.with_surrogates(table(spark, texts[:4])).orderBy("doc_id").collect()]
     assert all(a != b for a, b in zip(changed, texts, strict=False))
+
+
+def test_whole_names_are_found(spark):
+    texts = ["John Smith", "Dr. Anna Maria Schmidt", "Michael J. Smith", "Mary Smith", "Herr Xaver Quirin Schmidt"]
+    rows = pii.detected(table(spark, texts)).orderBy("doc_id").collect()
+    assert [[(e["match"], e["canon"]) for e in r["__found"]] for r in rows] == [[(t, t.split(" ")[-1].lower())] for t in texts]
