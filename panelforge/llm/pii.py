@@ -14,6 +14,8 @@ extra columns pass; an n_chars column follows the new text.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ GIVEN = {
     ("greek", "m"): "Γεώργιος Δημήτριος Κωνσταντίνος Ιωάννης Νικόλαος Παναγιώτης Βασίλειος Αθανάσιος".split(),
     ("greek", "f"): "Αικατερίνη Βασιλική Ελένη Γεωργία Σοφία Αναστασία Ευαγγελία Δήμητρα".split(),
 }
+GIVEN_ENDS = {"latin": ("n", "th"), "cyrillic": ("н", "сь"), "greek": ("ς", "ξ")}
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke la le ma mo".split(),
     "cyrillic": "ба бо ва ве га го да де ка ко ла ле ма мо на ро".split(),
@@ -249,25 +252,32 @@ def _spaced(match: Column, text: Column) -> Column:
     return _chars(match, lambda c, i: F.when(c == " ", c).otherwise(F.substr(text, F.length(F.replace(F.substr(match, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1))))
 
 
+def _moved(names: list[str], key: str) -> list[str]:
+    """The names in keyed order. Each is replaced by the next one: one to one, and none stays."""
+    return sorted(dict.fromkeys(names), key=lambda n: hashlib.sha256(f"{key}\u0001{n}".encode()).digest())
+
+
 def _person(match: Column, kind: Column, surname: Column, key: str) -> Column:
-    """Title kept, given names of the same gender (the title's for names not known) and script, and the surrogate
-    surname in the case of the old one."""
+    """Title kept, listed given names moved inside their list (gender and script), others spelt in their script, and
+    the surrogate surname in the case of the old one."""
     words = F.split(match, " ")
     title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
 
-    def pick(word: Column, script: str, gender: str) -> Column:
-        names = GIVEN[script, gender]
-        place = F.pmod(F.xxhash64(F.lit(key), F.lit(script), F.lit(gender), F.lower(word)), F.lit(len(names))).cast("int") + 1
-        return F.element_at(F.array(*[F.lit(n) for n in names]), place)
-
     def given(word: Column) -> Column:
         woman = title.isin(TITLES["f"]) | (~title.isin(TITLES["m"]) & (F.crc32(F.lower(word).cast("binary")) % 2 == 0))
-        changed = None
-        for script in SYLLABLES:
-            picked = F.when(woman, pick(word, script, "f")).otherwise(pick(word, script, "m"))
-            changed = F.when(kind == f"name:{script}", picked) if changed is None else changed.when(kind == f"name:{script}", picked)
-        for (script, gender), names in GIVEN.items():
-            changed = F.when(word.isin(names), pick(word, script, gender)).otherwise(changed)
+        # a name on no list: a spelt one, its end a consonant by gender, so that it equals no listed name
+        stream = _stream(key, F.lit("given"), F.lower(word))
+        ending = F.lit("")
+        for script, (man_end, woman_end) in GIVEN_ENDS.items():
+            ending = F.when(kind == f"name:{script}", F.when(woman, F.lit(woman_end)).otherwise(F.lit(man_end))).otherwise(ending)
+        spelt = F.initcap(F.concat(_name(stream, kind, F.lit(40)), ending))
+        moved = [_moved(names, key) for names in GIVEN.values()]
+        # initials move on in the alphabet
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        spelt = F.when(word.rlike(r"^[A-Z]\.$"), F.translate(word, letters, letters[7:] + letters[:7])).otherwise(spelt)
+        before = F.array(*[F.lit(n) for ns in moved for n in ns])
+        after = F.array(*[F.lit(n) for ns in moved for n in [*ns[1:], ns[0]]])
+        changed = F.coalesce(F.get(after, F.array_position(before, word).cast("int") - 1), spelt)
         return F.when(F.regexp_replace(word, r"\.$", "").isin(_TITLES_ALL), word).otherwise(changed)
 
     front = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), given)

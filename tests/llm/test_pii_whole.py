@@ -17,6 +17,14 @@ def test_every_match_has_the_hint(spark):
     assert all(a != b for a, b in zip(changed, texts, strict=False))
 
 
+def test_given_names_stay_apart(spark):
+    names = [*pii.GIVEN["latin", "m"], *[f"Xa{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(10)]]
+    out = [r["text"].split(" ") for r in pii.with_surrogates(table(spark, [f"Herr {n} Smith" for n in names])).orderBy("doc_id").collect()]
+    made = [words[1] for words in out]
+    assert len(set(made)) == len(names) and not any(a == b for a, b in zip(made, names, strict=True))
+    assert {words[2] for words in out} != {"Smith"} and len({words[2] for words in out}) == 1
+
+
 def test_whole_names_are_found(spark):
     texts = ["John Smith", "Dr. Anna Maria Schmidt", "Michael J. Smith", "Mary Smith", "Herr Xaver Quirin Schmidt"]
     rows = pii.detected(table(spark, texts)).orderBy("doc_id").collect()
