@@ -80,7 +80,7 @@ def data_audit(d: Design) -> DataFrame:
 @query
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_buckets(spark, sf_dir)
-    assets = tuple(r["asset"] for r in rows.select("asset").distinct().orderBy("asset").limit(64).collect())
+    assets = tuple(r["asset"] for r in rows.select("asset").distinct().orderBy("asset").collect())
     return carried_forward(rows, assets).rows
 
 
