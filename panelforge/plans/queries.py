@@ -428,12 +428,12 @@ def hac_sensitivity(d: Design) -> DataFrame:
 
 @on_design
 def bootstrap_interval(d: Design) -> DataFrame:
-    return inference.bootstrap_interval(d.differences, replications=2_000)
+    return inference.bootstrap_interval(d.differences)
 
 
 @on_design
 def block_length_sensitivity(d: Design) -> DataFrame:
-    return inference.block_length_sensitivity(d.differences, replications=1_000)
+    return inference.block_length_sensitivity(d.differences)
 
 
 @on_design
