@@ -1,12 +1,15 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 
 Every such pair is found. In any order of all shingles, two sets of similarity 0.8 share one among the first
-n - ceil(0.8 n) + 1 of each, so documents are grouped by these shingles and the pairs of a group are confirmed on whole
-sets. Shingles that a sample of documents shows to be frequent come last in the order; this changes costs, not results.
+n - ceil(0.8 n) + 1 of each, so documents are grouped by these shingles. Where two sets first share a shingle, what
+follows it in each bounds what they can have in common; pairs that this bound and their sizes leave are confirmed on
+whole sets. Shingles that a sample of one document in SAMPLED shows to be frequent come last in the order, so a passage
+that many documents share brings together only documents that hold little else; this changes costs, not results.
 A group over GROUP_MOST is first compared with its least document only; what that leaves in different classes is then
 compared pair by pair, so a large cluster costs one comparison per member and shingle.
 
-Shingles are compared by 64-bit hashes. Documents with a null id are kept as they are; other ids are distinct.
+Shingles are compared by 64-bit hashes. Rows are told apart by a hash of id and text, so rows of one id whose texts
+differ are different documents, and of rows equal in both one stays.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelforge.llm.common import only, slices, stored, tidy, utf8
+from panelforge.llm.common import nested, only, restored, slices, stored, tidy, utf8
 from panelforge.llm.components import components
 from panelforge.llm.simhash import SEED, shingles
 
 SHINGLE = 5
 GROUP_MOST = 24
-SAMPLE = 4000
+SAMPLED = 8
 FREQUENT = 6
+FREQUENT_MOST = 1_000_000
 SALTS = 64
+PAIRS_HELD = 200_000
 
 
 def codes(text: bytes) -> np.ndarray:
@@ -53,15 +58,15 @@ def _sets(documents: DataFrame) -> DataFrame:
 
 
 def _frequent(documents: DataFrame) -> np.ndarray:
-    """Hashes of shingles that several documents of a sample share; SAMPLE documents or so, whatever the input."""
-    every = max(documents.count() // SAMPLE, 1)
-    counts = _sets(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).select(F.explode("codes").alias("code")).groupBy("code").count()
-    kept = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "code").limit(100_000).collect()
-    return np.sort(np.array([r["code"] for r in kept], np.int64))
+    """Hashes of shingles that several of the sampled documents share: the FREQUENT_MOST most shared, 8 MB at most."""
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    counts = _sets(sample).select(F.explode("codes").alias("code")).groupBy("code").count()
+    kept = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "code").limit(FREQUENT_MOST).toPandas()
+    return np.sort(kept["code"].to_numpy(np.int64))
 
 
 def _tokens(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, doc_id, n): the leading shingles of each document and the size of its set."""
+    """(token, doc_id, n, pos): the leading shingles of each document, its set's size and their places in the order."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,24 +76,40 @@ def _tokens(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
             sizes = [len(h) for h in heads]
             ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
             ns = np.repeat(np.array([len(own) for own in sets], np.int32), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(ids), pa.array(ns)], ["token", "doc_id", "n"])
+            pos = np.concatenate([np.arange(size, dtype=np.int32) for size in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(ids), pa.array(ns), pa.array(pos)], ["token", "doc_id", "n", "pos"])
 
-    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), "token long, doc_id long, n int")
+    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), "token long, doc_id long, n int, pos int")
 
 
 def _pairs(groups: DataFrame, choose) -> DataFrame:
-    """(a, b), a < b: the pairs that choose(members) gives as places, sizes permitting. members: arrays by field."""
+    """(a, b), a < b: the pairs that choose(members) gives as places, where sizes and the rest of both sets permit a
+    similarity of 0.8. members: arrays by field."""
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             for group in batch.column(0):
                 members = {f.name: group.values.field(f.name).to_numpy(zero_copy_only=False) for f in group.type.value_type}
-                ids, n = members["doc_id"], members["n"]
+                ids, n = members["doc_id"], members["n"].astype(np.int64)
+                rest = n - members["pos"]
                 for i, j in choose(members):
-                    near = np.minimum(n[i], n[j]) * 5 >= np.maximum(n[i], n[j]) * 4
-                    a, b = np.broadcast_arrays(ids[i], ids[j])
-                    a, b = a[near], b[near]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                    near = (least * 5 >= most * 4) & (np.minimum(rest[i], rest[j]) * 9 >= (least + most) * 4)
+                    if near.any():
+                        pair = np.stack([ids[i][near], ids[j][near]], axis=1)
+                        pair.sort(axis=1)
+                        found.append(pair)
+                        held += len(pair)
+                if held > PAIRS_HELD:
+                    yield packed(found)
+                    found, held = [], 0
+        if found:
+            yield packed(found)
 
     return groups.mapInArrow(tidy(rows), "a long, b long").distinct()
 
@@ -126,20 +147,30 @@ def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
-    """Edges (a, b) between ids that join all near copies."""
-    known = documents.where(F.col("doc_id").isNotNull())
-    groups = _tokens(known, _frequent(known)).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("members"))
-    groups = stored(groups.where(F.size("members") > 1).select("members").distinct())
+    """Edges (a, b) between the distinct ids of rows (doc_id, text) that join all near copies."""
+    known = documents
+    groups = _tokens(known, _frequent(known)).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "pos"))).alias("members"))
+    groups = groups.where(F.size("members") > 1)
+    # of shingles with the same documents the first in the order is enough; it is the first in all of them
+    groups = groups.groupBy(F.xxhash64("members.doc_id").alias("ids")).agg(F.min_by("members", F.col("members")[0]["pos"]).alias("members"))
+    groups = stored(groups.select("members"))
     found = _confirmed(known, _pairs(groups, _first_pairs(most)))
     large = groups.where(F.size("members") > most).select(F.xxhash64("members").alias("group"), F.explode("members").alias("m")).select("group", "m.*")
     large = large.join(components(found), F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id"))
-    split = large.groupBy("group").agg(F.collect_list(F.struct("doc_id", "n", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    split = large.groupBy("group").agg(F.collect_list(F.struct("doc_id", "n", "pos", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
     rest = _confirmed(known, _pairs(split.where("low <> high").select("members"), _other_pairs))
     return found.unionByName(rest)
 
 
 def without_near_copies(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
-    """The document with the least id of each class that near copies form."""
-    documents = stored(documents)
-    dropped = components(links(documents, most)).where("node <> root").select(F.col("node").alias("__drop"))
-    return documents.join(dropped, documents["doc_id"] == dropped["__drop"], "left_anti")
+    """Of each class that near copies form the first document by (doc_id, hash of id and text), null ids last."""
+    rows = nested(documents, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = stored(rows.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    joined = components(links(keyed, most))
+    joined = stored(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()))
+    ids = rows.select("doc_id", "key").join(joined, F.col("key") == joined["node"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    kept = ids.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("node"))
+    dropped = joined.select("node").join(kept, "node", "left_anti")
+    left = rows.join(dropped, rows["key"] == dropped["node"], "left_anti").dropDuplicates(["key"])
+    return restored(left, documents.columns)
