@@ -8,7 +8,8 @@ there: the forward pass runs once per distinct stretch of a batch, the backward
 is a hash of (seed, row key, place in the text), so results do not depend on partitions, batches or retries.
 
 Characters without a piece, and a literal word mark in the text, are written as byte pieces, so decoding restores the
-text exactly; op1 decodes every row and compares.
+text exactly; op1 decodes every row and compares. A text that runs on without spaces is cut every CHUNK_CHARS
+characters, which bounds the lattice in memory.
 
 Defined results: null or empty text has no pieces; a null row key is replaced by the text's CRC-32; repeated rows get
 repeated segmentations; columns beside the named ones are ignored.
@@ -201,10 +202,14 @@ def _sample(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.n
         path[low:high] = total[head[low:high]] + weight[low:high]
         total[tail[group[a:b]]] = np.logaddexp.reduceat(path[low:high], group[a:b] - low)
     path -= total[tail]
-    run = np.cumsum(np.exp(path, out=path))
+    run = np.exp(path, out=path)
     del path, weight, tail, offset, order
-    base = np.concatenate([[0.0], run])[group]
-    run -= np.repeat(base, np.diff(edge_bounds))
+    # thresholds add up inside each node, so rounding cannot depend on what else is in the batch
+    last, edge = edge_bounds[1:] - 1, group
+    while len(edge):
+        more = edge < last
+        edge, last = edge[more] + 1, last[more]
+        run[edge] += run[edge - 1]
     run[edge_bounds[1:] - 1] = 2.0  # the last edge of a node takes what rounding leaves
     opens = np.zeros(len(total), np.int64)
     opens[ends_at] = group
@@ -241,17 +246,20 @@ def _sample(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.n
 
 
 def _cut(text: str, most: int) -> list[str]:
-    """The text in parts of about the given size, cut before a space that follows another character."""
-    parts = []
-    while len(text) > most:
-        at = most
-        while (at := text.find(" ", at)) > 0 and text[at - 1] == " ":
+    """The text in parts of at most twice the given size, cut before a space that follows another character. Where the
+    second half of a part has no such space, the part ends at its full size: that place is the text's own, so it does
+    not vary with batches, and only the piece across it is lost to the draw."""
+    parts, low = [], 0
+    while len(text) - low > most:
+        at, full = low + most, low + 2 * most
+        while 0 < (at := text.find(" ", at, full)) and text[at - 1] == " ":
             at += 1
-        if at <= 0:
+        if at < 0 and full >= len(text):
             break
-        parts.append(text[:at])
-        text = text[at:]
-    return [*parts, text]
+        at = at if at > 0 else full
+        parts.append(text[low:at])
+        low = at
+    return [*parts, text[low:]]
 
 
 def row_hash(keys: list[int | None], texts: list[str], seed: int) -> np.ndarray:
@@ -274,7 +282,7 @@ def encode(texts: list[str], keys: list[int | None], pieces: Pieces, seed: int =
 
     for i, text in enumerate(texts):
         place = 0
-        for part in _cut(text, chunk):
+        for part in _cut(text, chunk // 2):
             if not part:
                 continue
             if size + len(part) > chunk:
