@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import itertools
-import shutil
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,6 +16,8 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than ASCII white space (space, tab, LF, VT, FF, CR).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 LABEL_FOLDS = 3
+#: Paths of this driver's intermediate tables.
+_WRITTEN: list[str] = []
 HELD_OUT_FOLD = 1
 
 
@@ -26,16 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a fresh local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that every executor sees: spark.checkpoint.dir, or the context's checkpoint folder. In local mode the
+    one process sees the warehouse folder too; a cluster that names no folder is refused, as a folder of the driver's
+    machine would lose what executors write."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    made = spark.sparkContext.getCheckpointDir()
-    if made is None:
-        made = tempfile.mkdtemp(prefix="panelforge-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(made)
-    return made
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+    raise ValueError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
 
 
 def stored(frame: DataFrame) -> DataFrame:
@@ -43,9 +42,20 @@ def stored(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/panelforge-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard_stored(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this driver has written so far, and says how many. For the end of a job:
+    frames that still read them fail afterwards."""
+    count = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return count
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the rows whose labels no model may see; a null id counts as the text 'null'."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))

@@ -24,8 +24,9 @@ def training_rows(
         part = known.where(F.col("__label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     short = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    # at most 2 x per_class ids: 16 bytes each, whatever the input
-    rows = short.join(F.broadcast(ids), "doc_id").select("text", "__label", F.xxhash64("doc_id").alias("h")).collect()
+    # at most 2 x per_class ids: 16 bytes each, whatever the input; of rows that repeat an id one text is taken
+    named = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    rows = named.select("text", "__label", F.xxhash64("doc_id").alias("h")).collect()
     rows.sort(key=lambda r: (r["h"], r["text"]))
     texts, values = [r["text"] for r in rows], [r["__label"] for r in rows]
     share = {v: totals.get(v, 0) / max(values.count(v), 1) for v in (0, 1)}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelforge.llm.common import only, slices, stored, table, tidy, utf8
+from panelforge.llm.common import nested, only, restored, slices, stored, table, tidy, utf8
 from panelforge.llm.components import components
 
 SHINGLE = 3
@@ -207,11 +207,17 @@ def _group_links(distance: int):
     return rows
 
 
+def roots(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(fp, least, root): the distinct fingerprints, their smallest doc_id and the fingerprint that stands for all that
+    links join."""
+    least = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("least")))
+    joined = components(link_fingerprints(least.select("fp")))
+    return least.join(joined, least.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(fp, component_id) for the fingerprints of rows (doc_id, fp): the smallest doc_id that links reach."""
-    least = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    roots = components(link_fingerprints(least.select("fp")))
-    rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = roots(prints, doc_id)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "component_id")
 
@@ -223,11 +229,16 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One document of each class: the one that names it, once. Documents with a null id are kept as they are."""
-    members = near_duplicate_classes(documents)
-    chosen = members.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    named = documents.join(chosen, documents["doc_id"] == chosen["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where(F.col("doc_id").isNull()))
+    """One document of each class: of its rows the first by (doc_id, hash of the text), null ids last. Rows of one id
+    whose texts fall into different classes all stay; of equal rows one stays."""
+    tied = nested(documents, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    prints = stored(with_fingerprints(keyed, keep_text=False))
+    named = prints.join(roots(prints), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie"))
+    chosen = named.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("keep"), F.col("first.tie").alias("keep_tie"))
+    kept = tied.join(chosen, tied["doc_id"].eqNullSafe(chosen["keep"]) & (tied["tie"] == chosen["keep_tie"]), "left_semi")
+    return restored(kept.dropDuplicates(["doc_id", "tie"]), documents.columns)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
