@@ -1,28 +1,39 @@
 """PII surrogates with SQL functions only.
 
 Entities (e-mail addresses, phone, card and social security numbers, IBANs, IPv4 addresses, long hexadecimal secrets,
-access keys, values given to a password, token or key, and person names after a title or a known given name) are cut out of the text by one pattern and replaced by keyed
-surrogates of the same type: the same shape, letter case, country prefix, card issuer digit and Luhn remainder,
-private or public address range, script and gender. A surrogate is a function of (key, type, canonical form, attempt),
-so one entity gets one surrogate in every document and every spelling. A first pass gathers the distinct canonical
-forms; a proposed surrogate that equals a real entity or another's surrogate is proposed anew with the next attempt,
-until all are distinct. Only entities with an attempt above zero need to be looked up in the second pass.
-
-Defined results: null text stays null; text without entities is returned unchanged; repeated rows get equal texts;
-extra columns pass; an n_chars column follows the new text.
+access keys, values given to a password, token or key, and person names after a title, a known given name or a cue
+such as "name:") are cut out of the text by one pattern and replaced by keyed surrogates of the same type: the same
+shape, letter case, country code, card issuer digit and Luhn remainder, IBAN country and valid check digits, issued
+number ranges, private or public address range, script and gender. A surrogate is a function of (key, type, canonical
+form, attempt), so one entity gets one surrogate in every document and every spelling; a surname that a document
+writes with a title or given name is also replaced where it stands alone there.
+
+A first pass finds the entities of each text and stores them beside it; their distinct canonical forms are gathered,
+and a proposed surrogate that equals a real entity or another's surrogate is proposed anew with the next attempt, until
+all are distinct. Given names on no list are entities of their own, so whole names stay distinct. A format that is full
+grows: from the WIDER-th attempt on, numbers gain digits and addresses leave their range. Only entities with an
+attempt above zero need to be looked up in the second pass.
+
+Defined results: null text stays null; text without entities is returned unchanged; repeated rows and rows with a null
+id get equal texts for equal texts; extra columns pass; an n_chars column follows the new text; empty tables give empty
+tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import nested, only, restored, stored, table
 
+#: Where a run of word characters, hyphens and the like begins or ends.
+WORD_EDGE = r"(?<=[\p{L}\p{N}_@-])(?![\p{L}\p{N}_@-])|(?<![\p{L}\p{N}_@-])(?=[\p{L}\p{N}_@-])"
 KEY = "panelforge surrogate key"
-MOST_ATTEMPTS = 40
+#: Attempts after which a format counts as full and grows by a step, and again each time.
+WIDER = 6
 
 # Titles, given names and syllables by gender and script.
 TITLES = {
@@ -71,15 +82,19 @@ _TITLE = rf"(?:{_alternatives(_TITLES_ALL)})"
 _KNOWN = rf"(?:{_alternatives(_GIVEN_ALL)})"
 _WORD = rf"{_CAPITALISED}(?:-{_CAPITALISED})?(?!\p{{L}})"
 _MIDDLE = rf"(?: (?:{_KNOWN}(?!\p{{L}})|\p{{Lu}}\.))"
-NAME = rf"(?=\p{{Lu}})(?:{_TITLE}\.?{_MIDDLE}{{0,3}}(?: {_WORD}){{1,3}}|{_KNOWN}{_MIDDLE}{{0,3}} {_WORD})"
+# What announces a name.
+_CUE = r"(?i:name: |name is |regards,\s|sincerely,\s|signed by |patient: |employee: |customer: |contact: |attn: )"
+NAME = rf"(?=\p{{Lu}})(?:{_TITLE}\.?{_MIDDLE}{{0,3}}(?: {_WORD}){{1,3}}|{_KNOWN}{_MIDDLE}{{0,3}} {_WORD}|(?<={_CUE}){_WORD}{_MIDDLE}{{0,2}} {_WORD})"
+# Country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: E-mail first: its local part may look like anything else. Digits before names, as they fail fastest.
 PATTERN = rf"{_EDGE}(?:{EMAIL}|{CREDENTIAL}|{ACCESS_KEY}|{SECRET}|{IPV4}|{SSN}|{CARD}|{PHONE}|{IBAN}|{NAME})"
 #: What any entity must contain; most texts stop here.
-HINT = rf"@|[=:]\s{{0,2}}[\"']?[A-Za-z0-9+/_-]{{8}}|{_KEY_PREFIX}[A-Za-z0-9]{{16}}|[0-9][0-9. ()-]{{6}}|\+[0-9]|(?<![0-9A-Za-z])[0-9A-Fa-f]{{32}}|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE}|{_KNOWN})\.? \p{{Lu}}"
+HINT = rf"@|[=:]\s{{0,2}}[\"']?[A-Za-z0-9+/_-]{{8}}|{_KEY_PREFIX}[A-Za-z0-9]{{16}}|[0-9][0-9. ()-]{{6}}|\+[0-9]|(?<![0-9A-Za-z])[0-9A-Fa-f]{{32}}|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE}|{_KNOWN})\.? \p{{Lu}}|{_CUE}\p{{Lu}}"
 
 _KINDS = [
     ("email", EMAIL), ("ipv4", IPV4), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("key", ACCESS_KEY),
-    ("secret", "[0-9A-Fa-f]{8,128}"), ("iban", IBAN), ("credential", "[A-Za-z0-9+/_-]{8,128}"),
+    ("iban", IBAN), ("secret", "[0-9A-Fa-f]{8,128}"), ("credential", "[A-Za-z0-9+/_-]{8,128}"),
 ]
 
 
@@ -105,9 +120,11 @@ def _digits(text: Column) -> Column:
 
 
 def _national(match: Column) -> Column:
-    """Digits of a phone number without the country prefix 1."""
+    """Digits of a phone number after its country code and a colon; ten digits after the code 1 stand alone."""
     digits = _digits(match)
-    return F.when(match.startswith("+1") & (F.length(digits) == 11), F.substring(digits, 2, 10)).otherwise(digits)
+    code = _digits(F.regexp_extract(match, COUNTRY_CODE, 0))
+    rest = F.substr(digits, F.length(code) + 1, F.length(digits))
+    return F.when((code == "") | (code == "1") & (F.length(digits) == 11), rest).otherwise(F.concat(code, F.lit(":"), rest))
 
 
 def canonical(match: Column, kind: Column) -> Column:
@@ -125,6 +142,11 @@ def canonical(match: Column, kind: Column) -> Column:
 # --- surrogates ----------------------------------------------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once; it also keeps long expressions from being written out repeatedly."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _chars(text: Column, change) -> Column:
     """The text with each character (and its place from one) changed."""
     places = F.sequence(F.lit(1), F.length(text))
@@ -149,20 +171,19 @@ def _at(stream: Column, i: Column) -> Column:
 
 
 def _shaped(text: Column, stream: Column) -> Column:
-    letters, digits = _as_letters(stream), _as_digits(stream)
-    return _chars(text, lambda c, i: F.when(c.rlike("[a-z]"), _at(letters, i)).when(c.rlike("[0-9]"), _at(digits, i)).otherwise(c))
+    """Letters for letters, capitals for capitals and digits for digits."""
 
+    def change(c: Column, letters: Column, digits: Column, i: Column) -> Column:
+        letter = _at(letters, i)
+        return F.when(c.rlike("[A-Z]"), F.upper(letter)).when(c.rlike("[a-z]"), letter).when(c.rlike("[0-9]"), _at(digits, i)).otherwise(c)
 
-def _shaped_cases(text: Column, stream: Column) -> Column:
-    """As _shaped, with capitals for capitals."""
-    letters, digits = _as_letters(stream), _as_digits(stream)
-    capital = lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(_at(letters, i)))
-    return _chars(text, lambda c, i: capital(c, i).when(c.rlike("[a-z]"), _at(letters, i)).when(c.rlike("[0-9]"), _at(digits, i)).otherwise(c))
+    both = F.struct(_as_letters(stream).alias("letters"), _as_digits(stream).alias("digits"), text.alias("text"))
+    return _let(both, lambda b: _chars(b["text"], lambda c, i: change(c, b["letters"], b["digits"], i)))
 
 
 def _key(canon: Column, stream: Column) -> Column:
     prefix = F.regexp_extract(canon, "^" + _KEY_PREFIX, 0)
-    return F.concat(prefix, _shaped_cases(F.substr(canon, F.length(prefix) + 1, F.length(canon)), stream))
+    return F.concat(prefix, _shaped(F.substr(canon, F.length(prefix) + 1, F.length(canon)), stream))
 
 
 def _luhn(digits: Column) -> Column:
@@ -180,17 +201,57 @@ def _luhn(digits: Column) -> Column:
 def _card(canon: Column, stream: Column) -> Column:
     n = F.length(canon)
     body = F.concat(F.substring(canon, 1, 1), F.substr(_as_digits(stream), F.lit(1), n - 2))
-    check = F.pmod(_luhn(canon) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    return F.concat(body, check.cast("string"))
+    check = lambda b: F.pmod(_luhn(canon) - _luhn(F.concat(b, F.lit("0"))), F.lit(10))
+    return _let(body, lambda b: F.concat(b, check(b).cast("string")))
+
+
+def _from(stream: Column, at: int, low: int, high: int, width: int = 0) -> Column:
+    """A number between low and high from eight digits of the stream, padded to the width."""
+    number = F.conv(F.substring(stream, at, 8), 16, 10).cast("long") % (high - low + 1) + low
+    return F.lpad(number.cast("string"), width, "0") if width else number.cast("string")
+
+
+def _extra(stream: Column, attempt: Column) -> Column:
+    """The digits that a full format gains: two for each WIDER attempts."""
+    return F.substr(F.reverse(_as_digits(stream)), F.lit(1), 2 * F.floor(attempt / WIDER).cast("int"))
+
+
+def _ssn(stream: Column) -> Column:
+    """Nine digits in the ranges that are issued."""
+    return F.concat(_from(stream, 1, 1, 665, 3), _from(stream, 9, 1, 99, 2), _from(stream, 17, 1, 9999, 4))
+
+
+def _phone(canon: Column, stream: Column) -> Column:
+    """The country code and colon kept; ten digits without them have no 0 or 1 at the head of area code and exchange."""
+    code = F.regexp_extract(canon, "^[0-9]{1,3}:", 0)
+    national = F.concat(_from(stream, 1, 200, 999), _from(stream, 9, 200, 999), _from(stream, 17, 0, 9999, 4))
+    plain = F.concat(code, F.substr(_as_digits(stream), F.lit(1), F.length(canon) - F.length(code)))
+    return F.when((code == "") & (F.length(canon) == 10), national).otherwise(plain)
+
+
+def _iban(canon: Column, stream: Column) -> Column:
+    """The country, check digits that make the whole leave 1 on division by 97, and an account of the same shape."""
+    country, account = F.substring(canon, 1, 2), _shaped(F.substr(canon, F.lit(5), F.length(canon)), stream)
+
+    def step(left: Column, c: Column) -> Column:
+        return _let(F.conv(c, 36, 10).cast("int"), lambda d: (left * F.when(d > 9, 100).otherwise(10) + d) % 97)  # A is 10
+
+    def whole(body: Column) -> Column:
+        ordered = F.filter(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: c != "")
+        return F.concat(country, F.lpad((98 - F.aggregate(ordered, F.lit(0), step)).cast("string"), 2, "0"), body)
+
+    return _let(account, whole)
 
 
 def _octet(stream: Column, i: int, low: int, high: int) -> Column:
     return (F.conv(F.substring(stream, 4 * i + 1, 4), 16, 10).cast("int") % (high - low + 1) + low).cast("string")
 
 
-def _ipv4(canon: Column, stream: Column) -> Column:
+def _ipv4(canon: Column, stream: Column, attempt: Column) -> Column:
+    """Inside its private range; where that is full first in 10.0.0.0/8, then anywhere."""
     rest = [_octet(stream, i, 1, 254) for i in (1, 2, 3)]
     kept = F.regexp_extract(canon, r"^(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 0)
+    kept = F.when((attempt < WIDER) | (kept == ""), kept).when(attempt < 2 * WIDER, F.lit("10.")).otherwise(F.lit(""))
     private = F.when(kept.rlike(r"\..*\."), F.concat(kept, F.concat_ws(".", *rest[:2]))).otherwise(F.concat(kept, F.concat_ws(".", *rest)))
     first = _octet(stream, 0, 11, 126)
     return F.when(kept != "", private).otherwise(F.concat_ws(".", first, *rest))
@@ -205,38 +266,47 @@ def _email(canon: Column, stream: Column, key: str) -> Column:
 
 
 def _name(stream: Column, kind: Column, attempt: Column) -> Column:
-    """Four syllables, and one more for each ten attempts."""
+    """Four syllables, and one more for each WIDER attempts."""
 
     def spelt(script: str) -> Column:
         table_ = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        count = F.lit(4) + F.floor(attempt / 10).cast("int")
+        count = F.lit(4) + F.floor(attempt / WIDER).cast("int")
         return F.array_join(
             F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(table_, F.conv(F.substr(stream, i, F.lit(1)), 16, 10).cast("int") + 1)), ""
         )
 
-    return F.when(kind == "name:cyrillic", spelt("cyrillic")).when(kind == "name:greek", spelt("greek")).otherwise(spelt("latin"))
+    return F.when(kind.endswith(":cyrillic"), spelt("cyrillic")).when(kind.endswith(":greek"), spelt("greek")).otherwise(spelt("latin"))
 
 
 def core(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical form of the surrogate."""
-    stream = _stream(key, kind, canon, attempt.cast("string"))
+    given = F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"), _stream(key, kind, canon, attempt.cast("string")).alias("stream"))
+    return _let(given, lambda g: _core(g["kind"], g["canon"], g["attempt"], g["stream"], key))
+
+
+def _core(kind: Column, canon: Column, attempt: Column, stream: Column, key: str) -> Column:
     n = F.length(canon)
-    return (
-        F.when(kind == "email", _email(canon, stream, key))
-        .when(kind == "ipv4", _ipv4(canon, stream))
-        .when(kind == "card", _card(canon, stream))
-        .when(kind.isin("ssn", "phone"), F.substr(_as_digits(stream), F.lit(1), n))
+    plain = (
+        F.when(kind == "card", _card(canon, stream))
+        .when(kind == "ssn", _ssn(stream))
+        .when(kind == "phone", _phone(canon, stream))
         .when(kind == "secret", F.substr(stream, F.lit(1), n))
         .when(kind == "key", _key(canon, stream))
-        .when(kind == "credential", _shaped_cases(canon, stream))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.upper(_shaped(F.lower(F.substr(canon, F.lit(3), n)), stream))))
-        .otherwise(_name(stream, kind, attempt))
+        .when(kind == "credential", _shaped(canon, stream))
+        .otherwise(_iban(canon, stream))
+    )
+    return (
+        F.when(kind == "email", _email(F.concat(_extra(stream, attempt), canon), stream, key))
+        .when(kind == "ipv4", _ipv4(canon, stream, attempt))
+        .when(kind.startswith("name") | kind.startswith("given"), _name(stream, kind, attempt))
+        .otherwise(F.concat(plain, _extra(stream, attempt)))
     )
 
 
 def _filled(match: Column, digits: Column) -> Column:
-    """The match with its digits replaced in turn."""
-    return _chars(match, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, F.length(_digits(F.substr(match, F.lit(1), i))), F.lit(1))).otherwise(c))
+    """The match with its digits replaced in turn, and behind it those it has no place for."""
+    inside = _chars(match, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, F.length(_digits(F.substr(match, F.lit(1), i))), F.lit(1))).otherwise(c))
+    return F.concat(inside, F.substr(digits, F.length(_digits(match)) + 1, F.length(digits)))
 
 
 def _cased(like: Column, text: Column) -> Column:
@@ -248,8 +318,10 @@ def _cased(like: Column, text: Column) -> Column:
 
 
 def _spaced(match: Column, text: Column) -> Column:
-    """The text with the match's single spaces put back in their places."""
-    return _chars(match, lambda c, i: F.when(c == " ", c).otherwise(F.substr(text, F.length(F.replace(F.substr(match, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1))))
+    """The text with the match's single spaces put back in their places, and behind it what the match has no place for."""
+    bare = lambda t: F.length(F.replace(t, F.lit(" "), F.lit("")))
+    inside = _chars(match, lambda c, i: F.when(c == " ", c).otherwise(F.substr(text, bare(F.substr(match, F.lit(1), i)), F.lit(1))))
+    return F.concat(inside, F.substr(text, bare(match) + 1, F.length(text)))
 
 
 def _moved(names: list[str], key: str) -> list[str]:
@@ -257,42 +329,68 @@ def _moved(names: list[str], key: str) -> list[str]:
     return sorted(dict.fromkeys(names), key=lambda n: hashlib.sha256(f"{key}\u0001{n}".encode()).digest())
 
 
-def _person(match: Column, kind: Column, surname: Column, key: str) -> Column:
+def _front(match: Column) -> Column:
+    """The words of a name before its last one."""
+    words = F.split(match, " ")
+    return F.slice(words, F.lit(1), F.size(words) - 1)
+
+
+def _is_title(word: Column) -> Column:
+    return F.regexp_replace(word, r"\.$", "").isin(_TITLES_ALL)
+
+
+def _is_initial(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}\.$")
+
+
+def unlisted_given(match: Column) -> Column:
+    """The given names of a name that stand on no list."""
+    return F.filter(_front(match), lambda w: ~_is_title(w) & ~_is_initial(w) & ~w.isin(_GIVEN_ALL))
+
+
+def given_kind(kind: Column) -> Column:
+    return F.replace(kind, F.lit("name:"), F.lit("given:"))
+
+
+def _person(match: Column, kind: Column, surname: Column, tried, key: str) -> Column:
     """Title kept, listed given names moved inside their list (gender and script), others spelt in their script, and
-    the surrogate surname in the case of the old one."""
+    the surrogate surname in the case of the old one. tried(kind, canon) gives the attempt of a given name."""
     words = F.split(match, " ")
     title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
 
     def given(word: Column) -> Column:
         woman = title.isin(TITLES["f"]) | (~title.isin(TITLES["m"]) & (F.crc32(F.lower(word).cast("binary")) % 2 == 0))
         # a name on no list: a spelt one, its end a consonant by gender, so that it equals no listed name
-        stream = _stream(key, F.lit("given"), F.lower(word))
+        own = given_kind(kind)
         ending = F.lit("")
         for script, (man_end, woman_end) in GIVEN_ENDS.items():
             ending = F.when(kind == f"name:{script}", F.when(woman, F.lit(woman_end)).otherwise(F.lit(man_end))).otherwise(ending)
-        spelt = F.initcap(F.concat(_name(stream, kind, F.lit(40)), ending))
+        spelt = F.initcap(F.concat(core(own, F.lower(word), tried(own, F.lower(word)), key), ending))
         moved = [_moved(names, key) for names in GIVEN.values()]
         # initials move on in the alphabet
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        spelt = F.when(word.rlike(r"^[A-Z]\.$"), F.translate(word, letters, letters[7:] + letters[:7])).otherwise(spelt)
-        before = F.array(*[F.lit(n) for ns in moved for n in ns])
-        after = F.array(*[F.lit(n) for ns in moved for n in [*ns[1:], ns[0]]])
-        changed = F.coalesce(F.get(after, F.array_position(before, word).cast("int") - 1), spelt)
-        return F.when(F.regexp_replace(word, r"\.$", "").isin(_TITLES_ALL), word).otherwise(changed)
+        spelt = F.when(_is_initial(word), F.translate(word, letters, letters[7:] + letters[:7])).otherwise(spelt)
+        after = F.create_map(*[F.lit(n) for ns in moved for pair in zip(ns, [*ns[1:], ns[0]], strict=True) for n in pair])
+        changed = F.coalesce(after[word], spelt)
+        return F.when(_is_title(word), word).otherwise(changed)
+
+    return F.concat(F.array_join(F.transform(_front(match), given), " "), F.lit(" "), _cased(F.element_at(words, -1), surname))
+
 
-    front = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), given)
-    return F.concat(F.array_join(front, " "), F.lit(" "), _cased(F.element_at(words, -1), surname))
+def surrogate(match: Column, kind: Column, canon: Column, tried, key: str = KEY) -> Column:
+    """The replacement for a matched entity, in its own format. tried(kind, canon) gives an entity's attempt."""
+    entity = F.struct(match.alias("match"), kind.alias("kind"), core(kind, canon, tried(kind, canon), key).alias("value"))
+    return _let(entity, lambda e: _written(e["match"], e["kind"], e["value"], tried, key))
 
 
-def surrogate(match: Column, kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement for a matched entity, in its own format."""
-    value = core(kind, canon, attempt, key)
+def _written(match: Column, kind: Column, value: Column, tried, key: str) -> Column:
+    """A surrogate's value in the format of the match."""
     prefix = F.when(match.startswith("+1") & (F.length(_digits(match)) == 11), F.lit("1")).otherwise(F.lit(""))
     return (
         F.when(kind.isin("card", "ssn"), _filled(match, value))
-        .when(kind == "phone", _filled(match, F.concat(prefix, value)))
+        .when(kind == "phone", _filled(match, F.concat(prefix, F.replace(value, F.lit(":"), F.lit("")))))
         .when(kind == "iban", _spaced(match, value))
-        .when(kind.startswith("name"), _person(match, kind, value, key))
+        .when(kind.startswith("name"), _person(match, kind, value, tried, key))
         .when(kind.isin("key", "credential"), value)
         .otherwise(_cased(match, value))
     )
@@ -310,16 +408,22 @@ def detected(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _entities(found: DataFrame) -> DataFrame:
-    return found.select(F.explode("__found").alias("e")).select("e.kind", "e.canon").distinct()
+def _keys(found: Column) -> Column:
+    """(kind, canon) of the entities of a text, and of the unlisted given names in them."""
+    own = F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon")))
+    named = F.filter(found, lambda e: e["kind"].startswith("name"))
+    given = F.transform(
+        named, lambda e: F.transform(unlisted_given(e["match"]), lambda w: F.struct(given_kind(e["kind"]).alias("kind"), F.lower(w).alias("canon")))
+    )
+    return F.concat(own, F.flatten(given))
 
 
-def attempts(entities: DataFrame, key: str = KEY, most: int = MOST_ATTEMPTS) -> DataFrame | None:
+def attempts(entities: DataFrame, key: str = KEY) -> DataFrame | None:
     """(kind, canon, attempt) of the entities whose first surrogate is taken; None if there are none."""
     entities = stored(entities)
     taken = entities.select("kind", F.col("canon").alias("value"))
     pending, later = entities, None
-    for attempt in range(most):
+    for attempt in itertools.count():
         proposed = pending.withColumn("value", core(F.col("kind"), F.col("canon"), F.lit(attempt), key))
         free = proposed.join(taken, ["kind", "value"], "left_anti")
         won = free.groupBy("kind", "value").agg(F.min("canon").alias("canon"))
@@ -331,30 +435,48 @@ def attempts(entities: DataFrame, key: str = KEY, most: int = MOST_ATTEMPTS) ->
             return None if later is None else stored(later)
         taken = stored(taken.unionByName(won.select("kind", "value")))
         pending = lost
-    raise RuntimeError("some entities found no free surrogate; the format has too few values")
 
 
 def _replaced(documents: DataFrame, key: str) -> DataFrame:
     """Rows (__row, text, __found, __text): the new text beside all old columns."""
-    retried = attempts(_entities(detected(only(documents, "text"))), key)
-    rows = detected(nested(documents, "text"))
+    # the patterns run once: what they find is stored beside the rows
+    rows = stored(detected(nested(documents, "text")))
+    keyed = rows.where(F.size("__found") > 0).select(F.xxhash64("text").alias("__hash"), F.explode(_keys(F.col("__found"))).alias("e"))
+    keyed = keyed.select("__hash", "e.kind", "e.canon")
+    retried = attempts(keyed.select("kind", "canon").distinct(), key)
     if retried is None:
         rows = rows.withColumn("__attempts", F.lit(None).cast("map<string,int>"))
     else:
         # the retried entities of each text, by the text's hash; a shared hash only merges two lookups
-        wanted = detected(only(documents, "text")).select(F.xxhash64("text").alias("__hash"), F.explode("__found").alias("e"))
-        wanted = wanted.select("__hash", "e.kind", "e.canon").join(retried, ["kind", "canon"]).distinct()
+        wanted = keyed.join(retried, ["kind", "canon"]).distinct()
         lookup = wanted.groupBy("__hash").agg(
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "attempt"))).alias("__attempts")
         )
         rows = rows.withColumn("__hash", F.xxhash64("text")).join(lookup, "__hash", "left").drop("__hash")
 
-    def replacement(e: Column) -> Column:
-        attempt = F.coalesce(F.col("__attempts")[F.concat_ws("\u0001", e["kind"], e["canon"])], F.lit(0))
-        return surrogate(e["match"], e["kind"], e["canon"], attempt, key)
+    def tried(kind: Column, canon: Column) -> Column:
+        return F.coalesce(F.col("__attempts")[F.concat_ws("\u0001", kind, canon)], F.lit(0))
+
+    def plain_name(e: Column) -> Column:
+        return e["kind"].startswith("name") & (F.size(unlisted_given(e["match"])) == 0)
+
+    # between two entities a surname may stand alone: (kind, surname as written), each once, and what replaces it
+    written = F.transform(F.filter("__found", plain_name), lambda e: F.concat_ws("\u0001", e["kind"], _surname(e["match"])))
+    rows = rows.withColumn("__names", F.array_distinct(written))
+    kind, surname = (lambda n: F.substring_index(n, "\u0001", 1)), (lambda n: F.substring_index(n, "\u0001", -1))
+    new = lambda n: core(kind(n), F.lower(surname(n)), tried(kind(n), F.lower(surname(n))), key)
+    olds = F.transform("__names", surname)
+    news = F.transform("__names", lambda n: _cased(surname(n), new(n)))
+    rows = rows.withColumn("__alone", F.when(F.size("__names") > 0, F.map_from_arrays(F.array_distinct(olds), F.slice(news, F.lit(1), F.size(F.array_distinct(olds))))))
+
+    def renamed(part: Column) -> Column:
+        word = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(F.col("__alone")[w], w)).otherwise(w)
+        return F.array_join(F.transform(F.split(part, WORD_EDGE, -1), word), "")
 
     between = F.split(F.col("text"), PATTERN, -1)
-    woven = F.zip_with(between, F.transform("__found", replacement), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    between = F.when(F.col("__alone").isNotNull(), F.transform(between, renamed)).otherwise(between)
+    made = F.transform("__found", lambda e: surrogate(e["match"], e["kind"], e["canon"], tried, key))
+    woven = F.zip_with(between, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return rows.withColumn("__text", F.when(F.size("__found") > 0, F.array_join(woven, "")).otherwise(F.col("text")))
 
 

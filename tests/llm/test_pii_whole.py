@@ -29,3 +29,50 @@ def test_whole_names_are_found(spark):
     texts = ["John Smith", "Dr. Anna Maria Schmidt", "Michael J. Smith", "Mary Smith", "Herr Xaver Quirin Schmidt"]
     rows = pii.detected(table(spark, texts)).orderBy("doc_id").collect()
     assert [[(e["match"], e["canon"]) for e in r["__found"]] for r in rows] == [[(t, t.split(" ")[-1].lower())] for t in texts]
+
+
+def surrogates(spark, texts):
+    return [r["text"] for r in pii.with_surrogates(table(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_full_formats_grow(spark):
+    block = [("ipv4", f"192.168.{a}.{b}") for a in range(1, 255) for b in range(1, 255)] + [("ipv4", "192.168.0.0")]
+    phones = [("phone", f"44:{n:04d}") for n in range(10_000)]
+    entities = spark.createDataFrame(block + phones, "kind string, canon string")
+    tried = entities.join(pii.attempts(entities), ["kind", "canon"], "left").fillna(0)
+    rows = tried.select("kind", "canon", pii.core(F.col("kind"), F.col("canon"), F.col("attempt")).alias("made"), "attempt").collect()
+    made = [(r["kind"], r["made"]) for r in rows]
+    assert len(set(made)) == len(rows) == len(block) + len(phones) and not set(made) & set(block + phones)
+    assert min(r["attempt"] for r in rows) >= pii.WIDER and all(r["made"].startswith(("10.", "44:")) for r in rows)
+
+
+def test_formats_stay_valid(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "+44 20 7946 0958", "+1 (212) 555-0198", "212-555-0198", "078-05-1120", "+420 601 123 456"]
+    made = surrogates(spark, texts)
+    assert not set(made) & set(texts)
+    for old, new in zip(texts[:2], made, strict=False):
+        bare = new.replace(" ", "")
+        assert new[:2] == old[:2] and [len(p) for p in new.split(" ")] == [len(p) for p in old.split(" ")]
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert made[2].startswith("+44 ") and made[3].startswith("+1 (") and made[6].startswith("+420 ")
+    assert made[3][4:7] + made[3][9:] == made[4][:3] + made[4][4:] and made[4][0] in "23456789"
+    area, group, serial = made[5].split("-")
+    assert 1 <= int(area) <= 665 and int(group) and int(serial)
+
+
+def test_surnames_alone_and_cues(spark):
+    texts = ["Smith arrived. Mr. Smith left; Smithson stayed, and Smith-Jones too.", "Smith alone", "Name: Priya Sharma, x\nRegards,\nTaro Tanaka", "Priya Sharma"]
+    one, two, three, four = surrogates(spark, texts)
+    new = one.split("Mr. ")[1].split(" ")[0]
+    assert one == f"{new} arrived. Mr. {new} left; Smithson stayed, and Smith-Jones too." and new != "Smith" and two == "Smith alone"
+    assert not any(w in three for w in ("Priya", "Sharma", "Taro", "Tanaka")) and four == texts[3]
+
+
+def test_rows_that_repeat_and_lack_things(spark):
+    long = "Mr. Smith wrote to a@b.org. " * 20_000
+    rows = [(None, "Mr. Smith", 1), (None, "Mr. Smith", 1), (1, None, 2), (1, "", 2), (2, long, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __found int")
+    out = pii.with_surrogates(docs)
+    got = sorted((r["doc_id"] is None, r["__found"], r["text"] or "") for r in out.collect())
+    assert out.columns == docs.columns and len(got) == 5 and got[3] == got[4] and got[3][2] != "Mr. Smith"
+    assert got[2][2].count("@") == 20_000 and "a@b.org" not in got[2][2] and "Smith" not in got[2][2]
