@@ -22,7 +22,9 @@ from panelforge.llm.common import only, slices, table, tidy, utf8
 
 UNIT = 64
 FRAME_ROWS = 1024
-LITERALS_PER_CLEAR = 250
+FIRST_STRING = 258
+TABLE_SIZE = 4096
+TO_BACKGROUND = 2
 BINS_PER_CHANNEL = 4
 DELAY_CS = 10
 
@@ -48,24 +50,40 @@ class Frame:
 # --- writing -------------------------------------------------------------------------------------------------------
 
 
-def _literal_stream(samples: np.ndarray) -> bytes:
-    """A code stream of 9-bit literals; a clear code before each run keeps the code width at nine bits."""
-    runs = -(-len(samples) // LITERALS_PER_CLEAR)
-    codes = np.full((runs, LITERALS_PER_CLEAR + 1), 256, np.uint16)
-    body = np.zeros(runs * LITERALS_PER_CLEAR, np.uint16)
-    body[: len(samples)] = samples
-    codes[:, 1:] = body.reshape(runs, -1)
-    flat = np.append(codes.ravel()[: len(samples) + runs], np.uint16(257))
-    octets = -(-len(flat) // 8) * 8
-    wide = np.zeros(octets, np.uint32)
-    wide[: len(flat)] = flat
-    eight = wide.reshape(-1, 8)
-    out = np.zeros((len(eight), 9), np.uint32)
-    for k in range(8):  # eight codes of nine bits fill nine bytes
-        low = eight[:, k] << k
-        out[:, k] |= low & 255
-        out[:, k + 1] |= low >> 8
-    return out.astype(np.uint8).tobytes()[: -(-len(flat) * 9 // 8)]
+def _lzw_codes(samples: bytes) -> list[list[int]]:
+    """The codes of eight-bit samples, one list for each life of the string table."""
+    segments: list[list[int]] = []
+    codes: list[int] = []
+    known: dict[int, int] = {}
+    after, current = FIRST_STRING, samples[0]
+    for octet in samples[1:]:
+        longer = current << 8 | octet
+        if (code := known.get(longer)) is not None:
+            current = code
+            continue
+        codes.append(current)
+        known[longer] = after
+        after += 1
+        current = octet
+        if after == TABLE_SIZE:  # full: start anew after a clear code
+            segments.append(codes)
+            codes, known, after = [], {}, FIRST_STRING
+    codes.append(current)
+    return [*segments, codes]
+
+
+def lzw_encode(samples: bytes) -> bytes:
+    """The code stream of eight-bit samples: clear code, strings at a width that grows from 9 to 12 bits, end code."""
+    segments = _lzw_codes(samples)
+    flat = np.array([c for codes in segments for c in (256, *codes)] + [257], np.uint32)
+    # the width follows from the place: a clear code still has the width of the segment before it
+    place = np.concatenate([np.arange(1, len(codes) + 2) for codes in segments])
+    widths = np.concatenate([[9], 9 + (place > 255) + (place > 767).astype(np.int64) + (place > 1791)])
+    at = np.cumsum(widths) - widths
+    shifted = flat << (at & 7).astype(np.uint32)
+    size = int(at[-1] + widths[-1] + 7) // 8
+    out = sum(np.bincount((at >> 3) + k, shifted >> np.uint32(8 * k) & np.uint32(255), size + 3) for k in range(3))
+    return out.astype(np.uint8)[:size].tobytes()
 
 
 def _sub_blocks(data: bytes) -> bytes:
@@ -87,10 +105,11 @@ def encode_samples(payload: bytes, width: int = UNIT, frame_rows: int = FRAME_RO
     parts = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), _GREY]
     for first in range(0, rows, frame_rows):
         high = min(frame_rows, rows - first)
-        samples = np.frombuffer(payload, np.uint8, high * width, first * width)
-        parts.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0))
+        samples = payload[first * width : (first + high) * width]
+        # sample 0, the padding, is transparent, and each frame gives way to the background before the next
+        parts.append(b"\x21\xf9\x04" + struct.pack("<BHBB", TO_BACKGROUND << 2 | 1, DELAY_CS, 0, 0))
         parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, high, 0) + b"\x08")
-        parts.append(_sub_blocks(_literal_stream(samples)))
+        parts.append(_sub_blocks(lzw_encode(samples)))
     parts.append(b"\x3b")
     return b"".join(parts)
 
@@ -105,22 +124,11 @@ def _codes(bits: np.ndarray, at: int, width: int, count: int) -> np.ndarray:
     return (table_ << np.arange(width, dtype=np.uint16)).sum(axis=1, dtype=np.uint16)
 
 
-def _nine(data: np.ndarray, at: int, count: int) -> np.ndarray:
-    """Nine-bit codes by arithmetic on whole bytes."""
-    count = max(0, min(count, (len(data) * 8 - at) // 9))
-    place = at + 9 * np.arange(count)
-    byte = place >> 3
-    pair = data[byte].astype(np.uint16) | data[np.minimum(byte + 1, len(data) - 1)].astype(np.uint16) << 8
-    return (pair >> (place & 7).astype(np.uint16)) & 511
-
-
 def lzw_decode(data: bytes, min_size: int, expected: int) -> np.ndarray:
     """Samples of one code stream. Between two clear codes the width of each code follows from its position, so a
-    segment's codes are cut at once; runs of literals are copied, other segments rebuild their strings."""
+    segment's codes are cut at once, and then the string table is rebuilt from them."""
     clear, end = 1 << min_size, (1 << min_size) + 1
     raw = np.frombuffer(data, np.uint8)
-    if min_size == 8 and (fast := _literal_runs(raw, expected)) is not None:
-        return fast
     bits = np.unpackbits(raw, bitorder="little")
     out: list[bytes] = []
     made, at = 0, 0
@@ -135,61 +143,48 @@ def lzw_decode(data: bytes, min_size: int, expected: int) -> np.ndarray:
     return np.concatenate([got, np.zeros(expected - len(got), np.uint8)])
 
 
-def _literal_runs(raw: np.ndarray, expected: int) -> np.ndarray | None:
-    """The samples if the stream has nine-bit codes only, all literals between clear codes at most 255 apart; else
-    None, for the general way."""
-    if not len(raw):
-        return None
-    codes = _nine(raw, 0, len(raw) * 8 // 9)
-    stops = np.flatnonzero(codes >= 256)
-    if not len(stops) or stops[0] != 0 or codes[0] != 256:
-        return None
-    ends = np.flatnonzero(codes == 257)
-    if not len(ends):
-        return None
-    codes, stops = codes[: ends[0]], stops[stops < ends[0]]
-    if (codes > 257).any() or np.diff(np.append(stops, len(codes))).max() > 254:
-        return None
-    got = codes[codes < 256].astype(np.uint8)
-    return got[:expected] if len(got) >= expected else None
-
-
 def _segment(bits: np.ndarray, at: int, min_size: int, clear: int, end: int) -> tuple[np.ndarray, int, bool]:
     """The codes up to the next clear or end code, the bit position after it, and whether the stream is over."""
     parts, width, count = [], min_size + 1, (1 << min_size) - 1
     while True:
-        codes = _codes(bits, at, width, count if width < 12 else 1 << 30)
+        codes = _codes(bits, at, width, count)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         if len(stops):
             parts.append(codes[: stops[0]])
             return np.concatenate(parts), at + (int(stops[0]) + 1) * width, codes[stops[0]] == end
         parts.append(codes)
         at += len(codes) * width
-        if width == 12 or len(codes) < count:
+        if len(codes) < count:
             return np.concatenate(parts), len(bits), True
         count = 1 << width
-        width += 1
+        width = min(width + 1, 12)
 
 
 def _strings(codes: np.ndarray, clear: int) -> bytes:
-    if not len(codes):
+    """The bytes of the codes between two clear codes. The j-th string of the table is what code j gave and the byte
+    after it, so a code repeats output from where code j began: lengths and bytes follow such references to their
+    literals, all at once, in as many rounds as the longest chain has bits. A code beyond the table ends the stream."""
+    n = len(codes)
+    made_by = codes.astype(np.int64) - clear - 2
+    if (bad := np.flatnonzero(made_by >= np.arange(n))).size:
+        n = int(bad[0])
+        codes, made_by = codes[:n], made_by[:n]
+    if not n:
         return b""
-    if codes.max() < clear:
-        return codes.astype(np.uint8).tobytes()
-    known: list[bytes] = [bytes([i & 255]) for i in range(clear)] + [b"", b""]
-    out, before = [], b""
-    for code in codes.tolist():
-        if code < len(known):
-            text = known[code]
-        elif code == len(known) and before:
-            text = before + before[:1]
-        else:
-            break
-        if before and len(known) < 4096:
-            known.append(before + text[:1])
-        out.append(text)
-        before = text
-    return b"".join(out)
+    literal = made_by < 0
+    lengths = np.append(np.ones(n, np.int64), 0)
+    jump = np.append(np.where(literal, n, made_by), n)
+    while (jump < n).any():
+        lengths += lengths[jump]
+        jump = jump[jump]
+    lengths = lengths[:n]
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(n), lengths)
+    place = np.arange(len(owner))
+    source = np.where(literal[owner], place, starts[np.maximum(made_by, 0)[owner]] + place - starts[owner])
+    while not np.array_equal(further := source[source], source):
+        source = further
+    return codes[owner[source]].astype(np.uint8).tobytes()
 
 
 def _rows_of(samples: np.ndarray, high: int, wide: int, interlaced: bool) -> np.ndarray:
