@@ -10,8 +10,8 @@
 4. The repeats' spans are united per document and cut out.
 
 An anchor with more than HOT_CONTEXTS different contexts (say, the first bytes of a passage that follows other text
-in each document) is replaced, in all documents, by one anchor per window, so that no anchor gathers an unbounded
-group; the list of such anchors is at most the number of contexts over HOT_CONTEXTS.
+in each document) gives each window of them an anchor of its own, and these meet as in step 2, so that no anchor
+gathers an unbounded group for the merge. Different contexts are counted exactly, after equal ones have met.
 
 Defined results: null text counts as empty; texts under 100 bytes lose nothing; a null doc_id stands after all
 others; rows with the same doc_id are ordered by their text's hash, and repeated rows are one document that gets one
@@ -34,7 +34,6 @@ from panelforge.llm.anchors import K, WINDOW, Rolling, choose, mixed
 from panelforge.llm.common import slices, stored, table, tidy, utf8
 
 HOT_CONTEXTS = 4000
-LOCAL_CONTEXTS = 4
 MERGE_BYTES = 500_000
 BATCH_BYTES = 4_000_000
 _LAST_ID = (1 << 63) - 1
@@ -52,52 +51,24 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _batch_contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(octets, document number, start of the document, low, high, anchor place, anchor, context) for one batch."""
+    """(document number, starts of the documents, low, high, anchor place, anchor, context) for one batch."""
     texts = utf8(batch.column("text"))
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
-    octets = np.frombuffer(b"".join(texts), np.uint8)
-    low, high, at, anchor, context = choose(octets, starts, lengths)
+    low, high, at, anchor, context = choose(np.frombuffer(b"".join(texts), np.uint8), starts, lengths)
     ends = starts + lengths
     owner = np.searchsorted(ends, low, side="right")
-    return octets, owner, starts, low, high, at, anchor, context
+    return owner, starts, low, high, at, anchor, context
 
 
-def hot_anchors(keyed: DataFrame, most: int = HOT_CONTEXTS) -> list[int]:
-    """Anchors that gather more than so many contexts, counted where a batch holds several different ones."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most_bytes=BATCH_BYTES):
-            *_, anchor, context = _batch_contexts(batch)
-            _, first = np.unique(mixed(anchor) ^ context, return_index=True)
-            found, count = np.unique(anchor[first], return_counts=True)
-            many = count >= LOCAL_CONTEXTS
-            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(count[many])], ["anchor", "n"])
-
-    counted = keyed.select("text").mapInArrow(tidy(rows), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    # at most (number of contexts / most) values
-    return [r["anchor"] for r in counted.where(F.col("n") > most).select("anchor").toLocalIterator()]
-
-
-def contexts(keyed: DataFrame, hot: list[int]) -> DataFrame:
+def contexts(keyed: DataFrame) -> DataFrame:
     """All contexts. later: an equal context stands earlier in the same batch of rows."""
-    shared = keyed.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=BATCH_BYTES):
-            octets, owner, starts, low, high, place, anchor, context = _batch_contexts(batch)
+            owner, starts, low, high, place, anchor, context = _batch_contexts(batch)
             if not len(low):
                 continue
-            is_hot = np.isin(anchor.view(np.int64), shared.value)
-            if is_hot.any():
-                each = (high - low - WINDOW + 1)[is_hot]
-                at = np.repeat(low[is_hot], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-                window = Rolling(octets).of(at, at + WINDOW)
-                owner = np.concatenate([owner[~is_hot], np.repeat(owner[is_hot], each)])
-                low, high = np.concatenate([low[~is_hot], at]), np.concatenate([high[~is_hot], at + WINDOW])
-                place = np.concatenate([place[~is_hot], at])
-                anchor = np.concatenate([anchor[~is_hot], mixed(window + np.uint64(1))])
-                context = np.concatenate([context[~is_hot], window])
             doc = batch.column("doc").to_numpy()[owner]
             tie = batch.column("tie").to_numpy()[owner]
             left = (place - low).astype(np.int32)
@@ -133,11 +104,18 @@ def _later(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, tie: np.nda
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From contexts sorted by anchor, context and place: spans of whole repeats (wanted false) and the earliest
-    contexts of anchors that have several (wanted true)."""
+    contexts of anchors that have several (wanted true). Of the anchor that a batch ends in, the first context's
+    earliest place and the last context's earliest place go on to the next batch, so no more is ever held."""
     names = ["anchor", "context", "doc", "tie", "place"]
-    rest: list[np.ndarray] | None = None
+    carried: list[np.ndarray] | None = None
+    told = np.zeros(0, bool)  # of the carried rows, those that are already given out
 
-    def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
+    for batch in batches:
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if not len(columns[0]):
+            continue
+        if carried is not None:
+            columns = [np.concatenate([a, b]) for a, b in zip(carried, columns, strict=True)]
         anchor, context, doc, tie, place = columns
         low, high, left, later = _unpack(place)
         repeat = later | _later(anchor, context, doc, tie, low)
@@ -147,20 +125,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.bincount(group, new)[group] > 1
         wanted = several & new & ~later
         kept = repeat | wanted
-        return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (anchor, doc, tie, low, high, left, wanted)], ["anchor", "doc", "tie", "low", "high", "left", "wanted"])
-
-    for batch in batches:
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        if rest is not None:
-            columns = [np.concatenate([a, b]) for a, b in zip(rest, columns, strict=True)]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last anchor may go on
-        if cut:
-            yield settled([c[:cut] for c in columns])
-        rest = [c[cut:] for c in columns]
-    if rest is not None and len(rest[0]):
-        yield settled(rest)
+        kept[: len(told)] &= ~told
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (anchor, doc, tie, low, high, left, wanted)], ["anchor", "doc", "tie", "low", "high", "left", "wanted"])
+        heads = np.flatnonzero(new)
+        ends = np.unique([np.flatnonzero(fresh)[-1], heads[-1]])
+        out = kept | np.concatenate([told, np.zeros(len(kept) - len(told), bool)])
+        carried, told = [c[ends] for c in columns], out[ends]
 
 
 # --- different contexts of one anchor ------------------------------------------------------------------------------
@@ -189,6 +159,25 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc", "tie", "low", "left", "octets"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts as a context of its own, under an anchor of its own."""
+    for batch in slices(batches, "octets", 1_000_000):
+        strings = batch.column("octets").to_pylist()
+        lengths = np.array([len(s) for s in strings], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        each = lengths - WINDOW + 1
+        owner = np.repeat(np.arange(len(strings)), each)
+        inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        at = starts[owner] + inside
+        window = Rolling(np.frombuffer(b"".join(strings), np.uint8)).of(at, at + WINDOW)
+        doc, tie = (batch.column(c).to_numpy()[owner] for c in ("doc", "tie"))
+        low = batch.column("low").to_numpy()[owner].astype(np.int64) + inside
+        place = _pack(low, low + WINDOW, np.zeros(len(low), np.int64), np.zeros(len(low), np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (mixed(window + np.uint64(1)).view(np.int64), window.view(np.int64), doc, tie, place)], ["anchor", "context", "doc", "tie", "place"]
+        )
+
+
 def repeated_windows(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first byte, end) of the runs of windows that start earlier in another place, by the merged transforms."""
     octets, starts, lengths = bwt.collection(strings)
@@ -258,17 +247,29 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the whole -----------------------------------------------------------------------------------------------------
 
 
-def repeated_spans(keyed: DataFrame) -> DataFrame:
+def _met(cut: DataFrame) -> DataFrame:
+    """The contexts after they have met by anchor: see _meet."""
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place")
+    return dealt.mapInArrow(tidy(_meet), "anchor long, doc long, tie int, low int, high int, left int, wanted boolean")
+
+
+def repeated_spans(keyed: DataFrame, most: int = HOT_CONTEXTS) -> DataFrame:
     """(doc, tie, low, high): spans whose union is what must go."""
-    cut = contexts(keyed, hot_anchors(keyed))
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place")
-    met = stored(dealt.mapInArrow(tidy(_meet), "anchor long, doc long, tie int, low int, high int, left int, wanted boolean"))
-    whole = met.where(~F.col("wanted")).select("doc", "tie", "low", "high")
-    wanted = met.where("wanted").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "low", "high", "left")).alias("wanted"))
-    fetched = _packed(keyed).join(wanted, ["doc", "tie"]).mapInArrow(tidy(_fetch), "anchor long, doc long, tie int, low int, left int, octets binary")
+    met = stored(_met(contexts(keyed)))
+    spans = met.where(~F.col("wanted")).select("doc", "tie", "low", "high")
+    wanted = met.where("wanted")
+    grouped = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "low", "high", "left")).alias("wanted"))
+    fetched = _packed(keyed).join(grouped, ["doc", "tie"]).mapInArrow(tidy(_fetch), "anchor long, doc long, tie int, low int, left int, octets binary")
+    hot = stored(wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("anchor"))
+    if not hot.isEmpty():
+        fetched = stored(fetched)
+        crowded = _met(fetched.join(hot, "anchor", "left_semi").mapInArrow(tidy(_windows), _CONTEXT))
+        spans = spans.unionByName(crowded.where(~F.col("wanted")).select("doc", "tie", "low", "high"))
+        fetched = fetched.join(hot, "anchor", "left_anti")
     merged = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_merge), "doc long, tie int, low int, high int")
-    return whole.unionByName(merged)
+    return spans.unionByName(merged)
 
 
 def _united(spans: list[dict]) -> list[tuple[int, int]]:

@@ -423,7 +423,7 @@ def passages():
 
 @pytest.mark.parametrize("hot", [4000, 3])
 def test_repeats(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup.hot_anchors, "__defaults__", (hot,))
+    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (hot,))
     texts = passages()
     rows = {r["doc_id"]: r for r in substring_dedup.without_repeats(documents(spark, texts, extra=True)).collect()}
     content = [(t or "").encode() for t in texts]
