@@ -5,9 +5,10 @@ hashed into 256 buckets and counted. The digest is two hexadecimal digits of len
 the quartile of its count. Two digests differ by the steps between their quartiles (opposite ends count double) and
 by length codes; the sum is bounded, and likeness is one minus its share of that bound.
 
-For the document next in descending order of id, rows are dealt by ranges of doc_id whose upper ends are ids of the
-table; the row at a range's upper end also travels to the range above, where it follows the last row. So each text
-is shuffled once, and no task needs more than its own range, row by row.
+For the document next in descending order of id, rows are dealt by ranges of (id, hash of the text), each of which begins
+with a row of the table; that row also travels to the range before, where it follows the last row. The order is a
+ring: what stands before the first such row ends the last range. So each text is shuffled once, a task needs no more
+than its ranges, row by row, and many small ranges a task keep tasks alike in size.
 
 Defined results: null text counts as empty; an empty text has the digest of no triplets; null ids stand after all
 other ids; rows with the same id stand in the order of their text's hash; in a one-row table the next document is the
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import slices, table, tidy
 
 BUCKETS = 256
+RANGES_PER_PART = 24
+OWN, WRAPPED, GUEST = 0, 1, 2
 OFFSETS = (0, 4, 8)
 LENGTH_BASE = 1.1
 BODY_BOUND = 0.25
@@ -87,74 +90,71 @@ def _described(doc_id, text: str, following: str, own: str, next_: str) -> tuple
     return doc_id, len(text), hashlib.sha256(changed).hexdigest(), own, other, likeness(own, other), likeness(own, next_)
 
 
-def range_ends(documents: DataFrame, parts: int) -> list[int]:
-    """Ascending ids of the table that cut it into about equal ranges; the last is the largest id."""
-    shares = [k / parts for k in range(1, parts)]
-    # Python literals of the driver: one id per range
-    row = documents.agg(
-        F.percentile_approx("doc_id", shares or [0.5], 100 * parts).alias("cuts"), F.max("doc_id").alias("last")
-    ).first()
-    cuts = (row["cuts"] or []) if shares else []
-    return sorted({*cuts, row["last"]}) if row["last"] is not None else []
+def range_heads(rows: DataFrame, ranges: int) -> list[tuple[int | None, int]]:
+    """Some (doc_id, tie) of the table, about as many as ranges asked for, chosen by their hash."""
+    every = max(rows.count() // ranges, 1)
+    keys = rows.select("doc_id", "tie")
+    found = keys.where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(every)) == 0).distinct().collect()
+    return [tuple(r) for r in found or keys.limit(1).collect()]
+
+
+def _sequence(doc_id: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Keys that ascend as the ids descend; ties ascend."""
+    keys = np.empty(len(tie), [("doc_id", np.int64), ("tie", np.int64)])
+    keys["doc_id"], keys["tie"] = ~doc_id, tie
+    return keys
 
 
 def digest_documents(documents: DataFrame) -> DataFrame:
     """Per document its digest, that of its edited text, and both likenesses: see SCHEMA."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = range_ends(rows, parts)
-    above = {end: (i + 1) % len(ends) for i, end in enumerate(ends)}
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    least = np.iinfo(np.int64).min  # a null id stands after all others
+    found = range_heads(rows, RANGES_PER_PART * parts)
+    heads = np.unique(_sequence(np.array([least if d is None else d for d, _ in found], np.int64), np.array([t for _, t in found], np.int64)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.array(ends, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id")
-            known = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            place = np.searchsorted(cuts, known) if len(cuts) else np.zeros(len(known), np.int64)
-            yield _tagged(batch, place, False)
-            guests = np.flatnonzero(np.isin(known, cuts) & ~np.asarray(ids.is_null()))
-            if len(guests):
-                yield _tagged(batch.take(pa.array(guests)), np.array([above[int(k)] for k in known[guests]]), True)
-
-    dealt = rows.mapInArrow(tidy(deal), "doc_id long, text string, place int, guest boolean")
-    dealt = dealt.withColumn("tie", F.xxhash64("text")).repartition(max(parts, 1), "place")
-    ordered = dealt.sortWithinPartitions("place", "guest", F.col("doc_id").desc_nulls_last(), "tie")
+            if not batch.num_rows:
+                continue
+            known = batch.column("doc_id").fill_null(least).to_numpy(zero_copy_only=False)
+            keys = _sequence(known, batch.column("tie").to_numpy(zero_copy_only=False))
+            place = np.searchsorted(heads, keys, side="right") - 1
+            yield _tagged(batch, place % len(heads), np.where(place < 0, WRAPPED, OWN))
+            met = np.unique(keys, return_index=True)[1]
+            met = met[heads[place[met]] == keys[met]]  # heads of ranges, once each
+            if len(met):
+                yield _tagged(batch.take(pa.array(met)), (place[met] - 1) % len(heads), np.full(len(met), GUEST))
+
+    dealt = rows.mapInArrow(tidy(deal), "doc_id long, text string, tie long, place int, part int").repartition(parts, "place")
+    ordered = dealt.sortWithinPartitions("place", "part", F.col("doc_id").desc_nulls_last(), "tie")
     return ordered.mapInArrow(tidy(_walk), SCHEMA)
 
 
-def _tagged(batch: pa.RecordBatch, place: np.ndarray, guest: bool) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("text"), pa.array(place.astype(np.int32)), pa.array(np.full(n, guest))],
-        ["doc_id", "text", "place", "guest"],
-    )
+def _tagged(batch: pa.RecordBatch, place: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    columns = [batch.column("doc_id"), batch.column("text"), batch.column("tie"), pa.array(place.astype(np.int32)), pa.array(part.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "tie", "place", "part"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs each row with the next one of its range; the first guest follows the last row."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [part.split()[0] for part in SCHEMA.split(", ")]
-    place, first, waiting = None, None, None
+    waiting = None
     for batch in slices(batches):
         found = []
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "place", "guest"))
-        for doc_id, text, at, guest in zip(*columns, strict=True):
-            if at != place:
-                if waiting:
-                    found.append(_described(*waiting[:2], first[0], waiting[2], first[1]))
-                place, first, waiting = at, None, None
-            if guest and not waiting:
+        for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
+            if part == GUEST and not waiting:
                 continue
             mark = digest(text.encode())
             if waiting:
                 found.append(_described(*waiting[:2], text, waiting[2], mark))
-            waiting = None if guest else (doc_id, text, mark)
-            first = first or (text, mark)
+            waiting = None if part == GUEST else (doc_id, text, mark)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
     if waiting:
-        found = [_described(*waiting[:2], first[0], waiting[2], first[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+        raise ValueError("the documents changed while they were read: a range has no follower")
 
 
 def op8_document_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
