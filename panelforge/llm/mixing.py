@@ -4,7 +4,10 @@ Each source gets a target number of words by weight. The expected copies of its
 prefix-summed in a fixed order, one random offset is added, and a document is emitted once per integer boundary
 crossed. Documents of a source stand in order of size class, hash bucket, size and id: neighbours are alike in size,
 so the words taken stay near the target, and no group that must be sorted together holds more than one
-(source, size class, bucket) cell, however large the source is.
+(source, size class, bucket) cell, however large the source is. The offset is keyed by the source. As one long
+document, taken or not, can carry a small source far from its target, a source tries OFFSETS offsets at equal steps
+from the keyed one, each with its expected copies scaled by every one of SCALES (3 copies at most), and keeps the pair
+whose words come nearest to the target.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a source without words
 gets target 0 and nothing is taken; null ids, ties and repeated rows are separate documents; extra columns pass.
@@ -15,13 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WORD_PATTERN, nested, restored, table
+from panelforge.llm.common import WORD_PATTERN, nested, restored, stored, table
 
 WEIGHT_CYCLE = (1.0, 2.0, 3.0)
 MAX_COPIES = 3
-BUCKETS = 64
+BUCKETS = 1024
 SEED = 20240817
-_OFFSET_STEPS = 1 << 20
+OFFSETS = 8
+SCALES = (1.0, 0.96, 1.04, 0.92, 1.08)
+DRAWS = OFFSETS * len(SCALES)
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -46,10 +52,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHT_CYCLE,
     return one.select("source", "source_size", F.least(bound, level * F.col("weight")).alias("target"))
 
 
+def _keyed(name: Column, seed: int) -> Column:
+    """32 bits of a keyed hash, as a long."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("long")
+
+
 def _cell(size: Column, key: Column, buckets: int) -> Column:
-    """Size class (a quarter of an octave) and hash bucket in one ordered number."""
-    octave = F.floor(4 * F.log2(size.cast("double") + 1)).cast("long")
-    return octave * buckets + F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(buckets))
+    """Size class (an octave's four equal parts) and hash bucket in one ordered number."""
+    x = 8 * (size + 1)
+    bits = F.length(F.bin(x))
+    part = F.call_function("shiftright", x, (bits - 3).cast("int")).bitwiseAND(F.lit(3))
+    return (4 * bits + part) * buckets + F.pmod(_keyed(key, SEED), F.lit(buckets))
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -58,6 +71,7 @@ def sized(documents: DataFrame) -> DataFrame:
         {
             "__size": word_count(F.col("text")),
             "__tie": F.xxhash64("text"),
+            "__name": F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))),
             "__key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")),
         }
     )
@@ -65,9 +79,9 @@ def sized(documents: DataFrame) -> DataFrame:
 
 def systematic_copies(rows: DataFrame, seed: int = SEED, buckets: int = BUCKETS, weights: tuple[float, ...] = WEIGHT_CYCLE) -> DataFrame:
     """Sized rows with __source_size, __target and __copies, the number of times each is emitted."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.col("__tie").cast("string"))
-    rows = rows.withColumn("__cell", _cell(F.col("__size"), name, buckets))
-    cells = rows.groupBy("__key", "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("size"), F.first("source").alias("source"))
+    rows = rows.withColumn("__cell", _cell(F.col("__size"), F.col("__name"), buckets))
+    slim = rows.select("__key", "__cell", "__size", "doc_id", "__tie", "source")
+    cells = slim.groupBy("__key", "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("size"), F.first("source").alias("source"))
     targets = source_targets(cells).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).drop("source")
     before = Window.partitionBy("__key").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -75,12 +89,22 @@ def systematic_copies(rows: DataFrame, seed: int = SEED, buckets: int = BUCKETS,
         "__key", "__cell", "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
     )
     inside = Window.partitionBy("__key", "__cell").orderBy("__size", F.col("doc_id").asc_nulls_last(), "__tie")
-    rows = rows.withColumn("__rank", F.row_number().over(inside)).join(places, ["__key", "__cell"], "left")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.col("__key"), F.lit(seed)), F.lit(_OFFSET_STEPS)) / F.lit(float(_OFFSET_STEPS))
-    rank = F.col("__before") + F.col("__rank")
-    copies = F.floor(rate * rank + offset) - F.floor(rate * (rank - 1) + offset)
-    return rows.withColumn("__copies", copies.cast("long"))
+    place = F.col("__before") + F.col("__rank")
+
+    def copies(draw: Column) -> Column:
+        offset = _keyed(F.col("__key"), seed) / F.lit(float(1 << 32)) + draw % OFFSETS / F.lit(float(OFFSETS))
+        offset = offset - F.floor(offset)
+        scale = F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.floor(draw / OFFSETS).cast("int") + 1)
+        expected = F.least(rate * scale, F.lit(float(MAX_COPIES)))
+        return (F.floor(expected * place + offset) - F.floor(expected * (place - 1) + offset)).cast("long")
+
+    ranked = slim.withColumn("__rank", F.row_number().over(inside)).join(places, ["__key", "__cell"])
+    sums = ranked.groupBy("__key").agg(F.first("__target").alias("__target"), *[F.sum(F.col("__size") * copies(F.lit(k))).alias(f"__t{k}") for k in range(DRAWS)])
+    tried = F.array(*[F.struct(F.abs(F.col(f"__t{k}") - F.col("__target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)])
+    places = places.join(sums.select("__key", F.array_min(tried)["k"].alias("__draw")), "__key")
+    rows = rows.withColumn("__rank", F.row_number().over(inside)).join(places, ["__key", "__cell"], "left")
+    return rows.withColumn("__copies", copies(F.col("__draw")))
 
 
 def mix_documents(documents: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
@@ -93,10 +117,31 @@ def mix_documents(documents: DataFrame, seed: int = SEED, buckets: int = BUCKETS
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return systematic_copies(sized(documents).drop("text")).select(
+    # the texts are read once; their sizes are small and read several times
+    return systematic_copies(stored(sized(documents).drop("text"))).select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
         (F.col("__copies") * F.col("__size")).alias("taken"),
     )
+
+
+ORACLE = f"""WITH d AS (SELECT doc_id, coalesce('s' || source, 'null') AS key, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+  coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name FROM documents),
+w AS (SELECT source, key, sum(size)::BIGINT AS source_size, {list(WEIGHT_CYCLE)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHT_CYCLE)} + 1]::DOUBLE AS weight FROM d GROUP BY source, key),
+b AS (SELECT *, {MAX_COPIES}.0::DOUBLE * source_size AS bound FROM w),
+l AS (SELECT *, ((SELECT sum(source_size)::DOUBLE FROM b) - coalesce(sum(bound) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / sum(weight) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM b),
+t AS (SELECT key, source_size, least(bound, (SELECT max(share) FROM l) * weight) AS target, ('0x' || substr(md5('{SEED}:' || key), 1, 8))::BIGINT / {1 << 32}.0::DOUBLE AS start FROM l),
+c AS (SELECT *, length(bin(8 * (size + 1))) AS bits FROM d),
+r AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY (4 * bits + ((8 * (size + 1)) >> (bits - 3)) % 4) * {BUCKETS} + ('0x' || substr(md5('{SEED}:' || name), 1, 8))::BIGINT % {BUCKETS},
+  size, doc_id NULLS LAST) AS place FROM c),
+p AS (SELECT r.*, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END::DOUBLE AS rate FROM r JOIN t USING (key)),
+o AS (SELECT key, target, k, (start + k % {OFFSETS} / {OFFSETS}.0::DOUBLE) - floor(start + k % {OFFSETS} / {OFFSETS}.0::DOUBLE) AS shift, {list(SCALES)}[k // {OFFSETS} + 1]::DOUBLE AS scale
+  FROM t, (SELECT unnest(range(0, {DRAWS})) AS k)),
+e AS (SELECT p.*, k, shift, least(rate * scale, {MAX_COPIES}.0::DOUBLE) AS expected FROM p JOIN o USING (key)),
+g AS (SELECT *, (size * (floor(expected * place + shift) - floor(expected * (place - 1) + shift)))::BIGINT AS taken FROM e),
+s AS (SELECT key, k, abs(sum(taken) - max(target)) AS off FROM g GROUP BY key, k),
+best AS (SELECT key, arg_min(k, (off, k)) AS k FROM s GROUP BY key)
+SELECT doc_id, size, source_size, target, taken FROM g JOIN best USING (key, k)"""
