@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from panelforge.llm.digest import op8_document_digest
 from panelforge.llm.html_extract import op5_html_extraction
 from panelforge.llm.media import op10_media_columns
-from panelforge.llm.mixing import ORACLE as MIX_SQL
 from panelforge.llm.mixing import op4_mix_sources
+from panelforge.llm.oracle import ORACLES as ORACLES
 from panelforge.llm.pii import op2_pii_surrogates
 from panelforge.llm.quality import op7_quality
 from panelforge.llm.sentencepiece_sampling import op1_sentencepiece
@@ -33,4 +33,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_media_columns,
     )
 }
-ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL}
