@@ -45,22 +45,29 @@ def component_metrics(forecasts: DataFrame, p: int, keys: list[str]) -> DataFram
 
 
 def against(table: DataFrame, baseline: str) -> DataFrame:
-    """Component metrics joined with the baseline method's: ratio, change and squared-error ratio."""
+    """Component metrics joined with the baseline method's: ratio, change, squared-error ratio and share captured."""
     base = table.where(F.col("method") == baseline).select("component", F.col("rmse").alias("base_rmse"), F.col("sse").alias("base_sse"))
     joined = table.join(F.broadcast(base), "component")
     ratio = F.try_divide(F.col("rmse"), F.col("base_rmse"))
-    return joined.select("method", "component", "rmse", ratio.alias("ratio"), ((ratio - 1) * 100).alias("change_pct"), F.try_divide(F.col("sse"), F.col("base_sse")).alias("sse_ratio"))
+    squared = F.try_divide(F.col("sse"), F.col("base_sse"))
+    return joined.select(
+        "method", "component", "rmse", ratio.alias("ratio"), ((ratio - 1) * 100).alias("change_pct"), squared.alias("sse_ratio"), (1 - squared).alias("share_captured")
+    )
 
 
 def incremental_effects(table: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
     """(effect, component, ...) for literal (effect, candidate, reference) pairs of methods."""
     spark = table.sparkSession
     wanted = spark.createDataFrame(pairs, "effect string, candidate string, reference string")
-    a = table.select(F.col("method").alias("candidate"), "component", F.col("rmse").alias("candidate_rmse"))
-    b = table.select(F.col("method").alias("reference"), "component", F.col("rmse").alias("reference_rmse"))
+    a = table.select(F.col("method").alias("candidate"), "component", F.col("rmse").alias("candidate_rmse"), F.col("sse").alias("candidate_sse"))
+    b = table.select(F.col("method").alias("reference"), "component", F.col("rmse").alias("reference_rmse"), F.col("sse").alias("reference_sse"))
     joined = F.broadcast(wanted).join(a, "candidate").join(b, ["reference", "component"])
     ratio = F.try_divide(F.col("candidate_rmse"), F.col("reference_rmse"))
-    return joined.select("effect", "candidate", "reference", "component", "candidate_rmse", "reference_rmse", ((ratio - 1) * 100).alias("change_pct"))
+    squared = F.try_divide(F.col("candidate_sse"), F.col("reference_sse"))
+    return joined.select(
+        "effect", "candidate", "reference", "component", "candidate_rmse", "reference_rmse", ((ratio - 1) * 100).alias("change_pct"),
+        squared.alias("sse_ratio"), (1 - squared).alias("share_captured"),
+    )
 
 
 def scalar_metrics(rows: DataFrame, by: list[str], actual: str = "value", forecast: str = "z_hat") -> DataFrame:
@@ -86,13 +93,38 @@ def empirical_cdf(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
 
 
 def loss_differences(forecasts: DataFrame, p: int, candidate: str, benchmark: str, component: str = "overall") -> DataFrame:
-    """(k, ts, pos, diff, cumulative): the benchmark's loss minus the candidate's; positive where the candidate wins."""
+    """(k, ts, a, b, diff, pos, cumulative): the losses of candidate and benchmark and the benchmark's minus the
+    candidate's, positive where the candidate wins."""
     rows = losses(forecasts, p).where(F.col("method").isin(candidate, benchmark))
     loss = lambda name: F.sum(F.when(F.col("method") == name, F.col(component)))
-    table = rows.groupBy("k", "ts").agg((loss(benchmark) - loss(candidate)).alias("diff"))
+    table = rows.groupBy("k", "ts").agg(loss(candidate).alias("a"), loss(benchmark).alias("b"), (loss(benchmark) - loss(candidate)).alias("diff"))
     return running_total(with_positions(table), "diff", "cumulative")
 
 
+def loss_report(losses_: DataFrame) -> DataFrame:
+    """One row on rows (ts, pos, a, b, diff, cumulative): who wins how often, totals of both sides and of gains and
+    losses, extremes of single places and of the path (the earliest on ties). Totals that do not agree are refused."""
+    gain, loss = F.sum(F.greatest(F.col("diff"), F.lit(0.0))), -F.sum(F.least(F.col("diff"), F.lit(0.0)))
+    count = lambda holds: F.sum(F.when(holds, 1).otherwise(0))
+    low, high = F.min(F.struct("cumulative", "pos", "ts")), F.max(F.struct("cumulative", -F.col("pos"), "ts"))
+    one = losses_.agg(
+        F.count(F.lit(1)).alias("n"), count(F.col("diff") > 0).alias("candidate_wins"), count(F.col("diff") < 0).alias("benchmark_wins"),
+        count(F.col("diff") == 0).alias("equal_losses"), F.sum("a").alias("candidate_total"), F.sum("b").alias("benchmark_total"), F.sum("diff").alias("net"),
+        gain.alias("gross_gain"), loss.alias("gross_loss"), F.percentile("diff", 0.5).alias("median"), F.max("diff").alias("largest_gain"),
+        F.min("diff").alias("largest_loss"), low.alias("__low"), high.alias("__high"), F.max_by("cumulative", "pos").alias("__end"), F.max("ts").alias("final_ts"),
+    )
+    off = lambda x: F.abs(x - F.col("net")) > 1e-9 * F.greatest(F.col("benchmark_total"), F.lit(1e-300))
+    refused = F.raise_error(F.lit("the totals of the losses do not agree")).cast("double")
+    net = F.when(off(F.col("__end")) | off(F.col("benchmark_total") - F.col("candidate_total")), refused).otherwise(F.col("net"))
+    share = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return one.select(
+        "n", "candidate_wins", share("candidate_wins").alias("candidate_win_share"), "benchmark_wins", share("benchmark_wins").alias("benchmark_win_share"), "equal_losses",
+        "candidate_total", "benchmark_total", net.alias("net"), F.try_divide("net", "benchmark_total").alias("relative_reduction"), "gross_gain", "gross_loss",
+        F.when(F.col("gross_loss") > 0, F.col("gross_gain") / F.col("gross_loss")).otherwise(F.lit(float("inf"))).alias("gain_to_loss"), "median", "largest_gain", "largest_loss",
+        F.col("__low.cumulative").alias("min_cumulative"), F.col("__low.ts").alias("min_ts"), F.col("__high.cumulative").alias("max_cumulative"), F.col("__high.ts").alias("max_ts"), "final_ts",
+    )
+
+
 def win_share(differences: DataFrame) -> DataFrame:
     wins = F.sum(F.when(F.col("diff") > 0, 1).otherwise(0))
     return differences.agg(F.count(F.lit(1)).alias("n"), wins.alias("n_wins"), (wins / F.count(F.lit(1))).alias("win_share"))

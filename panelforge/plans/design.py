@@ -100,15 +100,15 @@ class Design:
 
     def pair_differences(self, pairs: list[tuple[str, str, str]]) -> DataFrame:
         """(effect, component, pos, diff): benchmark loss minus candidate loss for literal (effect, candidate,
-        benchmark) pairs of the completed forecasts, all in one join."""
-        rows = mt.losses(self.completed, self.p)
+        benchmark) pairs of the factorial, all in one join; a and b are the losses of candidate and benchmark."""
+        rows = mt.losses(self.factorial, self.p)
         long = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("loss")) for c in evaluate.COMPONENTS]))
         losses = rows.select("method", "k", long.alias("x")).select("method", "k", "x.component", "x.loss")
         wanted = F.broadcast(self.spark.createDataFrame(pairs, "effect string, candidate string, benchmark string"))
         a = losses.select(F.col("method").alias("candidate"), "k", "component", F.col("loss").alias("a"))
         b = losses.select(F.col("method").alias("benchmark"), "k", "component", F.col("loss").alias("b"))
         joined = wanted.join(a, "candidate").join(b, ["benchmark", "k", "component"])
-        return joined.select("effect", "component", (F.col("k") - self.training).alias("pos"), (F.col("b") - F.col("a")).alias("diff"))
+        return joined.select("effect", "component", (F.col("k") - self.training).alias("pos"), "a", "b", (F.col("b") - F.col("a")).alias("diff"))
 
     def prefix_coefficients(self, percents: tuple[int, ...]) -> DataFrame:
         """(series asset@percent, pos, value): residual coefficients where the reference too is refitted on each share
@@ -136,6 +136,30 @@ class Design:
         return residual.complete_forecasts({"naive": self.naive, "oracle": oracle}, corrections, self.panel.assets)
 
 
+    @cached_property
+    def factorial(self) -> DataFrame:
+        """(method, k, ts, m, f, e) for every indicator forecast (naive, ARFIMA, oracle) with every diagonal correction
+        (zero, naive, first-order autoregression, ARFIMA, oracle), and the direct persistence method. ARFIMA models
+        stay at the grid's d."""
+        held = self.coefficients.where(F.col("pos") >= self.training)
+        truth = reference.indicator(self.series, self.reference).where(F.col("k") >= self.training)
+        indicators = {
+            "naive": self.naive,
+            "arfima": self.arfima(refine=False),
+            "oracle": truth.withColumn("f", reference.from_indicator(self.reference, F.col("z"))),
+        }
+        series = self.coefficients.drop("ts")
+        corrections = {
+            "zero": held.withColumn("z_hat", F.lit(0.0)),
+            "naive": timeseries.naive_forecasts(self.coefficients, self.training),
+            "ar": timeseries.ar_forecasts(series, self.training, (1,)),
+            "arfima": timeseries.forecast_series(series, self.training, refine=False),
+            "oracle": held.withColumn("z_hat", F.col("value")),
+        }
+        made = residual.complete_forecasts(indicators, corrections, self.panel.assets)
+        return made.unionByName(forecast.methods({forecast.DIRECT: self.direct}, self.p))
+
+
 def lineitem_design(spark: SparkSession, sf_dir: str) -> Design:
     return Design(spark, lineitem_panel(spark, sf_dir))
 
