@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import matrix as mx
 from panelforge.operators.matrices import losses
-from panelforge.operators.panel import running_total, with_positions
+from panelforge.operators.panel import correlation, running_total, with_positions
 
 COMPONENTS = ("overall", "diagonal", "off_diagonal")
 
@@ -74,10 +74,9 @@ def scalar_metrics(rows: DataFrame, by: list[str], actual: str = "value", foreca
     """rmse, mae, bias (forecast minus actual), correlation (null without spread), squared error, least forecast and
     the share of negative forecasts."""
     e = F.col(forecast) - F.col(actual)
-    flat = (F.min(forecast) == F.max(forecast)) | (F.min(actual) == F.max(actual))
     return rows.groupBy(*by).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
-        F.when(~flat, F.corr(forecast, actual)).alias("correlation"), F.sum(e * e).alias("squared_error"),
+        correlation(forecast, actual).alias("correlation"), F.sum(e * e).alias("squared_error"),
         F.min(forecast).alias("min_forecast"), F.avg(F.when(F.col(forecast) < 0, 1.0).otherwise(0.0)).alias("negative_share"),
     )
 

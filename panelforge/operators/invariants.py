@@ -41,10 +41,11 @@ def loss_violations(losses: DataFrame) -> DataFrame:
 
 
 def fit_violations(fits: DataFrame, means: DataFrame, training: int) -> DataFrame:
-    """Fractional fits (series, mean, d, positive_frequency_count) must use the training part's mean (series, mean) and
-    frequencies only, and keep d inside the open interval of stationary models."""
-    joined = fits.join(means.select("series", F.col("mean").alias("__mean")), "series", "left")
-    off = F.abs(F.col("mean") - F.col("__mean")) > 1e-9 * F.greatest(F.abs("__mean"), F.lit(1e-12))
+    """Fractional fits (series, mean, d, positive_frequency_count) must use the training part's mean and frequencies
+    only, and keep d inside the open interval of stationary models. means: (series, mean, size), size being the mean
+    absolute value, against which rounding counts."""
+    joined = fits.join(means.select("series", F.col("mean").alias("__mean"), F.col("size").alias("__size")), "series", "left")
+    off = F.abs(F.col("mean") - F.col("__mean")) > 1e-9 * F.col("__size")
     bad = F.col("__mean").isNull() | off | (F.col("positive_frequency_count") != (training - 1) // 2) | (F.abs("d") >= 0.5)
     return joined.agg(F.sum(F.when(bad, 1).otherwise(0)).alias("violations"))
 
@@ -52,5 +53,6 @@ def fit_violations(fits: DataFrame, means: DataFrame, training: int) -> DataFram
 def future_dependence(first: DataFrame, changed: DataFrame, until: int, tolerance: float = 1e-9) -> DataFrame:
     """Forecasts up to `until` from two series that agree before it must agree, but for the rounding of long
     convolutions."""
-    joined = first.select("pos", F.col("z_hat").alias("__a")).join(changed.select("pos", F.col("z_hat").alias("__b")), "pos").where(F.col("pos") <= until)
+    keys = ["series", "pos"]
+    joined = first.select(*keys, F.col("z_hat").alias("__a")).join(changed.select(*keys, F.col("z_hat").alias("__b")), keys).where(F.col("pos") <= until)
     return joined.agg(F.sum(F.when(F.abs(F.col("__a") - F.col("__b")) <= tolerance * F.greatest(F.abs("__a"), F.lit(1.0)), 0).otherwise(1)).alias("violations"))

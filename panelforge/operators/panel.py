@@ -66,6 +66,14 @@ def by_asset(rows: DataFrame, column: str, assets: tuple[str, ...], name: str) -
     return rows.select(*kept, F.posexplode(column).alias("__k", name)).withColumn("asset", F.element_at(labels, F.col("__k") + 1)).drop("__k")
 
 
+def correlation(one: str, other: str) -> Column:
+    """The correlation of two columns over rows that have both; null where either has no spread."""
+    both = F.col(one).isNotNull() & F.col(other).isNotNull()
+    x, y = F.when(both, F.col(one)), F.when(both, F.col(other))
+    spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(spread, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def audit(panel: Panel, block_size: int) -> DataFrame:
     """Counts of the whole design: prices, returns, complete blocks, what falls behind, incomplete timestamps."""
     complete = panel.wide.agg(F.count(F.lit(1)).alias("n_prices"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import bases
 from panelforge.functions import matrix as mx
 from panelforge.operators.matrices import MatrixSeries
-from panelforge.operators.panel import CHUNK, with_lags
+from panelforge.operators.panel import CHUNK, correlation, with_lags
 
 
 def coefficients(errors: DataFrame, assets: tuple[str, ...]) -> DataFrame:
@@ -50,7 +50,7 @@ def split_comparison(coefficients_: DataFrame, training: int) -> DataFrame:
     tagged = tagged.withColumn("spos", F.when(F.col("pos") < training, F.col("pos")).otherwise(F.col("pos") - training))
     lagged = with_lags(tagged, {"before": ("value", 1)}, ["series", "sample"], "spos")
     table = lagged.groupBy("series", "sample").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.corr("value", "before").alias("autocorrelation"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), correlation("value", "before").alias("autocorrelation"),
         F.avg(F.when(F.col("value") < 0, 1.0).otherwise(0.0)).alias("negative_share"),
     )
     wide = table.groupBy("series").agg(

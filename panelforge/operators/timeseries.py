@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import whittle
-from panelforge.operators.panel import with_lags
+from panelforge.operators.panel import correlation, with_lags
 
 FIT_SCHEMA = (
     "series string, mean double, d double, innovation_variance double, objective double, positive_frequency_count long, "
@@ -19,13 +19,16 @@ FIT_SCHEMA = (
 )
 
 
-def fit_series(series: DataFrame, training: int | None = None, refine: bool = True) -> DataFrame:
-    """One ArfimaFit row per series, from its first `training` values (all by default)."""
+def fit_series(series: DataFrame, training: int | None = None, refine: bool = True, short: bool = False) -> DataFrame:
+    """One ArfimaFit row per series, from its first `training` values (all by default). With short, a series of too few
+    values has a row of nulls; else it is refused."""
 
     def run(key, pdf):
         import pandas as pd
 
         values = pdf.sort_values("pos")["value"].to_numpy()
+        if short and len(values[:training]) < whittle.LEAST_LENGTH:
+            return pd.DataFrame([{"series": key[0]} | dict.fromkeys(whittle.ArfimaFit.__dataclass_fields__)])
         return pd.DataFrame([{"series": key[0]} | whittle.fit(values[:training], refine).as_dict()])
 
     return series.groupBy("series").applyInPandas(run, FIT_SCHEMA)
@@ -99,8 +102,7 @@ def lag_correlations(rows: DataFrame, lags: list[int], value: str = "value", by:
     lagged = with_lags(rows, names, [by], pos)
     pairs = F.explode(F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"__lag{lag}").alias("before")) for lag in lags]))
     long = lagged.select(by, F.col(value).alias("x"), pairs.alias("p")).select(by, "x", "p.lag", "p.before").where(F.col("before").isNotNull())
-    flat = (F.min("x") == F.max("x")) | (F.min("before") == F.max("before"))
-    return long.groupBy(by, "lag").agg(F.when(~flat, F.corr("x", "before")).alias("correlation"))
+    return long.groupBy(by, "lag").agg(correlation("x", "before").alias("correlation"))
 
 
 def shares_of_training(series: DataFrame, training: int, percents: tuple[int, ...] = (50, 75, 100)) -> DataFrame:

@@ -119,25 +119,66 @@ COEFFICIENTS = f"""{INDICATOR},
 coef AS (SELECT asset AS series, k, ts, ntrain, sample, value FROM ind, LATERAL (VALUES ('A', ec1), ('N', ec4), ('R', ec6)) AS v(asset, value))"""
 
 
-def _complete() -> str:
-    parts = []
-    for indicator, z in (("naive", "z_hat"), ("oracle", "z")):
-        for correction in ("zero", "naive", "oracle"):
-            c = {"zero": "0.0", "naive": "lag_e{n}", "oracle": "e{n}"}[correction]
-            columns = ", ".join(f"{n} - (s{n} + ({z} - l1) * p{n}{' + ' + c.format(n=n) if n in DIAGONAL else ''}) AS x{n}" for n in NAMES)
-            parts.append(f"SELECT '{indicator}+{correction}' AS method, k, {', '.join(NAMES)}, {columns} FROM chg")
-    return f"""{INDICATOR},
-chg AS (SELECT * FROM (SELECT *, lag(z) OVER (ORDER BY k) AS z_hat, {', '.join(f'lag(e{n}) OVER (ORDER BY k) AS lag_e{n}' for n in DIAGONAL)} FROM ind) WHERE k >= ntrain),
+#: Fractional models at the grid's d of the indicator and of every residual coefficient, each as a series of its own.
+FRACTIONAL = f"""{COEFFICIENTS},
+ser AS (SELECT 'z' AS series, k, z AS value, ntrain, nmat FROM ind UNION ALL SELECT series, k, value, ntrain, (SELECT nmat FROM cnt) FROM coef),
+fn AS (SELECT series, count(*) AS n, avg(value) AS mean FROM ser WHERE k < ntrain GROUP BY series),
+fp AS (SELECT series, j, 2 * pi() * j / n AS omega, (sum((value - mean) * cos(2 * pi() * j * k / n)) ** 2 + sum((value - mean) * sin(2 * pi() * j * k / n)) ** 2) / (2 * pi() * n) AS power
+  FROM ser JOIN fn USING (series), (SELECT unnest(range(1, 100000)) AS j) WHERE k < ntrain AND j <= (n - 1) // 2 GROUP BY series, j, n),
+fo AS (SELECT series, step / 1000.0::DOUBLE AS d, count(*) * ln(2 * pi() * avg(power * exp(2 * (step / 1000.0::DOUBLE) * ln(2 * sin(omega / 2))))) - 2 * (step / 1000.0::DOUBLE) * sum(ln(2 * sin(omega / 2))) AS q
+  FROM fp, (SELECT unnest(range(-490, 491)) AS step) GROUP BY series, step),
+fd AS (SELECT series, arg_min(d, (q, d)) AS d FROM fo GROUP BY series),
+ff AS (SELECT series, q, CASE WHEN q = 0 THEN 1.0 ELSE (q - 1 - d) / q END AS f FROM fd, (SELECT unnest(range(0, 100000)) AS q), cnt WHERE q < nmat),
+fw AS (SELECT series, q, exp(sum(ln(greatest(abs(f), 1e-300))) OVER (PARTITION BY series ORDER BY q)) * CASE WHEN sum(CASE WHEN f < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY q) % 2 = 0 THEN 1 ELSE -1 END AS weight FROM ff),
+fv AS (SELECT a.series, a.k, max(a.value) AS value, max(a.ntrain) AS ntrain, sum(weight * (b.value - mean)) AS innovation
+  FROM ser a JOIN ser b ON b.series = a.series AND b.k <= a.k JOIN fw ON fw.series = a.series AND fw.q = a.k - b.k JOIN fn ON fn.series = a.series GROUP BY a.series, a.k),
+fz AS (SELECT series, k, value, value - innovation AS z_hat FROM fv WHERE k >= ntrain)"""
+
+AR1 = """ag AS (SELECT series, k, ntrain, value, lag(value) OVER (PARTITION BY series ORDER BY k) AS b FROM coef),
+ai AS (SELECT series, regr_intercept(value, b) AS icept, regr_slope(value, b) AS slope FROM ag WHERE k < ntrain AND b IS NOT NULL GROUP BY series),
+az AS (SELECT series, k, value, icept + slope * b AS z_hat FROM ag JOIN ai USING (series) WHERE k >= ntrain)"""
+
+
+def _factorial() -> str:
+    """Losses cl (method, k, three components) of every indicator forecast with every correction, and of persistence."""
+    shift = {"zero": "0.0", "naive": "lag_e{n}", "ar": "ar_{n}", "arfima": "fr_{n}", "oracle": "e{n}"}
+    parts = ["SELECT 'direct_naive' AS method, k, " + ", ".join(f"{n}, {n} - d{n} AS x{n}" for n in NAMES) + " FROM chg"]
+    for indicator, z in (("naive", "zb"), ("arfima", "za"), ("oracle", "z")):
+        for correction, c in shift.items():
+            columns = ", ".join(f"{n}, {n} - (s{n} + ({z} - l1) * p{n}{' + ' + c.format(n=n) if n in DIAGONAL else ''}) AS x{n}" for n in NAMES)
+            parts.append(f"SELECT '{indicator}+{correction}', k, {columns} FROM chg")
+    wide = ", ".join(f"max(z_hat) FILTER (series = '{a}') AS {{0}}_{n}" for a, n in zip(ASSETS, DIAGONAL, strict=True))
+    lags = ", ".join([f"lag({n}) OVER (ORDER BY k) AS d{n}" for n in NAMES] + [f"lag(e{n}) OVER (ORDER BY k) AS lag_e{n}" for n in DIAGONAL])
+    return f"""{FRACTIONAL},
+{AR1},
+fx AS (SELECT k, max(z_hat) FILTER (series = 'z') AS za, {wide.format('fr')} FROM fz GROUP BY k),
+ax AS (SELECT k, {wide.format('ar')} FROM az GROUP BY k),
+chg AS (SELECT * FROM (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {lags} FROM ind) JOIN fx USING (k) JOIN ax USING (k)),
 comp AS ({' UNION ALL '.join(parts)}),
 cl AS (SELECT method, k, {_overall('x')} AS overall, {_diagonal('x')} AS diagonal, {_off('x')} AS off_diagonal FROM comp),
-cr AS (SELECT method, 'overall' AS component, sqrt(sum(overall) / (count(*) * 9)) AS rmse FROM cl GROUP BY method
-  UNION ALL SELECT method, 'diagonal', sqrt(sum(diagonal) / (count(*) * 3)) FROM cl GROUP BY method
-  UNION ALL SELECT method, 'off_diagonal', sqrt(sum(off_diagonal) / (count(*) * 6)) FROM cl GROUP BY method)"""
+lg AS (UNPIVOT (SELECT method, k, overall, diagonal, off_diagonal FROM cl) ON overall, diagonal, off_diagonal INTO NAME component VALUE loss),
+cr AS (SELECT method, component, sum(loss) AS sse, sqrt(sum(loss) / (count(*) * CASE component WHEN 'overall' THEN 9 WHEN 'diagonal' THEN 3 ELSE 6 END)) AS rmse FROM lg GROUP BY method, component)"""
+
+
+COMPLETE = _factorial()
+
 
+def _values(rows: list[tuple[str, str, str]]) -> str:
+    return "(VALUES " + ", ".join(str(r) for r in rows) + ") AS f(effect, candidate, reference)"
 
-COMPLETE = _complete()
-EFFECTS_SQL = """(VALUES ('correction_given_naive', 'naive+naive', 'naive+zero'), ('correction_given_oracle', 'oracle+naive', 'oracle+zero'),
-  ('perfect_correction', 'naive+oracle', 'naive+zero'), ('perfect_indicator', 'oracle+zero', 'naive+zero')) AS f(effect, candidate, reference)"""
+
+PAIRS = f"""{COMPLETE},
+pd AS (SELECT effect, a.component, a.k, a.loss AS a, b.loss AS b, b.loss - a.loss AS diff, lag(b.loss - a.loss) OVER (PARTITION BY effect, a.component ORDER BY a.k) AS before
+  FROM {{pairs}} JOIN lg a ON a.method = candidate JOIN lg b ON b.method = reference AND b.component = a.component AND b.k = a.k)"""
+
+#: The losses of two methods along time, the path between them, and its place.
+PRIMARY = f"""{FRACTIONAL},
+pk AS (SELECT * FROM (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {', '.join(f'lag({n}) OVER (ORDER BY k) AS d{n}' for n in NAMES)} FROM ind) JOIN (SELECT k, z_hat AS za FROM fz WHERE series = 'z') USING (k)),
+pm AS (SELECT 'direct_naive' AS method, k, ts, {', '.join(f'{n} - d{n} AS x{n}' for n in NAMES)} FROM pk UNION ALL SELECT 'naive_indicator', k, ts, {', '.join(f'{n} - (s{n} + (zb - l1) * p{n})' for n in NAMES)} FROM pk
+  UNION ALL SELECT 'arfima_indicator', k, ts, {', '.join(f'{n} - (s{n} + (za - l1) * p{n})' for n in NAMES)} FROM pk),
+pl AS (SELECT method, k, ts, {_overall('x')} AS loss FROM pm),
+pp AS (SELECT c.method AS candidate, b.method AS benchmark, c.k, c.ts, c.loss AS a, b.loss AS b, b.loss - c.loss AS diff, sum(b.loss - c.loss) OVER (PARTITION BY c.method, b.method ORDER BY c.k) AS cumulative
+  FROM pl c JOIN pl b ON b.k = c.k WHERE (c.method, b.method) IN (('naive_indicator', 'direct_naive'), ('arfima_indicator', 'direct_naive'), ('arfima_indicator', 'naive_indicator')))"""
 
 
 def _entries(source: str, prefix: str, keys: str, where: str = "") -> str:
@@ -174,6 +215,22 @@ def _moments() -> str:
 _FIVE = "('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
 _EVENTS = """ev AS (SELECT make_timestamp((epoch_us(ts) // 900000000) * 900000000) AS ts, event_type AS asset, avg(value) AS price FROM events WHERE value > 0 GROUP BY ALL)"""
 
+_SCALAR = f"""{r('sqrt(avg((z_hat - value) ** 2))', 'rmse')}, {r('avg(abs(z_hat - value))', 'mae')}, {r('avg(z_hat - value)', 'bias')}, {r('corr(z_hat, value)', 'correlation')},
+{r('sum((z_hat - value) ** 2)', 'squared_error')}, {r('min(z_hat)', 'min_forecast')}, {r('avg(CASE WHEN z_hat < 0 THEN 1.0 ELSE 0.0 END)', 'negative_share')}"""
+
+# The pairs that are compared.
+EFFECTS = [
+    ("arfima_given_zero", "arfima+zero", "naive+zero"), ("arfima_given_naive", "arfima+naive", "naive+naive"), ("arfima_given_ar", "arfima+ar", "naive+ar"),
+    ("naive_correction_given_naive", "naive+naive", "naive+zero"), ("ar_correction_given_naive", "naive+ar", "naive+zero"),
+    ("naive_correction_given_arfima", "arfima+naive", "arfima+zero"), ("ar_correction_given_arfima", "arfima+ar", "arfima+zero"),
+    ("complete_against_baseline", "arfima+ar", "naive+zero"), ("perfect_correction", "naive+oracle", "naive+zero"), ("perfect_indicator", "oracle+zero", "naive+zero"),
+]
+LOSS_PAIRS = [
+    ("arfima_indicator_against_direct", "arfima+zero", "direct_naive"), ("naive_indicator_against_direct", "naive+zero", "direct_naive"),
+    ("arfima_against_naive_indicator", "arfima+zero", "naive+zero"), ("residual_arfima", "arfima+arfima", "arfima+zero"),
+    ("complete_arfima_against_direct", "arfima+arfima", "direct_naive"),
+]
+
 ORACLES: dict[str, str] = {
     "price_panel": f"WITH {RAW} SELECT ts, asset, price FROM raw WHERE ts IN (SELECT ts FROM wide)",
     "log_returns": f"WITH {RAW} SELECT pos, ts, asset, {r('v', 'r')} FROM ret, LATERAL (VALUES ('A', r0), ('N', r1), ('R', r2)) AS x(asset, v)",
@@ -208,7 +265,7 @@ SELECT k, ts, i, j, {r('v', 'v')} FROM b""",
     "rmse_reductions": f"WITH {RMSE} SELECT method, {r('(1 - overall / b) * 100', 'reduction_pct')} FROM rmse, base WHERE method <> 'direct_naive'",
     "losses_by_timestamp": f"WITH {LOSSES} SELECT method, k, ts, {r('overall', 'overall')}, {r('diagonal', 'diagonal')}, {r('off_diagonal', 'off_diagonal')} FROM loss",
     "component_comparison": f"""WITH {RMSE}, long AS (UNPIVOT (SELECT method, overall, diagonal, off_diagonal FROM rmse) ON overall, diagonal, off_diagonal INTO NAME component VALUE rmse)
-SELECT a.method, a.component, {r('a.rmse', 'rmse')}, {r('a.rmse / b.rmse', 'ratio')}, {r('(a.rmse / b.rmse - 1) * 100', 'change_pct')}, {r('(a.rmse / b.rmse) ** 2', 'sse_ratio')}
+SELECT a.method, a.component, {r('a.rmse', 'rmse')}, {r('a.rmse / b.rmse', 'ratio')}, {r('(a.rmse / b.rmse - 1) * 100', 'change_pct')}, {r('(a.rmse / b.rmse) ** 2', 'sse_ratio')}, {r('1 - (a.rmse / b.rmse) ** 2', 'share_captured')}
 FROM long a JOIN long b ON a.component = b.component AND b.method = 'direct_naive'""",
     "psd_diagnostics": f"""WITH {FORECASTS}, {_eigen('f', 'fc', 'method, k')}
 SELECT method, {r('min(w3)', 'min_eigenvalue')}, count(*) FILTER (w3 < 0) AS n_negative, count(*) FILTER (w3 < -1e-12 * greatest(abs(w1), abs(w3))) AS n_non_psd,
@@ -243,17 +300,17 @@ UNION ALL SELECT 'naive_indicator', {', '.join(f'{n} - (s{n} + (zb - l1) * p{n})
 t AS (SELECT method, sqrt(sum({_overall('x')}) / (count(*) * 9)) AS overall, sqrt(sum({_diagonal('x')}) / (count(*) * 3)) AS diagonal, sqrt(sum({_off('x')}) / (count(*) * 6)) AS off_diagonal FROM al GROUP BY method)
 SELECT method, {r('overall', 'overall')}, {r('diagonal', 'diagonal')}, {r('off_diagonal', 'off_diagonal')}, {r("(overall / (SELECT overall FROM t WHERE method = 'direct_naive') - 1) * 100", 'change_pct')} FROM t""",
     "fractional_difference": f"WITH {WEIGHTS} SELECT a.k, {r('max(a.z)', 'z')}, {r('sum(weight * (b.z - mean))', 'innovation')} FROM ind a JOIN ind b ON b.k <= a.k JOIN w ON w.q = a.k - b.k, zn GROUP BY a.k",
-    "lag_correlations": f"WITH {SPECTRUM} SELECT lag, {r('corr(a.value, b.value)', 'correlation')} FROM zt a JOIN (VALUES (1), (2), (5), (10), (20)) AS v(lag) ON true JOIN zt b ON b.pos = a.pos - lag GROUP BY lag",
-    "coefficient_lag_correlations": f"""WITH {COEFFICIENTS} SELECT a.series, lag, {r('corr(a.value, b.value)', 'correlation')} FROM coef a JOIN (VALUES (1), (2), (5), (10), (20)) AS v(lag) ON true
+    "lag_correlations": f"WITH {SPECTRUM} SELECT lag, {r('corr(a.value, b.value)', 'correlation')} FROM zt a JOIN (VALUES (1), (2), (5), (10), (20), (50)) AS v(lag) ON true JOIN zt b ON b.pos = a.pos - lag GROUP BY lag",
+    "coefficient_lag_correlations": f"""WITH {COEFFICIENTS} SELECT a.series, lag, {r('corr(a.value, b.value)', 'correlation')} FROM coef a JOIN (VALUES (1), (2), (5), (10), (20), (50)) AS v(lag) ON true
 JOIN coef b ON b.series = a.series AND b.k = a.k - lag WHERE a.k < a.ntrain GROUP BY a.series, lag""",
-    "d_stability": f"""WITH {INDICATOR}, sh AS (SELECT percent, k AS pos, z AS value FROM ind, (VALUES (50), (75), (100)) AS v(percent) WHERE k < percent * ntrain // 100 AND percent * ntrain // 100 >= 20),
+    "d_stability": f"""WITH {INDICATOR}, sh AS (SELECT percent, k AS pos, z AS value FROM ind, (VALUES (50), (75), (100)) AS v(percent) WHERE k < percent * ntrain // 100),
 sn AS (SELECT percent, count(*) AS n, avg(value) AS mean FROM sh GROUP BY percent),
 sp AS (SELECT percent, j, 2 * pi() * j / n AS omega, (sum((value - mean) * cos(2 * pi() * j * pos / n)) ** 2 + sum((value - mean) * sin(2 * pi() * j * pos / n)) ** 2) / (2 * pi() * n) AS power
   FROM sh JOIN sn USING (percent), (SELECT unnest(range(1, 100000)) AS j) WHERE j <= (n - 1) // 2 GROUP BY percent, j, n),
 og AS (SELECT percent, step / 1000.0::DOUBLE AS d, count(*) * ln(2 * pi() * avg(power * exp(2 * (step / 1000.0::DOUBLE) * ln(2 * sin(omega / 2))))) - 2 * (step / 1000.0::DOUBLE) * sum(ln(2 * sin(omega / 2))) AS q
   FROM sp, (SELECT unnest(range(-490, 491)) AS step) GROUP BY percent, step),
 bs AS (SELECT percent, arg_min(d, q) AS d FROM og GROUP BY percent)
-SELECT percent, {r('d', 'd')}, least(d + 0.49, 0.49 - d) < 0.01 AS boundary_warning FROM bs""",
+SELECT percent, CASE WHEN n >= 20 THEN {r('d', 'd')[:-5]} END AS d, CASE WHEN n >= 20 THEN least(d + 0.49, 0.49 - d) < 0.01 END AS boundary_warning FROM bs JOIN sn USING (percent)""",
     "ar_fit": f"""WITH {COEFFICIENTS}, l AS (SELECT series, value, lag(value) OVER (PARTITION BY series ORDER BY k) AS b FROM coef WHERE k < ntrain)
 SELECT series, {r('regr_intercept(value, b)', 'intercept')}, {r('regr_slope(value, b)', 'phi')} FROM l WHERE b IS NOT NULL GROUP BY series""",
     "naive_coefficient_forecast": f"""WITH {COEFFICIENTS}, l AS (SELECT series, k, ntrain, value, lag(value) OVER (PARTITION BY series ORDER BY k) AS z_hat FROM coef)
@@ -268,24 +325,35 @@ UNION ALL SELECT 'arfima', z, z_hat FROM zh JOIN ind USING (k))
 SELECT method, {r('sqrt(avg((zf - z) ** 2))', 'rmse')}, {r('avg(abs(zf - z))', 'mae')}, {r('avg(zf - z)', 'bias')}, {r('sum((zf - z) ** 2)', 'squared_error')}, {r('min(zf)', 'min_forecast')} FROM al GROUP BY method""",
     "innovation_lag_correlations": f"""WITH {WEIGHTS}, inn AS (SELECT a.k, sum(weight * (b.z - mean)) AS v FROM ind a JOIN ind b ON b.k <= a.k JOIN w ON w.q = a.k - b.k, zn
 WHERE a.k < a.ntrain GROUP BY a.k, a.ntrain HAVING a.k >= greatest(50, floor(sqrt(a.ntrain))))
-SELECT lag, {r('corr(a.v, b.v)', 'correlation')} FROM inn a JOIN (VALUES (1), (2), (5), (10)) AS t(lag) ON true JOIN inn b ON b.k = a.k - lag GROUP BY lag""",
-    "loss_tests": f"""WITH {COMPLETE}, lg AS (UNPIVOT (SELECT method, k, overall, diagonal, off_diagonal FROM cl) ON overall, diagonal, off_diagonal INTO NAME component VALUE loss),
-d AS (SELECT effect, a.component, a.k, b.loss - a.loss AS diff FROM {EFFECTS_SQL} JOIN lg a ON a.method = candidate JOIN lg b ON b.method = reference AND b.component = a.component AND b.k = a.k
-  WHERE a.component <> 'off_diagonal' OR effect = 'perfect_indicator'),
-n AS (SELECT effect, component, count(*) AS n, avg(diff) AS mean, CAST(least(floor(4 * (count(*) / 100.0) ** (2.0 / 9)), count(*) - 1) AS INTEGER) AS lag FROM d GROUP BY ALL),
-g AS (SELECT x.effect, x.component, l, sum((x.diff - mean) * (y.diff - mean)) / max(n) AS gamma FROM d x JOIN n USING (effect, component) JOIN (SELECT unnest(range(0, 1000)) AS l) v ON l <= lag
-  JOIN d y ON y.effect = x.effect AND y.component = x.component AND y.k = x.k - l GROUP BY ALL),
+SELECT lag, {r('corr(a.v, b.v)', 'correlation')} FROM inn a JOIN (VALUES (1), (2), (5), (10), (20), (50)) AS t(lag) ON true JOIN inn b ON b.k = a.k - lag GROUP BY lag""",
+    "loss_tests": f"""WITH {PAIRS.format(pairs=_values(LOSS_PAIRS))},
+n AS (SELECT effect, component, count(*) AS n, avg(diff) AS mean, CAST(least(floor(4 * (count(*) / 100.0) ** (2.0 / 9)), count(*) - 1) AS INTEGER) AS lag FROM pd GROUP BY ALL),
+g AS (SELECT x.effect, x.component, l, sum((x.diff - mean) * (y.diff - mean)) / max(n) AS gamma FROM pd x JOIN n USING (effect, component) JOIN (SELECT unnest(range(0, 1000)) AS l) v ON l <= lag
+  JOIN pd y ON y.effect = x.effect AND y.component = x.component AND y.k = x.k - l GROUP BY ALL),
 v AS (SELECT effect, component, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM g JOIN n USING (effect, component) GROUP BY ALL)
-SELECT effect, component, n, lag, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')} FROM n JOIN v USING (effect, component)""",
+SELECT effect, component, n, lag, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, CASE WHEN lrv > 0 THEN {r('mean / sqrt(lrv / n)', 't_statistic')[:-15]} END AS t_statistic FROM n JOIN v USING (effect, component)""",
+    "hac_lags": f"""WITH {DIFFERENCES}, n AS (SELECT count(*) AS n, avg(diff) AS mean FROM diff),
+q AS (SELECT DISTINCT lag FROM (SELECT CAST(least(floor(4 * (n / 100.0) ** (2.0 / 9)), n - 1) AS INTEGER) AS lag FROM n UNION ALL SELECT unnest([0, 5, 10, 20, 50])), n WHERE lag < n),
+g AS (SELECT v.l, sum((a.diff - mean) * (b.diff - mean)) / max(n) AS gamma FROM n, (SELECT unnest(range(0, 1000)) AS l) v JOIN diff a ON true JOIN diff b ON b.pos = a.pos - v.l WHERE v.l <= 50 GROUP BY v.l),
+v AS (SELECT lag, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM q JOIN g ON l <= lag GROUP BY lag)
+SELECT lag, n, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')} FROM n, v""",
+    "cumulative_loss_differences": f"WITH {PRIMARY} SELECT candidate, benchmark, k, ts, {r('diff', 'diff')}, {r('cumulative', 'cumulative')} FROM pp",
+    "primary_loss_report": f"""WITH {PRIMARY} SELECT count(*) AS n, count(*) FILTER (diff > 0) AS candidate_wins, {r('count(*) FILTER (diff > 0) / count(*)', 'candidate_win_share')}, count(*) FILTER (diff < 0) AS benchmark_wins,
+{r('count(*) FILTER (diff < 0) / count(*)', 'benchmark_win_share')}, count(*) FILTER (diff = 0) AS equal_losses, {r('sum(a)', 'candidate_total')}, {r('sum(b)', 'benchmark_total')}, {r('sum(diff)', 'net')}, {r('sum(diff) / sum(b)', 'relative_reduction')},
+{r('sum(greatest(diff, 0))', 'gross_gain')}, {r('-sum(least(diff, 0))', 'gross_loss')}, {r('-sum(greatest(diff, 0)) / sum(least(diff, 0))', 'gain_to_loss')}, {r('quantile_cont(diff, 0.5)', 'median')}, {r('max(diff)', 'largest_gain')}, {r('min(diff)', 'largest_loss')},
+{r('min(cumulative)', 'min_cumulative')}, arg_min(ts, cumulative) AS min_ts, {r('max(cumulative)', 'max_cumulative')}, arg_max(ts, cumulative) AS max_ts, max(ts) AS final_ts FROM pp WHERE candidate = 'arfima_indicator' AND benchmark = 'direct_naive'""",
+    "residual_arfima": f"""WITH {FRACTIONAL} SELECT series, {_SCALAR} FROM fz WHERE series <> 'z' GROUP BY series""",
+    "ar_first_order_forecast": f"WITH {COEFFICIENTS}, {AR1} SELECT series, k, {r('value', 'value')}, {r('z_hat', 'z_hat')} FROM az",
+    "coefficient_innovation_lag_correlations": f"""WITH {FRACTIONAL} SELECT a.series, lag, {r('corr(a.innovation, b.innovation)', 'correlation')} FROM fv a JOIN (VALUES (1), (2), (5), (10), (20), (50)) AS v(lag) ON true
+JOIN fv b ON b.series = a.series AND b.k = a.k - lag WHERE a.k < a.ntrain AND a.series <> 'z' GROUP BY a.series, lag""",
     "circular_block_sums": f"""WITH {DIFFERENCES}, n AS (SELECT count(*) AS n FROM diff) SELECT a.pos AS start, {r('sum(b.diff)', 'total')} FROM n, diff a JOIN diff b ON (b.pos - a.pos + (SELECT n FROM n)) % (SELECT n FROM n) < 5 GROUP BY a.pos""",
     "residual_coefficients": f"WITH {COEFFICIENTS} SELECT series, k, ts, {r('value', 'value')} FROM coef",
     "complete_forecasts": f"WITH {COMPLETE} SELECT method, component, {r('rmse', 'rmse')} FROM cr",
-    "incremental_effects": f"""WITH {COMPLETE} SELECT effect, a.component, {r('a.rmse', 'candidate_rmse')}, {r('b.rmse', 'reference_rmse')}
-FROM {EFFECTS_SQL} JOIN cr a ON a.method = candidate JOIN cr b ON b.method = reference AND b.component = a.component""",
-    "loss_difference_comparison": f"""WITH {COMPLETE}, lg AS (UNPIVOT (SELECT method, k, overall, diagonal, off_diagonal FROM cl) ON overall, diagonal, off_diagonal INTO NAME component VALUE loss)
-SELECT effect, a.component, count(*) AS n, {r('avg(a.loss)', 'candidate_mean')}, {r('avg(b.loss)', 'benchmark_mean')}, {r('avg(b.loss - a.loss)', 'mean_difference')},
-{r('avg(CASE WHEN round(b.loss - a.loss, 12) > 0 THEN 1.0 ELSE 0.0 END)', 'win_share')}
-FROM {EFFECTS_SQL} JOIN lg a ON a.method = candidate JOIN lg b ON b.method = reference AND b.component = a.component AND b.k = a.k GROUP BY effect, a.component""",
+    "incremental_effects": f"""WITH {COMPLETE} SELECT effect, a.component, {r('a.rmse', 'candidate_rmse')}, {r('b.rmse', 'reference_rmse')}, {r('1 - a.sse / b.sse', 'share_captured')}
+FROM {_values(EFFECTS)} JOIN cr a ON a.method = candidate JOIN cr b ON b.method = reference AND b.component = a.component""",
+    "loss_difference_comparison": f"""WITH {PAIRS.format(pairs=_values(LOSS_PAIRS))} SELECT effect, component, count(*) AS n, {r('avg(a)', 'candidate_mean')}, {r('avg(b)', 'benchmark_mean')}, {r('avg(diff)', 'mean_difference')},
+{r('avg(CASE WHEN a < b THEN 1.0 ELSE 0.0 END)', 'win_share')}, CASE WHEN min(diff) < max(diff) THEN {r('corr(diff, before)', 'x')[:-5]} END AS lag_1_correlation, bool_and(diff = 0) AS identical_losses,
+{r('avg(diff) / avg(b)', 'relative_reduction')}, effect = 'arfima_indicator_against_direct' AND component = 'overall' AS is_primary FROM pd GROUP BY effect, component""",
     "coefficient_split": f"""WITH {COEFFICIENTS}, l AS (SELECT *, lag(value) OVER (PARTITION BY series, sample ORDER BY k) AS b FROM coef),
 t AS (SELECT series, sample, avg(value) AS mean, stddev_samp(value) AS std, corr(value, b) AS ac, avg(CASE WHEN value < 0 THEN 1.0 ELSE 0.0 END) AS neg FROM l GROUP BY series, sample)
 SELECT a.series, {r('a.mean', 'train_mean')}, {r('a.std', 'train_std')}, {r('a.ac', 'train_autocorrelation')}, {r('a.neg', 'train_negative_share')},
@@ -298,6 +366,6 @@ SELECT a.method, a.pair, {r('a.rmse', 'rmse')}, {r('a.rmse / b.rmse', 'ratio')}
     "moment_tensor": f"WITH {INDICATOR} {_moments()}",
     "invariant_violations": " UNION ALL ".join(
         f"SELECT '{name}' AS invariant, 0::BIGINT AS violations"
-        for name in ("direct_is_previous", "finite_forecasts", "corrections_keep_off_diagonal", "oracle_recovers_diagonal", "losses_add_up", "unmatched_forecasts")
+        for name in ("direct_is_previous", "finite_forecasts", "corrections_keep_off_diagonal", "oracle_recovers_diagonal", "losses_add_up", "unmatched_forecasts", "fits_use_training_only", "forecasts_ignore_the_future")
     ),
 }

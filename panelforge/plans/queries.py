@@ -12,20 +12,36 @@ from panelforge.functions import bases
 from panelforge.functions import matrix as mx
 from panelforge.operators import evaluate, figures, forecast, inference, invariants, panel, reference, residual, timeseries
 from panelforge.operators import matrices as mt
+from panelforge.operators.panel import with_lags
 from panelforge.plans.design import BLOCK_SIZE, Design, lineitem_design
 from panelforge.sources import validate
 from panelforge.sources.panels import carried_forward, event_buckets, lineitem_panel, orders_panel
 
 DIGITS = 8
-LAGS = [1, 2, 5, 10, 20]
+LAGS = [1, 2, 5, 10, 20, 50]
 WEIGHT_DS = (0.25, -0.3)
 WEIGHT_COUNT = 40
+# Fixed values: (effect, candidate, reference) and (comparison, candidate, benchmark); the last two effects are bounds.
 EFFECTS = [
-    ("correction_given_naive", "naive+naive", "naive+zero"),
-    ("correction_given_oracle", "oracle+naive", "oracle+zero"),
+    ("arfima_given_zero", "arfima+zero", "naive+zero"),
+    ("arfima_given_naive", "arfima+naive", "naive+naive"),
+    ("arfima_given_ar", "arfima+ar", "naive+ar"),
+    ("naive_correction_given_naive", "naive+naive", "naive+zero"),
+    ("ar_correction_given_naive", "naive+ar", "naive+zero"),
+    ("naive_correction_given_arfima", "arfima+naive", "arfima+zero"),
+    ("ar_correction_given_arfima", "arfima+ar", "arfima+zero"),
+    ("complete_against_baseline", "arfima+ar", "naive+zero"),
     ("perfect_correction", "naive+oracle", "naive+zero"),
     ("perfect_indicator", "oracle+zero", "naive+zero"),
 ]
+LOSS_PAIRS = [
+    ("arfima_indicator_against_direct", "arfima+zero", forecast.DIRECT),
+    ("naive_indicator_against_direct", "naive+zero", forecast.DIRECT),
+    ("arfima_against_naive_indicator", "arfima+zero", "naive+zero"),
+    ("residual_arfima", "arfima+arfima", "arfima+zero"),
+    ("complete_arfima_against_direct", "arfima+arfima", forecast.DIRECT),
+]
+PRIMARY = (LOSS_PAIRS[0][0], "overall")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -210,6 +226,23 @@ def cumulative_loss_difference(d: Design) -> DataFrame:
     return d.differences.select("k", "ts", "diff", "cumulative")
 
 
+@on_design
+def cumulative_loss_differences(d: Design) -> DataFrame:
+    """The paths of two figures and of the difference between them, in units of 1e-8."""
+    rows, table = d.all_methods(refine=False), None
+    for candidate, benchmark in ((forecast.NAIVE, forecast.DIRECT), (forecast.ARFIMA, forecast.DIRECT), (forecast.ARFIMA, forecast.NAIVE)):
+        part = evaluate.loss_differences(rows, d.p, candidate, benchmark)
+        part = part.select(F.lit(candidate).alias("candidate"), F.lit(benchmark).alias("benchmark"), "k", "ts", "diff", "cumulative")
+        table = part if table is None else table.unionByName(part)
+    return table
+
+
+@on_design
+def primary_loss_report(d: Design) -> DataFrame:
+    """The fields of the concentration report, for the ARFIMA indicator against direct persistence."""
+    return evaluate.loss_report(evaluate.loss_differences(d.all_methods(refine=False), d.p, forecast.ARFIMA, forecast.DIRECT))
+
+
 @on_design
 def win_share(d: Design) -> DataFrame:
     return evaluate.win_share(d.differences)
@@ -251,6 +284,15 @@ def invariant_violations(d: Design) -> DataFrame:
         "losses_add_up": invariants.loss_violations(mt.losses(exact, d.p)),
         "unmatched_forecasts": forecast.unmatched(d.direct, d.naive).agg(F.count(F.lit(1)).alias("violations")),
     }
+    series = d.indicator_series.drop("ts").unionByName(d.coefficients.drop("ts"))
+    changed = series.withColumn("value", F.when(F.col("pos") == d.matrices - 1, F.col("value") + 1).otherwise(F.col("value")))
+    means = series.where(F.col("pos") < d.training).groupBy("series").agg(F.avg("value").alias("mean"), F.avg(F.abs("value")).alias("size"))
+    checks |= {
+        "fits_use_training_only": invariants.fit_violations(timeseries.fit_series(series, d.training, refine=False), means, d.training),
+        "forecasts_ignore_the_future": invariants.future_dependence(
+            *[timeseries.forecast_series(s, d.training, refine=False) for s in (series, changed)], d.matrices - 1
+        ),
+    }
     table = None
     for name, rows in checks.items():
         part = rows.select(F.lit(name).alias("invariant"), F.col("violations").cast("long").alias("violations"))
@@ -335,11 +377,9 @@ def coefficient_lag_correlations(d: Design) -> DataFrame:
 
 @on_design
 def d_stability(d: Design) -> DataFrame:
-    """Grid estimates on half, three quarters and all of the training part; shares under twenty values are left out,
-    as nothing can be estimated from them."""
-    shares = tuple(s for s in (50, 75, 100) if s * d.training // 100 >= 20)
-    parts = timeseries.shares_of_training(d.indicator_series.drop("ts"), d.training, shares)
-    fits = timeseries.fit_series(parts, None, refine=False)
+    """Grid estimates on half, three quarters and all of the training part; a share under twenty values, from which
+    nothing can be estimated, has nulls."""
+    fits = timeseries.fit_series(timeseries.shares_of_training(d.indicator_series.drop("ts"), d.training), None, refine=False, short=True)
     return fits.select(F.substring_index("series", "@", -1).cast("int").alias("percent"), "d", "boundary_warning")
 
 
@@ -351,13 +391,17 @@ def ar_fit(d: Design) -> DataFrame:
 
 @on_design
 def ar_order_selection(d: Design) -> DataFrame:
-    return timeseries.order_comparison(d.coefficients.drop("ts"), d.training, tuple(o for o in timeseries.AR_ORDERS if 3 * o < d.training))
+    return timeseries.order_comparison(d.coefficients.drop("ts"), d.training)
 
 
 @on_design
 def ar_forecast(d: Design) -> DataFrame:
-    made = timeseries.ar_forecasts(d.coefficients.drop("ts"), d.training, tuple(o for o in timeseries.AR_ORDERS if 3 * o < d.training))
-    return evaluate.scalar_metrics(made, ["series"])
+    return evaluate.scalar_metrics(timeseries.ar_forecasts(d.coefficients.drop("ts"), d.training), ["series"])
+
+
+@on_design
+def ar_first_order_forecast(d: Design) -> DataFrame:
+    return timeseries.ar_forecasts(d.coefficients.drop("ts"), d.training, (1,)).withColumnRenamed("pos", "k")
 
 
 @on_design
@@ -392,13 +436,19 @@ def innovation_lag_correlations(d: Design) -> DataFrame:
     burn = max(50, int(d.training**0.5))
     made = timeseries.difference_series(d.indicator_series.drop("ts"), d.training, refine=False)
     kept = made.where((F.col("pos") >= burn) & (F.col("pos") < d.training)).select("series", (F.col("pos") - burn).alias("pos"), F.col("innovation").alias("value"))
-    return timeseries.lag_correlations(kept, [lag for lag in LAGS if lag < 20]).drop("series")
+    return timeseries.lag_correlations(kept, LAGS).drop("series")
+
+
+@on_design
+def coefficient_innovation_lag_correlations(d: Design) -> DataFrame:
+    """Of the fractionally differenced training coefficients, per asset, from the first on."""
+    made = timeseries.difference_series(d.coefficients.drop("ts"), d.training, refine=False).where(F.col("pos") < d.training)
+    return timeseries.lag_correlations(made.select("series", "pos", F.col("innovation").alias("value")), LAGS)
 
 
 @on_design
 def prefix_refit_stability(d: Design) -> DataFrame:
-    shares = tuple(s for s in (50, 75, 100) if s * d.training // 100 >= 20)
-    fits = timeseries.fit_series(d.prefix_coefficients(shares), None, refine=False)
+    fits = timeseries.fit_series(d.prefix_coefficients((50, 75, 100)), None, refine=False, short=True)
     name, share = F.substring_index("series", "@", 1), F.substring_index("series", "@", -1).cast("int")
     return fits.select(name.alias("series"), share.alias("percent"), "d", "boundary_warning")
 
@@ -408,8 +458,7 @@ def validation_selection(d: Design) -> DataFrame:
     """Order selection with the reference estimated before the validation part only."""
     start = timeseries.validation_start(d.training)
     early = Design(d.spark, d.panel, d.block_size, start)
-    orders = tuple(o for o in timeseries.AR_ORDERS if 3 * o < start)
-    return timeseries.order_comparison(early.coefficients.drop("ts"), d.training, orders)
+    return timeseries.order_comparison(early.coefficients.drop("ts"), d.training)
 
 
 # --- inference -----------------------------------------------------------------------------------------------------
@@ -426,6 +475,30 @@ def hac_sensitivity(d: Design) -> DataFrame:
     return inference.hac_rows(d.spark, inference.hac_sensitivity(d.differences))
 
 
+@on_design
+def hac_lags(d: Design) -> DataFrame:
+    """hac_sensitivity without the p-value."""
+    return inference.hac_rows(d.spark, inference.hac_sensitivity(d.differences)).select("lag", "n", "mean", "long_run_variance", "standard_error", "t_statistic")
+
+
+@on_design
+def untruncated_bootstrap_interval(d: Design) -> DataFrame:
+    return inference.bootstrap_interval(d.differences, truncate=False)
+
+
+@on_design
+def loss_intervals(d: Design) -> DataFrame:
+    """Bootstrap intervals of every loss pair i and component j, seeded with the base seed + 100 i + j."""
+    rows, table = d.pair_differences(LOSS_PAIRS).persist(), None
+    for i, (name, *_) in enumerate(LOSS_PAIRS):
+        for j, component in enumerate(evaluate.COMPONENTS):
+            own = rows.where((F.col("effect") == name) & (F.col("component") == component)).select("pos", "diff")
+            part = inference.bootstrap_interval(own, seed=inference.BASE_SEED + 100 * i + j)
+            part = part.select(F.lit(name).alias("effect"), F.lit(component).alias("component"), "*")
+            table = part if table is None else table.unionByName(part)
+    return table
+
+
 @on_design
 def bootstrap_interval(d: Design) -> DataFrame:
     return inference.bootstrap_interval(d.differences)
@@ -441,37 +514,35 @@ def circular_block_sums(d: Design) -> DataFrame:
     return inference.circular_sums(d.differences, d.matrices - d.training, 5)
 
 
+def _pair_tests(d: Design) -> DataFrame:
+    return inference.hac_table(d.pair_differences(LOSS_PAIRS), ["effect", "component"], inference.automatic_hac_lag(d.matrices - d.training))
+
+
 @on_design
 def loss_tests(d: Design) -> DataFrame:
-    """Equal-accuracy tests of every pair and component; pairs whose losses never differ have no statistic."""
-    rows = d.pair_differences(EFFECTS)
-    table = inference.hac_table(rows, ["effect", "component"], inference.automatic_hac_lag(d.matrices - d.training))
-    return table.where("component <> 'off_diagonal' OR effect = 'perfect_indicator'").drop("p_value")
+    """Equal-accuracy tests of every pair and component; losses that never differ have no statistic."""
+    return _pair_tests(d).drop("p_value")
 
 
 @on_design
 def loss_test_probabilities(d: Design) -> DataFrame:
-    rows = d.pair_differences(EFFECTS)
-    table = inference.hac_table(rows, ["effect", "component"], inference.automatic_hac_lag(d.matrices - d.training))
-    return table.select("effect", "component", "t_statistic", "p_value")
+    return _pair_tests(d).select("effect", "component", "t_statistic", "p_value")
 
 
 @on_design
 def loss_difference_comparison(d: Design) -> DataFrame:
-    """Every pair and component: means of the losses and how often the candidate wins."""
-    rows = mt.losses(d.completed, d.p)
-    table = None
-    for effect, candidate, benchmark in EFFECTS:
-        for component in evaluate.COMPONENTS:
-            loss = lambda name, c=component: F.sum(F.when(F.col("method") == name, F.col(c)))
-            pair = rows.where(F.col("method").isin(candidate, benchmark)).groupBy("k").agg(loss(candidate).alias("a"), loss(benchmark).alias("b"))
-            part = pair.agg(
-                F.lit(effect).alias("effect"), F.lit(component).alias("component"), F.count(F.lit(1)).alias("n"), F.avg("a").alias("candidate_mean"),
-                F.avg("b").alias("benchmark_mean"), F.avg(F.col("b") - F.col("a")).alias("mean_difference"),
-                F.avg(F.when(F.round(F.col("b") - F.col("a"), 12) > 0, 1.0).otherwise(0.0)).alias("win_share"),
-            )
-            table = part if table is None else table.unionByName(part)
-    return table
+    """Every pair and component: means of the losses, how often the candidate wins, and the difference's lag-1
+    correlation; a benchmark without loss is refused."""
+    rows = with_lags(d.pair_differences(LOSS_PAIRS), {"before": ("diff", 1)}, ["effect", "component"])
+    table = rows.groupBy("effect", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("a").alias("candidate_mean"), F.avg("b").alias("benchmark_mean"), F.avg("diff").alias("mean_difference"),
+        F.avg(F.when(F.col("a") < F.col("b"), 1.0).otherwise(0.0)).alias("win_share"),
+        panel.correlation("diff", "before").alias("lag_1_correlation"), F.bool_and(F.col("diff") == 0).alias("identical_losses"),
+    )
+    refused = F.raise_error(F.lit("a benchmark has zero mean loss")).cast("double")
+    reduction = F.when(F.col("benchmark_mean") == 0, refused).otherwise(F.col("mean_difference") / F.col("benchmark_mean"))
+    primary = (F.col("effect") == PRIMARY[0]) & (F.col("component") == PRIMARY[1])
+    return table.select("*", reduction.alias("relative_reduction"), primary.alias("is_primary"))
 
 
 # --- residuals -----------------------------------------------------------------------------------------------------
@@ -484,12 +555,13 @@ def residual_coefficients(d: Design) -> DataFrame:
 
 @on_design
 def complete_forecasts(d: Design) -> DataFrame:
-    return evaluate.component_metrics(d.completed, d.p, ["method"]).select("method", "component", "rmse")
+    return evaluate.component_metrics(d.factorial, d.p, ["method"]).select("method", "component", "rmse")
 
 
 @on_design
 def incremental_effects(d: Design) -> DataFrame:
-    return evaluate.incremental_effects(evaluate.component_metrics(d.completed, d.p, ["method"]), EFFECTS).select("effect", "component", "candidate_rmse", "reference_rmse")
+    table = evaluate.incremental_effects(evaluate.component_metrics(d.factorial, d.p, ["method"]), EFFECTS)
+    return table.select("effect", "component", "candidate_rmse", "reference_rmse", "share_captured")
 
 
 @on_design
