@@ -1,10 +1,13 @@
 """Main text of web pages by tree scoring.
 
 A page is cut into tags and text, and a tree is built that closes what authors leave open. Boilerplate subtrees
-(by element, role, hiddenness, or words in class and id) are set aside unless they hold the page's article. Every
-text block passes points for its length and its commas to its parent, half to the grandparent, and a falling share
-further up, times one minus the link density of what it came from. The best container, lifted to the article or main
-element around it, and its worthy siblings give the blocks of the main text in page order.
+(by element, role, hiddenness, or class and id) are set aside unless they hold the page's article. A class or id tells
+of boilerplate where all its words do ("comment-list"); where only some do ("form-factor"), the subtree goes only if
+most of its text is links. Headings in an article's own header stay. Every text block passes points for its length and
+its commas to its container, and each container half of its points to the one around it, times one minus the link
+density of what it came from; one sweep from the last element to the first adds them up. The best container, lifted to
+the article or main element around it, and its worthy siblings, at every level up to the body, give the blocks of the
+main text in page order. The work is linear in the page.
 
 Defined results: null, empty or tag-only html gives the empty text; a page cut off anywhere is read to its end;
 white space in a block (line breaks included) becomes one space; repeated rows give equal texts; extra columns are
@@ -32,7 +35,7 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?=[\
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title template iframe noscript xmp noembed noframes svg math canvas object".split())
+_RAW = frozenset("script style textarea title template iframe noscript xmp noembed noframes svg annotation canvas object".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption legend select".split()
@@ -54,10 +57,19 @@ _MARKS = frozenset(
     "sidebar signup login skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets discussion form "
     "outbrain taboola shoutbox rail aside".split()
 )
+#: Words that stand beside marks without a meaning of their own.
+_NEUTRAL = frozenset(
+    "area bar bars block blocks body bottom box boxes btn button buttons center col column container content desktop entries entry global group "
+    "icon icons inner item items js left links link list lists main mobile module outer page panel post posts primary right row secondary section site "
+    "slot text thread title top unit up wrap wrapper zone in of the by on and".split()
+)
 _HOLDERS = frozenset(("html", "body", "main", "article"))
 #: A name that begins so tells of a layout ("has-sidebar"), not of the element itself.
 _LAYOUT = frozenset("has with without no is hide show js".split())
 _SKIPPED_LISTS = 0.95
+#: A sibling joins the best container from this share of its points on, but no fewer points.
+MORE_SHARE = 0.2
+MORE_LEAST = 4.0
 _WHOLE_PAGE = 0.6
 _CANDIDATES = frozenset("article main section div td body blockquote html center figure table".split())
 
@@ -149,25 +161,29 @@ def _parse(page: str) -> _Tree:
     return tree
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+def _furniture(tag: str, attributes: str) -> int:
+    """2 for boilerplate, 1 for what only a part of a name tells of, else 0."""
     if tag in _FURNITURE:
-        return True
+        return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
+    most = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 2
         if name == "role" and value.lower() in _ROLES:
-            return True
+            return 2
         if name in ("class", "id") and tag not in _HOLDERS:
             for part in value.split():
                 words = [w.lower() for w in _WORDS.findall(part)]
                 if words and words[0] not in _LAYOUT and any(w in _MARKS for w in words):
-                    return True
-    return False
+                    if all(w in _MARKS or w in _NEUTRAL or w.isdigit() for w in words):
+                        return 2
+                    most = 1
+    return most
 
 
 def main_blocks(page: str | None) -> list[str]:
@@ -188,11 +204,26 @@ def main_blocks(page: str | None) -> list[str]:
             share[parents[i]] += share[i]
         for i in range(1, n):
             holds[i] |= tags[i] == "form" and share[i] > _WHOLE_PAGE * share[0]
-    out, linked = [False] * n, [False] * n
+    out, linked, inside_article = [False] * n, [False] * n, [False] * n
+    told = [0] * n
     for i in range(1, n):
-        own = not holds[i] and _furniture(tags[i], tree.attributes[i])
-        out[i] = own or out[parents[i]]
         linked[i] = tags[i] == "a" or linked[parents[i]]
+        inside_article[i] = tags[parents[i]] == "article" or inside_article[parents[i]]
+        told[i] = 0 if holds[i] else _furniture(tags[i], tree.attributes[i])
+        if tags[i] == "header" and inside_article[i] and told[i] == 2 and not _furniture("div", tree.attributes[i]):
+            told[i] = 0
+    if 1 in told:  # names that tell only in part need links to agree
+        share, in_links = [0] * n, [0] * n
+        for element, _, text in tree.pieces:
+            size = len(text.strip())
+            share[element] += size
+            in_links[element] += size * linked[element]
+        for i in range(n - 1, 0, -1):
+            share[parents[i]] += share[i]
+            in_links[parents[i]] += in_links[i]
+        told = [2 if t == 1 and in_links[i] > share[i] / 2 else t for i, t in enumerate(told)]
+    for i in range(1, n):
+        out[i] = told[i] == 2 or out[parents[i]]
     # blocks: text joined over the inline elements of one stretch
     blocks: list[tuple[int, str, int]] = []  # (block element, text, characters in links)
     number, parts, in_links, holder = -1, [], 0, 0
@@ -221,14 +252,11 @@ def main_blocks(page: str | None) -> list[str]:
     score, length, links = [0.0] * n, [0] * n, [0] * n
     for element, text, in_links in blocks:
         points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
-        points *= 1 - in_links / len(text)
-        at, level = parents[element] if tags[element] not in _CANDIDATES else element, 0
-        while at > 0:
-            score[at] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            at, level = parents[at], level + 1
+        score[parents[element] if tags[element] not in _CANDIDATES else element] += points * (1 - in_links / len(text))
         length[element] += len(text)
         links[element] += in_links
     for i in range(n - 1, 0, -1):
+        score[parents[i]] += score[i] / 2
         length[parents[i]] += length[i]
         links[parents[i]] += links[i]
     best, most = 0, -1.0
@@ -243,27 +271,34 @@ def main_blocks(page: str | None) -> list[str]:
             best = at
             break
         at = parents[at]
-    kept = {best}
-    if tags[best] not in ("body", "html", "main"):
-        least = max(10.0, score[best] * 0.2)
-        for i in range(1, n):
-            if parents[i] == parents[best] and i != best and length[i] and not out[i]:
-                density = links[i] / length[i]
-                same = tags[i] == tags[best] == "article"
-                if same or (tags[i] in _CANDIDATES and tags[best] != "article" and score[i] * (1 - density) >= least):
-                    kept.add(i)
-                elif tags[i] in ("p", "h1", "h2", "h3", "ul", "ol", "pre", "blockquote") and tags[best] != "article" and density < 0.25:
-                    kept.add(i)
+    kept, around = {best}, {}
+    at = best
+    while at > 0 and tags[at] not in ("body", "html", "main"):
+        around[parents[at]] = at  # the way from the best container up to the body
+        if tags[best] == "article":
+            break
+        at = parents[at]
+    least = max(MORE_LEAST, score[best] * MORE_SHARE)
+    for i in range(1, n):
+        if around.get(parents[i], i) != i and length[i] and not out[i]:
+            density, own_level = links[i] / length[i], parents[i] == parents[best]
+            if tags[best] == "article":
+                worthy = tags[i] == "article"
+            elif tags[i] in _CANDIDATES:
+                worthy = score[i] * (1 - density) >= least * (1 if own_level else 2)
+            else:
+                worthy = own_level and tags[i] in ("p", "h1", "h2", "h3", "ul", "ol", "pre", "blockquote") and density < 0.25
+            if worthy:
+                kept.add(i)
     inside = [False] * n
     for i in range(n):
         inside[i] = i in kept or (i > 0 and inside[parents[i]])
     count: dict[int, int] = {}
+    listed = [0] * n
     for i in range(1, n):
+        listed[i] = i if tags[i] in ("ul", "ol", "dl") else listed[parents[i]]
         if tags[i] == "a":
-            at = i
-            while at > 0 and tags[at] not in ("ul", "ol", "dl"):
-                at = parents[at]
-            count[at] = count.get(at, 0) + 1
+            count[listed[i]] = count.get(listed[i], 0) + 1
     menus = {i for i, c in count.items() if i > 0 and c >= 3 and length[i] and links[i] / length[i] >= _SKIPPED_LISTS}
     menu = [False] * n
     for i in range(1, n):
