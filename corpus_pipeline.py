@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the classes of op3, then similarity 0.8 over five-word shingles."""
-    return near_copies.without_near_copies(near_duplicates(spark, docs, sf_dir))
+    return near_copies.without_near_copies(stored(near_duplicates(spark, docs, sf_dir)))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

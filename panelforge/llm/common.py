@@ -78,6 +78,21 @@ def restored(frame: DataFrame, columns: list[str], **changed: str) -> DataFrame:
     return frame.select(*[F.col(changed[c]).alias(c) if c in changed else F.col(f"__row.`{c}`") for c in columns])
 
 
+def dropped(rows: DataFrame, gone: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows without those whose keys are gone, and one row only of those whose keys are repeated. gone and repeated
+    are stored tables, so the planner knows their size: where they are small no row is shuffled."""
+
+    def matched(kind: str, left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        same = [left[k].eqNullSafe(other[f"__{k}"]) for k in keys]
+        return left.join(other, same, kind)
+
+    left = matched("left_anti", rows, gone)
+    if repeated.isEmpty():
+        return left
+    return matched("left_anti", left, repeated).unionByName(matched("left_semi", left, repeated).dropDuplicates(keys))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

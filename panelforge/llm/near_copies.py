@@ -5,8 +5,9 @@ n - ceil(0.8 n) + 1 of each, so documents are grouped by these shingles. Where t
 follows it in each bounds what they can have in common; pairs that this bound and their sizes leave are confirmed on
 whole sets. Shingles that a sample of one document in SAMPLED shows to be frequent come last in the order, so a passage
 that many documents share brings together only documents that hold little else; this changes costs, not results.
-A group over GROUP_MOST is first compared with its least document only; what that leaves in different classes is then
-compared pair by pair, so a large cluster costs one comparison per member and shingle.
+A group over GROUP_MOST is first compared with its first document only; what that leaves outside the group's largest
+class is then joined with all of the group, so a large cluster costs one comparison per member and shingle, and no
+group is ever held as a whole.
 
 Shingles are compared by 64-bit hashes. Rows are told apart by a hash of id and text, so rows of one id whose texts
 differ are different documents, and of rows equal in both one stays.
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelforge.llm.common import nested, only, restored, slices, stored, tidy, utf8
+from panelforge.llm.common import dropped, nested, only, restored, slices, stored, tidy, utf8
 from panelforge.llm.components import components
 from panelforge.llm.simhash import SEED, shingles
 
 SHINGLE = 5
 GROUP_MOST = 24
-SAMPLED = 8
-FREQUENT = 6
+SAMPLED = 16
+FREQUENT = 4
 FREQUENT_MOST = 1_000_000
 SALTS = 64
 PAIRS_HELD = 200_000
@@ -66,7 +67,8 @@ def _frequent(documents: DataFrame) -> np.ndarray:
 
 
 def _tokens(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, doc_id, n, pos): the leading shingles of each document, its set's size and their places in the order."""
+    """(token, doc_id, place): the leading shingles of each document; place packs their place in the order and the size
+    of the set."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,64 +77,71 @@ def _tokens(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
             heads = [leading(own, shared.value) if len(own) else own for own in sets]
             sizes = [len(h) for h in heads]
             ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
-            ns = np.repeat(np.array([len(own) for own in sets], np.int32), sizes)
-            pos = np.concatenate([np.arange(size, dtype=np.int32) for size in sizes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(ids), pa.array(ns), pa.array(pos)], ["token", "doc_id", "n", "pos"])
+            ns = np.repeat(np.array([len(own) for own in sets], np.int64), sizes)
+            pos = np.concatenate([np.arange(size, dtype=np.int64) for size in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(ids), pa.array(pos << 32 | ns)], ["token", "doc_id", "place"])
 
-    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), "token long, doc_id long, n int, pos int")
+    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), "token long, doc_id long, place long")
 
 
-def _pairs(groups: DataFrame, choose) -> DataFrame:
-    """(a, b), a < b: the pairs that choose(members) gives as places, where sizes and the rest of both sets permit a
-    similarity of 0.8. members: arrays by field."""
+def _possible(place_i, place_j):
+    """Whether sizes and what follows the shared shingle permit a similarity of 0.8. For arrays and for columns."""
+    n, m = place_i % (1 << 32), place_j % (1 << 32)
+    rest_i, rest_j = n - (place_i - n) / (1 << 32), m - (place_j - m) / (1 << 32)
+    whole = (n + m) * 4
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest_i * 9 >= whole) & (rest_j * 9 >= whole)
 
-    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+def _met(most: int):
+    """From tokens sorted by token and document: the possible pairs of each group (token null), all of them up to
+    `most` members and with the first member beyond; and the rows of larger groups again, for a second look."""
+    names = ["token", "a", "b", "place"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+        token, ids, places, large = None, [], [], False
+        pairs: set[tuple[int, int]] = set()
+        again: list[tuple[int, int, int]] = []
+
+        def packed() -> pa.RecordBatch:
+            a, b = [p[0] for p in pairs] + [r[1] for r in again], [p[1] for p in pairs] + [None] * len(again)
+            columns = [[None] * len(pairs) + [r[0] for r in again], a, b, [None] * len(pairs) + [r[2] for r in again]]
+            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            pairs.clear()
+            again.clear()
+            return made
+
+        def close() -> None:
+            if len(ids) > 1 and not large:
+                near = np.array(places, np.int64)
+                i, j = np.triu_indices(len(ids), 1)
+                for x, y in np.stack([i, j], axis=1)[_possible(near[i], near[j])].tolist():
+                    pairs.add((ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x]))
+
+        def star(doc: int, place: int) -> None:
+            again.append((token, doc, place))
+            if doc != ids[0] and _possible(places[0], place):
+                pairs.add((min(ids[0], doc), max(ids[0], doc)))
+
         for batch in batches:
-            for group in batch.column(0):
-                members = {f.name: group.values.field(f.name).to_numpy(zero_copy_only=False) for f in group.type.value_type}
-                ids, n = members["doc_id"], members["n"].astype(np.int64)
-                rest = n - members["pos"]
-                for i, j in choose(members):
-                    least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                    near = (least * 5 >= most * 4) & (np.minimum(rest[i], rest[j]) * 9 >= (least + most) * 4)
-                    if near.any():
-                        pair = np.stack([ids[i][near], ids[j][near]], axis=1)
-                        pair.sort(axis=1)
-                        found.append(pair)
-                        held += len(pair)
-                if held > PAIRS_HELD:
-                    yield packed(found)
-                    found, held = [], 0
-        if found:
-            yield packed(found)
-
-    return groups.mapInArrow(tidy(rows), "a long, b long").distinct()
-
-
-def _first_pairs(most: int):
-    def choose(members: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        count = len(members["doc_id"])
-        if count <= most:
-            yield np.triu_indices(count, 1)
-        else:
-            yield np.zeros(count - 1, np.int64), np.arange(1, count)
-
-    return choose
-
-
-def _other_pairs(members: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different classes, each met from the side outside the largest class."""
-    root = members["root"]
-    names, counts = np.unique(root, return_counts=True)
-    outside = root != names[counts.argmax()]
-    for i in np.flatnonzero(outside):
-        j = np.flatnonzero((root != root[i]) & (~outside | (np.arange(len(root)) > i)))
-        yield np.full(len(j), i), j
+            for key, doc, place in zip(*(batch.column(c).to_pylist() for c in ("token", "doc_id", "place")), strict=True):
+                if key != token:
+                    close()
+                    token, ids, places, large = key, [], [], False
+                if large:
+                    star(doc, place)
+                    continue
+                ids.append(doc)
+                places.append(place)
+                if len(ids) > most:
+                    large = True
+                    for held, at in zip(ids, places, strict=True):
+                        star(held, at)
+            if len(pairs) + len(again) > PAIRS_HELD:
+                yield packed()
+        close()
+        yield packed()
+
+    return rows
 
 
 def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -148,29 +157,34 @@ def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def links(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
     """Edges (a, b) between the distinct ids of rows (doc_id, text) that join all near copies."""
-    known = documents
-    groups = _tokens(known, _frequent(known)).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "pos"))).alias("members"))
-    groups = groups.where(F.size("members") > 1)
-    # of shingles with the same documents the first in the order is enough; it is the first in all of them
-    groups = groups.groupBy(F.xxhash64("members.doc_id").alias("ids")).agg(F.min_by("members", F.col("members")[0]["pos"]).alias("members"))
-    groups = stored(groups.select("members"))
-    found = _confirmed(known, _pairs(groups, _first_pairs(most)))
-    large = groups.where(F.size("members") > most).select(F.xxhash64("members").alias("group"), F.explode("members").alias("m")).select("group", "m.*")
-    large = large.join(components(found), F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id"))
-    split = large.groupBy("group").agg(F.collect_list(F.struct("doc_id", "n", "pos", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    rest = _confirmed(known, _pairs(split.where("low <> high").select("members"), _other_pairs))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = _tokens(documents, _frequent(documents)).repartition(parts, "token").sortWithinPartitions("token", "doc_id")
+    met = stored(tokens.mapInArrow(tidy(_met(most)), "token long, a long, b long, place long"))
+    found = _confirmed(documents, met.where("token IS NULL").select("a", "b").distinct())
+    # larger groups: what the first links leave outside a group's largest class meets all of the group
+    joined = components(found)
+    large = met.where("token IS NOT NULL").select("token", F.col("a").alias("doc_id"), "place")
+    large = large.join(joined, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "place", F.coalesce("root", "doc_id").alias("root"))
+    large = stored(large)
+    counts = large.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    outside = large.join(main, "token").where("root <> main").select("token", F.col("doc_id").alias("other"), F.col("place").alias("at"), F.col("root").alias("own"))
+    pairs = large.join(outside, "token").where((F.col("root") != F.col("own")) & _possible(F.col("place"), F.col("at")))
+    rest = _confirmed(documents, pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
     return found.unionByName(rest)
 
 
 def without_near_copies(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
     """Of each class that near copies form the first document by (doc_id, hash of id and text), null ids last."""
     rows = nested(documents, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    keyed = stored(rows.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    repeated = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    keyed = rows.select(F.col("key").alias("doc_id"), "text")
+    if not repeated.isEmpty():
+        keyed = stored(keyed.dropDuplicates(["doc_id"]))
     joined = components(links(keyed, most))
     joined = stored(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()))
     ids = rows.select("doc_id", "key").join(joined, F.col("key") == joined["node"])
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
     kept = ids.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("node"))
-    dropped = joined.select("node").join(kept, "node", "left_anti")
-    left = rows.join(dropped, rows["key"] == dropped["node"], "left_anti").dropDuplicates(["key"])
-    return restored(left, documents.columns)
+    gone = stored(joined.select("node").join(kept, "node", "left_anti").select(F.col("node").alias("key")))
+    return restored(dropped(rows, gone, repeated, ["key"]), documents.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelforge.llm.common import nested, only, restored, slices, stored, table, tidy, utf8
+from panelforge.llm.common import dropped, nested, only, restored, slices, stored, table, tidy, utf8
 from panelforge.llm.components import components
 
 SHINGLE = 3
@@ -231,14 +231,15 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each class: of its rows the first by (doc_id, hash of the text), null ids last. Rows of one id
     whose texts fall into different classes all stay; of equal rows one stays."""
-    tied = nested(documents, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    prints = stored(with_fingerprints(keyed, keep_text=False))
-    named = prints.join(roots(prints), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie"))
-    chosen = named.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("keep"), F.col("first.tie").alias("keep_tie"))
-    kept = tied.join(chosen, tied["doc_id"].eqNullSafe(chosen["keep"]) & (tied["tie"] == chosen["keep_tie"]), "left_semi")
-    return restored(kept.dropDuplicates(["doc_id", "tie"]), documents.columns)
+    rows = nested(documents, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    prints = stored(with_fingerprints(rows.select("doc_id", "text", "tie"), keep_text=False))
+    keys = stored(prints.join(roots(prints), "fp").groupBy("root", "doc_id", "tie").agg(F.count(F.lit(1)).alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "n"))
+    chosen = stored(keys.groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.tie", "first.n"))
+    kept = chosen.select(F.col("doc_id").alias("keep"), F.col("tie").alias("keep_tie"))
+    gone = keys.join(kept, keys["doc_id"].eqNullSafe(kept["keep"]) & (keys["tie"] == kept["keep_tie"]), "left_anti")
+    left = dropped(rows, stored(gone.select("doc_id", "tie")), stored(chosen.where("n > 1")), ["doc_id", "tie"])
+    return restored(left, documents.columns)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
