@@ -32,7 +32,7 @@ GROUP_MOST = 24
 SAMPLED = 16
 FREQUENT = 4
 FREQUENT_MOST = 1_000_000
-SALTS = 64
+LINKS_MOST = 64
 SLICES = 4
 PAIRS_HELD = 200_000
 
@@ -145,26 +145,40 @@ def _met(most: int):
     return rows
 
 
-def _common(documents: DataFrame, pairs: DataFrame, slice_of: int) -> DataFrame:
-    """(a, b, both, rest, common) for stored pairs: the sizes of both sets together, the lesser number of shingles
-    outside one slice in slice_of of the hash values, and how many the sets share inside that slice."""
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    part = F.filter("codes", lambda c: F.pmod(c, F.lit(slice_of)) == 0) if slice_of > 1 else F.col("codes")
-    sets = stored(_sets(documents.join(wanted, "doc_id", "left_semi")).select("doc_id", F.size("codes").alias("n"), part.alias("part")))
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))  # one document may lead many pairs
+def _slices(documents: DataFrame) -> DataFrame:
+    """(doc_id, n, part): the size of each set, and 32 bits of its shingles in one slice in SLICES of the hash values."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [codes(t) for t in utf8(batch.column("text"))]
+            parts = [np.unique((own[own % SLICES == 0] // SLICES).astype(np.int32)) for own in sets]
+            columns = [batch.column("doc_id"), pa.array([len(own) for own in sets], pa.int32()), pa.array(parts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "part"])
+
+    return only(documents, "doc_id", "text").mapInArrow(tidy(rows), "doc_id long, n int, part array<int>").where("n > 0")
+
+
+def _possible_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stored pairs (a, b) that parts of their sets, rows (doc_id, n, part), do not refuse. What two sets share is
+    at most what their parts share and the lesser number of shingles that either part lacks, be they outside the slice
+    or equal in the bits kept; 9 of these must reach 4 (n + m). Where parts are whole sets this decides."""
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links"))  # one document may lead many pairs
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("links") / LINKS_MOST)).alias("salt")
+    salted = pairs.join(degree, "a").select("a", "b", salt)
     left = salted.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("part").alias("x")), "a")
     with_b = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("y")), "b")
-    both = with_b.join(left, ["a", "salt"])
     rest = F.least(F.col("na") - F.size("x"), F.col("nb") - F.size("y"))
-    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("both"), rest.alias("rest"), F.size(F.array_intersect("x", "y")).alias("common"))
+    shared = F.size(F.array_intersect("x", "y")) + rest
+    return with_b.join(left, ["a", "salt"]).where(shared * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of similarity 0.8 or more: 9 common >= 4 (n + m). A slice of the sets bounds what the whole sets can
-    have in common, which is enough to refuse most pairs; the others are compared as a whole."""
-    possible = F.col("common") * 9 + F.col("rest") * 9 >= F.col("both") * 4
-    hopeful = stored(_common(documents, stored(pairs), SLICES).where(possible).select("a", "b"))
-    return stored(_common(documents, hopeful, 1).where(possible).select("a", "b"))
+def _confirmed(documents: DataFrame, parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of similarity 0.8 or more: 9 common >= 4 (n + m). The stored parts of all sets refuse most pairs; the
+    documents of the others are compared as a whole."""
+    hopeful = stored(_possible_pairs(parts, stored(pairs)))
+    wanted = stored(hopeful.select(F.col("a").alias("doc_id")).unionByName(hopeful.select(F.col("b").alias("doc_id"))).distinct())
+    whole = stored(_sets(documents.join(wanted, "doc_id", "left_semi")).select("doc_id", F.size("codes").alias("n"), F.col("codes").alias("part")))
+    return stored(_possible_pairs(whole, hopeful))
 
 
 def links(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
@@ -172,7 +186,8 @@ def links(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = _tokens(documents, _frequent(documents)).repartition(parts, "token").sortWithinPartitions("token", "doc_id")
     met = stored(tokens.mapInArrow(tidy(_met(most)), "token long, a long, b long, place long"))
-    found = _confirmed(documents, met.where("token IS NULL").select("a", "b").distinct())
+    sets = stored(_slices(documents))
+    found = _confirmed(documents, sets, met.where("token IS NULL").select("a", "b").distinct())
     # larger groups: what the first links leave outside a group's largest class meets all of the group
     joined = components(found)
     large = met.where("token IS NOT NULL").select("token", F.col("a").alias("doc_id"), "place")
@@ -182,7 +197,7 @@ def links(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
     main = counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     outside = large.join(main, "token").where("root <> main").select("token", F.col("doc_id").alias("other"), F.col("place").alias("at"), F.col("root").alias("own"))
     pairs = large.join(outside, "token").where((F.col("root") != F.col("own")) & _possible(F.col("place"), F.col("at")))
-    rest = _confirmed(documents, pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
+    rest = _confirmed(documents, sets, pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
     return found.unionByName(rest)
 
 
