@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WORD_PATTERN, nested, restored, stored, table
+from panelforge.llm.common import WORD_PATTERN, nested, only, restored, stored, table
 
 WEIGHT_CYCLE = (1.0, 2.0, 3.0)
 MAX_COPIES = 3
@@ -77,10 +77,14 @@ def sized(documents: DataFrame) -> DataFrame:
     )
 
 
-def systematic_copies(rows: DataFrame, seed: int = SEED, buckets: int = BUCKETS, weights: tuple[float, ...] = WEIGHT_CYCLE) -> DataFrame:
-    """Sized rows with __source_size, __target and __copies, the number of times each is emitted."""
-    rows = rows.withColumn("__cell", _cell(F.col("__size"), F.col("__name"), buckets))
-    slim = rows.select("__key", "__cell", "__size", "doc_id", "__tie", "source")
+def systematic_copies(
+    rows: DataFrame, seed: int = SEED, buckets: int = BUCKETS, weights: tuple[float, ...] = WEIGHT_CYCLE, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Sized rows with __source_size, __target and __copies, the number of times each is emitted. Cells, ranks and draws
+    are found on sizes: the same sized rows, stored without their texts where these are large."""
+    cell = _cell(F.col("__size"), F.col("__name"), buckets)
+    slim = (rows if sizes is None else sizes).withColumn("__cell", cell).select("__key", "__cell", "__size", "doc_id", "__tie", "source")
+    rows = rows.withColumn("__cell", cell)
     cells = slim.groupBy("__key", "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("size"), F.first("source").alias("source"))
     targets = source_targets(cells).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).drop("source")
     before = Window.partitionBy("__key").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,7 +114,8 @@ def systematic_copies(rows: DataFrame, seed: int = SEED, buckets: int = BUCKETS,
 def mix_documents(documents: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """The mixed corpus: every document as many times as it is taken, with its own columns."""
     rows = sized(nested(documents, "doc_id", "source", "text")).drop("text")
-    taken = systematic_copies(rows, seed, buckets).where(F.col("__copies") > 0)
+    sizes = stored(sized(only(documents, "doc_id", "source", "text")).drop("text"))
+    taken = systematic_copies(rows, seed, buckets, sizes=sizes).where(F.col("__copies") > 0)
     taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return restored(taken, documents.columns)
 
