@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from panelforge.llm.chat import ORACLE as CHAT
+from panelforge.llm.collocations import ORACLE as PHRASES
 from panelforge.llm.digest import BODY_BOUND, BUCKETS, LENGTH_BASE, LENGTH_BOUND, LENGTH_SHARE
 from panelforge.llm.mixing import ORACLE as MIX
+from panelforge.llm.spelling import ORACLE as SPELLING
 
 _QUARTILES = ", ".join(f"s[{BUCKETS * k // 4}] AS b{k}" for k in (1, 2, 3))
 
@@ -40,4 +43,7 @@ k AS (SELECT s.doc_id, h, low, high, coalesce(lag(high) OVER (PARTITION BY s.doc
 u AS (SELECT doc_id, count(*) AS spans, sum(high - low)::BIGINT AS gone, string_agg(substr(h, 2 * start + 1, 2 * (low - start)), '' ORDER BY low) || substr(max(h), 2 * max(high) + 1) AS kept FROM k GROUP BY doc_id)
 SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN u ON u.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op4_mix_sources": MIX, "op8_document_digest": DIGEST, "op9_suffix_dedup": REPEATS}
+ORACLES: dict[str, str] = {
+    "op4_mix_sources": MIX, "op8_document_digest": DIGEST, "op9_suffix_dedup": REPEATS,
+    "op11_phrase_collocations": PHRASES, "op12_spelling_variants": SPELLING, "op13_chat_format": CHAT,
+}
