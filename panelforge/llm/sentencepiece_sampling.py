@@ -8,8 +8,8 @@ there: the forward pass runs once per distinct stretch of a batch, the backward
 is a hash of (seed, row key, place in the text), so results do not depend on partitions, batches or retries.
 
 Characters without a piece, and a literal word mark in the text, are written as byte pieces, so decoding restores the
-text exactly; op1 decodes every row and compares. A text that runs on without spaces is cut every CHUNK_CHARS
-characters, which bounds the lattice in memory.
+text exactly; op1 decodes every row and compares. A stretch of over CHUNK_CHARS characters in which any place can lie
+inside a piece has its lattice built block by block, with the forward sums carried over each cut.
 
 Defined results: null or empty text has no pieces; a null row key is replaced by the text's CRC-32; repeated rows get
 repeated segmentations; columns beside the named ones are ignored.
@@ -98,6 +98,11 @@ class Pieces:
                 found[[ord(c) for c in piece]] = True
         return found
 
+    @cached_property
+    def longest(self) -> int:
+        """Characters of the longest piece."""
+        return max(len(t or "") for t in self.text)
+
     @cached_property
     def octets(self) -> list[bytes]:
         """The bytes each id decodes to."""
@@ -245,21 +250,83 @@ def _sample(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.n
     return owner, starts[owner] + out_at, out_id
 
 
-def _cut(text: str, most: int) -> list[str]:
-    """The text in parts of at most twice the given size, cut before a space that follows another character. Where the
-    second half of a part has no such space, the part ends at its full size: that place is the text's own, so it does
-    not vary with batches, and only the piece across it is lost to the draw."""
+def _sample_long(codes: np.ndarray, key: np.uint64, place: int, pieces: Pieces, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first character, piece) of the sampled pieces of one stretch, its lattice built block by block: once to carry the
+    forward sums over every cut, and once more, from the end, to draw. Only the sums are held for the whole stretch; they
+    and the draws are those of _sample."""
+    total = np.zeros(len(codes) + 1)
+    block = max(block, pieces.longest)
+
+    def edges(low: int, high: int, known: bool) -> tuple[np.ndarray, ...]:
+        """Edges into the nodes above low up to high: (bounds of the nodes' edges, heads, pieces, thresholds)."""
+        first = max(low - pieces.longest + 1, 0)
+        own = codes[first:high]
+        at, size, piece = _lattice(own, np.arange(len(own), 0, -1), pieces)
+        inside = at + size + first > low
+        at, size, piece = at[inside], size[inside], piece[inside]
+        weight = np.where(piece >= 0, pieces.weights[piece], pieces.byte_weight * _octet_count(own[at]))
+        head = at.astype(np.int64) + first
+        tail = head + size
+        order = np.lexsort((-weight, tail))
+        head, tail, weight, piece = head[order], tail[order], weight[order], piece[order]
+        bounds = np.searchsorted(tail, np.arange(low + 1, high + 2))
+        if not known:
+            for node, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), low + 1):
+                total[node] = np.logaddexp.reduce(total[head[a:b]] + weight[a:b])
+            return ()
+        run = np.exp(total[head] + weight - total[tail])
+        edge, last = bounds[:-1], bounds[1:] - 1
+        while len(edge):
+            more = edge < last
+            edge, last = edge[more] + 1, last[more]
+            run[edge] += run[edge - 1]
+        run[bounds[1:] - 1] = 2.0
+        return bounds, head, piece, run
+
+    lows = list(range(0, len(codes), block))
+    for low in lows:
+        edges(low, min(low + block, len(codes)), False)
+    at, ids, node = [], [], len(codes)
+    for low in reversed(lows):
+        bounds, head, piece, run = edges(low, min(low + block, len(codes)), True)
+        nodes = np.arange(low + 1, min(low + block, len(codes)) + 1, dtype=np.uint64)
+        draws = (_mixed(key + (nodes + np.uint64(place)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        while node > low:
+            edge, u = int(bounds[node - low - 1]), draws[node - low - 1]
+            while run[edge] <= u:
+                edge += 1
+            node = int(head[edge])
+            at.append(node)
+            ids.append(int(piece[edge]))
+    return np.array(at[::-1], np.int64), np.array(ids[::-1], np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points with spaces as word marks; a mark that the text itself holds is told apart."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes[codes == _MARK] = _LITERAL_MARK
+    codes[codes == 0x20] = _MARK
+    return codes
+
+
+def _fresh(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Whether no piece spans the gap before each character."""
+    alone = ~pieces.joins[codes]
+    return (codes == _MARK) & (np.roll(codes, 1) != _MARK) | alone | np.roll(alone, 1)
+
+
+def _cut(text: str, most: int, pieces: Pieces) -> list[tuple[int, str]]:
+    """(place, part) of a text: parts of at most `most` characters, cut where no piece can span. A stretch without such
+    a place is a part of its own, whatever its length. Places count the mark that the model puts before the text."""
+    if len(text) < most:
+        return [(0, text)] if text else []
+    gaps = np.append(np.flatnonzero(_fresh(_codes(" " + text), pieces)), len(text) + 1)
     parts, low = [], 0
-    while len(text) - low > most:
-        at, full = low + most, low + 2 * most
-        while 0 < (at := text.find(" ", at, full)) and text[at - 1] == " ":
-            at += 1
-        if at < 0 and full >= len(text):
-            break
-        at = at if at > 0 else full
-        parts.append(text[low:at])
-        low = at
-    return [*parts, text[low:]]
+    while low <= len(text):
+        k = max(int(np.searchsorted(gaps, low + most, side="right")) - 1, int(np.searchsorted(gaps, low, side="right")))
+        parts.append((low, text[max(low - 1, 0) : int(gaps[k]) - 1]))
+        low = int(gaps[k])
+    return parts
 
 
 def row_hash(keys: list[int | None], texts: list[str], seed: int) -> np.ndarray:
@@ -268,7 +335,9 @@ def row_hash(keys: list[int | None], texts: list[str], seed: int) -> np.ndarray:
 
 
 def encode(texts: list[str], keys: list[int | None], pieces: Pieces, seed: int = SEED, chunk: int = CHUNK_CHARS) -> list[np.ndarray]:
-    """Sampled piece ids of each text."""
+    """Sampled piece ids of each text. The chunk bounds the lattice that is held at a time; no draw depends on it."""
+    if chunk < 2:
+        raise ValueError("a chunk must have at least two characters")
     hashes = row_hash(keys, texts, seed)
     found: list[list[np.ndarray]] = [[] for _ in texts]
     group: list[tuple[int, str, int]] = []
@@ -276,42 +345,39 @@ def encode(texts: list[str], keys: list[int | None], pieces: Pieces, seed: int =
 
     def flush() -> None:
         if group:
-            for (i, _, _), ids in zip(group, _encode_parts(group, hashes, pieces), strict=True):
+            for (i, _, _), ids in zip(group, _encode_parts(group, hashes, pieces, chunk), strict=True):
                 found[i].append(ids)
             group.clear()
 
     for i, text in enumerate(texts):
-        place = 0
-        for part in _cut(text, chunk // 2):
-            if not part:
-                continue
+        for place, part in _cut(text, chunk, pieces):
             if size + len(part) > chunk:
                 flush()
                 size = 0
             group.append((i, part, place))
             size += len(part)
-            place += len(part) + 1
     flush()
     return [np.concatenate(f) if f else np.zeros(0, np.int32) for f in found]
 
 
-def _encode_parts(group: list[tuple[int, str, int]], hashes: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
-    # the model puts one word mark before a text; later parts of a long text begin with their own
+def _encode_parts(group: list[tuple[int, str, int]], hashes: np.ndarray, pieces: Pieces, chunk: int) -> list[np.ndarray]:
+    # the model puts one word mark before a text; later parts of a long text begin where it was cut
     marked = [(" " if place == 0 else "") + part for _, part, place in group]
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = _codes("".join(marked))
     lengths = np.array([len(m) for m in marked])
     ends = np.cumsum(lengths)
-    codes = np.where(codes == _MARK, _LITERAL_MARK, codes)
-    codes[codes == 0x20] = _MARK
-    alone = ~pieces.joins[codes]
-    fresh = (codes == _MARK) & (np.roll(codes, 1) != _MARK) | alone | np.roll(alone, 1)
+    fresh = _fresh(codes, pieces)
     fresh[ends - lengths] = True
     starts = np.flatnonzero(fresh)
     sizes = np.diff(np.append(starts, len(codes)))
     part = np.searchsorted(ends, starts, side="right")
     rows = np.array([i for i, _, _ in group])
     base = np.array([place for _, _, place in group])
-    owner, at, ids = _sample(codes, starts, sizes, hashes[rows][part], starts - (ends - lengths)[part] + base[part], pieces)
+    if len(starts) == 1 and len(codes) > chunk:
+        at, ids = _sample_long(codes, hashes[rows[0]], int(base[0]), pieces, chunk)
+        owner = np.zeros(len(at), np.int64)
+    else:
+        owner, at, ids = _sample(codes, starts, sizes, hashes[rows][part], starts - (ends - lengths)[part] + base[part], pieces)
     owner = part[owner]
     bare = np.flatnonzero(ids < 0)
     if len(bare):
