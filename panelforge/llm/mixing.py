@@ -2,12 +2,10 @@
 
 Each source gets a target number of words by weight. The expected copies of its documents (target / size) are
 prefix-summed in a fixed order, one random offset is added, and a document is emitted once per integer boundary
-crossed. Documents of a source stand in order of size class, hash bucket, size and id: neighbours are alike in size,
-so the words taken stay near the target, and no group that must be sorted together holds more than one
-(source, size class, bucket) cell, however large the source is. The offset is keyed by the source. As one long
-document, taken or not, can carry a small source far from its target, a source tries OFFSETS offsets at equal steps
-from the keyed one, each with its expected copies scaled by every one of SCALES (3 copies at most), and keeps the pair
-whose words come nearest to the target.
+crossed. The offset is keyed by the source. Documents of a source stand in order of size, then hash bucket and id. As
+the copies emitted up to any place differ from those expected by less than one, and sizes never fall in this order, the
+words taken miss the target by less than the source's largest document. Places come from counts per size, then per
+(size, bucket), then ranks inside a bucket, so no group that is sorted together holds a source, however large it is.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a source without words
 gets target 0 and nothing is taken; null ids, ties and repeated rows are separate documents; extra columns pass.
@@ -24,9 +22,6 @@ WEIGHT_CYCLE = (1.0, 2.0, 3.0)
 MAX_COPIES = 3
 BUCKETS = 1024
 SEED = 20240817
-OFFSETS = 8
-SCALES = (1.0, 0.96, 1.04, 0.92, 1.08)
-DRAWS = OFFSETS * len(SCALES)
 
 
 def word_count(text: Column) -> Column:
@@ -57,14 +52,6 @@ def _keyed(name: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("long")
 
 
-def _cell(size: Column, key: Column, buckets: int) -> Column:
-    """Size class (an octave's four equal parts) and hash bucket in one ordered number."""
-    x = 8 * (size + 1)
-    bits = F.length(F.bin(x))
-    part = F.call_function("shiftright", x, (bits - 3).cast("int")).bitwiseAND(F.lit(3))
-    return (4 * bits + part) * buckets + F.pmod(_keyed(key, SEED), F.lit(buckets))
-
-
 def sized(documents: DataFrame) -> DataFrame:
     """The documents with what sampling needs of their texts: __size and __tie, and a source key that is never null."""
     return documents.withColumns(
@@ -80,35 +67,27 @@ def sized(documents: DataFrame) -> DataFrame:
 def systematic_copies(
     rows: DataFrame, seed: int = SEED, buckets: int = BUCKETS, weights: tuple[float, ...] = WEIGHT_CYCLE, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """Sized rows with __source_size, __target and __copies, the number of times each is emitted. Cells, ranks and draws
-    are found on sizes: the same sized rows, stored without their texts where these are large."""
-    cell = _cell(F.col("__size"), F.col("__name"), buckets)
-    slim = (rows if sizes is None else sizes).withColumn("__cell", cell).select("__key", "__cell", "__size", "doc_id", "__tie", "source")
-    rows = rows.withColumn("__cell", cell)
-    cells = slim.groupBy("__key", "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("size"), F.first("source").alias("source"))
-    targets = source_targets(cells).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).drop("source")
-    before = Window.partitionBy("__key").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    places = cells.join(targets, "__key").select(
-        "__key", "__cell", "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
-    )
-    inside = Window.partitionBy("__key", "__cell").orderBy("__size", F.col("doc_id").asc_nulls_last(), "__tie")
+    """Sized rows with __source_size, __target and __copies, the number of times each is emitted. Places are found on
+    sizes: the same sized rows, stored without their texts where these are large. Windows run over one row per size of a
+    source, per bucket of a size, and per row of a bucket."""
+    bucket = F.pmod(_keyed(F.col("__name"), SEED), F.lit(buckets))
+    slim = (rows if sizes is None else sizes).withColumn("__bucket", bucket)
+    cells = slim.groupBy("__key", "__size", "__bucket").agg(F.count(F.lit(1)).alias("__n"), F.first("source").alias("source"))
+    each = cells.groupBy("__key", "__size").agg(F.sum("__n").alias("__n"), F.first("source").alias("source"))
+    targets = source_targets(each.select("source", (F.col("__n") * F.col("__size")).alias("size")))
+    targets = targets.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).drop("source")
+    before = lambda group, by: F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select("__key", "__size", before(["__key"], "__size").alias("__shorter")).join(targets, "__key")
+    places = cells.withColumn("__before", before(["__key", "__size"], "__bucket")).join(each, ["__key", "__size"]).select(
+        "__key", "__size", "__bucket", (F.col("__before") + F.col("__shorter")).alias("__before"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
+    )
+    inside = Window.partitionBy("__key", "__size", "__bucket").orderBy(F.col("doc_id").asc_nulls_last(), "__tie")
+    rows = rows.withColumn("__bucket", bucket)
+    rows = rows.withColumn("__rank", F.row_number().over(inside)).join(places, ["__key", "__size", "__bucket"])
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    offset = _keyed(F.col("__key"), seed) / F.lit(float(1 << 32))
     place = F.col("__before") + F.col("__rank")
-
-    def copies(draw: Column) -> Column:
-        offset = _keyed(F.col("__key"), seed) / F.lit(float(1 << 32)) + draw % OFFSETS / F.lit(float(OFFSETS))
-        offset = offset - F.floor(offset)
-        scale = F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.floor(draw / OFFSETS).cast("int") + 1)
-        expected = F.least(rate * scale, F.lit(float(MAX_COPIES)))
-        return (F.floor(expected * place + offset) - F.floor(expected * (place - 1) + offset)).cast("long")
-
-    ranked = slim.withColumn("__rank", F.row_number().over(inside)).join(places, ["__key", "__cell"])
-    sums = ranked.groupBy("__key").agg(F.first("__target").alias("__target"), *[F.sum(F.col("__size") * copies(F.lit(k))).alias(f"__t{k}") for k in range(DRAWS)])
-    tried = F.array(*[F.struct(F.abs(F.col(f"__t{k}") - F.col("__target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)])
-    places = places.join(sums.select("__key", F.array_min(tried)["k"].alias("__draw")), "__key")
-    rows = rows.withColumn("__rank", F.row_number().over(inside)).join(places, ["__key", "__cell"], "left")
-    return rows.withColumn("__copies", copies(F.col("__draw")))
+    return rows.withColumn("__copies", (F.floor(rate * place + offset) - F.floor(rate * (place - 1) + offset)).cast("long"))
 
 
 def mix_documents(documents: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
@@ -139,14 +118,6 @@ b AS (SELECT *, {MAX_COPIES}.0::DOUBLE * source_size AS bound FROM w),
 l AS (SELECT *, ((SELECT sum(source_size)::DOUBLE FROM b) - coalesce(sum(bound) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
   / sum(weight) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM b),
 t AS (SELECT key, source_size, least(bound, (SELECT max(share) FROM l) * weight) AS target, ('0x' || substr(md5('{SEED}:' || key), 1, 8))::BIGINT / {1 << 32}.0::DOUBLE AS start FROM l),
-c AS (SELECT *, length(bin(8 * (size + 1))) AS bits FROM d),
-r AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY (4 * bits + ((8 * (size + 1)) >> (bits - 3)) % 4) * {BUCKETS} + ('0x' || substr(md5('{SEED}:' || name), 1, 8))::BIGINT % {BUCKETS},
-  size, doc_id NULLS LAST) AS place FROM c),
-p AS (SELECT r.*, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END::DOUBLE AS rate FROM r JOIN t USING (key)),
-o AS (SELECT key, target, k, (start + k % {OFFSETS} / {OFFSETS}.0::DOUBLE) - floor(start + k % {OFFSETS} / {OFFSETS}.0::DOUBLE) AS shift, {list(SCALES)}[k // {OFFSETS} + 1]::DOUBLE AS scale
-  FROM t, (SELECT unnest(range(0, {DRAWS})) AS k)),
-e AS (SELECT p.*, k, shift, least(rate * scale, {MAX_COPIES}.0::DOUBLE) AS expected FROM p JOIN o USING (key)),
-g AS (SELECT *, (size * (floor(expected * place + shift) - floor(expected * (place - 1) + shift)))::BIGINT AS taken FROM e),
-s AS (SELECT key, k, abs(sum(taken) - max(target)) AS off FROM g GROUP BY key, k),
-best AS (SELECT key, arg_min(k, (off, k)) AS k FROM s GROUP BY key)
-SELECT doc_id, size, source_size, target, taken FROM g JOIN best USING (key, k)"""
+r AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY size, ('0x' || substr(md5('{SEED}:' || name), 1, 8))::BIGINT % {BUCKETS}, doc_id NULLS LAST) AS place FROM d),
+p AS (SELECT r.*, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END::DOUBLE AS rate FROM r JOIN t USING (key))
+SELECT doc_id, size, source_size, target, (size * (floor(rate * place + start) - floor(rate * (place - 1) + start)))::BIGINT AS taken FROM p"""
