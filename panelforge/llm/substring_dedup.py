@@ -14,7 +14,8 @@ in each document) gives each window of them an anchor of its own, and these meet
 gathers an unbounded group for the merge. Different contexts are counted exactly, after equal ones have met.
 
 Defined results: null text counts as empty; texts under 100 bytes lose nothing; a null doc_id stands after all
-others; rows with the same doc_id are ordered by their text's hash, and repeated rows are one document that gets one
+others; rows with the same doc_id are ordered by 63 bits of their text's hash (its sign tells null ids from real ones;
+n unlike texts of one id meet in them with a chance of n^2 / 2^64), and repeated rows are one document that gets one
 result; extra columns are ignored.
 """
 
@@ -36,18 +37,21 @@ from panelforge.llm.common import slices, stored, table, tidy, utf8
 HOT_CONTEXTS = 4000
 MERGE_BYTES = 500_000
 BATCH_BYTES = 4_000_000
+#: Where null ids stand; a real id of this value comes before them.
 _LAST_ID = (1 << 63) - 1
 
 #: place packs what is told of a context in its document: low, high - low - WINDOW, left, later (see _pack).
-_CONTEXT = "anchor long, context long, doc long, tie int, place long"
+_CONTEXT = "anchor long, context long, doc long, tie long, place long"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc"), F.hash(text).alias("tie"), text.alias("text")
-    )
+    doc = F.col("doc_id").cast("long")
+    hashed = F.xxhash64(text)
+    sign = F.lit(-1 << 63).cast("long")
+    tie = F.when(doc.isNull(), hashed.bitwiseAND(F.bitwise_not(sign))).otherwise(hashed.bitwiseOR(sign))
+    return documents.select(F.coalesce(doc, F.lit(_LAST_ID)).alias("doc"), tie.alias("tie"), text.alias("text"))
 
 
 def _batch_contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -145,7 +149,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
             packed = [squeeze.compress(t) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array(packed, pa.binary())], ["doc", "tie", "packed"])
 
-    return keyed.mapInArrow(tidy(rows), "doc long, tie int, packed binary")
+    return keyed.mapInArrow(tidy(rows), "doc long, tie long, packed binary")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +159,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, tie, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "packed", "wanted")), strict=True):
             text = expand.decompress(packed)
             rows += [(w["anchor"], doc, tie, w["low"], w["left"], text[w["low"] : w["high"]]) for w in wanted]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc", "tie", "low", "left", "octets"])
 
 
@@ -184,7 +188,7 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, low
     place, block = bwt.repeated_blocks(octets, starts, lengths, WINDOW)
     owner = np.searchsorted(starts, place, side="right") - 1
     offset = place - starts[owner]
-    _, text = np.unique(np.stack([doc, tie.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+    _, text = np.unique(np.stack([doc, tie], axis=1), axis=0, return_inverse=True)
     key = text.reshape(-1)[owner].astype(np.int64) << 33 | (low[owner].astype(np.int64) + offset)
     head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
     least = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(block)))) if len(block) else key
@@ -221,7 +225,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        doc, tie, low = (np.array([row[k] for row in held], t) for k, t in ((1, np.int64), (2, np.int32), (3, np.int64)))
+        doc, tie, low = (np.array([row[k] for row in held], t) for k, t in ((1, np.int64), (2, np.int64), (3, np.int64)))
         owner, first, end = repeated_windows([row[5] for row in held], doc, tie, low)
         return pa.RecordBatch.from_arrays(
             [pa.array(doc[owner]), pa.array(tie[owner]), pa.array((low[owner] + first).astype(np.int32)), pa.array((low[owner] + end).astype(np.int32))],
@@ -251,7 +255,7 @@ def _met(cut: DataFrame) -> DataFrame:
     """The contexts after they have met by anchor: see _meet."""
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place")
-    return dealt.mapInArrow(tidy(_meet), "anchor long, doc long, tie int, low int, high int, left int, wanted boolean")
+    return dealt.mapInArrow(tidy(_meet), "anchor long, doc long, tie long, low int, high int, left int, wanted boolean")
 
 
 def repeated_spans(keyed: DataFrame, most: int = HOT_CONTEXTS) -> DataFrame:
@@ -261,14 +265,14 @@ def repeated_spans(keyed: DataFrame, most: int = HOT_CONTEXTS) -> DataFrame:
     spans = met.where(~F.col("wanted")).select("doc", "tie", "low", "high")
     wanted = met.where("wanted")
     grouped = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "low", "high", "left")).alias("wanted"))
-    fetched = _packed(keyed).join(grouped, ["doc", "tie"]).mapInArrow(tidy(_fetch), "anchor long, doc long, tie int, low int, left int, octets binary")
+    fetched = _packed(keyed).join(grouped, ["doc", "tie"]).mapInArrow(tidy(_fetch), "anchor long, doc long, tie long, low int, left int, octets binary")
     hot = stored(wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("anchor"))
     if not hot.isEmpty():
         fetched = stored(fetched)
         crowded = _met(fetched.join(hot, "anchor", "left_semi").mapInArrow(tidy(_windows), _CONTEXT))
         spans = spans.unionByName(crowded.where(~F.col("wanted")).select("doc", "tie", "low", "high"))
         fetched = fetched.join(hot, "anchor", "left_anti")
-    merged = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_merge), "doc long, tie int, low int, high int")
+    merged = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_merge), "doc long, tie long, low int, high int")
     return spans.unionByName(merged)
 
 
@@ -300,8 +304,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"low": a, "high": b} for a, b in united])
         kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)],
-            ["doc", "n_bytes", "n_removed", "kept", "spans"],
+            [batch.column("doc"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)],
+            ["doc", "tie", "n_bytes", "n_removed", "kept", "spans"],
         )
 
 
@@ -311,9 +315,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     keyed = _keyed(documents)
     spans = repeated_spans(keyed).groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     rows = _packed(keyed).join(spans, ["doc", "tie"], "left")
-    schema = "doc long, n_bytes long, n_removed long, kept binary, spans array<struct<low:int,high:int>>"
+    schema = "doc long, tie long, n_bytes long, n_removed long, kept binary, spans array<struct<low:int,high:int>>"
     return rows.mapInArrow(tidy(_cut), schema).select(
-        F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "kept", "spans"
+        F.when(F.col("tie") < 0, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "kept", "spans"
     )
 
 
