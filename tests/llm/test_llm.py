@@ -98,7 +98,9 @@ def test_near_duplicates_edge_cases(spark):
     kept = simhash.deduplicated(documents(spark, texts, ids=ids, extra=True))
     assert len(kept.columns) == 12
     rows = kept.collect()
-    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted({c for c in label if c in ids}) and sum(r["doc_id"] is None for r in rows) == 1
+    # one row a class: a null id stays only where no other row is in its class
+    alone = label.count(label[ids.index(None)]) == 1
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted({c for c in label if c in ids}) and sum(r["doc_id"] is None for r in rows) == alone
 
 
 def test_components_of_a_long_path(spark):
@@ -146,7 +148,7 @@ def test_systematic_sampling(spark):
     for s in ("a", "b", "c", None):
         own = [r for r in rows if r["source"] == s]
         taken, target = sum(r["__copies"] * r["__size"] for r in own), own[0]["__target"]
-        assert abs(taken - target) < max(0.1 * target, 2.0 * max(r["__size"] for r in own))
+        assert abs(taken - target) < max(r["__size"] for r in own)
         rate, n = target / own[0]["__source_size"], len(own)
         assert abs(sum(r["__copies"] for r in own) - rate * n) <= 1  # one per boundary crossed
     again = mixing.systematic_copies(mixing.sized(docs.repartition(7))).collect()
@@ -222,7 +224,7 @@ def test_round_trip(spark, pieces):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(max_size=80), st.integers(1, 12))
+@given(st.one_of(st.text(max_size=80), st.text("abehint", max_size=200)), st.integers(2, 12))
 def test_any_text_and_any_chunk(pieces, text, chunk):
     text = text.encode("utf-8", "ignore").decode()
     whole = sentencepiece_sampling.encode([text], [7], pieces)[0]
@@ -441,6 +443,19 @@ def test_repeats_with_odd_ids(spark):
     assert substring_dedup.without_repeats(docs.where("doc_id > 9")).count() == 0
 
 
+def test_null_ids_of_unlike_texts(spark):
+    """Only the null row that repeats a passage loses it; the largest id is an id like others and stands before null."""
+    rng = np.random.default_rng(3)
+    text, own = passages()[0], [prose(rng, 60) for _ in range(40)]
+    rows = [(7, text), (None, own[0] + text), (2**63 - 1, own[1]), (None, own[1]), *[(None, t) for t in own[2:]]]
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got if r["n_removed"])
+    want = [("None", len(own[0] + text), len(text)), ("None", len(own[1]), len(own[1]))]
+    assert [x[:2] for x in lost] == sorted(w[:2] for w in want) and len(got) == len(rows)
+    assert all(len(text) <= x[2] <= len(text) + 20 for x in lost if x[1] == len(own[0] + text)) and ("None", *want[1][1:]) in lost
+    assert [r["n_removed"] for r in got if r["doc_id"] == 2**63 - 1] == [0]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 2**31), st.sampled_from([1, 2, 3]), st.sampled_from([2, 8, 20]))
 def test_merged_transforms(seed, shards, depth):

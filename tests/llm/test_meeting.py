@@ -8,7 +8,7 @@ NAMES = ["anchor", "context", "doc", "tie", "place"]
 
 
 def met(rows, size):
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "tie" else pa.int64()) for n, c in zip(NAMES, zip(*rows[i : i + size], strict=True), strict=True)], NAMES)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for n, c in zip(NAMES, zip(*rows[i : i + size], strict=True), strict=True)], NAMES)
                for i in range(0, len(rows), size)]
     return sorted(tuple(r.values()) for b in dedup._meet(iter(batches)) for r in b.to_pylist())
 
