@@ -75,7 +75,7 @@ class Design:
         return forecast.naive_indicator(self.series, self.reference, self.training)
 
     def arfima(self, refine: bool = True) -> DataFrame:
-        made = timeseries.forecast_series(self.indicator_series.drop("ts"), self.training, refine)
+        made = timeseries.forecast_series(self.indicator_series.drop("ts"), self.training, refine, self.matrices)
         return forecast.indicator_forecast(self.series, self.reference, made.select(F.col("pos").alias("k"), "z_hat"))
 
     @cached_property
@@ -99,15 +99,16 @@ class Design:
         return evaluate.change_to(mt.rmse_table(forecasts, self.p, ["method"]), forecast.DIRECT)
 
     def pair_differences(self, pairs: list[tuple[str, str, str]]) -> DataFrame:
-        """(effect, component, pos, diff): benchmark loss minus candidate loss for literal (effect, candidate,
-        benchmark) pairs of the factorial, all in one join; a and b are the losses of candidate and benchmark."""
-        rows = mt.losses(self.factorial, self.p)
+        """(effect, component, pos, a, b, diff): benchmark loss minus candidate loss for literal (effect, candidate,
+        benchmark) pairs of the factorial; a and b are the losses of candidate and benchmark. Each loss goes to the pairs
+        it belongs to, so the factorial is computed once."""
+        sides = [(method, effect, side) for effect, *methods in pairs for side, method in zip("ab", methods, strict=True)]
+        wanted = F.broadcast(self.spark.createDataFrame(sides, "method string, effect string, side string"))
+        rows = mt.losses(self.factorial, self.p).join(wanted, "method")
         long = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("loss")) for c in evaluate.COMPONENTS]))
-        losses = rows.select("method", "k", long.alias("x")).select("method", "k", "x.component", "x.loss")
-        wanted = F.broadcast(self.spark.createDataFrame(pairs, "effect string, candidate string, benchmark string"))
-        a = losses.select(F.col("method").alias("candidate"), "k", "component", F.col("loss").alias("a"))
-        b = losses.select(F.col("method").alias("benchmark"), "k", "component", F.col("loss").alias("b"))
-        joined = wanted.join(a, "candidate").join(b, ["benchmark", "k", "component"])
+        losses = rows.select("effect", "side", "k", long.alias("x")).select("effect", "side", "k", "x.component", "x.loss")
+        loss = lambda side: F.max(F.when(F.col("side") == side, F.col("loss")))
+        joined = losses.groupBy("effect", "component", "k").agg(loss("a").alias("a"), loss("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
         return joined.select("effect", "component", (F.col("k") - self.training).alias("pos"), "a", "b", (F.col("b") - F.col("a")).alias("diff"))
 
     def prefix_coefficients(self, percents: tuple[int, ...]) -> DataFrame:
@@ -122,38 +123,24 @@ class Design:
             parts = rows if parts is None else parts.unionByName(rows)
         return parts
 
-    @cached_property
-    def completed(self) -> DataFrame:
-        """The factorial of indicator forecasts (naive, oracle) and diagonal corrections (zero, naive, oracle)."""
-        held = self.coefficients.where(F.col("pos") >= self.training)
-        truth = reference.indicator(self.series, self.reference).where(F.col("k") >= self.training)
-        oracle = truth.withColumn("f", reference.from_indicator(self.reference, F.col("z"))).select("k", "ts", "m", "f")
-        corrections = {
-            "zero": held.withColumn("z_hat", F.lit(0.0)),
-            "naive": timeseries.naive_forecasts(self.coefficients, self.training),
-            "oracle": held.withColumn("z_hat", F.col("value")),
-        }
-        return residual.complete_forecasts({"naive": self.naive, "oracle": oracle}, corrections, self.panel.assets)
-
-
     @cached_property
     def factorial(self) -> DataFrame:
         """(method, k, ts, m, f, e) for every indicator forecast (naive, ARFIMA, oracle) with every diagonal correction
-        (zero, naive, first-order autoregression, ARFIMA, oracle), and the direct persistence method. ARFIMA models
-        stay at the grid's d."""
+        (zero, naive, autoregression of the order selected per asset, ARFIMA, oracle), and the direct persistence
+        method."""
         held = self.coefficients.where(F.col("pos") >= self.training)
         truth = reference.indicator(self.series, self.reference).where(F.col("k") >= self.training)
         indicators = {
             "naive": self.naive,
-            "arfima": self.arfima(refine=False),
+            "arfima": self.arfima(),
             "oracle": truth.withColumn("f", reference.from_indicator(self.reference, F.col("z"))),
         }
         series = self.coefficients.drop("ts")
         corrections = {
             "zero": held.withColumn("z_hat", F.lit(0.0)),
             "naive": timeseries.naive_forecasts(self.coefficients, self.training),
-            "ar": timeseries.ar_forecasts(series, self.training, (1,)),
-            "arfima": timeseries.forecast_series(series, self.training, refine=False),
+            "ar": timeseries.ar_forecasts(series, self.training),
+            "arfima": timeseries.forecast_series(series, self.training, longest=self.matrices),
             "oracle": held.withColumn("z_hat", F.col("value")),
         }
         made = residual.complete_forecasts(indicators, corrections, self.panel.assets)

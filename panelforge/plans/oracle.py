@@ -84,11 +84,6 @@ fc AS (SELECT 'direct_naive' AS method, k, ts, {', '.join(f'{n}, d{n} AS f{n}, {
 LOSSES = f"""{FORECASTS},
 loss AS (SELECT method, k, ts, {_overall('x')} AS overall, {_diagonal('x')} AS diagonal, {_off('x')} AS off_diagonal FROM fc)"""
 
-RMSE = f"""{LOSSES},
-rmse AS (SELECT method, sqrt(sum(overall) / (count(*) * 9)) AS overall, sqrt(sum(diagonal) / (count(*) * 3)) AS diagonal,
-  sqrt(sum(off_diagonal) / (count(*) * 6)) AS off_diagonal FROM loss GROUP BY method),
-base AS (SELECT overall AS b FROM rmse WHERE method = 'direct_naive')"""
-
 DIFFERENCES = f"""{LOSSES},
 diff0 AS (SELECT k, ts, sum(overall) FILTER (method = 'direct_naive') - sum(overall) FILTER (method = 'naive_indicator') AS diff FROM loss GROUP BY ALL),
 diff AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS pos, sum(diff) OVER (ORDER BY ts) AS cumulative FROM diff0)"""
@@ -105,40 +100,132 @@ grid AS (SELECT step / 1000.0::DOUBLE AS d, count(*) AS m, avg(power * exp(2 * (
 obj AS (SELECT d, m, m * ln(2 * pi() * level) - 2 * d * factors AS objective, 2 * pi() * level AS innovation_variance FROM grid),
 best AS (SELECT d, m, objective, innovation_variance FROM obj ORDER BY objective, d LIMIT 1)"""
 
-WEIGHTS = f"""{GRID},
-w AS (SELECT q, CASE WHEN q = 0 THEN 1.0 ELSE exp(s) * sg END AS weight FROM (
-  SELECT q, sum(CASE WHEN q = 0 THEN 0 ELSE ln(abs(f)) END) OVER (ORDER BY q) AS s,
-         CASE WHEN sum(CASE WHEN f < 0 THEN 1 ELSE 0 END) OVER (ORDER BY q) % 2 = 0 THEN 1 ELSE -1 END AS sg
-  FROM (SELECT q, CASE WHEN q = 0 THEN 1.0 ELSE (q - 1 - d) / q END AS f FROM (SELECT unnest(range(0, 100000)) AS q), best, cnt WHERE q < nmat)))"""
-
-ARFIMA = f"""{WEIGHTS},
-zh AS (SELECT a.k, max(mean) - sum(weight * (b.z - mean)) AS z_hat FROM ind a JOIN ind b ON b.k < a.k JOIN w ON w.q = a.k - b.k, zn
-  WHERE a.k >= a.ntrain GROUP BY a.k)"""
-
 COEFFICIENTS = f"""{INDICATOR},
 coef AS (SELECT asset AS series, k, ts, ntrain, sample, value FROM ind, LATERAL (VALUES ('A', ec1), ('N', ec4), ('R', ec6)) AS v(asset, value))"""
 
 
-#: Fractional models at the grid's d of the indicator and of every residual coefficient, each as a series of its own.
+def _fitted(x: str, source: str) -> str:
+    """Fractional models of rows (series, k, value): grid values {x}o, their minimum {x}b, and {x}d with the d where the
+    objective's derivative changes sign between the neighbours of the minimum."""
+    return f"""{x}n AS (SELECT series, count(*) AS n, avg(value) AS mean FROM {source} GROUP BY series),
+{x}p AS (SELECT series, j, 2 * ln(2 * sin(pi() * j / n)) AS x, (sum((value - mean) * cos(2 * pi() * j * k / n)) ** 2 + sum((value - mean) * sin(2 * pi() * j * k / n)) ** 2) / (2 * pi() * n) AS power
+  FROM {source} JOIN {x}n USING (series), (SELECT unnest(range(1, 100000)) AS j) WHERE j <= (n - 1) // 2 GROUP BY series, j, n),
+{x}o AS (SELECT series, step, count(*) * ln(2 * pi() * avg(power * exp(step / 1000.0::DOUBLE * x))) - step / 1000.0::DOUBLE * sum(x) AS q FROM {x}p, (SELECT unnest(range(-490, 491)) AS step) GROUP BY series, step),
+{x}b AS (SELECT series, arg_min(step, (q, step)) AS step FROM {x}o GROUP BY series),
+{x}l AS (SELECT series, list(power ORDER BY j) AS ps, list(x ORDER BY j) AS xs, sum(x) AS total, count(*) AS m FROM {x}p GROUP BY series),
+{x}h AS (SELECT series, greatest(step - 1, -490) / 1000.0::DOUBLE AS low, least(step + 1, 490) / 1000.0::DOUBLE AS high, 0 AS i FROM {x}b
+  UNION ALL SELECT series, CASE WHEN up THEN low ELSE mid END, CASE WHEN up THEN mid ELSE high END, i + 1 FROM (SELECT h.series, low, high, i, (low + high) / 2 AS mid,
+    list_sum(list_transform(list_zip(ps, xs), lambda e: e[1] * exp((low + high) / 2 * e[2]) * (m * e[2] - total))) > 0 AS up FROM {x}h h JOIN {x}l l ON l.series = h.series WHERE i < 40)),
+{x}f AS (SELECT series, (low + high) / 2 AS d FROM {x}h WHERE i = 40),
+{x}d AS (SELECT series, d, step / 1000.0::DOUBLE AS grid_best_d, 2 * pi() * avg(power * exp(d * x)) AS variance, count(*) * ln(2 * pi() * avg(power * exp(d * x))) - d * sum(x) AS objective, count(*) AS m
+  FROM {x}p JOIN {x}f USING (series) JOIN {x}b USING (series) GROUP BY series, d, step)"""
+
+
+def _differenced(x: str, d: str) -> str:
+    """Series of ser (and their means in fn) differenced by the d of a table: {x}v, and its forecasts {x}z."""
+    return f"""{x}g AS (SELECT series, q, CASE WHEN q = 0 THEN 1.0 ELSE (q - 1 - d) / q END AS f FROM {d}, (SELECT unnest(range(0, 100000)) AS q), cnt WHERE q < nmat),
+{x}w AS (SELECT series, q, exp(sum(ln(greatest(abs(f), 1e-300))) OVER (PARTITION BY series ORDER BY q)) * CASE WHEN sum(CASE WHEN f < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY q) % 2 = 0 THEN 1 ELSE -1 END AS weight FROM {x}g),
+{x}v AS (SELECT a.series, a.k, max(a.value) AS value, max(a.ntrain) AS ntrain, sum(weight * (b.value - mean)) AS innovation
+  FROM ser a JOIN ser b ON b.series = a.series AND b.k <= a.k JOIN {x}w w ON w.series = a.series AND w.q = a.k - b.k JOIN fn ON fn.series = a.series GROUP BY a.series, a.k),
+{x}z AS (SELECT series, k, value, value - innovation AS z_hat FROM {x}v WHERE k >= ntrain)"""
+
+
+#: Fractional models of the indicator and of every residual coefficient, each as a series of its own.
 FRACTIONAL = f"""{COEFFICIENTS},
 ser AS (SELECT 'z' AS series, k, z AS value, ntrain, nmat FROM ind UNION ALL SELECT series, k, value, ntrain, (SELECT nmat FROM cnt) FROM coef),
-fn AS (SELECT series, count(*) AS n, avg(value) AS mean FROM ser WHERE k < ntrain GROUP BY series),
-fp AS (SELECT series, j, 2 * pi() * j / n AS omega, (sum((value - mean) * cos(2 * pi() * j * k / n)) ** 2 + sum((value - mean) * sin(2 * pi() * j * k / n)) ** 2) / (2 * pi() * n) AS power
-  FROM ser JOIN fn USING (series), (SELECT unnest(range(1, 100000)) AS j) WHERE k < ntrain AND j <= (n - 1) // 2 GROUP BY series, j, n),
-fo AS (SELECT series, step / 1000.0::DOUBLE AS d, count(*) * ln(2 * pi() * avg(power * exp(2 * (step / 1000.0::DOUBLE) * ln(2 * sin(omega / 2))))) - 2 * (step / 1000.0::DOUBLE) * sum(ln(2 * sin(omega / 2))) AS q
-  FROM fp, (SELECT unnest(range(-490, 491)) AS step) GROUP BY series, step),
-fd AS (SELECT series, arg_min(d, (q, d)) AS d FROM fo GROUP BY series),
-ff AS (SELECT series, q, CASE WHEN q = 0 THEN 1.0 ELSE (q - 1 - d) / q END AS f FROM fd, (SELECT unnest(range(0, 100000)) AS q), cnt WHERE q < nmat),
-fw AS (SELECT series, q, exp(sum(ln(greatest(abs(f), 1e-300))) OVER (PARTITION BY series ORDER BY q)) * CASE WHEN sum(CASE WHEN f < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY q) % 2 = 0 THEN 1 ELSE -1 END AS weight FROM ff),
-fv AS (SELECT a.series, a.k, max(a.value) AS value, max(a.ntrain) AS ntrain, sum(weight * (b.value - mean)) AS innovation
-  FROM ser a JOIN ser b ON b.series = a.series AND b.k <= a.k JOIN fw ON fw.series = a.series AND fw.q = a.k - b.k JOIN fn ON fn.series = a.series GROUP BY a.series, a.k),
-fz AS (SELECT series, k, value, value - innovation AS z_hat FROM fv WHERE k >= ntrain)"""
+tr AS (SELECT series, k, value FROM ser WHERE k < ntrain),
+{_fitted('f', 'tr')},
+{_differenced('f', 'fd')}"""
+ARFIMA = f"""{FRACTIONAL},
+zh AS (SELECT k, z_hat FROM fz WHERE series = 'z')"""
+#: At the grid's d.
+ARFIMA_GRID = f"""{FRACTIONAL},
+{_differenced('r', "(SELECT series, grid_best_d AS d FROM fd WHERE series = 'z')")},
+zh AS (SELECT k, z_hat FROM rz)"""
+
+
+def _arfima_rmse(source: str) -> str:
+    return f"""WITH {source}, ax AS (SELECT k, {', '.join(f'{n} - (s{n} + (z_hat - l1) * p{n}) AS x{n}' for n in NAMES)} FROM zh JOIN ind USING (k)),
+lg AS (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {', '.join(f'lag({n}) OVER (ORDER BY k) AS d{n}' for n in NAMES)} FROM ind),
+al AS (SELECT 'arfima_indicator' AS method, {', '.join('x' + n for n in NAMES)} FROM ax UNION ALL SELECT 'direct_naive', {', '.join(f'{n} - d{n}' for n in NAMES)} FROM lg WHERE k >= ntrain
+UNION ALL SELECT 'naive_indicator', {', '.join(f'{n} - (s{n} + (zb - l1) * p{n})' for n in NAMES)} FROM lg WHERE k >= ntrain),
+t AS (SELECT method, sqrt(sum({_overall('x')}) / (count(*) * 9)) AS overall, sqrt(sum({_diagonal('x')}) / (count(*) * 3)) AS diagonal, sqrt(sum({_off('x')}) / (count(*) * 6)) AS off_diagonal FROM al GROUP BY method)"""
+
+
+_RMSE_ROWS = f"""SELECT method, {r('overall', 'overall')}, {r('diagonal', 'diagonal')}, {r('off_diagonal', 'off_diagonal')}, {r("(overall / (SELECT overall FROM t WHERE method = 'direct_naive') - 1) * 100", 'change_pct')} FROM t"""
+
+ORDERS = 5
+
+
+def _eliminated(x: str, p: int) -> str:
+    """Least squares of order p on rows {x}g below every end of {x}e, by elimination of the covariances."""
+    lags = range(1, p + 1)
+    sums = [f"avg(y{i}) AS m{i}" for i in range(p + 1)] + [f"covar_pop(y{i}, y{j}) AS a{i}_{j}" for i in lags for j in lags] + [f"covar_pop(y0, y{i}) AS b{i}" for i in lags]
+    parts = [f"{x}{p}_0 AS (SELECT series, until, {', '.join(sums)} FROM {x}g, {x}e WHERE k >= {p} AND k < until GROUP BY series, until)"]
+    means = ", ".join(f"m{i}" for i in range(p + 1))
+    for q in lags:
+        a = [f"a{q}_{j} / a{q}_{q} AS a{q}_{j}" if i == q else f"a{i}_{j} - a{i}_{q} * a{q}_{j} / a{q}_{q} AS a{i}_{j}" for i in lags for j in lags]
+        b = [f"b{q} / a{q}_{q} AS b{q}" if i == q else f"b{i} - a{i}_{q} * b{q} / a{q}_{q} AS b{i}" for i in lags]
+        parts.append(f"{x}{p}_{q} AS (SELECT series, until, {means}, {', '.join(a + b)} FROM {x}{p}_{q - 1})")
+    return ",\n".join(parts)
+
+
+def _autoregressed(x: str, source: str, start: str, training: str) -> str:
+    """Autoregressions of rows (series, k, value): fits {x}r below the validation's start and the training's end,
+    validation errors {x}v, stationarity {x}s, forecasts {x}z by the selected order."""
+    fits = []
+    for p in range(1, ORDERS + 1):
+        f = [f"b{i} AS f{i}" if i <= p else f"0.0::DOUBLE AS f{i}" for i in range(1, ORDERS + 1)]
+        fits.append(f"SELECT series, until, {p} AS ord, m0{''.join(f' - b{i} * m{i}' for i in range(1, p + 1))} AS icept, {', '.join(f)} FROM {x}{p}_{p}")
+    made = "icept" + "".join(f" + CASE WHEN ord >= {i} THEN f{i} * y{i} ELSE 0 END" for i in range(1, ORDERS + 1))
+    down = [f"{x}s{ORDERS} AS (SELECT series, ord, true AS fine, {', '.join(f'f{i}' for i in range(1, ORDERS + 1))} FROM {x}r WHERE until = {start})"]
+    for q in range(ORDERS, 0, -1):
+        a = "".join(f", CASE WHEN abs(f{q}) < 1 THEN (f{i} + f{q} * f{q - i}) / (1 - f{q} * f{q}) ELSE 0 END AS f{i}" for i in range(1, q))
+        down.append(f"{x}s{q - 1} AS (SELECT series, ord, fine AND abs(f{q}) < 1 AS fine{a} FROM {x}s{q})")
+    newline = ",\n"
+    return f"""{x}g AS (SELECT series, k, value AS y0, {', '.join(f'lag(value, {i}) OVER (PARTITION BY series ORDER BY k) AS y{i}' for i in range(1, ORDERS + 1))} FROM {source}),
+{x}e AS (SELECT DISTINCT unnest([{start}, {training}]) AS until),
+{newline.join(_eliminated(x, p) for p in range(1, ORDERS + 1))},
+{x}r AS ({' UNION ALL '.join(fits)}),
+{x}v AS (SELECT series, ord, sqrt(avg(({made} - y0) ** 2)) AS rmse FROM {x}g JOIN {x}r USING (series) WHERE until = {start} AND k >= {start} AND k < {training} GROUP BY series, ord),
+{x}b AS (SELECT series, arg_min(ord, (rmse, ord)) AS ord FROM {x}v GROUP BY series),
+{newline.join(down)},
+{x}z AS (SELECT g.series, k, y0 AS value, {made} AS z_hat FROM {x}g g JOIN {x}r r ON r.series = g.series JOIN (SELECT series, ord AS best FROM {x}b) b ON b.series = r.series AND best = ord WHERE until = {training} AND k >= {training})"""
+
+
+_TRAINING = "(SELECT ntrain FROM cnt)"
+_START = "(SELECT ntrain - CAST(floor(0.2 * ntrain) AS BIGINT) FROM cnt)"
+
+
+def _at_size(size: str) -> str:
+    """The chain up to residual coefficients with a reference fitted on that many matrices, ntrain being half of all."""
+    return COEFFICIENTS.replace("count(*) // 2 AS ntrain", f"{size.format('(count(*) // 2)')} AS ntrain")
+
+
+#: A reference fitted before the validation part; the cut stays the training part's.
+EARLY = f"""{_at_size('{0} - CAST(floor(0.2 * {0}) AS BIGINT)')},
+cut AS (SELECT nmat // 2 AS whole FROM cnt), ce AS (SELECT series, k, value FROM coef, cut WHERE k < whole)"""
+
+
+def _compared(x: str, source: str, start: str, training: str) -> str:
+    return f"""SELECT series, method, ord AS "order", {r('rmse', 'rmse')}, stationary, selected FROM (
+SELECT series, 'zero' AS method, 0 AS ord, sqrt(avg(y0 ** 2)) AS rmse, NULL::BOOLEAN AS stationary, false AS selected FROM {x}g WHERE k >= {start} AND k < {training} GROUP BY series
+UNION ALL SELECT series, 'naive', 0, sqrt(avg((y1 - y0) ** 2)), NULL, false FROM {x}g WHERE k >= {start} AND k < {training} GROUP BY series
+UNION ALL SELECT v.series, 'ar' || v.ord, v.ord, rmse, fine, v.ord = b.ord FROM {x}v v JOIN {x}b b ON b.series = v.series JOIN {x}s0 s ON s.series = v.series AND s.ord = v.ord)"""
+
 
 AR1 = """ag AS (SELECT series, k, ntrain, value, lag(value) OVER (PARTITION BY series ORDER BY k) AS b FROM coef),
 ai AS (SELECT series, regr_intercept(value, b) AS icept, regr_slope(value, b) AS slope FROM ag WHERE k < ntrain AND b IS NOT NULL GROUP BY series),
 az AS (SELECT series, k, value, icept + slope * b AS z_hat FROM ag JOIN ai USING (series) WHERE k >= ntrain)"""
 
 
+def _erfc(t: str) -> str:
+    """Two-sided normal tail probability of t: one less the error function, a series of positive terms."""
+    x = f"(abs({t}) / sqrt(2.0::DOUBLE))"
+    term = f"exp((2 * i + 1) * ln({x}) + i * ln(2.0::DOUBLE) - {x} * {x} - (lgamma(2 * i + 2.0::DOUBLE) - i * ln(2.0::DOUBLE) - lgamma(i + 1.0::DOUBLE)))"
+    return f"CASE WHEN {t} = 0 THEN 1.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda i: {term}))) END"
+
+
 def _factorial() -> str:
     """Losses cl (method, k, three components) of every indicator forecast with every correction, and of persistence."""
     shift = {"zero": "0.0", "naive": "lag_e{n}", "ar": "ar_{n}", "arfima": "fr_{n}", "oracle": "e{n}"}
@@ -150,9 +237,9 @@ def _factorial() -> str:
     wide = ", ".join(f"max(z_hat) FILTER (series = '{a}') AS {{0}}_{n}" for a, n in zip(ASSETS, DIAGONAL, strict=True))
     lags = ", ".join([f"lag({n}) OVER (ORDER BY k) AS d{n}" for n in NAMES] + [f"lag(e{n}) OVER (ORDER BY k) AS lag_e{n}" for n in DIAGONAL])
     return f"""{FRACTIONAL},
-{AR1},
+{_autoregressed('q', 'coef', _START, _TRAINING)},
 fx AS (SELECT k, max(z_hat) FILTER (series = 'z') AS za, {wide.format('fr')} FROM fz GROUP BY k),
-ax AS (SELECT k, {wide.format('ar')} FROM az GROUP BY k),
+ax AS (SELECT k, {wide.format('ar')} FROM qz GROUP BY k),
 chg AS (SELECT * FROM (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {lags} FROM ind) JOIN fx USING (k) JOIN ax USING (k)),
 comp AS ({' UNION ALL '.join(parts)}),
 cl AS (SELECT method, k, {_overall('x')} AS overall, {_diagonal('x')} AS diagonal, {_off('x')} AS off_diagonal FROM comp),
@@ -212,6 +299,17 @@ def _moments() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _in_basis() -> str:
+    """Squared entries v_i' C v_j as tr(P_i C P_j C), the projectors being polynomials of the reference."""
+    found = {k: (i, j) for k, (i, j) in enumerate([(2, 3), (1, 3), (1, 2)], 1)}
+    projector = lambda k: ", ".join(f"({_product(i, j).replace('l2', f'q{found[k][0]}').replace('l3', f'q{found[k][1]}').replace('q', 'l')}) / ((l{k} - l{found[k][0]}) * (l{k} - l{found[k][1]})) AS p{k}{n}" for n, i, j, _ in ENTRIES)
+    entry = lambda a, i, j: f"{a}{PLACE[i, j]}"
+    product = lambda k: ", ".join("(" + " + ".join(f"{entry(f'p{k}', i, h)} * {entry('', h, j)}" for h in range(3)) + f") AS t{k}{i}{j}" for i in range(3) for j in range(3))
+    trace = lambda a, b: " + ".join(f"t{a}{i}{j} * t{b}{j}{i}" for i in range(3) for j in range(3))
+    rows = " UNION ALL ".join(f"SELECT k, ts, 'component_{a}' AS i, 'component_{b}' AS j, {r(trace(a, b), 'v')} FROM tm" for a in (1, 2, 3) for b in (1, 2, 3))
+    return f"""WITH {REFERENCE}, pr AS (SELECT {', '.join(projector(k) for k in (1, 2, 3))} FROM ref), tm AS (SELECT k, ts, {', '.join(product(k) for k in (1, 2, 3))} FROM blk, pr) {rows}"""
+
+
 _FIVE = "('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
 _EVENTS = """ev AS (SELECT make_timestamp((epoch_us(ts) // 900000000) * 900000000) AS ts, event_type AS asset, avg(value) AS price FROM events WHERE value > 0 GROUP BY ALL)"""
 
@@ -252,6 +350,7 @@ SELECT k, ts, i, j, {r('v', 'v')} FROM b""",
     "reference_covariance": f"WITH {REFERENCE} " + " UNION ALL ".join(f"SELECT '{ASSETS[i]}' AS i, '{ASSETS[j]}' AS j, {r('s' + PLACE[i, j], 'v')} FROM ref" for i in range(3) for j in range(3)),
     "reference_pca": f"WITH {REFERENCE} " + " UNION ALL ".join(f"SELECT 'component_{k}' AS component, {r(f'l{k}', 'eigenvalue')}, {r(f'100 * l{k} / (l1 + l2 + l3)', 'share_pct')} FROM ref" for k in (1, 2, 3)),
     "dominant_indicator": f"WITH {INDICATOR} SELECT k, ts, sample, {r('z', 'z')} FROM ind",
+    "matrices_in_basis": _in_basis(),
     "sample_bounds": f"WITH {INDICATOR} SELECT sample, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ind GROUP BY sample",
     "approximation_errors": f"WITH {ERRORS} SELECT k, ts, sample, {r('norm_e', 'norm_e')}, {r('norm_s', 'norm_s')}, {r('norm_e / norm_s', 'interval_error')} FROM err",
     "approximation_summary": f"""WITH {ERRORS} SELECT sample, {r('sqrt(sum(norm_e * norm_e) / sum(norm_s * norm_s))', 'aggregated')}, {r('avg(norm_e / norm_s)', 'mean')},
@@ -261,13 +360,15 @@ SELECT k, ts, i, j, {r('v', 'v')} FROM b""",
     "cdf_markers": f"WITH {ERRORS} SELECT sample, {r(_quantile(0.5) + ' * 100', 'median_pct')}, {r(_quantile(0.95) + ' * 100', 'p95_pct')} FROM err GROUP BY sample",
     "direct_naive_forecast": f"WITH {FORECASTS} {_entries('fc', 'f', 'k, ts', chr(10) + 'WHERE method = ' + chr(39) + 'direct_naive' + chr(39))}",
     "naive_indicator_forecast": f"WITH {FORECASTS} {_entries('held', 'n', 'k, ts, ' + r('z_hat', 'z_hat'))}",
-    "rmse_by_method": f"WITH {RMSE} SELECT method, {r('overall', 'overall')}, {r('diagonal', 'diagonal')}, {r('off_diagonal', 'off_diagonal')}, {r('(overall / b - 1) * 100', 'change_pct')} FROM rmse, base",
-    "rmse_reductions": f"WITH {RMSE} SELECT method, {r('(1 - overall / b) * 100', 'reduction_pct')} FROM rmse, base WHERE method <> 'direct_naive'",
+    "rmse_by_method": f"{_arfima_rmse(ARFIMA)} {_RMSE_ROWS}",
+    "rmse_reductions": f"{_arfima_rmse(ARFIMA)} SELECT a.method, {r('(1 - a.overall / b.overall) * 100', 'reduction_pct')} FROM t a JOIN t b ON b.method = 'direct_naive' WHERE a.method <> 'direct_naive'",
     "losses_by_timestamp": f"WITH {LOSSES} SELECT method, k, ts, {r('overall', 'overall')}, {r('diagonal', 'diagonal')}, {r('off_diagonal', 'off_diagonal')} FROM loss",
-    "component_comparison": f"""WITH {RMSE}, long AS (UNPIVOT (SELECT method, overall, diagonal, off_diagonal FROM rmse) ON overall, diagonal, off_diagonal INTO NAME component VALUE rmse)
+    "component_comparison": f"""{_arfima_rmse(ARFIMA)}, long AS (UNPIVOT (SELECT method, overall, diagonal, off_diagonal FROM t) ON overall, diagonal, off_diagonal INTO NAME component VALUE rmse)
 SELECT a.method, a.component, {r('a.rmse', 'rmse')}, {r('a.rmse / b.rmse', 'ratio')}, {r('(a.rmse / b.rmse - 1) * 100', 'change_pct')}, {r('(a.rmse / b.rmse) ** 2', 'sse_ratio')}, {r('1 - (a.rmse / b.rmse) ** 2', 'share_captured')}
 FROM long a JOIN long b ON a.component = b.component AND b.method = 'direct_naive'""",
-    "psd_diagnostics": f"""WITH {FORECASTS}, {_eigen('f', 'fc', 'method, k')}
+    "psd_diagnostics": f"""WITH {ARFIMA}, lagged AS (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {', '.join(f'lag({n}) OVER (ORDER BY k) AS d{n}' for n in NAMES)} FROM ind),
+fc AS (SELECT 'direct_naive' AS method, k, {', '.join(f'd{n} AS f{n}' for n in NAMES)} FROM lagged WHERE k >= ntrain UNION ALL SELECT 'naive_indicator', k, {', '.join(f's{n} + (zb - l1) * p{n}' for n in NAMES)} FROM lagged WHERE k >= ntrain
+  UNION ALL SELECT 'arfima_indicator', k, {', '.join(f's{n} + (z_hat - l1) * p{n}' for n in NAMES)} FROM zh JOIN ind USING (k)), {_eigen('f', 'fc', 'method, k')}
 SELECT method, {r('min(w3)', 'min_eigenvalue')}, count(*) FILTER (w3 < 0) AS n_negative, count(*) FILTER (w3 < -1e-12 * greatest(abs(w1), abs(w3))) AS n_non_psd,
 {r('avg(CASE WHEN w3 < -1e-12 * greatest(abs(w1), abs(w3)) THEN 1.0 ELSE 0.0 END)', 'share_non_psd')} FROM eg GROUP BY method""",
     "scalar_forecast_metrics": f"""WITH {FORECASTS} SELECT 'naive' AS method, {r('sqrt(avg((z_hat - z) ** 2))', 'rmse')}, {r('avg(abs(z_hat - z))', 'mae')}, {r('avg(z_hat - z)', 'bias')}, {r('corr(z_hat, z)', 'correlation')},
@@ -293,24 +394,20 @@ SELECT kind, CAST(q AS INTEGER) AS rank, k, ts, {r('diff', 'diff')} FROM (SELECT
     "fractional_weights": f"""WITH RECURSIVE w(d, k, weight) AS (SELECT d, 0::BIGINT, 1.0::DOUBLE FROM (VALUES (0.25::DOUBLE), (-0.3::DOUBLE)) AS v(d) UNION ALL SELECT d, k + 1, weight * (k - d) / (k + 1) FROM w WHERE k < 39)
 SELECT {r('d', 'd')}, k, {r('weight', 'weight')} FROM w""",
     "arfima_forecast": f"WITH {ARFIMA} SELECT k, ts, {r('z_hat', 'z_hat')} FROM zh JOIN ind USING (k)",
-    "arfima_rmse": f"""WITH {ARFIMA}, ax AS (SELECT k, {', '.join(f'{n} - (s{n} + (z_hat - l1) * p{n}) AS x{n}' for n in NAMES)} FROM zh JOIN ind USING (k)),
-lg AS (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {', '.join(f'lag({n}) OVER (ORDER BY k) AS d{n}' for n in NAMES)} FROM ind),
-al AS (SELECT 'arfima_indicator' AS method, {', '.join('x' + n for n in NAMES)} FROM ax UNION ALL SELECT 'direct_naive', {', '.join(f'{n} - d{n}' for n in NAMES)} FROM lg WHERE k >= ntrain
-UNION ALL SELECT 'naive_indicator', {', '.join(f'{n} - (s{n} + (zb - l1) * p{n})' for n in NAMES)} FROM lg WHERE k >= ntrain),
-t AS (SELECT method, sqrt(sum({_overall('x')}) / (count(*) * 9)) AS overall, sqrt(sum({_diagonal('x')}) / (count(*) * 3)) AS diagonal, sqrt(sum({_off('x')}) / (count(*) * 6)) AS off_diagonal FROM al GROUP BY method)
-SELECT method, {r('overall', 'overall')}, {r('diagonal', 'diagonal')}, {r('off_diagonal', 'off_diagonal')}, {r("(overall / (SELECT overall FROM t WHERE method = 'direct_naive') - 1) * 100", 'change_pct')} FROM t""",
-    "fractional_difference": f"WITH {WEIGHTS} SELECT a.k, {r('max(a.z)', 'z')}, {r('sum(weight * (b.z - mean))', 'innovation')} FROM ind a JOIN ind b ON b.k <= a.k JOIN w ON w.q = a.k - b.k, zn GROUP BY a.k",
+    "arfima_rmse": f"{_arfima_rmse(ARFIMA_GRID)} {_RMSE_ROWS}",
+    "arfima_refined_rmse": f"{_arfima_rmse(ARFIMA)} {_RMSE_ROWS}",
+    "whittle_fit": f"WITH {FRACTIONAL} SELECT {r('mean', 'mean')}, {r('d', 'd')}, {r('variance', 'innovation_variance')}, {r('objective', 'objective')}, m AS positive_frequency_count, {r('grid_best_d', 'grid_best_d')}, least(d + 0.49, 0.49 - d) < 0.01 AS boundary_warning FROM fd JOIN fn USING (series) WHERE series = 'z'",
+    "fractional_difference": f"WITH {FRACTIONAL} SELECT k, {r('value', 'z')}, {r('innovation', 'innovation')} FROM fv WHERE series = 'z'",
     "lag_correlations": f"WITH {SPECTRUM} SELECT lag, {r('corr(a.value, b.value)', 'correlation')} FROM zt a JOIN (VALUES (1), (2), (5), (10), (20), (50)) AS v(lag) ON true JOIN zt b ON b.pos = a.pos - lag GROUP BY lag",
     "coefficient_lag_correlations": f"""WITH {COEFFICIENTS} SELECT a.series, lag, {r('corr(a.value, b.value)', 'correlation')} FROM coef a JOIN (VALUES (1), (2), (5), (10), (20), (50)) AS v(lag) ON true
 JOIN coef b ON b.series = a.series AND b.k = a.k - lag WHERE a.k < a.ntrain GROUP BY a.series, lag""",
-    "d_stability": f"""WITH {INDICATOR}, sh AS (SELECT percent, k AS pos, z AS value FROM ind, (VALUES (50), (75), (100)) AS v(percent) WHERE k < percent * ntrain // 100),
-sn AS (SELECT percent, count(*) AS n, avg(value) AS mean FROM sh GROUP BY percent),
-sp AS (SELECT percent, j, 2 * pi() * j / n AS omega, (sum((value - mean) * cos(2 * pi() * j * pos / n)) ** 2 + sum((value - mean) * sin(2 * pi() * j * pos / n)) ** 2) / (2 * pi() * n) AS power
-  FROM sh JOIN sn USING (percent), (SELECT unnest(range(1, 100000)) AS j) WHERE j <= (n - 1) // 2 GROUP BY percent, j, n),
-og AS (SELECT percent, step / 1000.0::DOUBLE AS d, count(*) * ln(2 * pi() * avg(power * exp(2 * (step / 1000.0::DOUBLE) * ln(2 * sin(omega / 2))))) - 2 * (step / 1000.0::DOUBLE) * sum(ln(2 * sin(omega / 2))) AS q
-  FROM sp, (SELECT unnest(range(-490, 491)) AS step) GROUP BY percent, step),
-bs AS (SELECT percent, arg_min(d, q) AS d FROM og GROUP BY percent)
-SELECT percent, CASE WHEN n >= 20 THEN {r('d', 'd')[:-5]} END AS d, CASE WHEN n >= 20 THEN least(d + 0.49, 0.49 - d) < 0.01 END AS boundary_warning FROM bs JOIN sn USING (percent)""",
+    "d_stability": f"""WITH {INDICATOR}, sh AS (SELECT percent AS series, k, z AS value FROM ind, (VALUES (50), (75), (100)) AS v(percent) WHERE k < percent * ntrain // 100), {_fitted('h', 'sh')}
+SELECT series AS percent, CASE WHEN n >= 20 THEN {r('d', 'd')[:-5]} END AS d, CASE WHEN n >= 20 THEN least(d + 0.49, 0.49 - d) < 0.01 END AS boundary_warning FROM hd JOIN hn USING (series)""",
+    "prefix_refit_stability": f"""WITH ps AS ({' UNION ALL '.join(f"SELECT series || '@{q}' AS series, k, value FROM (WITH {_at_size(f'({q} * {{0}}) // 100')} SELECT series, k, value FROM coef WHERE k < ntrain)" for q in (50, 75, 100))}), {_fitted('h', 'ps')}
+SELECT split_part(series, '@', 1) AS series, split_part(series, '@', 2)::INTEGER AS percent, CASE WHEN n >= 20 THEN {r('d', 'd')[:-5]} END AS d, CASE WHEN n >= 20 THEN least(d + 0.49, 0.49 - d) < 0.01 END AS boundary_warning FROM hd JOIN hn USING (series)""",
+    "ar_order_selection": f"WITH {COEFFICIENTS}, {_autoregressed('q', 'coef', _START, _TRAINING)} {_compared('q', 'coef', _START, _TRAINING)}",
+    "validation_selection": f"WITH {EARLY}, {_autoregressed('q', 'ce', _TRAINING, '(SELECT whole FROM cut)')} {_compared('q', 'ce', _TRAINING, '(SELECT whole FROM cut)')}",
+    "ar_forecast": f"WITH {COEFFICIENTS}, {_autoregressed('q', 'coef', _START, _TRAINING)} SELECT series, {_SCALAR} FROM qz GROUP BY series",
     "ar_fit": f"""WITH {COEFFICIENTS}, l AS (SELECT series, value, lag(value) OVER (PARTITION BY series ORDER BY k) AS b FROM coef WHERE k < ntrain)
 SELECT series, {r('regr_intercept(value, b)', 'intercept')}, {r('regr_slope(value, b)', 'phi')} FROM l WHERE b IS NOT NULL GROUP BY series""",
     "naive_coefficient_forecast": f"""WITH {COEFFICIENTS}, l AS (SELECT series, k, ntrain, value, lag(value) OVER (PARTITION BY series ORDER BY k) AS z_hat FROM coef)
@@ -323,8 +420,7 @@ SELECT n, lag, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lr
 al AS (SELECT 'naive' AS method, z, zb AS zf FROM lg WHERE k >= ntrain UNION ALL SELECT 'training_mean', z, l1 FROM lg WHERE k >= ntrain UNION ALL SELECT 'oracle', z, z FROM lg WHERE k >= ntrain
 UNION ALL SELECT 'arfima', z, z_hat FROM zh JOIN ind USING (k))
 SELECT method, {r('sqrt(avg((zf - z) ** 2))', 'rmse')}, {r('avg(abs(zf - z))', 'mae')}, {r('avg(zf - z)', 'bias')}, {r('sum((zf - z) ** 2)', 'squared_error')}, {r('min(zf)', 'min_forecast')} FROM al GROUP BY method""",
-    "innovation_lag_correlations": f"""WITH {WEIGHTS}, inn AS (SELECT a.k, sum(weight * (b.z - mean)) AS v FROM ind a JOIN ind b ON b.k <= a.k JOIN w ON w.q = a.k - b.k, zn
-WHERE a.k < a.ntrain GROUP BY a.k, a.ntrain HAVING a.k >= greatest(50, floor(sqrt(a.ntrain))))
+    "innovation_lag_correlations": f"""WITH {FRACTIONAL}, inn AS (SELECT k, innovation AS v FROM fv WHERE series = 'z' AND k < ntrain AND k >= greatest(50, floor(sqrt(ntrain))))
 SELECT lag, {r('corr(a.v, b.v)', 'correlation')} FROM inn a JOIN (VALUES (1), (2), (5), (10), (20), (50)) AS t(lag) ON true JOIN inn b ON b.k = a.k - lag GROUP BY lag""",
     "loss_tests": f"""WITH {PAIRS.format(pairs=_values(LOSS_PAIRS))},
 n AS (SELECT effect, component, count(*) AS n, avg(diff) AS mean, CAST(least(floor(4 * (count(*) / 100.0) ** (2.0 / 9)), count(*) - 1) AS INTEGER) AS lag FROM pd GROUP BY ALL),
@@ -332,11 +428,22 @@ g AS (SELECT x.effect, x.component, l, sum((x.diff - mean) * (y.diff - mean)) /
   JOIN pd y ON y.effect = x.effect AND y.component = x.component AND y.k = x.k - l GROUP BY ALL),
 v AS (SELECT effect, component, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM g JOIN n USING (effect, component) GROUP BY ALL)
 SELECT effect, component, n, lag, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, CASE WHEN lrv > 0 THEN {r('mean / sqrt(lrv / n)', 't_statistic')[:-15]} END AS t_statistic FROM n JOIN v USING (effect, component)""",
+    "loss_test_probabilities": f"""WITH {PAIRS.format(pairs=_values(LOSS_PAIRS))},
+n AS (SELECT effect, component, count(*) AS n, avg(diff) AS mean, CAST(least(floor(4 * (count(*) / 100.0) ** (2.0 / 9)), count(*) - 1) AS INTEGER) AS lag FROM pd GROUP BY ALL),
+g AS (SELECT x.effect, x.component, l, sum((x.diff - mean) * (y.diff - mean)) / max(n) AS gamma FROM pd x JOIN n USING (effect, component) JOIN (SELECT unnest(range(0, 1000)) AS l) v ON l <= lag
+  JOIN pd y ON y.effect = x.effect AND y.component = x.component AND y.k = x.k - l GROUP BY ALL),
+v AS (SELECT effect, component, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM g JOIN n USING (effect, component) GROUP BY ALL)
+SELECT effect, component, CASE WHEN lrv > 0 THEN {r('mean / sqrt(lrv / n)', 't_statistic')[:-15]} END AS t_statistic, CASE WHEN lrv > 0 THEN {r(_erfc('(mean / sqrt(lrv / n))'), 'p_value')[:-11]} END AS p_value FROM n JOIN v USING (effect, component)""",
     "hac_lags": f"""WITH {DIFFERENCES}, n AS (SELECT count(*) AS n, avg(diff) AS mean FROM diff),
 q AS (SELECT DISTINCT lag FROM (SELECT CAST(least(floor(4 * (n / 100.0) ** (2.0 / 9)), n - 1) AS INTEGER) AS lag FROM n UNION ALL SELECT unnest([0, 5, 10, 20, 50])), n WHERE lag < n),
 g AS (SELECT v.l, sum((a.diff - mean) * (b.diff - mean)) / max(n) AS gamma FROM n, (SELECT unnest(range(0, 1000)) AS l) v JOIN diff a ON true JOIN diff b ON b.pos = a.pos - v.l WHERE v.l <= 50 GROUP BY v.l),
 v AS (SELECT lag, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM q JOIN g ON l <= lag GROUP BY lag)
 SELECT lag, n, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')} FROM n, v""",
+    "hac_sensitivity": f"""WITH {DIFFERENCES}, n AS (SELECT count(*) AS n, avg(diff) AS mean FROM diff),
+q AS (SELECT DISTINCT lag FROM (SELECT CAST(least(floor(4 * (n / 100.0) ** (2.0 / 9)), n - 1) AS INTEGER) AS lag FROM n UNION ALL SELECT unnest([0, 5, 10, 20, 50])), n WHERE lag < n),
+g AS (SELECT v.l, sum((a.diff - mean) * (b.diff - mean)) / max(n) AS gamma FROM n, (SELECT unnest(range(0, 1000)) AS l) v JOIN diff a ON true JOIN diff b ON b.pos = a.pos - v.l WHERE v.l <= 50 GROUP BY v.l),
+v AS (SELECT lag, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM q JOIN g ON l <= lag GROUP BY lag)
+SELECT lag, n, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')}, {r(_erfc('(mean / sqrt(lrv / n))'), 'p_value')}, false AS identical_losses FROM n, v""",
     "cumulative_loss_differences": f"WITH {PRIMARY} SELECT candidate, benchmark, k, ts, {r('diff', 'diff')}, {r('cumulative', 'cumulative')} FROM pp",
     "primary_loss_report": f"""WITH {PRIMARY} SELECT count(*) AS n, count(*) FILTER (diff > 0) AS candidate_wins, {r('count(*) FILTER (diff > 0) / count(*)', 'candidate_win_share')}, count(*) FILTER (diff < 0) AS benchmark_wins,
 {r('count(*) FILTER (diff < 0) / count(*)', 'benchmark_win_share')}, count(*) FILTER (diff = 0) AS equal_losses, {r('sum(a)', 'candidate_total')}, {r('sum(b)', 'benchmark_total')}, {r('sum(diff)', 'net')}, {r('sum(diff) / sum(b)', 'relative_reduction')},
@@ -369,3 +476,4 @@ SELECT a.method, a.pair, {r('a.rmse', 'rmse')}, {r('a.rmse / b.rmse', 'ratio')}
         for name in ("direct_is_previous", "finite_forecasts", "corrections_keep_off_diagonal", "oracle_recovers_diagonal", "losses_add_up", "unmatched_forecasts", "fits_use_training_only", "forecasts_ignore_the_future")
     ),
 }
+ORACLES = {name: sql.replace("WITH ", "WITH RECURSIVE ", 1) for name, sql in ORACLES.items()}

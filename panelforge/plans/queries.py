@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import bases
 from panelforge.functions import matrix as mx
-from panelforge.operators import evaluate, figures, forecast, inference, invariants, panel, reference, residual, timeseries
+from panelforge.operators import evaluate, figures, forecast, fourier, inference, invariants, panel, reference, residual, timeseries
 from panelforge.operators import matrices as mt
 from panelforge.operators.panel import with_lags
 from panelforge.plans.design import BLOCK_SIZE, Design, lineitem_design
@@ -192,12 +192,12 @@ def naive_indicator_forecast(d: Design) -> DataFrame:
 
 @on_design
 def rmse_by_method(d: Design) -> DataFrame:
-    return d.rmse(d.naive_methods)
+    return d.rmse(d.all_methods())
 
 
 @on_design
 def rmse_reductions(d: Design) -> DataFrame:
-    return evaluate.reductions(mt.rmse_table(d.naive_methods, d.p, ["method"]), forecast.DIRECT)
+    return evaluate.reductions(mt.rmse_table(d.all_methods(), d.p, ["method"]), forecast.DIRECT)
 
 
 @on_design
@@ -207,13 +207,13 @@ def losses_by_timestamp(d: Design) -> DataFrame:
 
 @on_design
 def component_comparison(d: Design) -> DataFrame:
-    table = evaluate.component_metrics(d.naive_methods, d.p, ["method"])
+    table = evaluate.component_metrics(d.all_methods(), d.p, ["method"])
     return evaluate.against(table, forecast.DIRECT)
 
 
 @on_design
 def psd_diagnostics(d: Design) -> DataFrame:
-    return mt.psd_table(d.naive_methods, d.p, ["method"], "f")
+    return mt.psd_table(d.all_methods(), d.p, ["method"], "f")
 
 
 @on_design
@@ -229,7 +229,7 @@ def cumulative_loss_difference(d: Design) -> DataFrame:
 @on_design
 def cumulative_loss_differences(d: Design) -> DataFrame:
     """The paths of two figures and of the difference between them, in units of 1e-8."""
-    rows, table = d.all_methods(refine=False), None
+    rows, table = d.all_methods(), None
     for candidate, benchmark in ((forecast.NAIVE, forecast.DIRECT), (forecast.ARFIMA, forecast.DIRECT), (forecast.ARFIMA, forecast.NAIVE)):
         part = evaluate.loss_differences(rows, d.p, candidate, benchmark)
         part = part.select(F.lit(candidate).alias("candidate"), F.lit(benchmark).alias("benchmark"), "k", "ts", "diff", "cumulative")
@@ -240,7 +240,7 @@ def cumulative_loss_differences(d: Design) -> DataFrame:
 @on_design
 def primary_loss_report(d: Design) -> DataFrame:
     """The fields of the concentration report, for the ARFIMA indicator against direct persistence."""
-    return evaluate.loss_report(evaluate.loss_differences(d.all_methods(refine=False), d.p, forecast.ARFIMA, forecast.DIRECT))
+    return evaluate.loss_report(evaluate.loss_differences(d.all_methods(), d.p, forecast.ARFIMA, forecast.DIRECT))
 
 
 @on_design
@@ -272,10 +272,10 @@ def extreme_events(d: Design) -> DataFrame:
 @on_design
 def invariant_violations(d: Design) -> DataFrame:
     base = d.naive.select("k", "f")
-    corrected = d.completed.where("method = 'naive+naive'").select("k", "f")
-    exact = d.completed.where("method = 'naive+oracle'")
+    corrected = d.factorial.where("method = 'naive+naive'").select("k", "f")
+    exact = d.factorial.where("method = 'naive+oracle'")
     # with the oracle indicator and coefficients the diagonal comes back
-    whole = d.completed.where("method = 'oracle+oracle'")
+    whole = d.factorial.where("method = 'oracle+oracle'")
     checks = {
         "direct_is_previous": invariants.naive_violations(d.series, d.direct),
         "finite_forecasts": invariants.finite_violations(d.naive_methods),
@@ -290,7 +290,7 @@ def invariant_violations(d: Design) -> DataFrame:
     checks |= {
         "fits_use_training_only": invariants.fit_violations(timeseries.fit_series(series, d.training, refine=False), means, d.training),
         "forecasts_ignore_the_future": invariants.future_dependence(
-            *[timeseries.forecast_series(s, d.training, refine=False) for s in (series, changed)], d.matrices - 1
+            *[timeseries.forecast_series(s, d.training, refine=False, longest=d.matrices) for s in (series, changed)], d.matrices - 1
         ),
     }
     table = None
@@ -309,25 +309,23 @@ def _training_series(d: Design) -> DataFrame:
 
 @on_design
 def periodogram(d: Design) -> DataFrame:
-    return timeseries.periodogram(_training_series(d)).drop("series")
+    return fourier.periodogram(_training_series(d), d.training).select("j", "omega", "power")
 
 
 @on_design
 def whittle_grid(d: Design) -> DataFrame:
-    return timeseries.whittle_grid(timeseries.periodogram(_training_series(d))).drop("series")
+    return timeseries.whittle_grid(fourier.periodogram(_training_series(d), d.training)).drop("series")
 
 
 @on_design
 def whittle_grid_minimum(d: Design) -> DataFrame:
-    return timeseries.grid_minimum(timeseries.whittle_grid(timeseries.periodogram(_training_series(d)))).drop("series")
+    return timeseries.grid_minimum(timeseries.whittle_grid(fourier.periodogram(_training_series(d), d.training))).drop("series")
 
 
 @on_design
 def whittle_fit(d: Design) -> DataFrame:
-    """d is determined to about 1e-8 only, so it is given to six decimals."""
     fits = timeseries.fit_series(_training_series(d))
-    six = lambda c: F.round(c, 6).alias(c)
-    return fits.select("mean", six("d"), six("innovation_variance"), six("objective"), "positive_frequency_count", "grid_best_d", "boundary_warning")
+    return fits.select("mean", "d", "innovation_variance", "objective", "positive_frequency_count", "grid_best_d", "boundary_warning")
 
 
 @on_design
@@ -344,23 +342,23 @@ def fractional_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_design
 def arfima_forecast(d: Design) -> DataFrame:
-    """At the grid's d, so that SQL can follow."""
-    return d.arfima(refine=False).select("k", "ts", "z_hat")
+    return d.arfima().select("k", "ts", "z_hat")
 
 
 @on_design
 def arfima_rmse(d: Design) -> DataFrame:
+    """At the grid's d, without refinement."""
     return d.rmse(d.all_methods(refine=False))
 
 
 @on_design
 def arfima_refined_rmse(d: Design) -> DataFrame:
-    return rounded(d.rmse(d.all_methods()), 6)
+    return d.rmse(d.all_methods())
 
 
 @on_design
 def fractional_difference(d: Design) -> DataFrame:
-    made = timeseries.difference_series(d.indicator_series.drop("ts"), d.training, refine=False)
+    made = timeseries.difference_series(d.indicator_series.drop("ts"), d.training, longest=d.matrices)
     return made.select(F.col("pos").alias("k"), F.col("value").alias("z"), "innovation")
 
 
@@ -377,9 +375,9 @@ def coefficient_lag_correlations(d: Design) -> DataFrame:
 
 @on_design
 def d_stability(d: Design) -> DataFrame:
-    """Grid estimates on half, three quarters and all of the training part; a share under twenty values, from which
+    """Estimates on half, three quarters and all of the training part; a share under twenty values, from which
     nothing can be estimated, has nulls."""
-    fits = timeseries.fit_series(timeseries.shares_of_training(d.indicator_series.drop("ts"), d.training), None, refine=False, short=True)
+    fits = timeseries.fit_series(timeseries.shares_of_training(d.indicator_series.drop("ts"), d.training), None, short=True, longest=d.training)
     return fits.select(F.substring_index("series", "@", -1).cast("int").alias("percent"), "d", "boundary_warning")
 
 
@@ -406,7 +404,7 @@ def ar_first_order_forecast(d: Design) -> DataFrame:
 
 @on_design
 def residual_arfima(d: Design) -> DataFrame:
-    return evaluate.scalar_metrics(timeseries.forecast_series(d.coefficients.drop("ts"), d.training, refine=False), ["series"])
+    return evaluate.scalar_metrics(timeseries.forecast_series(d.coefficients.drop("ts"), d.training, longest=d.matrices), ["series"])
 
 
 @on_design
@@ -416,10 +414,10 @@ def naive_coefficient_forecast(d: Design) -> DataFrame:
 
 @on_design
 def indicator_comparison(d: Design) -> DataFrame:
-    """Persistence, the training mean, the fractional model at the grid's d, and the truth."""
+    """Persistence, the training mean, the fractional model, and the truth."""
     naive = d.naive.select(F.lit("naive").alias("method"), "k", F.col("z").alias("value"), "z_hat")
     mean = float(d.reference.eigenvalues[0])  # the training mean of the indicator
-    fractional = timeseries.forecast_series(d.indicator_series.drop("ts"), d.training, refine=False)
+    fractional = timeseries.forecast_series(d.indicator_series.drop("ts"), d.training, longest=d.matrices)
     parts = [
         naive, naive.withColumns({"method": F.lit("training_mean"), "z_hat": F.lit(mean)}), naive.withColumns({"method": F.lit("oracle"), "z_hat": F.col("value")}),
         fractional.select(F.lit("arfima").alias("method"), F.col("pos").alias("k"), "value", "z_hat"),
@@ -434,7 +432,7 @@ def indicator_comparison(d: Design) -> DataFrame:
 def innovation_lag_correlations(d: Design) -> DataFrame:
     """Of the training innovations, without the first max(50, sqrt N), which the missing past still colours."""
     burn = max(50, int(d.training**0.5))
-    made = timeseries.difference_series(d.indicator_series.drop("ts"), d.training, refine=False)
+    made = timeseries.difference_series(d.indicator_series.drop("ts"), d.training, longest=d.matrices)
     kept = made.where((F.col("pos") >= burn) & (F.col("pos") < d.training)).select("series", (F.col("pos") - burn).alias("pos"), F.col("innovation").alias("value"))
     return timeseries.lag_correlations(kept, LAGS).drop("series")
 
@@ -442,13 +440,13 @@ def innovation_lag_correlations(d: Design) -> DataFrame:
 @on_design
 def coefficient_innovation_lag_correlations(d: Design) -> DataFrame:
     """Of the fractionally differenced training coefficients, per asset, from the first on."""
-    made = timeseries.difference_series(d.coefficients.drop("ts"), d.training, refine=False).where(F.col("pos") < d.training)
+    made = timeseries.difference_series(d.coefficients.drop("ts"), d.training, longest=d.matrices).where(F.col("pos") < d.training)
     return timeseries.lag_correlations(made.select("series", "pos", F.col("innovation").alias("value")), LAGS)
 
 
 @on_design
 def prefix_refit_stability(d: Design) -> DataFrame:
-    fits = timeseries.fit_series(d.prefix_coefficients((50, 75, 100)), None, refine=False, short=True)
+    fits = timeseries.fit_series(d.prefix_coefficients((50, 75, 100)), None, short=True, longest=d.training)
     name, share = F.substring_index("series", "@", 1), F.substring_index("series", "@", -1).cast("int")
     return fits.select(name.alias("series"), share.alias("percent"), "d", "boundary_warning")
 

@@ -29,7 +29,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["price_panel", "log_returns", "validate_panel", "block_covariances", "orders_block_covariances", "reference_pca", "approximation_summary", "rmse_by_method", "psd_diagnostics", "whittle_grid_minimum", "arfima_forecast", "complete_forecasts", "moment_tensor", "monthly_contributions"])
+@pytest.mark.parametrize("name", ["price_panel", "log_returns", "validate_panel", "block_covariances", "orders_block_covariances", "reference_pca", "approximation_summary", "rmse_by_method", "psd_diagnostics", "whittle_grid_minimum", "arfima_forecast", "whittle_fit", "ar_order_selection", "complete_forecasts", "moment_tensor", "monthly_contributions"])
 def test_query_equals_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
@@ -50,7 +50,7 @@ def test_registry():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 2
+    assert entry.entry(spark).count() == 3
 
 
 def test_all_invariants_hold(spark):
