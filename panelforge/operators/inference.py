@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators.panel import with_lags
@@ -45,16 +46,23 @@ class HacTest:
     identical_losses: bool
 
 
+def _gammas(value: str, most: int) -> list[Column]:
+    """Autocovariances for lags 0..most (divided by n) of a column and its lagged ones __x1, __x2, ..: each the covariance
+    of the pairs plus what their own means are off the series' mean, so that no pass for the mean comes first."""
+    n, mean = F.count(F.lit(1)), F.avg(value)
+    found = [F.var_pop(value)]
+    for k in range(1, most + 1):
+        before, now = F.col(f"__x{k}"), F.when(F.col(f"__x{k}").isNotNull(), F.col(value))
+        off = (F.avg(now) - mean) * (F.avg(before) - mean)
+        found.append(F.coalesce(F.count(before) / n * (F.covar_pop(now, before) + off), F.lit(0.0)))
+    return found
+
+
 def autocovariances(rows: DataFrame, most: int, value: str = "diff", pos: str = "pos") -> DataFrame:
-    """One row: n, mean, gamma array for lags 0..most (divided by n). One pass of lags, one aggregate; the mean comes
-    from a one-row table."""
-    mean = rows.agg(F.avg(value).alias("__mean"), F.count(F.lit(1)).alias("__n"))
-    centred = rows.crossJoin(F.broadcast(mean)).withColumn("__x", F.col(value) - F.col("__mean"))
+    """One row: n, mean, gamma array for lags 0..most (divided by n). One pass of lags, one aggregate."""
     if most:
-        centred = with_lags(centred, {f"__x{lag}": ("__x", lag) for lag in range(1, most + 1)}, pos=pos)
-    gammas = [F.sum(F.col("__x") * F.col(f"__x{lag}" if lag else "__x")) / F.count(F.lit(1)) for lag in range(most + 1)]
-    # with `most` below n every lag has at least one pair
-    return centred.agg(F.count(F.lit(1)).alias("n"), F.first("__mean").alias("mean"), F.array(*gammas).alias("gamma"), F.bool_and(F.col(value) == 0).alias("identical"))
+        rows = with_lags(rows, {f"__x{lag}": (value, lag) for lag in range(1, most + 1)}, pos=pos)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.array(*_gammas(value, most)).alias("gamma"), F.bool_and(F.col(value) == 0).alias("identical"))
 
 
 def _hac(row, lag: int) -> HacTest:
@@ -84,16 +92,13 @@ def hac_tests(rows: DataFrame, lags: list[int] | None = None, value: str = "diff
 def hac_table(rows: DataFrame, by: list[str], lag: int, value: str = "diff", pos: str = "pos") -> DataFrame:
     """(by, n, lag, mean, long_run_variance, standard_error, t_statistic, p_value) for many series of one length in
     one plan; only the tail probability of the few result rows leaves the JVM."""
-    mean = rows.groupBy(*by).agg(F.avg(value).alias("__mean"))
-    centred = rows.join(mean, by).withColumn("__x", F.col(value) - F.col("__mean"))
     if lag:
-        centred = with_lags(centred, {f"__x{k}": ("__x", k) for k in range(1, lag + 1)}, by, pos)
-    n = F.count(F.lit(1))
-    gamma = [F.sum(F.col("__x") * F.col(f"__x{k}" if k else "__x")) / n for k in range(lag + 1)]
+        rows = with_lags(rows, {f"__x{k}": (value, k) for k in range(1, lag + 1)}, by, pos)
+    gamma = _gammas(value, lag)
     variance = gamma[0]
     for k in range(1, lag + 1):
-        variance = variance + 2 * (1 - k / (lag + 1)) * F.coalesce(gamma[k], F.lit(0.0))
-    sums = centred.groupBy(*by).agg(n.alias("n"), F.first("__mean").alias("mean"), gamma[0].alias("__gamma"), variance.alias("__variance"))
+        variance = variance + 2 * (1 - k / (lag + 1)) * gamma[k]
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), gamma[0].alias("__gamma"), variance.alias("__variance"))
     refused = F.raise_error(F.lit("the long-run variance is negative")).cast("double")
     clamped = F.when(F.col("__variance") >= 0, F.col("__variance")).when(F.col("__variance") >= -CLAMP * F.col("__gamma"), F.lit(0.0)).otherwise(refused)
     table = sums.withColumn("long_run_variance", clamped).withColumn("standard_error", F.sqrt(F.col("long_run_variance") / F.col("n")))
@@ -107,9 +112,11 @@ def hac_table(rows: DataFrame, by: list[str], lag: int, value: str = "diff", pos
 
 
 def hac_sensitivity(rows: DataFrame, extra: tuple[int, ...] = (0, 5, 10, 20, 50)) -> list[HacTest]:
+    """Tests at the automatic and some fixed lags; a lag of n or more has a row without a test."""
     n = rows.count()
     lags = list(dict.fromkeys([automatic_hac_lag(n), *extra]))
-    return hac_tests(rows, [lag for lag in lags if lag < n])
+    tests = hac_tests(rows, [lag for lag in lags if lag < n])
+    return tests + [HacTest(n, lag, tests[0].mean, *[math.nan] * 4, tests[0].identical_losses) for lag in lags if lag >= n]
 
 
 def hac_rows(spark, tests: list[HacTest]) -> DataFrame:
@@ -119,69 +126,119 @@ def hac_rows(spark, tests: list[HacTest]) -> DataFrame:
 
 
 # --- bootstrap -----------------------------------------------------------------------------------------------------
-
-
-def block_starts(n: int, length: int, replications: int, seed: int, truncate: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of whole blocks R x n//length, starts of the last partial blocks R or empty), drawn in that order. With
-    truncate off, ceil(n / length) whole blocks and no partial ones."""
-    draw = np.random.default_rng(seed)
-    if not truncate:
-        return draw.integers(0, n, size=(replications, -(-n // length))), np.zeros(0, np.int64)
-    whole = draw.integers(0, n, size=(replications, n // length))
-    return whole, draw.integers(0, n, size=replications) if n % length else np.zeros(0, np.int64)
-
-
-def circular_sums(rows: DataFrame, n: int, length: int, value: str = "diff", pos: str = "pos") -> DataFrame:
-    """(start, total): sums of `length` consecutive values, the series closed to a ring."""
+#
+# The generator's stream fixes the result: seed -> 64-bit outputs -> 32-bit halves, low half first -> a multiply and a
+# shift to [0, n), where a draw whose low product bits fall below 2^32 mod n is rejected and taken anew. Executors skip
+# ahead to the blocks of the stream that are theirs, so no draw is made on the driver. Rejections shift the stream:
+# each block first counts what it accepts, the counts are summed over blocks, and an accepted draw's place follows.
+
+DRAW_BLOCK = 1 << 16
+_HALVES = 1 << 32
+
+
+def _accepted(seed: int, block: int, n: int, size: int) -> np.ndarray:
+    """The accepted draws of [0, n) in one block of `size` halves of the stream."""
+    generator = np.random.PCG64(seed)
+    generator.advance(block * size // 2)
+    words = generator.random_raw(size // 2)
+    halves = np.empty(size, np.uint64)
+    halves[0::2], halves[1::2] = words & np.uint64(_HALVES - 1), words >> np.uint64(32)
+    product = halves * np.uint64(n)
+    return (product >> np.uint64(32))[(product & np.uint64(_HALVES - 1)) >= np.uint64(_HALVES % n)].astype(np.int64)
+
+
+def draws(seeds: DataFrame, n: int, count: int, size: int = DRAW_BLOCK) -> DataFrame:
+    """(seed, place, start): the first `count` draws of [0, n) of every seed (rows of a column seed)."""
+    if not 1 <= n < _HALVES or size % 2:
+        raise ValueError("starts are drawn from 32-bit halves: at least one value and below 2^32")
+    if n == 1:  # nothing is drawn
+        return seeds.select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("place"), F.lit(0).cast("long").alias("start"))
+    # at most every second half is rejected, and few are: 2^32 mod n of 2^32; ten standard deviations are added
+    rate = (_HALVES % n) / _HALVES
+    halves = count / (1 - rate) + 10 * math.sqrt(count * rate) / (1 - rate) + 1
+    blocks = -(-math.ceil(halves) // size)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(kept=[len(_accepted(int(s), int(b), n, size)) for s, b in zip(pdf["seed"], pdf["block"], strict=True)])
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for seed, block, before in zip(pdf["seed"], pdf["block"], pdf["before"], strict=True):
+                starts = _accepted(int(seed), int(block), n, size)
+                place = np.arange(len(starts)) + int(before)
+                yield pd.DataFrame({"seed": seed, "place": place, "start": starts})[place < count]
+
+    parts = max(1, min(blocks, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    each = seeds.select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).repartition(parts, "block")
+    if rate == 0:
+        placed = each.withColumn("before", F.col("block") * size)
+    else:
+        before = Window.partitionBy("seed").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        placed = each.mapInPandas(counted, "seed long, block long, kept long").withColumn("before", F.coalesce(F.sum("kept").over(before), F.lit(0))).drop("kept")
+        placed = placed.repartition(parts, "block")
+    return placed.mapInPandas(drawn, "seed long, place long, start long")
+
+
+def circular_sums(rows: DataFrame, n: int, length: int, value: str = "diff", pos: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """(by, start, total): sums of `length` consecutive values, each series closed to a ring."""
+    by = by or []
     if length == 1:
-        return rows.select(F.col(pos).alias("start"), F.col(value).alias("total"))
-    ring = rows.select(F.col(pos).alias("at"), value).withColumn("at", F.explode(F.when(F.col("at") < length - 1, F.array("at", F.col("at") + n)).otherwise(F.array("at"))))
+        return rows.select(*by, F.col(pos).alias("start"), F.col(value).alias("total"))
+    at = F.col(pos)
+    ring = rows.select(*by, F.explode(F.when(at < length - 1, F.array(at, at + n)).otherwise(F.array(at))).alias("at"), value)
     # each value goes to the chunk of every start it belongs to, so chunks are summed apart
     chunk = max(1 << 14, length)
     own = F.floor(F.col("at") / chunk)
     dealt = ring.withColumn("__chunk", F.explode(F.when((F.col("at") % chunk < length - 1) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
-    window = Window.partitionBy("__chunk").orderBy("at").rowsBetween(0, length - 1)
+    window = Window.partitionBy(*by, "__chunk").orderBy("at").rowsBetween(0, length - 1)
     summed = dealt.withColumn("total", F.sum(value).over(window)).where((F.col("__chunk") == own) & (F.col("at") < n))
-    return summed.select(F.col("at").alias("start"), "total")
+    return summed.select(*by, F.col("at").alias("start"), "total")
 
 
-def bootstrap_means(rows: DataFrame, length: int, replications: int = REPLICATIONS, seed: int = BASE_SEED, truncate: bool = True, value: str = "diff") -> DataFrame:
-    """(rep, mean): resampled means. Starts are drawn per replication on the driver, as the generator's stream fixes
-    the result, and shipped as rows (replication, start, kind)."""
-    spark, n = rows.sparkSession, rows.count()
+def bootstrap_table(rows: DataFrame, seeds: DataFrame, n: int, length: int, replications: int = REPLICATIONS, truncate: bool = True, level: float = 0.95, value: str = "diff") -> DataFrame:
+    """(by, n, block_length, replications, bootstrap_mean, lower, upper) for many series of n values in one plan. seeds:
+    (by, seed), one row a series, whose by columns name its rows. A replication is n // length whole blocks and the rest
+    of a partial one; all whole blocks of a seed are drawn before its partial ones. With truncate off it is
+    ceil(n / length) whole blocks. The interval is that of percentiles, interpolated."""
     if not 1 <= length <= n:
         raise ValueError("the block length must lie between one and n")
-    whole, partial = block_starts(n, length, replications, seed, truncate)
-    starts = pd.DataFrame({"rep": np.repeat(np.arange(replications), whole.shape[1]), "start": whole.ravel(), "part": False})
-    if len(partial):
-        starts = pd.concat([starts, pd.DataFrame({"rep": np.arange(replications), "start": partial, "part": True})])
-    draws = spark.createDataFrame(starts, "rep long, start long, part boolean")
-    sums = circular_sums(rows, n, length, value).withColumn("part", F.lit(False))
-    if len(partial):
-        sums = sums.unionByName(circular_sums(rows, n, n % length, value).withColumn("part", F.lit(True)))
-    size = n if truncate else whole.shape[1] * length
-    return draws.join(sums, ["start", "part"]).groupBy("rep").agg((F.sum("total") / size).alias("mean"))
-
-
-def bootstrap_interval(rows: DataFrame, length: int | None = None, replications: int = REPLICATIONS, seed: int = BASE_SEED, truncate: bool = True, level: float = 0.95) -> DataFrame:
-    """One row: n, block length, bootstrap mean and the percentile interval (linear interpolation)."""
-    n = rows.count()
-    length = length or automatic_block_length(n)
-    means = bootstrap_means(rows, length, replications, seed, truncate)
+    by = [c for c in seeds.columns if c != "seed"]
+    whole, rest = (n // length, n % length) if truncate else (-(-n // length), 0)
+    starts = draws(seeds.select("seed").distinct(), n, replications * (whole + bool(rest)))
+    many = F.lit(replications * whole)
+    part = F.col("place") >= many
+    starts = starts.select("seed", "start", part.alias("part"), F.when(part, F.col("place") - many).otherwise(F.floor(F.col("place") / whole)).alias("rep"))
+    sums = circular_sums(rows, n, length, value, by=by).withColumn("part", F.lit(False))
+    if rest:
+        sums = sums.unionByName(circular_sums(rows, n, rest, value, by=by).withColumn("part", F.lit(True)))
+    sums = sums.join(seeds, by) if by else sums.withColumn("seed", F.lit(seeds.first()["seed"]))
+    size = n if truncate else whole * length
+    means = starts.join(sums, ["seed", "start", "part"]).groupBy(*by, "rep").agg((F.sum("total") / size).alias("mean"))
     tail = (1 - level) / 2
-    return means.agg(
+    # a percentile holds one number per replication
+    return means.groupBy(*by).agg(
         F.lit(n).alias("n"), F.lit(length).alias("block_length"), F.count(F.lit(1)).alias("replications"), F.avg("mean").alias("bootstrap_mean"),
         F.percentile("mean", tail).alias("lower"), F.percentile("mean", 1 - tail).alias("upper"),
     )
 
 
+def bootstrap_interval(rows: DataFrame, length: int | None = None, replications: int = REPLICATIONS, seed: int = BASE_SEED, truncate: bool = True, level: float = 0.95, n: int | None = None) -> DataFrame:
+    """One row: n, block length, bootstrap mean and the percentile interval."""
+    n = rows.count() if n is None else n
+    seeds = rows.sparkSession.createDataFrame([(seed,)], "seed long")
+    return bootstrap_table(rows, seeds, n, length or automatic_block_length(n), replications, truncate, level)
+
+
 def block_length_sensitivity(rows: DataFrame, extra: tuple[int, ...] = (5, 10, 20, 50), replications: int = REPLICATIONS, seed: int = BASE_SEED) -> DataFrame:
-    """Intervals for the automatic and some fixed lengths; the seed follows the index in the list, skipped ones
-    included."""
+    """Intervals for the automatic and some fixed lengths; the seed follows the index in the list. A length above n has
+    a row without an interval."""
     n = rows.count()
-    lengths = list(dict.fromkeys([automatic_block_length(n), *extra]))
-    parts = [bootstrap_interval(rows, length, replications, seed + 10_000 + i) for i, length in enumerate(lengths) if length <= n]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for i, length in enumerate(dict.fromkeys([automatic_block_length(n), *extra])):
+        if length <= n:
+            part = bootstrap_interval(rows, length, replications, seed + 10_000 + i, n=n)
+        else:
+            part = rows.sparkSession.createDataFrame([(n, length, 0, None, None, None)], "n int, block_length int, replications long, bootstrap_mean double, lower double, upper double")
+        out = part if out is None else out.unionByName(part)
     return out

@@ -223,7 +223,7 @@ def _erfc(t: str) -> str:
     """Two-sided normal tail probability of t: one less the error function, a series of positive terms."""
     x = f"(abs({t}) / sqrt(2.0::DOUBLE))"
     term = f"exp((2 * i + 1) * ln({x}) + i * ln(2.0::DOUBLE) - {x} * {x} - (lgamma(2 * i + 2.0::DOUBLE) - i * ln(2.0::DOUBLE) - lgamma(i + 1.0::DOUBLE)))"
-    return f"CASE WHEN {t} = 0 THEN 1.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda i: {term}))) END"
+    return f"CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 0 THEN 1.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda i: {term}))) END"
 
 
 def _factorial() -> str:
@@ -435,15 +435,15 @@ g AS (SELECT x.effect, x.component, l, sum((x.diff - mean) * (y.diff - mean)) /
 v AS (SELECT effect, component, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM g JOIN n USING (effect, component) GROUP BY ALL)
 SELECT effect, component, CASE WHEN lrv > 0 THEN {r('mean / sqrt(lrv / n)', 't_statistic')[:-15]} END AS t_statistic, CASE WHEN lrv > 0 THEN {r(_erfc('(mean / sqrt(lrv / n))'), 'p_value')[:-11]} END AS p_value FROM n JOIN v USING (effect, component)""",
     "hac_lags": f"""WITH {DIFFERENCES}, n AS (SELECT count(*) AS n, avg(diff) AS mean FROM diff),
-q AS (SELECT DISTINCT lag FROM (SELECT CAST(least(floor(4 * (n / 100.0) ** (2.0 / 9)), n - 1) AS INTEGER) AS lag FROM n UNION ALL SELECT unnest([0, 5, 10, 20, 50])), n WHERE lag < n),
+q AS (SELECT DISTINCT lag FROM (SELECT CAST(least(floor(4 * (n / 100.0) ** (2.0 / 9)), n - 1) AS INTEGER) AS lag FROM n UNION ALL SELECT unnest([0, 5, 10, 20, 50]))),
 g AS (SELECT v.l, sum((a.diff - mean) * (b.diff - mean)) / max(n) AS gamma FROM n, (SELECT unnest(range(0, 1000)) AS l) v JOIN diff a ON true JOIN diff b ON b.pos = a.pos - v.l WHERE v.l <= 50 GROUP BY v.l),
-v AS (SELECT lag, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM q JOIN g ON l <= lag GROUP BY lag)
-SELECT lag, n, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')} FROM n, v""",
+v AS (SELECT lag, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM q JOIN g ON l <= lag, n WHERE lag < n GROUP BY lag)
+SELECT q.lag, n, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')} FROM q CROSS JOIN n LEFT JOIN v ON v.lag = q.lag""",
     "hac_sensitivity": f"""WITH {DIFFERENCES}, n AS (SELECT count(*) AS n, avg(diff) AS mean FROM diff),
-q AS (SELECT DISTINCT lag FROM (SELECT CAST(least(floor(4 * (n / 100.0) ** (2.0 / 9)), n - 1) AS INTEGER) AS lag FROM n UNION ALL SELECT unnest([0, 5, 10, 20, 50])), n WHERE lag < n),
+q AS (SELECT DISTINCT lag FROM (SELECT CAST(least(floor(4 * (n / 100.0) ** (2.0 / 9)), n - 1) AS INTEGER) AS lag FROM n UNION ALL SELECT unnest([0, 5, 10, 20, 50]))),
 g AS (SELECT v.l, sum((a.diff - mean) * (b.diff - mean)) / max(n) AS gamma FROM n, (SELECT unnest(range(0, 1000)) AS l) v JOIN diff a ON true JOIN diff b ON b.pos = a.pos - v.l WHERE v.l <= 50 GROUP BY v.l),
-v AS (SELECT lag, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM q JOIN g ON l <= lag GROUP BY lag)
-SELECT lag, n, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')}, {r(_erfc('(mean / sqrt(lrv / n))'), 'p_value')}, false AS identical_losses FROM n, v""",
+v AS (SELECT lag, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (lag + 1)) * gamma END) AS lrv FROM q JOIN g ON l <= lag, n WHERE lag < n GROUP BY lag)
+SELECT q.lag, n, {r('mean', 'mean')}, {r('lrv', 'long_run_variance')}, {r('sqrt(lrv / n)', 'standard_error')}, {r('mean / sqrt(lrv / n)', 't_statistic')}, {r(_erfc('(mean / sqrt(lrv / n))'), 'p_value')}, false AS identical_losses FROM q CROSS JOIN n LEFT JOIN v ON v.lag = q.lag""",
     "cumulative_loss_differences": f"WITH {PRIMARY} SELECT candidate, benchmark, k, ts, {r('diff', 'diff')}, {r('cumulative', 'cumulative')} FROM pp",
     "primary_loss_report": f"""WITH {PRIMARY} SELECT count(*) AS n, count(*) FILTER (diff > 0) AS candidate_wins, {r('count(*) FILTER (diff > 0) / count(*)', 'candidate_win_share')}, count(*) FILTER (diff < 0) AS benchmark_wins,
 {r('count(*) FILTER (diff < 0) / count(*)', 'benchmark_win_share')}, count(*) FILTER (diff = 0) AS equal_losses, {r('sum(a)', 'candidate_total')}, {r('sum(b)', 'benchmark_total')}, {r('sum(diff)', 'net')}, {r('sum(diff) / sum(b)', 'relative_reduction')},

@@ -486,15 +486,10 @@ def untruncated_bootstrap_interval(d: Design) -> DataFrame:
 
 @on_design
 def loss_intervals(d: Design) -> DataFrame:
-    """Bootstrap intervals of every loss pair i and component j, seeded with the base seed + 100 i + j."""
-    rows, table = d.pair_differences(LOSS_PAIRS).persist(), None
-    for i, (name, *_) in enumerate(LOSS_PAIRS):
-        for j, component in enumerate(evaluate.COMPONENTS):
-            own = rows.where((F.col("effect") == name) & (F.col("component") == component)).select("pos", "diff")
-            part = inference.bootstrap_interval(own, seed=inference.BASE_SEED + 100 * i + j)
-            part = part.select(F.lit(name).alias("effect"), F.lit(component).alias("component"), "*")
-            table = part if table is None else table.unionByName(part)
-    return table
+    """Bootstrap intervals of every loss pair i and component j, seeded with the base seed + 100 i + j, in one plan."""
+    rows = [(name, c, inference.BASE_SEED + 100 * i + j) for i, (name, *_) in enumerate(LOSS_PAIRS) for j, c in enumerate(evaluate.COMPONENTS)]
+    seeds, n = d.spark.createDataFrame(rows, "effect string, component string, seed long"), d.matrices - d.training
+    return inference.bootstrap_table(d.pair_differences(LOSS_PAIRS), seeds, n, inference.automatic_block_length(n))
 
 
 @on_design

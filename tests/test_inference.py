@@ -50,3 +50,50 @@ def test_hac_table_equals_single_tests(spark):
         want = inference.hac_tests(rows(spark, series[name]), [4])[0]
         assert got[name]["t_statistic"] == pytest.approx(want.t_statistic) and got[name]["p_value"] == pytest.approx(want.p_value)
     assert got["c"]["t_statistic"] is None and got["c"]["standard_error"] == 0
+
+
+@pytest.mark.parametrize("n,seed", [(5, 1), (126, 20260729), (3, 7), (2, 5), (3_000_000_000, 11), (1 << 31, 3), ((1 << 31) + 1, 4)])
+def test_draws_are_the_generators(spark, n, seed):
+    """The stream of one generator, however it is cut; a range just above half the halves rejects nearly half."""
+    seeds = spark.createDataFrame([(seed,), (seed + 1,)], "seed long")
+    got = {}
+    for r in inference.draws(seeds, n, 1000, 64).collect():
+        got.setdefault(r["seed"], {})[r["place"]] = r["start"]
+    for s in (seed, seed + 1):
+        assert [got[s][p] for p in range(1000)] == np.random.default_rng(s).integers(0, n, size=1000).tolist()
+
+
+def test_whole_blocks_are_drawn_before_partial_ones(spark):
+    x, length, count = np.random.default_rng(0).standard_normal(23), 4, 50
+    draw = np.random.default_rng(9)
+    whole, part = draw.integers(0, 23, size=(count, 5)), draw.integers(0, 23, size=count)
+    ring = np.concatenate([x, x])
+    means = [(sum(ring[s : s + 4].sum() for s in w) + ring[p : p + 3].sum()) / 23 for w, p in zip(whole, part, strict=True)]
+    row = inference.bootstrap_interval(rows(spark, x), length, count, 9).first()
+    assert row["bootstrap_mean"] == pytest.approx(np.mean(means)) and row["replications"] == count
+    assert (row["lower"], row["upper"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    draw = np.random.default_rng(9).integers(0, 23, size=(count, 6))
+    means = [sum(ring[s : s + 4].sum() for s in w) / 24 for w in draw]
+    assert inference.bootstrap_interval(rows(spark, x), length, count, 9, truncate=False).first()["lower"] == pytest.approx(np.percentile(means, 2.5))
+
+
+def test_many_series_in_one_plan(spark):
+    rng = np.random.default_rng(4)
+    series = {"a": rng.standard_normal(30), "b": rng.standard_normal(30)}
+    table = spark.createDataFrame([(g, i, float(v)) for g, x in series.items() for i, v in enumerate(x)], "g string, pos long, diff double")
+    got = {r["g"]: r for r in inference.bootstrap_table(table, spark.createDataFrame([("a", 3), ("b", 8)], "g string, seed long"), 30, 4, 200).collect()}
+    for name, seed in (("a", 3), ("b", 8)):
+        want = inference.bootstrap_interval(rows(spark, series[name]), 4, 200, seed).first()
+        assert all(got[name][c] == pytest.approx(want[c]) for c in ("bootstrap_mean", "lower", "upper", "n"))
+
+
+def test_lengths_beyond_the_series_have_no_interval(spark):
+    got = {r["block_length"]: r for r in inference.block_length_sensitivity(rows(spark, range(12)), replications=20).collect()}
+    assert sorted(got) == [3, 5, 10, 20, 50] and got[20]["lower"] is None and got[10]["lower"] is not None
+
+
+def test_autocovariances_far_from_zero(spark):
+    x = np.random.default_rng(1).standard_normal(60) + 1e6
+    row = inference.autocovariances(rows(spark, x), 5).first()
+    y = x - x.mean()
+    assert np.allclose(row["gamma"], [np.sum(y[k:] * y[: 60 - k]) / 60 for k in range(6)], atol=1e-8)
