@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import matrix as mx
+from panelforge.operators import ordering
 from panelforge.operators.matrices import losses
 from panelforge.operators.panel import correlation, running_total, with_positions
 
@@ -86,8 +87,7 @@ def empirical_cdf(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
     v = F.when((value > 0) & ~F.isnan(value) & (value < float("inf")), value).otherwise(F.raise_error(F.lit("values must be positive and finite")).cast("double"))
     table = rows.select(*by, v.alias("__v"))
     total = table.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__v"))
-    ranked = table.withColumn("__rank", rank).join(F.broadcast(total), by)
+    ranked = ordering.ranked(table, by, F.col("__v"), None, "__rank").join(F.broadcast(total), by)
     return ranked.select(*by, (F.col("__v") * 100).alias("value_pct"), (F.col("__rank") / F.col("__n") * 100).alias("cum_pct"))
 
 
@@ -100,6 +100,10 @@ def loss_differences(forecasts: DataFrame, p: int, candidate: str, benchmark: st
     return running_total(with_positions(table), "diff", "cumulative")
 
 
+def _median(differences: DataFrame) -> DataFrame:
+    return ordering.percentiles(differences, [], F.col("diff"), {"median": 0.5})
+
+
 def loss_report(losses_: DataFrame) -> DataFrame:
     """One row on rows (ts, pos, a, b, diff, cumulative): who wins how often, totals of both sides and of gains and
     losses, extremes of single places and of the path (the earliest on ties). Totals that do not agree are refused."""
@@ -109,9 +113,9 @@ def loss_report(losses_: DataFrame) -> DataFrame:
     one = losses_.agg(
         F.count(F.lit(1)).alias("n"), count(F.col("diff") > 0).alias("candidate_wins"), count(F.col("diff") < 0).alias("benchmark_wins"),
         count(F.col("diff") == 0).alias("equal_losses"), F.sum("a").alias("candidate_total"), F.sum("b").alias("benchmark_total"), F.sum("diff").alias("net"),
-        gain.alias("gross_gain"), loss.alias("gross_loss"), F.percentile("diff", 0.5).alias("median"), F.max("diff").alias("largest_gain"),
+        gain.alias("gross_gain"), loss.alias("gross_loss"), F.max("diff").alias("largest_gain"),
         F.min("diff").alias("largest_loss"), low.alias("__low"), high.alias("__high"), F.max_by("cumulative", "pos").alias("__end"), F.max("ts").alias("final_ts"),
-    )
+    ).crossJoin(_median(losses_))
     off = lambda x: F.abs(x - F.col("net")) > 1e-9 * F.greatest(F.col("benchmark_total"), F.lit(1e-300))
     refused = F.raise_error(F.lit("the totals of the losses do not agree")).cast("double")
     net = F.when(off(F.col("__end")) | off(F.col("benchmark_total") - F.col("candidate_total")), refused).otherwise(F.col("net"))
@@ -135,9 +139,9 @@ def gross(differences: DataFrame) -> DataFrame:
     low, high = F.min(F.struct("cumulative", "pos", "ts")), F.max(F.struct("cumulative", -F.col("pos"), "ts"))
     table = differences.agg(
         F.count(F.lit(1)).alias("n"), F.sum("diff").alias("net"), F.avg("diff").alias("mean"), gain.alias("gross_gain"), loss.alias("gross_loss"),
-        F.stddev_samp("diff").alias("std"), F.percentile("diff", 0.5).alias("median"), F.sum(F.when(F.col("diff") > 0, 1).otherwise(0)).alias("n_wins"),
+        F.stddev_samp("diff").alias("std"), F.sum(F.when(F.col("diff") > 0, 1).otherwise(0)).alias("n_wins"),
         F.max_by("cumulative", "pos").alias("ending_cumulative"), low.alias("__low"), high.alias("__high"),
-    )
+    ).crossJoin(_median(differences))
     return table.select(
         "n", "net", "mean", "median", "std", "gross_gain", "gross_loss", "n_wins", (F.col("n_wins") / F.col("n")).alias("win_share"), "ending_cumulative",
         F.col("__low.cumulative").alias("min_cumulative"), F.col("__low.ts").alias("min_ts"),
@@ -150,7 +154,7 @@ def concentration(differences: DataFrame, percents: tuple[int, ...] = (1, 5, 10)
     """(percent, top_k, gain, share_of_net, share_of_gross): what the largest gains amount to."""
     n = differences.agg(F.count(F.lit(1)).alias("n"), F.sum("diff").alias("net"), F.sum(F.greatest(F.col("diff"), F.lit(0.0))).alias("gain_all"))
     cuts = n.withColumn("percent", F.explode(F.array(*[F.lit(s) for s in percents]))).withColumn("top_k", F.ceil(F.col("n") * F.col("percent") / 100))
-    ranked = differences.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("diff").desc(), "ts")))
+    ranked = ordering.ranked(differences, [], -F.col("diff"), "pos", "__rank")
     top = ranked.crossJoin(F.broadcast(cuts)).where(F.col("__rank") <= F.col("top_k"))
     sums = top.groupBy("percent", "top_k", "net", "gain_all").agg(F.sum("diff").alias("gain"))
     return sums.select("percent", "top_k", "gain", F.try_divide("gain", "net").alias("share_of_net"), F.try_divide("gain", "gain_all").alias("share_of_gross"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators import ordering
 from panelforge.sources.panels import Panel
 
 
@@ -21,15 +22,10 @@ def indicator_path(indicator: DataFrame, scale: float = 1e6) -> DataFrame:
 
 def cdf_markers(errors: DataFrame) -> DataFrame:
     """Median and 95th percentile of the relative errors in per cent, per sample."""
-    e = F.col("interval_error")
-    return errors.groupBy("sample").agg((F.percentile(e, 0.5) * 100).alias("median_pct"), (F.percentile(e, 0.95) * 100).alias("p95_pct"))
+    return ordering.percentiles(errors, ["sample"], F.col("interval_error") * 100, {"median_pct": 0.5, "p95_pct": 0.95})
 
 
 def check_before_plotting(pca: DataFrame, psd: DataFrame) -> DataFrame:
     """One row of violations: variance shares that do not sum to one, and indefinite forecasts."""
     shares = pca.agg(F.when(F.abs(F.sum("share_pct") - 100) > 1e-8, 1).otherwise(0).alias("bad_shares"))
     return shares.crossJoin(psd.agg(F.sum("n_non_psd").alias("non_psd")))
-
-
-def ranked(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(order)))

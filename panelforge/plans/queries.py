@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions import bases
 from panelforge.functions import matrix as mx
-from panelforge.operators import evaluate, figures, forecast, fourier, inference, invariants, panel, reference, residual, timeseries
+from panelforge.operators import evaluate, figures, forecast, fourier, inference, invariants, ordering, panel, reference, residual, timeseries
 from panelforge.operators import matrices as mt
 from panelforge.operators.panel import with_lags
 from panelforge.plans.design import BLOCK_SIZE, Design, lineitem_design
@@ -95,9 +95,7 @@ def data_audit(d: Design) -> DataFrame:
 
 @query
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_buckets(spark, sf_dir)
-    assets = tuple(r["asset"] for r in rows.select("asset").distinct().orderBy("asset").collect())
-    return carried_forward(rows, assets).rows
+    return carried_forward(event_buckets(spark, sf_dir))
 
 
 @query
@@ -617,5 +615,4 @@ def projection_share(d: Design) -> DataFrame:
 
 @on_design
 def loss_ranks(d: Design) -> DataFrame:
-    ranked = d.differences.withColumn("rank", F.row_number().over(Window.orderBy(F.col("diff").desc(), "ts")))
-    return ranked.select("k", "rank")
+    return ordering.ranked(d.differences, [], -F.col("diff"), "pos").select("k", F.col("rank").cast("int").alias("rank"))

@@ -4,6 +4,7 @@ checksum sidecar beside each."""
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -46,9 +47,9 @@ def members(files: DataFrame) -> DataFrame:
 
 
 def klines(files: DataFrame, columns: tuple[str, ...] = ("open_time", "close"), chunk: int = 100_000) -> DataFrame:
-    """Rows of all archives: only the wanted columns are parsed; line is the place in the file. Wrong numbers are
-    null, for validation to find; a row's number of columns is that of its file."""
-    at = sorted(COLUMNS.index(c) for c in columns)
+    """Rows of all archives: only the wanted columns are parsed, while the member streams; line is the place in the file,
+    blank lines aside, and n_columns the line's own number of columns. Wrong or missing numbers are null, for validation
+    to find."""
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -57,16 +58,18 @@ def klines(files: DataFrame, columns: tuple[str, ...] = ("open_time", "close"),
                     names = [n for n in archive.namelist() if n.endswith(".csv")]
                     if not names:
                         continue
-                    with archive.open(names[0]) as probe:
-                        width = len(probe.readline().decode().strip().split(","))
                     with archive.open(names[0]) as body:
-                        for table in pd.read_csv(body, header=None, usecols=[a for a in at if a < width], chunksize=chunk, dtype=str):
-                            out = pd.DataFrame({"symbol": symbol, "month": month, "line": table.index.to_numpy(), "n_columns": width}, index=table.index)
+                        filled = (fields for text in io.TextIOWrapper(body, "utf-8", "replace") if (fields := text.strip()))
+                        at = 0
+                        while lines := [text.split(",") for text in itertools.islice(filled, chunk)]:
+                            out = pd.DataFrame({"symbol": symbol, "month": month, "line": range(at, at + len(lines)), "n_columns": [len(f) for f in lines]})
                             for name in ("open_time", "open", "high", "low", "close"):
                                 place = COLUMNS.index(name)
-                                values = pd.to_numeric(table[place], errors="coerce") if place in table else pd.Series(float("nan"), index=table.index)
-                                out[name] = values.astype("Int64") if name == "open_time" else values
+                                texts = [f[place] if name in columns and place < len(f) else None for f in lines]
+                                values = pd.to_numeric(pd.Series(texts, dtype=object), errors="coerce")
+                                out[name] = values.astype("Int64") if name == "open_time" else values.astype(float)
                             yield out
+                            at += len(lines)
 
     return files.select("symbol", "month", "content").mapInPandas(rows, _KLINES)
 

@@ -57,14 +57,23 @@ def orders_panel(spark: SparkSession, sf_dir: str) -> Panel:
     return bind(table, F.date_trunc("week", "o_orderdate"), F.col("o_orderpriority"), F.avg("o_totalprice"), ORDER_PRIORITIES)
 
 
-def carried_forward(rows: DataFrame, assets: tuple[str, ...]) -> Panel:
-    """An extension for sparse panels (nothing else imputes): each asset keeps its last price at every timestamp of
-    the table. The fill runs per asset, over one row per occupied timestamp."""
-    stamps = rows.select("ts").distinct()
-    grid = stamps.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(a,) for a in assets], "asset string")))
-    filled = grid.join(rows, ["ts", "asset"], "left")
-    last = F.last("price", ignorenulls=True).over(Window.partitionBy("asset").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return Panel(filled.select("ts", "asset", last.alias("price")).where(F.col("price").isNotNull()), assets)
+def carried_forward(rows: DataFrame, unit: str = "day") -> DataFrame:
+    """(ts, asset, price): an extension for sparse panels (nothing else imputes). Each asset keeps its last price at
+    every timestamp of the table, from its first on. A segmented scan: the last price of every (asset, unit of time) is
+    carried over units, one row each, and filled inside a unit; no window holds an asset's history."""
+    rows = rows.select("ts", "asset", "price").withColumn("unit", F.date_trunc(unit, "ts"))
+    stamps = rows.select("unit", "ts").distinct()
+    rows = rows.where(F.col("price").isNotNull())
+    ends = rows.groupBy("asset", "unit").agg(F.max_by("price", "ts").alias("last"), F.min("ts").alias("first_ts"))
+    # every unit that holds a timestamp, for every asset from its first unit on
+    begins = ends.groupBy("asset").agg(F.min("unit").alias("begin"), F.min("first_ts").alias("first_ts"))
+    grid = stamps.select("unit").distinct().join(begins, F.col("unit") >= F.col("begin"))
+    known = grid.join(ends.select("asset", "unit", "last"), ["asset", "unit"], "left")
+    before = Window.partitionBy("asset").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    carried = known.select("asset", "unit", "first_ts", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    filled = stamps.join(carried, "unit").where(F.col("ts") >= F.col("first_ts")).join(rows, ["unit", "ts", "asset"], "left")
+    inside = Window.partitionBy("asset", "unit").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return filled.select("ts", "asset", F.coalesce(F.last("price", ignorenulls=True).over(inside), "carried").alias("price"))
 
 
 def event_buckets(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFrame:

@@ -16,9 +16,11 @@ def save_tables(tables: dict[str, DataFrame], directory: str) -> list[str]:
 
 
 def report(tables: dict[str, DataFrame], rows: int = 20) -> str:
-    """The tables as text, for a console."""
+    """The tables as text, for a console; one that has more rows than are shown says so."""
     parts = []
     for name, table in tables.items():
-        lines = ["  ".join(f"{v:.6g}" if isinstance(v, float) else str(v) for v in row) for row in table.limit(rows).collect()]
-        parts.append("\n".join([name, "  ".join(table.columns), *lines]))
+        found = table.limit(rows + 1).collect()
+        lines = ["  ".join(f"{v:.6g}" if isinstance(v, float) else str(v) for v in row) for row in found[:rows]]
+        more = [f"... and more rows than the {rows} shown"] if len(found) > rows else []
+        parts.append("\n".join([name, "  ".join(table.columns), *lines, *more]))
     return "\n\n".join(parts)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.config import ExperimentConfig
 from panelforge.sources import klines as source
 
 MINUTE_MS = 60_000
+CHUNK = 1 << 16
 
 
 def checksums(spark: SparkSession, directory: str) -> DataFrame:
@@ -23,15 +24,22 @@ def checksums(spark: SparkSession, directory: str) -> DataFrame:
     return files.join(said, "name", "left").select("name", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
-def contiguity(rows: DataFrame, by: list[str], order: str, time: str, step: int) -> DataFrame:
-    """(by, n_rows, first, last, n_gaps): how many neighbours are not exactly one step apart, duplicates and disorder
-    included."""
-    before = F.lag(time).over(Window.partitionBy(*by).orderBy(order))
-    gap = F.when(F.col("__before").isNotNull() & (F.col(time) - F.col("__before") != step), 1).otherwise(0)
-    table = rows.withColumn("__before", before)
-    return table.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min_by(time, order).alias("first"), F.max_by(time, order).alias("last"), F.sum(gap).alias("n_gaps")
-    )
+def contiguity(rows: DataFrame, by: list[str], order: str, time: str, step: int, chunk: Column, fine: Column) -> DataFrame:
+    """(by, n_rows, first, last, n_gaps, fine): how many neighbours are not exactly one step apart, duplicates and
+    disorder included, and whether every row is fine. chunk does not fall along the order: neighbours are compared
+    inside chunks, and the ends of a chunk, one row each, with those of the next."""
+    dealt = rows.withColumns({"__chunk": chunk, "__fine": fine})
+    before = F.lag(time).over(Window.partitionBy(*by, "__chunk").orderBy(order))
+    off = lambda later, earlier: F.when(earlier.isNotNull() & (later - earlier != step), 1).otherwise(0)
+    inside = dealt.withColumn("__before", before).groupBy(*by, "__chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(time, order).alias("first"), F.max_by(time, order).alias("last"),
+        F.sum(off(F.col(time), F.col("__before"))).alias("gaps"), F.bool_and("__fine").alias("fine"),
+    )
+    inside = inside.withColumn("__end", F.lag("last").over(Window.partitionBy(*by).orderBy("__chunk")))
+    return inside.groupBy(*by).agg(
+        F.sum("n").alias("n_rows"), F.min_by("first", "__chunk").alias("first"), F.max_by("last", "__chunk").alias("last"),
+        F.sum(F.col("gaps") + off(F.col("first"), F.col("__end"))).alias("n_gaps"), F.bool_and("fine").alias("fine"),
+    )
 
 
 def archive_report(spark: SparkSession, directory: str, config: ExperimentConfig) -> DataFrame:
@@ -48,12 +56,12 @@ def archive_report(spark: SparkSession, directory: str, config: ExperimentConfig
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     good = lambda c: c.isNotNull() & ~F.isnan(c) & (c > 0) & (c < float("inf"))
     fine = good(prices[0]) & good(prices[1]) & good(prices[2]) & good(prices[3])
-    shape = contiguity(rows, ["symbol", "month"], "line", "open_time", MINUTE_MS)
-    sums = rows.groupBy("symbol", "month").agg(F.max("n_columns").alias("n_columns"), F.bool_and(fine).alias("prices"))
+    shape = contiguity(rows, ["symbol", "month"], "line", "open_time", MINUTE_MS, F.floor(F.col("line") / CHUNK), fine).withColumnRenamed("fine", "prices")
+    sums = rows.groupBy("symbol", "month").agg(F.min("n_columns").alias("least"), F.max("n_columns").alias("most"))
     table = shape.join(sums, ["symbol", "month"])
     last = start + (days * 1440 - 1).cast("long") * MINUTE_MS
     checks = {
-        "columns": F.col("n_columns") == 12, "rows": F.col("n_rows") == days * 1440, "first_timestamp": F.col("first") == start,
+        "columns": (F.col("least") == 12) & (F.col("most") == 12), "rows": F.col("n_rows") == days * 1440, "first_timestamp": F.col("first") == start,
         "last_timestamp": F.col("last") == last, "continuity": F.col("n_gaps") == 0, "prices": F.col("prices"),
     }
     failed = F.explode(F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull()))
@@ -74,7 +82,5 @@ def require_valid(report: DataFrame) -> None:
 def panel_report(rows: DataFrame, step_seconds: int) -> DataFrame:
     """(asset, n_rows, first, last, n_gaps, prices_ok) of a long panel."""
     stamped = rows.withColumn("__t", F.unix_seconds(F.col("ts").cast("timestamp")))
-    shape = contiguity(stamped, ["asset"], "ts", "__t", step_seconds)
     fine = F.col("price").isNotNull() & ~F.isnan("price") & (F.col("price") > 0) & (F.col("price") < float("inf"))
-    sums = rows.groupBy("asset").agg(F.bool_and(fine).alias("prices_ok"))
-    return shape.join(sums, "asset").select("asset", "n_rows", "first", "last", "n_gaps", "prices_ok")
+    return contiguity(stamped, ["asset"], "ts", "__t", step_seconds, F.floor(F.col("__t") / (step_seconds * CHUNK)), fine).withColumnRenamed("fine", "prices_ok")

@@ -1,14 +1,16 @@
 import calendar
 import hashlib
+import random
 import zipfile
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.config import ExperimentConfig, parse_experiment_config
 from panelforge.operators import panel
 from panelforge.sources import download, klines, sinks, validate
-from panelforge.sources.panels import carried_forward
+from panelforge.sources.panels import Panel, carried_forward
 
 MONTH = "2024-02"
 CONFIG = ExperimentConfig(("AAA", "BBB"), "1m", (MONTH,), 30)
@@ -73,7 +75,7 @@ def _price(value):
     [
         (_drop, {"rows", "continuity"}), (_double, {"continuity"}), (_late, {"first_timestamp", "last_timestamp"}),
         (_price("0"), {"prices"}), (_price("-1"), {"prices"}), (_price("inf"), {"prices"}), (_price(""), {"prices"}), (_price("x"), {"prices"}),
-        (lambda rows: [r.pop() for r in rows], {"columns"}),
+        (lambda rows: [r.pop() for r in rows], {"columns"}), (lambda rows: rows[70].append("x"), {"columns"}), (lambda rows: rows[70].pop(), {"columns"}),
     ],
 )
 def test_broken_rows(spark, tmp_path, change, found):
@@ -131,8 +133,35 @@ def test_addresses():
 def test_carry_forward_and_sinks(spark, tmp_path):
     t = [datetime(2024, 1, 1, h) for h in range(3)]
     rows = spark.createDataFrame([(t[0], "a", 1.0), (t[1], "b", 2.0), (t[2], "a", 3.0)], "ts timestamp, asset string, price double")
-    filled = carried_forward(rows, ("a", "b"))
+    filled = Panel(carried_forward(rows), ("a", "b"))
     assert [(r["ts"], list(r["price"])) for r in filled.wide.orderBy("ts").collect()] == [(t[1], [1.0, 2.0]), (t[2], [3.0, 2.0])]
     paths = sinks.save_tables({"one": rows}, str(tmp_path))
     assert spark.read.option("header", True).csv(paths[0]).count() == 3
-    assert "asset" in sinks.report({"one": rows})
+    assert "asset" in sinks.report({"one": rows}) and "more rows" not in sinks.report({"one": rows}, 3) and "more rows" in sinks.report({"one": rows}, 2)
+
+
+@pytest.mark.parametrize("unit", ["hour", "day", "year"])
+def test_carry_forward_over_units(spark, unit):
+    """The last price is carried over any number of empty units, and null prices are none."""
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=h), a, rng.choice([None, float(h + 1)])) for h in range(0, 24 * 9) for a in "abc" if rng.random() < (0.02 if a == "a" else 0.3)]
+    rows = [r for r in rows if not (r[1] == "b" and 30 < (r[0] - start).total_seconds() / 3600 < 150)]
+    frame = spark.createDataFrame(rows, "ts timestamp, asset string, price double")
+    known = {(t, a): p for t, a, p in rows if p is not None}
+    want = {}
+    for a in "abc":
+        last = None
+        for t in sorted({t for t, *_ in rows}):
+            last = known.get((t, a), last)
+            if last is not None:
+                want[t, a] = last
+    assert {(r["ts"], r["asset"]): r["price"] for r in carried_forward(frame, unit).collect()} == want
+
+
+def test_contiguity_over_chunks(spark):
+    times = [0, 60, 120, 120, 240, 300, 360, 600, 540]
+    frame = spark.createDataFrame([("a", i, t, t != 300) for i, t in enumerate(times)] + [("b", 0, 5, True)], "g string, line long, t long, good boolean")
+    for size in (1, 2, 4, 100):
+        rows = validate.contiguity(frame, ["g"], "line", "t", 60, F.floor(F.col("line") / size), F.col("good")).collect()
+        assert sorted(tuple(r) for r in rows) == [("a", 9, 0, 540, 4, False), ("b", 1, 5, 5, 0, True)]
