@@ -34,7 +34,7 @@ from panelforge.llm import bwt
 from panelforge.llm.anchors import K, WINDOW, Rolling, choose, mixed
 from panelforge.llm.common import slices, stored, table, tidy, utf8
 
-HOT_CONTEXTS = 4000
+HOT_CONTEXTS = 8
 MERGE_BYTES = 500_000
 BATCH_BYTES = 4_000_000
 #: Where null ids stand; a real id of this value comes before them.
