@@ -94,7 +94,12 @@ def empirical_cdf(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
 def loss_differences(forecasts: DataFrame, p: int, candidate: str, benchmark: str, component: str = "overall") -> DataFrame:
     """(k, ts, a, b, diff, pos, cumulative): the losses of candidate and benchmark and the benchmark's minus the
     candidate's, positive where the candidate wins."""
-    rows = losses(forecasts, p).where(F.col("method").isin(candidate, benchmark))
+    return differences_of(losses(forecasts, p), candidate, benchmark, component)
+
+
+def differences_of(rows: DataFrame, candidate: str, benchmark: str, component: str = "overall") -> DataFrame:
+    """loss_differences from rows (method, k, ts, losses)."""
+    rows = rows.where(F.col("method").isin(candidate, benchmark))
     loss = lambda name: F.sum(F.when(F.col("method") == name, F.col(component)))
     table = rows.groupBy("k", "ts").agg(loss(candidate).alias("a"), loss(benchmark).alias("b"), (loss(benchmark) - loss(candidate)).alias("diff"))
     return running_total(with_positions(table), "diff", "cumulative")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import evaluate, forecast, panel, reference, residual, timeseries
 from panelforge.operators import matrices as mt
+from panelforge.operators.durable import Store
 from panelforge.sources.panels import Panel, lineitem_panel
 
 BLOCK_SIZE = 10
@@ -34,9 +35,18 @@ class Design:
         return mt.MatrixSeries(made.rows.persist(), made.assets)
 
     def close(self) -> None:
-        """Frees the kept series; later use builds it again."""
+        """Frees the kept series and the written tables; later use builds them again."""
         if series := self.__dict__.pop("series", None):
             series.rows.unpersist()
+        for name in ("differences", "method_losses", "kept"):
+            found = self.__dict__.pop(name, None)
+            if name == "kept" and found:
+                found.discard()
+
+    @cached_property
+    def kept(self) -> Store:
+        """Losses along time, which tests, reports and resampling read several times, are written once."""
+        return Store(self.spark)
 
     @cached_property
     def matrices(self) -> int:
@@ -89,7 +99,12 @@ class Design:
     @cached_property
     def differences(self) -> DataFrame:
         """Loss differences of the naive indicator to direct persistence."""
-        return evaluate.loss_differences(self.naive_methods, self.p, forecast.NAIVE, forecast.DIRECT)
+        return self.kept(evaluate.loss_differences(self.naive_methods, self.p, forecast.NAIVE, forecast.DIRECT))
+
+    @cached_property
+    def method_losses(self) -> DataFrame:
+        """(method, k, ts, losses) of the three methods."""
+        return self.kept(mt.losses(self.all_methods(), self.p).select("method", "k", "ts", *evaluate.COMPONENTS))
 
     @cached_property
     def coefficients(self) -> DataFrame:
@@ -109,7 +124,7 @@ class Design:
         losses = rows.select("effect", "side", "k", long.alias("x")).select("effect", "side", "k", "x.component", "x.loss")
         loss = lambda side: F.max(F.when(F.col("side") == side, F.col("loss")))
         joined = losses.groupBy("effect", "component", "k").agg(loss("a").alias("a"), loss("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-        return joined.select("effect", "component", (F.col("k") - self.training).alias("pos"), "a", "b", (F.col("b") - F.col("a")).alias("diff"))
+        return self.kept(joined.select("effect", "component", (F.col("k") - self.training).alias("pos"), "a", "b", (F.col("b") - F.col("a")).alias("diff")))
 
     def prefix_coefficients(self, percents: tuple[int, ...]) -> DataFrame:
         """(series asset@percent, pos, value): residual coefficients where the reference too is refitted on each share

@@ -227,9 +227,9 @@ def cumulative_loss_difference(d: Design) -> DataFrame:
 @on_design
 def cumulative_loss_differences(d: Design) -> DataFrame:
     """The paths of two figures and of the difference between them, in units of 1e-8."""
-    rows, table = d.all_methods(), None
+    rows, table = d.method_losses, None
     for candidate, benchmark in ((forecast.NAIVE, forecast.DIRECT), (forecast.ARFIMA, forecast.DIRECT), (forecast.ARFIMA, forecast.NAIVE)):
-        part = evaluate.loss_differences(rows, d.p, candidate, benchmark)
+        part = evaluate.differences_of(rows, candidate, benchmark)
         part = part.select(F.lit(candidate).alias("candidate"), F.lit(benchmark).alias("benchmark"), "k", "ts", "diff", "cumulative")
         table = part if table is None else table.unionByName(part)
     return table
@@ -238,7 +238,7 @@ def cumulative_loss_differences(d: Design) -> DataFrame:
 @on_design
 def primary_loss_report(d: Design) -> DataFrame:
     """The fields of the concentration report, for the ARFIMA indicator against direct persistence."""
-    return evaluate.loss_report(evaluate.loss_differences(d.all_methods(), d.p, forecast.ARFIMA, forecast.DIRECT))
+    return evaluate.loss_report(d.kept(evaluate.differences_of(d.method_losses, forecast.ARFIMA, forecast.DIRECT)))
 
 
 @on_design
