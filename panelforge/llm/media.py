@@ -94,7 +94,16 @@ def _sub_blocks(data: bytes) -> bytes:
     return framed.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-_GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+def _palette() -> bytes:
+    """256 colours spread over the cube: the six low bits of an index choose the quarter of each channel, two bits a
+    channel, and the two high bits the place inside. Neighbouring sample values thus fall into different bins of a colour
+    histogram, four values to a bin."""
+    index = np.arange(256)
+    quarter = np.stack([index & 3, index >> 2 & 3, index >> 4 & 3], axis=1)
+    return (64 * quarter + 16 * (index >> 6)[:, None]).astype(np.uint8).tobytes()
+
+
+_PALETTE = _palette()
 
 
 def encode_samples(payload: bytes, width: int = UNIT, frame_rows: int = FRAME_ROWS) -> bytes:
@@ -102,7 +111,7 @@ def encode_samples(payload: bytes, width: int = UNIT, frame_rows: int = FRAME_RO
     if not payload or len(payload) % width:
         raise ValueError("payload must be a positive multiple of the width")
     rows = len(payload) // width
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), _GREY]
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), _PALETTE]
     for first in range(0, rows, frame_rows):
         high = min(frame_rows, rows - first)
         samples = payload[first * width : (first + high) * width]

@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 from panelforge.llm import media
 
 
@@ -40,9 +42,20 @@ def test_query_against_plain_counts(spark):
         payload += b"\0" * (-len(payload) % 64 or (0 if payload else 64))
         counts = [0] * 64
         for octet in payload:
-            counts[(octet >> 6) * 21] += 1  # grey: the same quarter of all three channels
+            counts[16 * (octet & 3) + 4 * (octet >> 2 & 3) + (octet >> 4 & 3)] += 1  # the quarters of red, green and blue
         assert rows[i]["histogram"] == counts and rows[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert rows[i]["feature"] == bytes(c * 255 // len(payload) for c in counts).hex()
         assert rows[i]["n_frames"] == -(-len(payload) // 65536)
     assert rows[5]["media_bytes"] < rows[5]["payload_bytes"] / 4 and rows[4]["media_sha256"] == rows[6]["media_sha256"]
     assert media.text_media(docs.where("doc_id > 99")).count() == 0
+
+
+def test_colours_tell_letters_apart():
+    """Every bin of the histogram can be filled, the palette's colours are distinct, and unlike texts differ."""
+    palette = np.frombuffer(media._PALETTE, np.uint8).reshape(-1, 3)
+    assert len(np.unique(palette, axis=0)) == 256
+    bins = media.histogram(palette.reshape(16, 16, 3))
+    assert bins.tolist() == [4] * 64
+    feature = lambda text: media.feature_of(sum(media.histogram(f.canvas) for f in media.decode(media.store_payload(text)[1])))
+    made = [feature(t) for t in (b"abcdefgh" * 40, b"the quick brown fox " * 16, b"ABCDEFGH" * 40, b"xyz" * 107)]
+    assert len(set(made)) >= 3 and len({c for c in made[1]}) > 2
