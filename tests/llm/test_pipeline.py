@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def test_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {m[0] for n in names if (m := re.match(r"op\d+", n))} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {m[0] for n in names if (m := re.match(r"op\d+", n))} and "pipeline" in names
 
 
 def test_stages_against_their_operators(spark):
