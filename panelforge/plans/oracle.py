@@ -366,6 +366,10 @@ SELECT k, ts, i, j, {r('v', 'v')} FROM b""",
     "component_comparison": f"""{_arfima_rmse(ARFIMA)}, long AS (UNPIVOT (SELECT method, overall, diagonal, off_diagonal FROM t) ON overall, diagonal, off_diagonal INTO NAME component VALUE rmse)
 SELECT a.method, a.component, {r('a.rmse', 'rmse')}, {r('a.rmse / b.rmse', 'ratio')}, {r('(a.rmse / b.rmse - 1) * 100', 'change_pct')}, {r('(a.rmse / b.rmse) ** 2', 'sse_ratio')}, {r('1 - (a.rmse / b.rmse) ** 2', 'share_captured')}
 FROM long a JOIN long b ON a.component = b.component AND b.method = 'direct_naive'""",
+    "figure_guards": f"""WITH {ARFIMA}, lagged AS (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {', '.join(f'lag({n}) OVER (ORDER BY k) AS d{n}' for n in NAMES)} FROM ind),
+fc AS (SELECT 'direct_naive' AS method, k, {', '.join(f'd{n} AS f{n}' for n in NAMES)} FROM lagged WHERE k >= ntrain UNION ALL SELECT 'naive_indicator', k, {', '.join(f's{n} + (zb - l1) * p{n}' for n in NAMES)} FROM lagged WHERE k >= ntrain
+  UNION ALL SELECT 'arfima_indicator', k, {', '.join(f's{n} + (z_hat - l1) * p{n}' for n in NAMES)} FROM zh JOIN ind USING (k)), {_eigen('f', 'fc', 'method, k')}
+SELECT (SELECT CAST(abs(l1 + l2 + l3 - 3 * t) > 1e-10 * abs(3 * t) AS INTEGER) FROM ref) AS bad_shares, count(*) FILTER (w3 < -1e-12 * greatest(abs(w1), abs(w3))) AS non_psd FROM eg""",
     "psd_diagnostics": f"""WITH {ARFIMA}, lagged AS (SELECT *, lag(z) OVER (ORDER BY k) AS zb, {', '.join(f'lag({n}) OVER (ORDER BY k) AS d{n}' for n in NAMES)} FROM ind),
 fc AS (SELECT 'direct_naive' AS method, k, {', '.join(f'd{n} AS f{n}' for n in NAMES)} FROM lagged WHERE k >= ntrain UNION ALL SELECT 'naive_indicator', k, {', '.join(f's{n} + (zb - l1) * p{n}' for n in NAMES)} FROM lagged WHERE k >= ntrain
   UNION ALL SELECT 'arfima_indicator', k, {', '.join(f's{n} + (z_hat - l1) * p{n}' for n in NAMES)} FROM zh JOIN ind USING (k)), {_eigen('f', 'fc', 'method, k')}
@@ -391,8 +395,8 @@ SELECT kind, CAST(q AS INTEGER) AS rank, k, ts, {r('diff', 'diff')} FROM (SELECT
     "whittle_grid": f"WITH {GRID} SELECT {r('d', 'd')}, {r('objective', 'objective')}, {r('innovation_variance', 'innovation_variance')} FROM obj",
     "whittle_grid_minimum": f"WITH {GRID} SELECT {r('d', 'd')}, {r('objective', 'objective')} FROM best",
     "whittle_grid_fit": f"WITH {GRID} SELECT {r('mean', 'mean')}, {r('d', 'grid_best_d')}, {r('innovation_variance', 'innovation_variance')}, {r('objective', 'objective')}, m AS positive_frequency_count, least(d + 0.49, 0.49 - d) < 0.01 AS boundary_warning FROM best, zn",
-    "fractional_weights": f"""WITH RECURSIVE w(d, k, weight) AS (SELECT d, 0::BIGINT, 1.0::DOUBLE FROM (VALUES (0.25::DOUBLE), (-0.3::DOUBLE)) AS v(d) UNION ALL SELECT d, k + 1, weight * (k - d) / (k + 1) FROM w WHERE k < 39)
-SELECT {r('d', 'd')}, k, {r('weight', 'weight')} FROM w""",
+    "fractional_weights": f"""WITH {FRACTIONAL}, wk(series, d, k, weight) AS (SELECT series, d, 0::BIGINT, 1.0::DOUBLE FROM fd UNION ALL SELECT series, d, k + 1, weight * (k - d) / (k + 1) FROM wk WHERE k < 39)
+SELECT series, {r('d', 'd')}, k, {r('weight', 'weight')} FROM wk""",
     "arfima_forecast": f"WITH {ARFIMA} SELECT k, ts, {r('z_hat', 'z_hat')} FROM zh JOIN ind USING (k)",
     "arfima_rmse": f"{_arfima_rmse(ARFIMA_GRID)} {_RMSE_ROWS}",
     "arfima_refined_rmse": f"{_arfima_rmse(ARFIMA)} {_RMSE_ROWS}",

@@ -19,7 +19,6 @@ from panelforge.sources.panels import carried_forward, event_buckets, lineitem_p
 
 DIGITS = 8
 LAGS = [1, 2, 5, 10, 20, 50]
-WEIGHT_DS = (0.25, -0.3)
 WEIGHT_COUNT = 40
 # Fixed values: (effect, candidate, reference) and (comparison, candidate, benchmark); the last two effects are bounds.
 EFFECTS = [
@@ -214,6 +213,12 @@ def psd_diagnostics(d: Design) -> DataFrame:
     return mt.psd_table(d.all_methods(), d.p, ["method"], "f")
 
 
+@on_design
+def figure_guards(d: Design) -> DataFrame:
+    """What must be zero before figures are drawn: shares that do not sum to one, and forecasts that are not definite."""
+    return figures.check_before_plotting(reference.pca_table(d.spark, d.reference), mt.psd_table(d.all_methods(), d.p, ["method"], "f"))
+
+
 @on_design
 def scalar_forecast_metrics(d: Design) -> DataFrame:
     return evaluate.scalar_metrics(d.naive.select(F.lit("naive").alias("method"), F.col("z").alias("value"), "z_hat"), ["method"])
@@ -332,10 +337,13 @@ def whittle_grid_fit(d: Design) -> DataFrame:
     return fits.select("mean", "grid_best_d", "innovation_variance", "objective", "positive_frequency_count", "boundary_warning")
 
 
-@query
-def fractional_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = spark.createDataFrame([(d,) for d in WEIGHT_DS], "d double")
-    return timeseries.fractional_weight_rows(ds, WEIGHT_COUNT).withColumn("k", F.col("k").cast("long"))
+@on_design
+def fractional_weights(d: Design) -> DataFrame:
+    """The first coefficients of (1 - L)^d at the fitted d of the indicator and of every residual coefficient."""
+    series = d.indicator_series.drop("ts").unionByName(d.coefficients.drop("ts"))
+    fits = timeseries.fit_series(series, d.training).select("series", "d", F.lit(WEIGHT_COUNT).cast("long").alias("n"))
+    made = fourier.fractional_weights(fits).join(fits, "series")
+    return made.select("series", "d", F.col("pos").alias("k"), "weight")
 
 
 @on_design
