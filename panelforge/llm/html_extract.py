@@ -3,7 +3,8 @@
 A page is cut into tags and text, and a tree is built that closes what authors leave open. Boilerplate subtrees
 (by element, role, hiddenness, or class and id) are set aside unless they hold the page's article. A class or id tells
 of boilerplate where all its words do ("comment-list"); where only some do ("form-factor"), the subtree goes only if
-most of its text is links. Headings in an article's own header stay. Every text block passes points for its length and
+most of its text is links; names that also head parts of an article ("discussion", "related") spare what is long and
+holds few links there. A list whose items read as citations is no menu. Headings in an article's own header stay. Every text block passes points for its length and
 its commas to its container, and each container half of its points to the one around it, times one minus the link
 density of what it came from; one sweep from the last element to the first adds them up. The best container, lifted to
 the article or main element around it, and its worthy siblings, at every level up to the body, give the blocks of the
@@ -57,6 +58,11 @@ _MARKS = frozenset(
     "sidebar signup login skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets discussion form "
     "outbrain taboola shoutbox rail aside".split()
 )
+#: Marks that also name parts of an article, as a paper's discussion: inside an article they tell of boilerplate only where
+#: the subtree is short or mostly links.
+_PARTS = frozenset("discussion form overlay promo promotion recommendations recommended related search tags".split())
+_PART_LENGTH = 200
+_PART_LINKS = 0.3
 #: Words that stand beside marks without a meaning of their own.
 _NEUTRAL = frozenset(
     "area bar bars block blocks body bottom box boxes btn button buttons center col column container content desktop entries entry global group "
@@ -67,6 +73,9 @@ _HOLDERS = frozenset(("html", "body", "main", "article"))
 #: A name that begins so tells of a layout ("has-sidebar"), not of the element itself.
 _LAYOUT = frozenset("has with without no is hide show js".split())
 _SKIPPED_LISTS = 0.95
+#: Commas, full stops, colons and years: a citation has several, a menu's item hardly one.
+_CITED = re.compile(r"[,.;:](?=\s|$)|\b(?:1[5-9]|20)\d\d\b")
+_CITED_LEAST = 3
 #: A sibling joins the best container from this share of its points on, but no fewer points.
 MORE_SHARE = 0.2
 MORE_LEAST = 4.0
@@ -91,7 +100,7 @@ class _Tree:
 
 def _parse(page: str) -> _Tree:
     tree, stack, at = _Tree(), [0], 0
-    open_count: dict[str, int] = {}
+    depths: dict[str, list[int]] = {}  # of the open elements of each name, ascending
 
     def text_until(end: int) -> None:
         if end > at:
@@ -100,21 +109,15 @@ def _parse(page: str) -> _Tree:
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             name = tree.tags[stack.pop()]
-            open_count[name] -= 1
+            depths[name].pop()
             if name in _BLOCKS:
                 tree.block += 1
 
     def find(names: tuple[str, ...], shields: tuple[str, ...]) -> int:
         """Depth of the innermost open element among names that no shield hides, or 0."""
-        if not any(open_count.get(n) for n in names):
-            return 0
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = tree.tags[stack[depth]]
-            if tag in names:
-                return depth
-            if tag in shields:
-                return 0
-        return 0
+        innermost = lambda wanted: max((depths[n][-1] for n in wanted if depths.get(n)), default=0)
+        depth = innermost(names)
+        return depth if depth >= innermost(shields) else 0
 
     while match := _TOKEN.search(page, at):
         text_until(match.start())
@@ -124,7 +127,7 @@ def _parse(page: str) -> _Tree:
             continue
         name = name.lower()
         if closing:
-            if name == "br" or (name == "p" and not open_count.get("p")):
+            if name == "br" or (name == "p" and not depths.get("p")):
                 tree.pieces.append((stack[-1], tree.block, " "))
             elif depth := find((name,), () if name in ("html", "body", "table") else ("td", "th", "table") if name not in ("tr", "td", "th", "tbody", "thead", "tfoot") else ("table",)):
                 pop_to(depth)
@@ -134,7 +137,7 @@ def _parse(page: str) -> _Tree:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if name in ("html", "body", "head") and open_count.get(name):
+        if name in ("html", "body", "head") and depths.get(name):
             continue
         if name in _CLOSES_P and (depth := find(("p",), ("button", "td", "th", "table", "object"))):
             pop_to(depth)
@@ -144,7 +147,7 @@ def _parse(page: str) -> _Tree:
                     pop_to(outer)
             else:
                 pop_to(depth)
-        if name == "body" and open_count.get("head"):
+        if name == "body" and depths.get("head"):
             pop_to(find(("head",), ()))
         if name in _VOID:
             if name in ("br", "hr", "wbr"):
@@ -155,14 +158,15 @@ def _parse(page: str) -> _Tree:
         if name in _BLOCKS:
             tree.block += 1
         if not rest.rstrip().endswith("/") or name in _BLOCKS:
+            depths.setdefault(name, []).append(len(stack))
             stack.append(element)
-            open_count[name] = open_count.get(name, 0) + 1
     text_until(len(page))
     return tree
 
 
 def _furniture(tag: str, attributes: str) -> int:
-    """2 for boilerplate, 1 for what only a part of a name tells of, else 0."""
+    """2 for boilerplate, 1 for what only a part of a name tells of, 3 for names of boilerplate that may be parts of an
+    article, else 0."""
     if tag in _FURNITURE:
         return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes:
@@ -181,8 +185,10 @@ def _furniture(tag: str, attributes: str) -> int:
                 words = [w.lower() for w in _WORDS.findall(part)]
                 if words and words[0] not in _LAYOUT and any(w in _MARKS for w in words):
                     if all(w in _MARKS or w in _NEUTRAL or w.isdigit() for w in words):
-                        return 2
-                    most = 1
+                        if not all(w in _PARTS for w in words if w in _MARKS):
+                            return 2
+                        most = 3
+                    most = max(most, 1)
     return most
 
 
@@ -212,7 +218,8 @@ def main_blocks(page: str | None) -> list[str]:
         told[i] = 0 if holds[i] else _furniture(tags[i], tree.attributes[i])
         if tags[i] == "header" and inside_article[i] and told[i] == 2 and not _furniture("div", tree.attributes[i]):
             told[i] = 0
-    if 1 in told:  # names that tell only in part need links to agree
+    told = [2 if t == 3 and not inside else t for t, inside in zip(told, inside_article, strict=True)]
+    if 1 in told or 3 in told:  # names that tell only in part need links to agree, parts of an article also length
         share, in_links = [0] * n, [0] * n
         for element, _, text in tree.pieces:
             size = len(text.strip())
@@ -222,6 +229,7 @@ def main_blocks(page: str | None) -> list[str]:
             share[parents[i]] += share[i]
             in_links[parents[i]] += in_links[i]
         told = [2 if t == 1 and in_links[i] > share[i] / 2 else t for i, t in enumerate(told)]
+        told = [2 if t == 3 and (share[i] - in_links[i] < _PART_LENGTH or in_links[i] > share[i] * _PART_LINKS) else t for i, t in enumerate(told)]
     for i in range(1, n):
         out[i] = told[i] == 2 or out[parents[i]]
     # blocks: text joined over the inline elements of one stretch
@@ -299,7 +307,13 @@ def main_blocks(page: str | None) -> list[str]:
         listed[i] = i if tags[i] in ("ul", "ol", "dl") else listed[parents[i]]
         if tags[i] == "a":
             count[listed[i]] = count.get(listed[i], 0) + 1
-    menus = {i for i, c in count.items() if i > 0 and c >= 3 and length[i] and links[i] / length[i] >= _SKIPPED_LISTS}
+    # a list of references is made of links too, but its items read as citations
+    cited: dict[int, list[int]] = {}
+    for element, text, _ in blocks:
+        if at := listed[element]:
+            cited.setdefault(at, []).append(len(_CITED.findall(text)))
+    references = {i for i, marks in cited.items() if sum(m >= _CITED_LEAST for m in marks) > len(marks) / 2}
+    menus = {i for i, c in count.items() if i > 0 and c >= 3 and i not in references and length[i] and links[i] / length[i] >= _SKIPPED_LISTS}
     menu = [False] * n
     for i in range(1, n):
         menu[i] = i in menus or menu[parents[i]]

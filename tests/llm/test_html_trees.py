@@ -1,5 +1,7 @@
 import time
 
+import pytest
+
 from panelforge.llm.html_extract import main_text
 
 PROSE = "A sentence of the article, long enough to count, with commas, and with more words in it than any menu has. " * 3
@@ -73,3 +75,35 @@ def test_deep_pages_take_linear_time():
     began = time.process_time()
     main_text(page("<div>" * 90_000 + "x" + "</div>" * 90_000))
     assert time.process_time() - began < 5
+
+
+LONG = "This paragraph of the article says something of substance, with commas, clauses, and so on, about its results. " * 4
+
+
+def article(inner):
+    return main_text(f"<html><body><article><h1>T</h1><p>{LONG}</p>{inner}</article></body></html>")
+
+
+@pytest.mark.parametrize("attribute", ['id="discussion"', 'class="search"', 'class="tags"', 'class="related"', 'class="promo"'])
+def test_parts_of_an_article_that_share_names_with_boilerplate(attribute):
+    assert "the very end" in article(f"<section {attribute}><h2>Part</h2><p>{LONG} the very end</p></section>")
+    assert "one more" not in article(f"<section {attribute}><a href='#'>Another title</a> <a href='#'>one more</a></section>")
+    assert "the very end" not in main_text(f"<html><body><article><p>{LONG}</p></article><div {attribute}><p>{LONG} the very end</p></div></body></html>")
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "newsletter", "ad", "sidebar"])
+def test_boilerplate_inside_an_article_goes_whatever_its_length(name):
+    assert "the very end" not in article(f"<section id='{name}'><p>{LONG} the very end</p></section>")
+
+
+def test_references_are_no_menu():
+    items = "".join(f"<li><a href='#'>Smith, J., and Miller, A. (20{10 + i}). On the theory of things, part {i}.</a></li>" for i in range(5))
+    menu = "".join(f"<li><a href='#'>{t}</a></li>" for t in ("Home page", "All the news", "Sport today", "Travel, food"))
+    got = article(f"<h2>References</h2><ol>{items}</ol><ul>{menu}</ul>")
+    assert got.count("Smith, J.") == 5 and "Sport" not in got
+
+
+def test_nesting_is_linear():
+    began = time.perf_counter()
+    assert main_text("<p><button>" + "<div>" * 30_000 + "x") == ""
+    assert time.perf_counter() - began < 3
