@@ -5,9 +5,10 @@ n - ceil(0.8 n) + 1 of each, so documents are grouped by these shingles. Where t
 follows it in each bounds what they can have in common; pairs that this bound and their sizes leave are confirmed on
 whole sets. Shingles that a sample of one document in SAMPLED shows to be frequent come last in the order, so a passage
 that many documents share brings together only documents that hold little else; this changes costs, not results.
-A group over GROUP_MOST is first compared with its first document only; what that leaves outside the group's largest
-class is then joined with all of the group, so a large cluster costs one comparison per member and shingle, and no
-group is ever held as a whole.
+A group over GROUP_MOST is first compared with one document only, the one with the fewest rare shingles before the
+shared one: of copies edited in different places the least edited, to which most others are similar. What that leaves
+outside the group's largest class is then joined with all of the group, so a large cluster costs one comparison per
+member and shingle, and no group is ever held as a whole.
 
 Shingles are compared by 64-bit hashes. Rows are told apart by a hash of id and text, so rows of one id whose texts
 differ are different documents, and of rows equal in both one stays.
@@ -94,7 +95,7 @@ def _possible(place_i, place_j):
 
 
 def _met(most: int):
-    """From tokens sorted by token and document: the possible pairs of each group (token null), all of them up to
+    """From tokens sorted by token and place: the possible pairs of each group (token null), all of them up to
     `most` members and with the first member beyond; and the rows of larger groups again, for a second look."""
     names = ["token", "a", "b", "place"]
 
@@ -184,7 +185,7 @@ def _confirmed(documents: DataFrame, parts: DataFrame, pairs: DataFrame) -> Data
 def links(documents: DataFrame, most: int = GROUP_MOST) -> DataFrame:
     """Edges (a, b) between the distinct ids of rows (doc_id, text) that join all near copies."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = _tokens(documents, _frequent(documents)).repartition(parts, "token").sortWithinPartitions("token", "doc_id")
+    tokens = _tokens(documents, _frequent(documents)).repartition(parts, "token").sortWithinPartitions("token", "place", "doc_id")
     met = stored(tokens.mapInArrow(tidy(_met(most)), "token long, a long, b long, place long"))
     sets = stored(_slices(documents))
     found = _confirmed(documents, sets, met.where("token IS NULL").select("a", "b").distinct())
