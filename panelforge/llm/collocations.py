@@ -33,7 +33,7 @@ NO_LANGUAGE = "und"
 MOST_WORDS = 5
 LEAST_COUNT = 100
 TOP = 2000
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 #: The filter: 16 MB, whatever the input's size; a block is a row of it.
 FILTER_BITS = 1 << 27
 BLOCK_BITS = 1 << 16
