@@ -299,6 +299,32 @@ def _moments() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _least_eigenvalue(x: str, source: str, p: int, sign: int) -> str:
+    """{x}h: for rows (k, a1_1 .. ap_p) the least eigenvalue w of the matrix times sign, bracketed by the inertia of
+    shifted matrices: all pivots of elimination are positive below it."""
+    names = [f"a{i}_{j}" for i in range(1, p + 1) for j in range(1, p + 1)]
+    kept = ", ".join(["k", *names, "low", "high", "step", "mid"])
+    level = f"SELECT {kept}, {', '.join(f'{sign} * {n}' + (' - mid' if n.split('_')[0][1:] == n.split('_')[1] else '') + f' AS c{n[1:]}' for n in names)} FROM (SELECT *, (low + high) / 2 AS mid FROM {x}r WHERE step < 80)"
+    for q in range(1, p + 1):
+        rest = [f"c{i}_{j} - c{i}_{q} * c{q}_{j} / c{q}_{q} AS c{i}_{j}" for i in range(q + 1, p + 1) for j in range(q + 1, p + 1)]
+        level = f"SELECT {', '.join([kept, *[f'd{i}' for i in range(1, q)], f'c{q}_{q} AS d{q}', *rest])} FROM ({level})"
+    below = " AND ".join(f"d{i} > 0" for i in range(1, p + 1))
+    bound = "greatest(1e-300, " + " + ".join(f"abs({n})" for n in names) + ")"
+    return f"""{x}r AS (SELECT k, {', '.join(names)}, -{bound} AS low, {bound} AS high, 0 AS step FROM {source}
+  UNION ALL SELECT k, {', '.join(names)}, CASE WHEN {below} THEN mid ELSE low END, CASE WHEN {below} THEN high ELSE mid END, step + 1 FROM ({level})),
+{x}h AS (SELECT k, (low + high) / 2 AS w FROM {x}r WHERE step = 80)"""
+
+
+def _orders_psd(blocks: str) -> str:
+    pick = lambda i, j: f"max(v) FILTER (i = '{_PRIORITIES[i - 1]}' AND j = '{_PRIORITIES[j - 1]}') AS a{i}_{j}"
+    return f"""{blocks}, m AS (SELECT k, {', '.join(pick(i, j) for i in range(1, 6) for j in range(1, 6))} FROM b GROUP BY k),
+{_least_eigenvalue('lo', 'm', 5, 1)},
+{_least_eigenvalue('hi', 'm', 5, -1)},
+e AS (SELECT k, loh.w AS least, -hih.w AS most FROM loh JOIN hih USING (k))
+SELECT 'actual' AS method, {r('min(least)', 'min_eigenvalue')}, count(*) FILTER (least < 0) AS n_negative, count(*) FILTER (least < -1e-12 * greatest(abs(least), abs(most))) AS n_non_psd,
+{r('avg(CASE WHEN least < -1e-12 * greatest(abs(least), abs(most)) THEN 1.0 ELSE 0.0 END)', 'share_non_psd')} FROM e"""
+
+
 def _in_basis() -> str:
     """Squared entries v_i' C v_j as tr(P_i C P_j C), the projectors being polynomials of the reference."""
     found = {k: (i, j) for k, (i, j) in enumerate([(2, 3), (1, 3), (1, 2)], 1)}
@@ -310,7 +336,12 @@ def _in_basis() -> str:
     return f"""WITH {REFERENCE}, pr AS (SELECT {', '.join(projector(k) for k in (1, 2, 3))} FROM ref), tm AS (SELECT k, ts, {', '.join(product(k) for k in (1, 2, 3))} FROM blk, pr) {rows}"""
 
 
-_FIVE = "('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_FIVE = str(_PRIORITIES)
+_ORDERS = f"""WITH raw AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, o_orderpriority AS asset, avg(o_totalprice) AS price FROM orders WHERE o_orderpriority IN {_FIVE} GROUP BY ALL),
+ok AS (SELECT ts FROM raw GROUP BY ts HAVING count(*) = 5), num AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos FROM ok),
+ret AS (SELECT pos, ts, asset, ln(price) - lag(ln(price)) OVER (PARTITION BY asset ORDER BY ts) AS v FROM raw JOIN num USING (ts)),
+b AS (SELECT (a.pos - 1) // 10 AS k, max(a.ts) AS ts, a.asset AS i, c.asset AS j, covar_samp(a.v, c.v) AS v FROM ret a JOIN ret c ON a.pos = c.pos WHERE a.pos >= 1 GROUP BY 1, 3, 4 HAVING count(*) = 10)"""
 _EVENTS = """ev AS (SELECT make_timestamp((epoch_us(ts) // 900000000) * 900000000) AS ts, event_type AS asset, avg(value) AS price FROM events WHERE value > 0 GROUP BY ALL)"""
 
 _SCALAR = f"""{r('sqrt(avg((z_hat - value) ** 2))', 'rmse')}, {r('avg(abs(z_hat - value))', 'mae')}, {r('avg(z_hat - value)', 'bias')}, {r('corr(z_hat, value)', 'correlation')},
@@ -342,11 +373,9 @@ SELECT ts, asset, {r('p', 'price')} FROM f WHERE p IS NOT NULL""",
     "daily_normalised_close": f"""WITH {_EVENTS}, d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, asset, arg_max(price, ts) AS close FROM ev GROUP BY ALL)
 SELECT day, asset, {r('close', 'close')}, {r('close / first_value(close) OVER (PARTITION BY asset ORDER BY day) * 100', 'normalised')} FROM d""",
     "block_covariances": f"WITH {BLOCKS} {_entries('blk', '', 'k, ts')}",
-    "orders_block_covariances": f"""WITH raw AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, o_orderpriority AS asset, avg(o_totalprice) AS price FROM orders WHERE o_orderpriority IN {_FIVE} GROUP BY ALL),
-ok AS (SELECT ts FROM raw GROUP BY ts HAVING count(*) = 5), num AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos FROM ok),
-ret AS (SELECT pos, ts, asset, ln(price) - lag(ln(price)) OVER (PARTITION BY asset ORDER BY ts) AS v FROM raw JOIN num USING (ts)),
-b AS (SELECT (a.pos - 1) // 10 AS k, max(a.ts) AS ts, a.asset AS i, c.asset AS j, covar_samp(a.v, c.v) AS v FROM ret a JOIN ret c ON a.pos = c.pos WHERE a.pos >= 1 GROUP BY 1, 3, 4 HAVING count(*) = 10)
+    "orders_block_covariances": f"""{_ORDERS}
 SELECT k, ts, i, j, {r('v', 'v')} FROM b""",
+    "orders_psd": _orders_psd(_ORDERS),
     "reference_covariance": f"WITH {REFERENCE} " + " UNION ALL ".join(f"SELECT '{ASSETS[i]}' AS i, '{ASSETS[j]}' AS j, {r('s' + PLACE[i, j], 'v')} FROM ref" for i in range(3) for j in range(3)),
     "reference_pca": f"WITH {REFERENCE} " + " UNION ALL ".join(f"SELECT 'component_{k}' AS component, {r(f'l{k}', 'eigenvalue')}, {r(f'100 * l{k} / (l1 + l2 + l3)', 'share_pct')} FROM ref" for k in (1, 2, 3)),
     "dominant_indicator": f"WITH {INDICATOR} SELECT k, ts, sample, {r('z', 'z')} FROM ind",
