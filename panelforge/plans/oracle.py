@@ -299,6 +299,24 @@ def _moments() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _followed() -> str:
+    """Eigenprojectors of consecutive residual matrices: sm (k, w list, e, old projectors o, absolute inner products s of
+    old with new vectors, rel: the first best permutation of old to new)."""
+    others = {1: (2, 3), 2: (1, 3), 3: (1, 2)}
+    entry = lambda i, j, w: f"(e{PLACE[i, j]}{f' - w{w}' if i == j else ''})"
+    projector = lambda a, n, i, j: f"({' + '.join(f'{entry(i, h, others[a][0])} * {entry(h, j, others[a][1])}' for h in range(3))}) / ((w{a} - w{others[a][0]}) * (w{a} - w{others[a][1]})) AS p{a}{n}"
+    projectors = ", ".join(projector(a, n, i, j) for a in (1, 2, 3) for n, i, j, _ in ENTRIES)
+    old = ", ".join(f"a.p{q}{n} AS o{q}{n}" for q in (1, 2, 3) for n in NAMES)
+    inner = ", ".join(f"sqrt(greatest(0.0, {' + '.join(f'{w} * o{a}{n} * p{b}{n}' for n, _, _, w in ENTRIES)})) AS s{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3))
+    orders = [[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]
+    sums = "[" + ", ".join(" + ".join(f"s{a}{b}" for a, b in enumerate(o, 1)) for o in orders) + "]"
+    return f"""{_eigen('e', 'ind', 'k')},
+pj AS (SELECT k, w1, w2, w3, {', '.join('e' + n for n in NAMES)}, {projectors} FROM eg JOIN ind USING (k)),
+pc AS (SELECT b.*, {old} FROM pj a JOIN pj b ON b.k = a.k + 1),
+si AS (SELECT *, {inner} FROM pc),
+sm AS (SELECT *, [w1, w2, w3] AS w, {orders}[list_position({sums}, list_max({sums}))] AS rel FROM si)"""
+
+
 def _least_eigenvalue(x: str, source: str, p: int, sign: int) -> str:
     """{x}h: for rows (k, a1_1 .. ap_p) the least eigenvalue w of the matrix times sign, bracketed by the inertia of
     shifted matrices: all pivots of elimination are positive below it."""
@@ -503,6 +521,11 @@ FROM t a JOIN t b ON a.series = b.series AND a.sample = 'Training' AND b.sample
 SELECT a.method, a.pair, {r('a.rmse', 'rmse')}, {r('a.rmse / b.rmse', 'ratio')} FROM t a JOIN t b ON a.pair = b.pair AND b.method = 'naive_indicator'""",
     "mean_error_norm": f"WITH {INDICATOR}, m AS (SELECT {', '.join(f'avg(e{n}) AS m{n}' for n in NAMES)} FROM ind WHERE k < ntrain) SELECT {r(f'sqrt({_overall(chr(109))})', 'norm')} FROM m",
     "residual_eigenvalues": f"WITH {INDICATOR}, {_eigen('e', 'ind', 'k')} " + " UNION ALL ".join(f"SELECT k, {q} AS place, {r(f'w{q}', 'value')} FROM eg" for q in (1, 2, 3)),
+    "previous_basis_errors": f"""WITH {INDICATOR}, {_followed()}
+SELECT {r('sum(' + ' + '.join(f'{w} * (e{n} - (w[rel[1]] * o1{n} + w[rel[2]] * o2{n} + w[rel[3]] * o3{n})) ** 2' for n, _, _, w in ENTRIES) + f') / sum({_overall("e")})', 'share_remaining')} FROM sm""",
+    "basis_similarity": f"""WITH {INDICATOR}, {_followed()},
+ck AS (SELECT 0::BIGINT AS k, [1, 2, 3] AS before, [1, 2, 3] AS now UNION ALL SELECT sm.k, ck.now, [rel[ck.now[1]], rel[ck.now[2]], rel[ck.now[3]]] FROM ck JOIN sm ON sm.k = ck.k + 1)
+SELECT k, c AS "column", {r('[[s11, s12, s13], [s21, s22, s23], [s31, s32, s33]][before[c + 1]][now[c + 1]]', 'similarity')} FROM ck JOIN sm USING (k), (SELECT unnest([0, 1, 2])::INTEGER AS c)""",
     "moment_tensor": f"WITH {INDICATOR} {_moments()}",
     "invariant_violations": " UNION ALL ".join(
         f"SELECT '{name}' AS invariant, 0::BIGINT AS violations"
