@@ -37,7 +37,7 @@ def naive_indicator(series: MatrixSeries, reference: Reference, training: int) -
 
 def indicator_forecast(series: MatrixSeries, reference: Reference, forecasts: DataFrame) -> DataFrame:
     """(k, ts, m, z_hat, f) from rows (k, z_hat)."""
-    joined = series.rows.join(forecasts.select("k", "z_hat"), "k")
+    joined = series.rows.join(forecasts.select("k", "z_hat").hint("merge"), "k")
     return joined.withColumn("f", from_indicator(reference, F.col("z_hat"))).select("k", "ts", "m", "z_hat", "f")
 
 

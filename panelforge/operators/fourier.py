@@ -6,7 +6,9 @@ fit into GROUP values, so none grows with the series: n1 and n2 are near the roo
 go through a chirp: a convolution at a power of two. Where every series has at most GROUP values, one pass is enough,
 and a group is a series.
 
-Rows are (series, pos, re, im); places without a row are zero.
+Rows are (series, pos, re, im); places without a row are zero. Tables with one row per series are broadcast by name:
+where a series is a constant, Spark would else broadcast the rows. Joins place by place are merges, so that no spectrum
+passes through the driver.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def transformed(rows: DataFrame, lengths: DataFrame, inverse: bool = False, most
         dense[pos // n2 - k1[0], pos % n2] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         return _frame(key[0], k1[:, None] + n1 * np.arange(n2)[None, :], fft(dense, 1))
 
-    sized = rows.join(lengths.select("series", "n1", "n2"), "series")
+    sized = rows.join(F.broadcast(lengths.select("series", "n1", "n2")), "series")
     part = F.floor(F.col("pos") % F.col("n2") / F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("n1"))))
     turned = sized.groupBy("series", part.alias("part")).applyInPandas(columns, f"{_ROWS}, n1 long, n2 long")
     part = F.floor(F.floor(F.col("pos") / F.col("n2")) / F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("n2"))))
@@ -100,7 +102,7 @@ def _product(one: DataFrame, other: DataFrame) -> DataFrame:
     """Spectra multiplied place by place."""
     b = other.select("series", "pos", F.col("re").alias("b_re"), F.col("im").alias("b_im"))
     re, im = F.col("re") * F.col("b_re") - F.col("im") * F.col("b_im"), F.col("re") * F.col("b_im") + F.col("im") * F.col("b_re")
-    return one.join(b, ["series", "pos"]).select("series", "pos", re.alias("re"), im.alias("im"))
+    return one.join(b.hint("merge"), ["series", "pos"]).select("series", "pos", re.alias("re"), im.alias("im"))
 
 
 def convolved(one: DataFrame, other: DataFrame, lengths: DataFrame, most: int = GROUP) -> DataFrame:
@@ -119,12 +121,12 @@ def _chirped(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """Transforms of any length n by a chirp: with jk = (j^2 + k^2 - (k - j)^2) / 2 a transform is a convolution."""
     angle = lambda: F.lit(math.pi) * (F.col("pos") * F.col("pos") % (2 * F.col("n"))) / F.col("n")
     lengths = _powers_of_two(sizes, 2 * F.col("n"))
-    given = _turned(rows.join(sizes, "series"), -angle())
+    given = _turned(rows.join(F.broadcast(sizes), "series"), -angle())
     places = sizes.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     kernel = places.select("series", "pos", F.cos(angle()).alias("re"), F.sin(angle()).alias("im"))
-    mirrored = kernel.where("pos > 0").join(lengths.select("series", F.col("n").alias("size")), "series").withColumn("pos", F.col("size") - F.col("pos"))
+    mirrored = kernel.where("pos > 0").join(F.broadcast(lengths.select("series", F.col("n").alias("size"))), "series").withColumn("pos", F.col("size") - F.col("pos"))
     made = convolved(given, kernel.unionByName(mirrored.drop("size")), lengths, most)
-    return _turned(made.join(sizes, "series").where(F.col("pos") < F.col("n")), -angle())
+    return _turned(made.join(F.broadcast(sizes), "series").where(F.col("pos") < F.col("n")), -angle())
 
 
 def fourier(rows: DataFrame, sizes: DataFrame, most: int = GROUP) -> DataFrame:
@@ -159,8 +161,8 @@ def periodogram(series: DataFrame, longest: int | None = None, most: int = GROUP
         return series.select("series", "pos", "value").groupBy("series").applyInPandas(whole, "series string, n long, mean double, j long, omega double, power double")
     series = series.select("series", "pos", "value")
     sizes = series.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    centred = series.join(sizes, "series").select("series", "pos", (F.col("value") - F.col("mean")).alias("re"), F.lit(0.0).alias("im"))
-    made = fourier(centred, sizes.select("series", "n"), most).withColumnRenamed("pos", "j").join(sizes, "series")
+    centred = series.join(F.broadcast(sizes), "series").select("series", "pos", (F.col("value") - F.col("mean")).alias("re"), F.lit(0.0).alias("im"))
+    made = fourier(centred, sizes.select("series", "n"), most).withColumnRenamed("pos", "j").join(F.broadcast(sizes), "series")
     made = made.where((F.col("j") >= 1) & (F.col("j") <= F.floor((F.col("n") - 1) / 2)))
     power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (2 * math.pi * F.col("n"))
     return made.select("series", "n", "mean", "j", (2 * math.pi * F.col("j") / F.col("n")).alias("omega"), power.alias("power"))
@@ -196,7 +198,7 @@ def innovations(series: DataFrame, orders: DataFrame, longest: int | None = None
     """(series, pos, value, innovation): rows (series, pos, value) less their mean, differenced by the d of rows (series,
     mean, d); each from its whole past."""
     longest = longest_of(series) if longest is None else longest
-    known = series.select("series", "pos", "value").join(orders.select("series", "mean", "d"), "series")
+    known = series.select("series", "pos", "value").join(F.broadcast(orders.select("series", "mean", "d")), "series")
     if longest <= most:
 
         def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,4 +212,4 @@ def innovations(series: DataFrame, orders: DataFrame, longest: int | None = None
     centred = known.select("series", "pos", (F.col("value") - F.col("mean")).alias("re"), F.lit(0.0).alias("im"))
     weights = fractional_weights(orders.join(sizes, "series").select("series", "d", "n"), most)
     made = convolved(centred, weights.select("series", "pos", F.col("weight").alias("re"), F.lit(0.0).alias("im")), lengths, most)
-    return known.join(made.select("series", "pos", F.col("re").alias("innovation")), ["series", "pos"]).select("series", "pos", "value", "innovation")
+    return known.join(made.select("series", "pos", F.col("re").alias("innovation")).hint("merge"), ["series", "pos"]).select("series", "pos", "value", "innovation")

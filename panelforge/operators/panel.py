@@ -21,7 +21,7 @@ def with_positions(rows: DataFrame, ts: str = "ts", bucket: str = "month") -> Da
     before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__cell").orderBy(ts))
-    placed = cells.withColumn("__row", inside).join(counts, "__cell")
+    placed = cells.withColumn("__row", inside).join(F.broadcast(counts), "__cell")  # else the rows may be what is broadcast
     return placed.withColumn("pos", F.col("__before") + F.col("__row") - 1).drop("__cell", "__row", "__before")
 
 

@@ -36,7 +36,8 @@ def complete_forecasts(indicators: dict[str, DataFrame], corrections: dict[str,
     p = len(assets)
     left = reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("indicator"), "k", "ts", "m", "f") for name, rows in indicators.items()])
     right = reduce(DataFrame.unionByName, [correction_matrix(rows, assets).withColumn("correction", F.lit(name)) for name, rows in corrections.items()])
-    joined = left.join(right, "k")
+    # both sides have a row for each matrix and method: neither is gathered on the driver to be broadcast
+    joined = left.join(right.hint("merge"), "k")
     rows = joined.select(
         F.concat_ws("+", "indicator", "correction").alias("method"), "k", "ts", "m", mx.zipped(F.col("f"), F.col("c"), p, lambda a, b: a + b).alias("f")
     )

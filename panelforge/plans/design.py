@@ -30,22 +30,21 @@ class Design:
 
     @cached_property
     def series(self) -> mt.MatrixSeries:
-        """Kept in memory and on disk: it is a block size smaller than the prices, and every later step reads it."""
+        """Written once, as every later step reads it: it is a block size smaller than the prices, and a table is read in
+        as many tasks as its own size asks for, where a cached plan keeps one for each shuffle partition of the prices."""
         made = mt.block_covariances(self.returns, self.panel.assets, self.block_size)
-        return mt.MatrixSeries(made.rows.persist(), made.assets)
+        return mt.MatrixSeries(self.kept(made.rows), made.assets)
 
     def close(self) -> None:
-        """Frees the kept series and the written tables; later use builds them again."""
-        if series := self.__dict__.pop("series", None):
-            series.rows.unpersist()
-        for name in ("differences", "method_losses", "kept"):
+        """Deletes the written tables; later use builds them again."""
+        for name in ("series", "differences", "method_losses", "kept"):
             found = self.__dict__.pop(name, None)
             if name == "kept" and found:
                 found.discard()
 
     @cached_property
     def kept(self) -> Store:
-        """Losses along time, which tests, reports and resampling read several times, are written once."""
+        """The matrices, and losses along time, which tests, reports and resampling read several times, are written once."""
         return Store(self.spark)
 
     @cached_property
